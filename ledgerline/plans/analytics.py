@@ -182,27 +182,34 @@ Q1_COLUMNS = [
 ]
 
 
-def _q1_weights(t, lo, dedup: bool):
-    """Per-order multiplicity of the 6-way join, without building the join.
-
-    rows(order) = sum over its items (with a known product) of
-    max(1, #inventory rows of the product), times max(1, #transactions).
+def _q1_day_weights(t, lo, dedup: bool):
+    """Rows and value of the 6-way join per (customer, order day), without building the join.
+
+    rows(order) = sum over its items with a known product of
+    max(1, #inventory rows of the product), times max(1, #transactions);
+    value(order) = total_amount * rows(order).  One per-product table carries
+    both the product-exists test and the warehouse multiplicity, so items
+    take a single join before collapsing to one row per order.
     """
     o = _orders_since(t, lo, "order_id", "customer_id", "order_date", "total_amount")
     items = t["order_items"].select("order_id", "product_id")
     prods = t["products"].select("product_id")
     if dedup:
-        has_item = items.join(prods, "product_id", "left_semi").select("order_id").distinct()
-        ow = o.join(has_item, "order_id").withColumn("_rows", F.lit(1).cast("bigint"))
+        item_w = items.join(prods, "product_id", "left_semi").select("order_id").distinct() \
+            .withColumn("_iw", F.lit(1).cast("bigint"))
+        ow = o.join(item_w, "order_id").withColumn("_rows", F.col("_iw"))
     else:
         inv_n = t["inventory"].groupBy("product_id").agg(F.count(F.lit(1)).alias("_ni"))
+        prod_w = prods.join(inv_n, "product_id", "left").select(
+            "product_id", F.coalesce(F.col("_ni"), F.lit(1)).alias("_w"))
         tx_n = t["transactions"].groupBy("order_id").agg(F.count(F.lit(1)).alias("_nt"))
-        item_w = (items.join(prods, "product_id", "left_semi").join(inv_n, "product_id", "left")
-                  .groupBy("order_id").agg(F.sum(F.coalesce(F.col("_ni"), F.lit(1))).alias("_iw")))
+        item_w = items.join(prod_w, "product_id").groupBy("order_id").agg(F.sum("_w").alias("_iw"))
         ow = (o.join(item_w, "order_id").join(tx_n, "order_id", "left")
               .withColumn("_rows", (F.col("_iw") * F.coalesce(F.col("_nt"), F.lit(1))).cast("bigint")))
-    cust_keys = t["customers"].select("customer_id")
-    return ow.join(cust_keys, "customer_id", "left_semi")
+    # one row per (customer, day): shared by the customer totals and the rank groups,
+    # so its shuffle is planned once and reused
+    return ow.groupBy("customer_id", "order_date").agg(
+        F.sum("_rows").alias("_g"), F.sum(F.col("total_amount") * F.col("_rows")).alias("_v"))
 
 
 def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
@@ -212,37 +219,38 @@ def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
     customer, newest order, largest line; the first ``limit`` rows.
 
     Plan (no full-join window, no single hot partition):
-    1. per-order join multiplicities from pre-aggregated counts;
-    2. per-customer row count and value (map-side combined);
+    1. per-order join multiplicities from pre-aggregated counts, summed per
+       (customer, day);
+    2. per-customer row count and value (map-side combined), restricted to
+       existing customers;
     3. the first customers by id whose rows reach ``limit`` (a bounded top-k);
-    4. per (customer, day) row counts for those customers only -> rank and
-       running position; keep the groups that start before ``limit``;
-    5. expand just those groups to detail rows (broadcast of <= limit keys)
+    4. the (customer, day) rows of those customers -> rank and running
+       position; keep the days that start before ``limit``;
+    5. expand just those days to detail rows (broadcast of <= limit keys)
        and take the final ordered top-k, which runs per partition first.
     """
     lo = add_months_sticky(as_of, -months)
-    ow = _q1_weights(t, lo, dedup)
+    cd = _q1_day_weights(t, lo, dedup)
 
-    per_cust = ow.groupBy("customer_id").agg(
-        F.sum("_rows").alias("customer_total_orders"),
-        F.sum(F.col("total_amount") * F.col("_rows")).cast(DEC).alias("customer_lifetime_value"))
+    per_cust = (cd.groupBy("customer_id").agg(
+        F.sum("_g").alias("customer_total_orders"),
+        F.sum("_v").cast(DEC).alias("customer_lifetime_value"))
+        .join(t["customers"].select("customer_id"), "customer_id", "left_semi"))
     # each customer with rows contributes >= 1 row: the first `limit` ids suffice
     first = per_cust.orderBy("customer_id").limit(limit)
     w_all = Window.orderBy("customer_id").rowsBetween(Window.unboundedPreceding, -1)
     chosen = (first.withColumn("_cbefore", F.coalesce(F.sum("customer_total_orders").over(w_all), F.lit(0)))
               .where(F.col("_cbefore") < limit))
 
-    groups = (ow.join(F.broadcast(chosen.select("customer_id")), "customer_id")
-              .groupBy("customer_id", "order_date").agg(F.sum("_rows").alias("_g")))
     w_c = (Window.partitionBy("customer_id").orderBy(F.col("order_date").desc())
            .rowsBetween(Window.unboundedPreceding, -1))
-    groups = (groups.withColumn("_before", F.coalesce(F.sum("_g").over(w_c), F.lit(0)))
-              .join(F.broadcast(chosen), "customer_id")
+    groups = (cd.join(F.broadcast(chosen), "customer_id")
+              .withColumn("_before", F.coalesce(F.sum("_g").over(w_c), F.lit(0)))
               .where(F.col("_cbefore") + F.col("_before") < limit)
               .select("customer_id", "order_date", "customer_total_orders", "customer_lifetime_value",
                       (F.col("_before") + 1).cast("bigint").alias("customer_order_rank")))
 
-    o = t["orders"].select("order_id", "customer_id", "order_date", F.col("status").alias("order_status"),
+    o = _orders_since(t, lo).select("order_id", "customer_id", "order_date", F.col("status").alias("order_status"),
                            F.col("total_amount").alias("order_total"), "payment_method")
     c = t["customers"].select("customer_id", oracle_concat("first_name", F.lit(" "), "last_name")
                               .alias("customer_name"), "email", "customer_type", "loyalty_points")
