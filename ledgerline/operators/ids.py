@@ -29,7 +29,7 @@ def assign_ids(df: DataFrame, order_cols, id_col: str = "id", start=1,
                num_partitions: int | None = None) -> DataFrame:
     """Add ``id_col`` = start + rank of the row in ``order_cols`` order (ties broken by all columns).
 
-    ``start`` may be an int or a one-row DataFrame column value via :func:`next_id`.
+    ``start`` is an int or a Column (e.g. :func:`next_id_col`, a scalar subquery).
     """
     spark = df.sparkSession
     keys: list[Column] = [F.col(c) if isinstance(c, str) else c for c in order_cols]
@@ -46,7 +46,8 @@ def assign_ids(df: DataFrame, order_cols, id_col: str = "id", start=1,
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     # offsets has one row per partition: a bounded broadcast
     out = tagged.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(id_col, (F.lit(start) + F.col("_off") + F.col("_pos")).cast("bigint")) \
+    base = start if isinstance(start, Column) else F.lit(start)
+    return out.withColumn(id_col, (base + F.col("_off") + F.col("_pos")).cast("bigint")) \
         .drop("_mid", "_pid", "_pos", "_off")
 
 
@@ -54,3 +55,8 @@ def next_id(df: DataFrame, id_col: str) -> int:
     """max(id)+1 of an existing table (1 when empty): a single scalar aggregate."""
     v = df.agg(F.max(id_col)).first()[0]
     return 1 if v is None else int(v) + 1
+
+
+def next_id_col(df: DataFrame, id_col: str) -> Column:
+    """max(id)+1 (1 when empty) as a scalar subquery: evaluated inside the consuming plan."""
+    return df.agg(F.coalesce(F.max(id_col) + 1, F.lit(1)).cast("bigint")).scalar()

@@ -17,7 +17,7 @@ requests into one task:
   candidates after the refused one are next round's pending requests.
 Each round retires at least one request per still-active inventory row; with
 small order quantities (1-3 units in the workload) two or three rounds
-finish.  Lineage is cut with ``checkpoint()`` every round.
+finish.  Every round is written to the shared checkpoint folder (lineage cut).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 
 
 def running_sum(df: DataFrame, key: str, order_col: str, value_col: str, out_col: str,
@@ -58,13 +58,13 @@ def reserve_inventory(inventory: DataFrame, requests: DataFrame, max_rounds: int
     inv_keys = inventory.select("inventory_id", "product_id", F.col("quantity_available").alias("_avail"))
     pend = (requests.select("seq", "product_id", "quantity")
             .join(inv_keys.select("inventory_id", "product_id"), "product_id")
-            .select("inventory_id", "seq", "quantity")).checkpoint()
-    state = inv_keys.select("inventory_id", "_avail", F.lit(0).cast("bigint").alias("_taken")).checkpoint()
+            .select("inventory_id", "seq", "quantity"))
+    state = inv_keys.select("inventory_id", "_avail", F.lit(0).cast("bigint").alias("_taken"))
     accepted_parts = []
     for _ in range(max_rounds):
         cand = (pend.join(state.select("inventory_id", "_avail"), "inventory_id")
                 .where(F.col("quantity") <= F.col("_avail")))
-        cs = running_sum(cand, "inventory_id", "seq", "quantity", "_cum", chunk).checkpoint()
+        cs = materialize(running_sum(cand, "inventory_id", "seq", "quantity", "_cum", chunk), "reserve-round")
         if cs.isEmpty():
             break
         fits = F.col("_cum") <= F.col("_avail")
@@ -75,7 +75,8 @@ def reserve_inventory(inventory: DataFrame, requests: DataFrame, max_rounds: int
             F.min(F.when(~fits, F.col("seq"))).alias("_fail"))
         state = (state.join(per_inv, "inventory_id", "left")
                  .select("inventory_id", (F.col("_avail") - F.coalesce(F.col("_got"), F.lit(0))).alias("_avail"),
-                         (F.col("_taken") + F.coalesce(F.col("_got"), F.lit(0))).alias("_taken"))).checkpoint()
+                         (F.col("_taken") + F.coalesce(F.col("_got"), F.lit(0))).alias("_taken")))
+        state = materialize(state, "reserve-state")
         pend = (cs.join(per_inv.select("inventory_id", "_fail"), "inventory_id")
                 .where(F.col("_fail").isNotNull() & (F.col("seq") > F.col("_fail")))
                 .select("inventory_id", "seq", "quantity"))

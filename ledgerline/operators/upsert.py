@@ -1,7 +1,8 @@
 """MERGE as a set operation (matched -> update some columns, not matched -> insert).
 
-One full outer join of target and source on the merge keys with presence
-flags.  NULL keys never match (plain equality), as in the reference.  Each
+A left join of target and source updates matched rows; a left-anti join of
+the source against the target's keys finds the new rows.  NULL keys never
+match (plain equality), as in the reference.  Each
 target row may match at most one source row; the reference database raises
 otherwise, and so do we (``check_unique``).  New rows get surrogate ids
 after the current maximum.  Columns neither updated nor inserted take the
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .defaults import default_value
-from .ids import assign_ids, next_id
+from .ids import assign_ids, next_id_col
 
 
 class MergeError(ValueError):
@@ -40,23 +41,28 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update_cols: l
     table/as_of: used to fill DDL defaults of the other columns of new rows.
     """
     insert_cols = insert_cols or list(dict.fromkeys(keys + update_cols))
-    if check_unique:
+    if check_unique:  # skip only when the source is grouped by exactly the merge keys
         check_unique_keys(source, keys)
     src_cols = list(dict.fromkeys(keys + update_cols + insert_cols))
     s = source.select(*[F.col(c).alias(f"_s_{c}") for c in src_cols]).withColumn("_s", F.lit(True))
-    t = target.withColumn("_t", F.lit(True))
     cond = None
     for k in keys:
-        c = t[k] == s[f"_s_{k}"]
+        c = target[k] == s[f"_s_{k}"]
         cond = c if cond is None else cond & c
-    j = t.join(s, cond, "full")
-    matched = F.col("_t").isNotNull() & F.col("_s").isNotNull()
-
-    kept = j.where(F.col("_t").isNotNull()).select(*[
+    # matched rows take the source values, the rest of the target is kept as is
+    matched = F.col("_s").isNotNull()
+    kept = target.join(s, cond, "left").select(*[
         (F.when(matched, F.col(f"_s_{c}")).otherwise(F.col(c)) if c in update_cols else F.col(c))
         .cast(target.schema[c].dataType).alias(c) for c in target.columns])
 
-    new = j.where(F.col("_t").isNull())
+    # source rows without a partner (NULL keys never have one) become new rows;
+    # only the target's key columns take part in this anti join
+    tkeys = target.select(*[F.col(k).alias(f"_t_{k}") for k in keys])
+    anti = None
+    for k in keys:
+        c = F.col(f"_s_{k}") == F.col(f"_t_{k}")
+        anti = c if anti is None else anti & c
+    new = s.join(tkeys, anti, "left_anti")
     new_cols = []
     for f in target.schema.fields:
         c = f.name
@@ -69,7 +75,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update_cols: l
         new_cols.append(e.cast(f.dataType).alias(c))
     new = new.select(*new_cols)
     if id_col:
-        start = next_id(target, id_col)
-        new = assign_ids(new.drop(id_col), keys, id_col=id_col, start=start).select(*target.columns)
+        start = next_id_col(target, id_col)
+        new = assign_ids(new.drop(id_col), keys, id_col=id_col, start=start)
         new = new.select(*[F.col(f.name).cast(f.dataType) for f in target.schema.fields])
     return kept.unionByName(new)

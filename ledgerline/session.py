@@ -67,3 +67,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage like a reliable checkpoint, but computes the plan once
+    (a reliable RDD checkpoint runs its job a second time to write).  The
+    folder survives executor loss because it lives in the cluster's shared
+    checkpoint location, never on a machine-local disk.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
