@@ -1,0 +1,135 @@
+"""Structured Streaming forms of the rollup (T1, T2) and of reservations.
+
+All sources and sinks are files (parquet folders); no server is involved.
+
+* T1 ``start_sales_summary_stream``: each micro-batch's per-day partial
+  totals are written to ``<target>/partials/batch_id=N`` (overwrite of that
+  folder, so a replayed batch is idempotent); :func:`read_sales_summary`
+  folds the partials into SALES_SUMMARY rows.
+* T2 ``daily_totals_stream``: event-time windows of one day with a
+  watermark; late orders inside the allowance still update their day.
+* T3 ``reservation_stream``: per inventory row state (available, reserved)
+  kept by ``applyInPandasWithState``; each micro-batch's requests are applied
+  in request order.  The batch operator (B7) is its oracle.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from ..plans.warehouse import ROLLUP_STATUSES
+
+ORDER_STREAM_SCHEMA = ("order_id bigint, customer_id bigint, order_date timestamp_ntz, status string, "
+                       "total_amount decimal(12,2), payment_method string")
+REQUEST_STREAM_SCHEMA = "seq bigint, product_id bigint, quantity bigint"
+
+
+def read_order_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    r = spark.readStream.schema(ORDER_STREAM_SCHEMA)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(path)
+
+
+# --------------------------------------------------------------------------- T1
+def _day_partials(batch: DataFrame) -> DataFrame:
+    return (batch.where(F.col("status").isin(list(ROLLUP_STATUSES)))
+            .groupBy(F.to_date("order_date").alias("summary_date"))
+            .agg(F.count(F.lit(1)).alias("total_orders"), F.sum("total_amount").alias("total_revenue")))
+
+
+def start_sales_summary_stream(orders: DataFrame, target: str, checkpoint: str, trigger_once: bool = True):
+    """Start T1.  Returns the StreamingQuery."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        _day_partials(batch).write.mode("overwrite").parquet(f"{target}/partials/batch_id={batch_id}")
+
+    w = orders.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if trigger_once else w
+    return w.start()
+
+
+def read_sales_summary(spark: SparkSession, target: str) -> DataFrame:
+    """SALES_SUMMARY rows from the partials: per day, summed over batches; ids in day order."""
+    parts = spark.read.schema("summary_date date, total_orders bigint, total_revenue decimal(22,2), "
+                              "batch_id bigint").parquet(f"{target}/partials")
+    agg = parts.groupBy("summary_date").agg(F.sum("total_orders").cast("bigint").alias("total_orders"),
+                                            F.sum("total_revenue").cast("decimal(15,2)").alias("total_revenue"))
+    from ..operators.ids import assign_ids
+    return assign_ids(agg, ["summary_date"], id_col="summary_id").select(
+        "summary_id", "summary_date", "total_orders", "total_revenue")
+
+
+# --------------------------------------------------------------------------- T2
+def daily_totals_stream(orders: DataFrame, lateness: str = "8 days", dedup: bool = False) -> DataFrame:
+    """Per-day orders and revenue over an order stream.
+
+    ``dedup=True`` drops repeated order ids within the watermark first; the
+    chained stateful operators then require append output mode.
+    """
+    # watermarks need a zoned timestamp: the wall-clock order date is read in
+    # the session time zone (UTC in PLAN_CONF), and the day is taken back in it
+    o = orders.withColumn("_event", F.col("order_date").cast("timestamp")).withWatermark("_event", lateness)
+    if dedup:
+        o = o.dropDuplicatesWithinWatermark(["order_id"])
+    return (o.groupBy(F.window("_event", "1 day").alias("w"))
+            .agg(F.count(F.lit(1)).alias("total_orders"), F.sum("total_amount").alias("revenue"))
+            .select(F.to_date(F.col("w.start")).alias("order_day"), "total_orders",
+                    F.col("revenue").cast("decimal(38,2)").alias("revenue")))
+
+
+# --------------------------------------------------------------------------- T3
+RESERVATION_OUT = "inventory_id bigint, seq bigint, quantity bigint, accepted boolean, available_after bigint"
+RESERVATION_STATE = "available bigint, reserved bigint"
+
+
+def fold_reservations(avail: int, q: np.ndarray) -> np.ndarray:
+    """Accepted flags for quantities ``q`` (in order) against ``avail``, in vectorised rounds:
+    candidates (q <= remaining) accept the prefix whose running sum fits; the
+    first that does not fit is refused; repeat on the candidates after it."""
+    acc = np.zeros(len(q), dtype=bool)
+    pending = np.arange(len(q))
+    while len(pending):
+        cand = pending[q[pending] <= avail]
+        if not len(cand):
+            break
+        cs = np.cumsum(q[cand])
+        k = int(np.searchsorted(cs, avail, side="right"))
+        acc[cand[:k]] = True
+        avail -= int(cs[k - 1]) if k else 0
+        pending = cand[k + 1:]
+    return acc
+
+
+def _apply_requests(key, pdfs, state):
+    (inventory_id,) = key
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
+    if not len(pdf):
+        return
+    if state.exists:
+        avail, reserved = state.get
+    else:
+        avail, reserved = int(pdf["quantity_available"].iloc[0]), 0
+    q = pdf["quantity"].to_numpy(dtype=np.int64)
+    acc = fold_reservations(avail, q)
+    taken = np.cumsum(np.where(acc, q, 0))
+    state.update((int(avail - taken[-1]), int(reserved + taken[-1])))
+    yield pd.DataFrame({"inventory_id": inventory_id, "seq": pdf["seq"].to_numpy(), "quantity": q,
+                        "accepted": acc, "available_after": avail - taken})
+
+
+def reservation_stream(requests: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Decisions for a stream of requests(seq, product_id, quantity).
+
+    The stream meets the static inventory (every inventory row of the
+    product gets the request); the per-row state starts from the row's
+    quantity_available.  Requests must arrive in seq order across batches.
+    """
+    inv = inventory.select("inventory_id", "product_id", "quantity_available")
+    j = requests.join(inv, "product_id")
+    return (j.groupBy("inventory_id")
+            .applyInPandasWithState(_apply_requests, RESERVATION_OUT, RESERVATION_STATE, "append",
+                                    GroupStateTimeout.NoTimeout))
