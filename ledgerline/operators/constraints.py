@@ -75,10 +75,34 @@ def constraint_violations(tables: dict) -> DataFrame:
 
 
 def constraint_report(tables: dict) -> DataFrame:
-    """One row per constraint: (table_name, constraint_type, constraint_name, violating_rows)."""
+    """One row per constraint: (constraint_type, constraint_name, violating_rows).
+
+    All NULL checks of a table share one aggregate (one scan per table);
+    each duplicate check is one map-side-combined group-by on its key; each
+    FK check one anti join of the child's distinct keys.
+    """
     parts = []
-    for kind, name, df in _checks(tables):
-        parts.append(df.groupBy().agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("violating_rows"))
-                     .select(F.lit(kind).alias("constraint_type"), F.lit(name.lower()).alias("constraint_name"),
-                             "violating_rows"))
+    for tb in sorted(k for k in PRIMARY_KEYS if k in tables):
+        df = tables[tb]
+        pk = [c for c in PRIMARY_KEYS[tb] if c in df.columns]
+        null_checks = [("PRIMARY_KEY_NULL", f"pk_{tb}_null", c) for c in pk[:1]]
+        null_checks += [("NOT_NULL", f"nn_{tb}_{c}", c) for c in NOT_NULL.get(tb, ()) if c in df.columns]
+        if null_checks:
+            counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"_n{i}") for i, (_, _, c) in enumerate(null_checks)])
+            parts.append(counts.select(F.inline(F.array(*[
+                F.struct(F.lit(kind).alias("constraint_type"), F.lit(name).alias("constraint_name"),
+                         F.col(f"_n{i}").cast("bigint").alias("violating_rows"))
+                for i, (kind, name, _) in enumerate(null_checks)]))))
+        dup_checks = ([("PRIMARY_KEY", f"pk_{tb}", pk)] if pk else []) + \
+            [("UNIQUE", f"uq_{tb}_{c}", [c]) for c in UNIQUE_KEYS.get(tb, ()) if c in df.columns]
+        for kind, name, cols in dup_checks:
+            parts.append(_total(_dups(df, tb, kind, cols), kind, name))
+    for ct, cc, pt, pc in FOREIGN_KEYS:
+        if ct in tables and pt in tables and cc in tables[ct].columns:
+            parts.append(_total(_orphans(tables[ct], tables[pt], ct, cc, pt, pc), "FOREIGN_KEY", f"fk_{ct}_{cc}"))
     return reduce(DataFrame.unionByName, parts)
+
+
+def _total(df: DataFrame, kind: str, name: str) -> DataFrame:
+    return df.groupBy().agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("violating_rows")).select(
+        F.lit(kind).alias("constraint_type"), F.lit(name).alias("constraint_name"), "violating_rows")

@@ -139,19 +139,26 @@ def affinity(t, as_of=AS_OF, days: int = 90, anchor: int | None = None, n: int |
     items = _window_items(t, days, as_of, "product_id").distinct()
     per_prod = items.groupBy("product_id").agg(F.count(F.lit(1)).alias("orders"))
     if anchor is None:
-        anchor_id = per_prod.orderBy(F.col("orders").desc(), "product_id").limit(1).select("product_id").scalar()
+        top = per_prod.orderBy(F.col("orders").desc(), "product_id").limit(1)
     else:
-        anchor_id = F.lit(anchor).cast("bigint")
-    # scalar subqueries: evaluated once, then used as constants
-    anchor_n = per_prod.where(F.col("product_id") == anchor_id).select("orders").scalar()
+        top = per_prod.where(F.col("product_id") == F.lit(anchor))
+    top_key = F.broadcast(top.select("product_id"))  # one row
+    # scalar subqueries (one level each): evaluated once, then used as constants
+    anchor_id = top.select("product_id").scalar()
+    anchor_n = top.select("orders").scalar()
     n_orders = items.select("order_id").distinct().agg(F.count(F.lit(1))).scalar()
-    anchor_orders = items.where(F.col("product_id") == anchor_id).select("order_id")
-    together = (items.join(anchor_orders, "order_id", "left_semi").where(F.col("product_id") != anchor_id)
+    anchor_orders = items.join(top_key, "product_id", "left_semi").select("order_id")
+    together = (items.join(anchor_orders, "order_id", "left_semi").join(top_key, "product_id", "left_anti")
                 .groupBy("product_id").agg(F.count(F.lit(1)).alias("together")))
+    # bind each scalar once, then derive the ratios from plain columns
     out = together.join(per_prod, "product_id").select(
-        anchor_id.alias("anchor_id"), "product_id", "together", "orders",
-        div_half_up(F.col("together") * 100, anchor_n).cast(DEC).alias("support_pct"),
-        div_half_up(F.col("together") * n_orders, anchor_n * F.col("orders"), 4).cast("decimal(38,4)").alias("lift"))
+        anchor_id.alias("anchor_id"), "product_id", "together", "orders", anchor_n.alias("_an"),
+        n_orders.alias("_no"))
+    out = out.select(
+        "anchor_id", "product_id", "together", "orders",
+        div_half_up(F.col("together") * 100, F.col("_an")).cast(DEC).alias("support_pct"),
+        div_half_up(F.col("together") * F.col("_no"), F.col("_an") * F.col("orders"), 4)
+        .cast("decimal(38,4)").alias("lift"))
     if n is not None:
         out = out.orderBy(F.col("together").desc(), "product_id").limit(n)
     return out

@@ -81,9 +81,15 @@ TABLE_KEYS = {
 }
 
 
+# Spark form of the two-copies expansion: a generator instead of a join with a
+# two-row relation (same rows; the DuckDB oracle keeps the CROSS JOIN text).
+_TWO_COPIES_SQL = "CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) ks"
+_TWO_COPIES_SPARK = "LATERAL VIEW explode(array(0, 1)) ks AS k"
+
+
 def shop_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     raw = {r: read_raw(spark, sf_dir, r) for r in _SOURCES[name]}
-    return spark.sql(FIXTURE_SQL[name], **raw)
+    return spark.sql(FIXTURE_SQL[name].replace(_TWO_COPIES_SQL, _TWO_COPIES_SPARK), **raw)
 
 
 class ShopTables(dict):
