@@ -64,13 +64,14 @@ def day_start(ts) -> _dt.datetime:
 
 
 def lit_ts(ts) -> Column:
-    """A TIMESTAMP_NTZ literal (no session time zone is involved)."""
-    return F.lit(as_timestamp(ts)).cast("timestamp_ntz")
+    """A TIMESTAMP_NTZ literal built from text, so neither the Python process's
+    zone nor the session zone is involved; it constant-folds into pushed filters."""
+    return F.lit(as_timestamp(ts).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def lit_date(d) -> Column:
-    d = as_timestamp(d).date()
-    return F.lit(d)
+    """A DATE literal built from text (zone-independent)."""
+    return F.lit(as_timestamp(d).date().isoformat()).cast("date")
 
 
 def oracle_concat(*cols) -> Column:

@@ -11,7 +11,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import as_timestamp, day_start, lit_ts
+from ..functions import as_timestamp, day_start, lit_date, lit_ts
 from ..operators.upsert import upsert
 from ..schema import SCHEMAS
 from ..session import materialize
@@ -118,7 +118,7 @@ def product_stats(t, period_start, period_end, as_of=AS_OF, data_until=None) ->
                                       F.count_if(F.col("status") == "RETURNED").alias("return_count"))
     p = t["products"].select("product_id", "cost")
     return per.join(p, "product_id").select(
-        "product_id", F.lit(ps.date()).alias("period_start"), F.lit(pe.date()).alias("period_end"),
+        "product_id", lit_date(ps).alias("period_start"), lit_date(pe).alias("period_end"),
         F.col("units_sold").cast("bigint").alias("units_sold"), F.col("_rev").cast("decimal(12,2)").alias("revenue"),
         (F.col("_rev") - F.col("units_sold") * F.col("cost")).cast("decimal(12,2)").alias("profit"),
         F.col("return_count").cast("bigint").alias("return_count"), lit_ts(as_of).alias("calculated_at"))

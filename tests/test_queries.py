@@ -54,3 +54,15 @@ def test_q1_with_a_hot_customer(spark):
         a = [tuple(r) for r in customer_order_detail(t2, limit=limit).collect()]
         b = [tuple(r) for r in customer_order_detail_bruteforce(t2, limit=limit).collect()]
         assert a == b, limit
+
+
+@pytest.mark.parametrize("name", ["daily_sales", "executive_dashboard", "customer_retention", "merge_sales_summary",
+                                  "aggregate_products"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        info = compare(spark, con, name, QUERIES[name], ORACLE[name], SF_SMALL)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert info["ok"], info
