@@ -36,6 +36,15 @@ WHERE o.order_date >= {TS} - INTERVAL 30 DAY
 GROUP BY CAST(o.order_date AS DATE)
 ORDER BY order_day DESC""")
 
+ORACLE["daily_sales_per_order"] = _q(["shop_orders", "order_items"], f"""
+SELECT CAST(o.order_date AS DATE) AS order_day, COUNT(*) AS total_orders,
+       CAST(SUM(o.total_amount) AS DECIMAL(38,2)) AS revenue
+FROM shop_orders o
+WHERE o.order_date >= {TS} - INTERVAL 30 DAY
+  AND EXISTS (SELECT 1 FROM order_items oi WHERE oi.order_id = o.order_id)
+GROUP BY CAST(o.order_date AS DATE)
+ORDER BY order_day DESC""")
+
 ORACLE["customer_retention"] = _q(["shop_orders"], f""",
 monthly_customers AS (
   SELECT strftime(o.order_date, '%Y-%m') AS month, o.customer_id

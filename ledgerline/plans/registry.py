@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # analytical statements (Q1-Q9)
     "customer_order_detail": _on_tables(A.customer_order_detail),
     "daily_sales": _on_tables(A.daily_sales),
+    "daily_sales_per_order": _on_tables(A.daily_sales, dedup=True),
     "monthly_sales": _on_tables(A.monthly_sales),
     "customer_retention": _on_tables(A.customer_retention),
     "product_performance": _on_tables(A.product_performance),

@@ -171,3 +171,14 @@ def test_place_orders_pipeline(spark, tables):
     assert out["new_items"].count() == 2  # unknown product skipped
     assert out["new_transactions"].count() == 2
     assert out["orders"].count() == tables["orders"].count() + 2
+
+
+def test_reserve_hot_product_matches_fold(spark):
+    """One product receives every request (a third of all rows and more): the two-level
+    prefix sum spreads it over chunks and still equals the literal fold."""
+    inv = _inv(spark, [(1, 7, 500, 0), (2, 7, 37, 0), (3, 8, 5, 0)])
+    req = spark.range(1, 3001).select(F.col("id").alias("seq"), F.lit(7).cast("bigint").alias("product_id"),
+                                      ((F.col("id") * 7919) % 9 + 1).alias("quantity"))
+    after, _ = reserve_inventory(inv, req, chunk=64)
+    fold = reserve_inventory_fold(inv, req)
+    assert sorted(tuple(r) for r in after.collect()) == sorted(tuple(r) for r in fold.collect())
