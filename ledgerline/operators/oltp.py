@@ -34,6 +34,27 @@ CUSTOMER_LOOKUP_COLS = ["customer_id", "first_name", "last_name", "email", "cust
 PRODUCT_LOOKUP_COLS = ["product_id", "product_name", "category", "subcategory", "price", "cost", "is_active"]
 
 
+# ----------------------------------------------------------------- R3 key lookup
+MAX_INLINE_KEYS = 1000  # above this, a key list travels as a DataFrame and is joined
+
+
+def lookup_by_key(table: DataFrame, key: str, values) -> DataFrame:
+    """Rows of ``table`` whose ``key`` is in ``values``.
+
+    A short literal list becomes ``key IN (...)``, which reaches the parquet
+    scan (row-group skipping); a DataFrame of keys, or a list longer than
+    ``MAX_INLINE_KEYS``, is a semi join planned by AQE.
+    """
+    if isinstance(values, DataFrame):
+        return table.join(values.select(key).distinct(), key, "left_semi")
+    values = list(values)
+    if len(values) <= MAX_INLINE_KEYS:
+        return table.where(F.col(key).isin(values))
+    spark = table.sparkSession
+    keys = spark.createDataFrame([(v,) for v in values], f"{key} {table.schema[key].dataType.simpleString()}")
+    return table.join(keys.distinct(), key, "left_semi")
+
+
 # ----------------------------------------------------------------- B1-B3 lookups
 def lookup_customers(customers: DataFrame, ids: DataFrame) -> DataFrame:
     """B1: the six customer columns per requested id; unknown ids give NULLs (the 404 case)."""

@@ -182,3 +182,38 @@ def test_reserve_hot_product_matches_fold(spark):
     after, _ = reserve_inventory(inv, req, chunk=64)
     fold = reserve_inventory_fold(inv, req)
     assert sorted(tuple(r) for r in after.collect()) == sorted(tuple(r) for r in fold.collect())
+
+
+def test_key_lookup_pushes_short_lists(spark, tables):
+    import contextlib
+    import io
+    out = B.lookup_by_key(tables["orders"], "order_id", [1, 2, 3])
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        out.explain("formatted")
+    assert "In(o_orderkey" in buf.getvalue()
+    ids = tables["orders"].select("order_id").limit(5)
+    assert B.lookup_by_key(tables["orders"], "order_id", ids).count() == 5
+
+
+def test_dashboard_empty_day_is_null_revenue(spark, tables):
+    from ledgerline.plans.analytics import executive_dashboard
+    rows = {r.metric: r for r in executive_dashboard(tables, as_of="2030-01-01 00:00:00").collect()}
+    assert rows["Orders"].today_count == 0 and rows["Orders"].yesterday_count == 0
+    assert rows["Revenue"].today_count is None and rows["Revenue"].yesterday_count is None
+
+
+def test_daily_sales_drops_orders_without_items_and_counts_fan_out(spark):
+    from decimal import Decimal
+
+    from ledgerline.plans.analytics import daily_sales
+    o = spark.createDataFrame([(1, dt.datetime(2001, 7, 30, 9), Decimal("10.00")),
+                               (2, dt.datetime(2001, 7, 30, 10), Decimal("5.00")),
+                               (3, dt.datetime(2001, 7, 31, 0), Decimal("7.00"))],
+                              "order_id bigint, order_date timestamp_ntz, total_amount decimal(12,2)")
+    i = spark.createDataFrame([(1,), (1,), (1,), (3,)], "order_id bigint")
+    t = {"orders": o, "order_items": i}
+    got = {r.order_day: (r.total_orders, r.revenue) for r in daily_sales(t, AS_OF).collect()}
+    assert got == {dt.date(2001, 7, 30): (1, Decimal("30.00")), dt.date(2001, 7, 31): (1, Decimal("7.00"))}
+    got = {r.order_day: (r.total_orders, r.revenue) for r in daily_sales(t, AS_OF, dedup=True).collect()}
+    assert got[dt.date(2001, 7, 30)] == (1, Decimal("10.00"))
