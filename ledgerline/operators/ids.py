@@ -8,6 +8,10 @@ Distributed numbering without a single-task window:
    (partition index in the upper bits, row position in the lower 33);
 3. per-partition row counts (one row per partition) give each partition's
    offset; that small table is broadcast back.
+The tagged rows are written once to the shared checkpoint folder before
+counting: range bounds come from sampling, and a second evaluation of an
+input whose row order is not fixed (a join output, a re-run after a lost
+executor) could otherwise cut partitions differently from the counts.
 Gaps never occur; ids are start, start+1, ... in the stated order.
 """
 
@@ -17,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 _LOW33 = (1 << 33) - 1
 
 
@@ -37,9 +43,9 @@ def assign_ids(df: DataFrame, order_cols, id_col: str = "id", start=1,
     ties = [F.col(f.name) for f in df.schema.fields if f.name not in named and _sortable(f.dataType)]
     order = keys + ties
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
+    tagged = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                         .withColumn("_mid", F.monotonically_increasing_id()), "ids")
+    tagged = (tagged.withColumn("_pid", F.shiftright(F.col("_mid"), 33))
               .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW33))))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(
