@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (add_months_sticky, as_timestamp, day_start, lit_ts, month_index,
                          month_label_from_index, oracle_concat, order_desc)
+from ..session import materialize
 from ..sources.fixtures import AS_OF
 
 DEC = "decimal(38,2)"
@@ -206,8 +207,6 @@ def _q1_day_weights(t, lo, dedup: bool):
         item_w = items.join(prod_w, "product_id").groupBy("order_id").agg(F.sum("_w").alias("_iw"))
         ow = (o.join(item_w, "order_id").join(tx_n, "order_id", "left")
               .withColumn("_rows", (F.col("_iw") * F.coalesce(F.col("_nt"), F.lit(1))).cast("bigint")))
-    # one row per (customer, day): shared by the customer totals and the rank groups,
-    # so its shuffle is planned once and reused
     return ow.groupBy("customer_id", "order_date").agg(
         F.sum("_rows").alias("_g"), F.sum(F.col("total_amount") * F.col("_rows")).alias("_v"))
 
@@ -218,37 +217,38 @@ def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
     windows (joined-row count, lifetime value, rank by order date), sorted by
     customer, newest order, largest line; the first ``limit`` rows.
 
-    Plan (no full-join window, no single hot partition):
+    Plan (no window over the full join, no hot partition, no unbounded sort):
     1. per-order join multiplicities from pre-aggregated counts, summed per
-       (customer, day);
-    2. per-customer row count and value (map-side combined), restricted to
-       existing customers;
-    3. the first customers by id whose rows reach ``limit`` (a bounded top-k);
-    4. the (customer, day) rows of those customers -> rank and running
-       position; keep the days that start before ``limit``;
-    5. expand just those days to detail rows (broadcast of <= limit keys)
-       and take the final ordered top-k, which runs per partition first.
+       (customer, order timestamp) for existing customers, written once to
+       the shared checkpoint folder (both branches below read it);
+    2. every such group holds >= 1 output row, so only the first ``limit``
+       groups in (customer asc, date desc) order can appear: a distributed
+       top-k picks them, and the running positions (global and per customer,
+       which give the rank) are windows over at most ``limit`` rows;
+    3. lifetime totals only for the customers that survive (a broadcast of at
+       most ``limit`` keys against the written aggregate);
+    4. expand just the surviving groups to detail rows and take the final
+       ordered top-k, which runs per partition first.
     """
     lo = add_months_sticky(as_of, -months)
-    cd = _q1_day_weights(t, lo, dedup)
-
-    per_cust = (cd.groupBy("customer_id").agg(
-        F.sum("_g").alias("customer_total_orders"),
-        F.sum("_v").cast(DEC).alias("customer_lifetime_value"))
-        .join(t["customers"].select("customer_id"), "customer_id", "left_semi"))
-    # each customer with rows contributes >= 1 row: the first `limit` ids suffice
-    first = per_cust.orderBy("customer_id").limit(limit)
-    w_all = Window.orderBy("customer_id").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = (first.withColumn("_cbefore", F.coalesce(F.sum("customer_total_orders").over(w_all), F.lit(0)))
-              .where(F.col("_cbefore") < limit))
+    cd = materialize(_q1_day_weights(t, lo, dedup).join(t["customers"].select("customer_id"), "customer_id",
+                                                         "left_semi"), "q1-day-weights")
 
+    first = cd.orderBy(F.col("customer_id").asc(), F.col("order_date").desc()).limit(limit)
+    w_all = (Window.orderBy(F.col("customer_id").asc(), F.col("order_date").desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
     w_c = (Window.partitionBy("customer_id").orderBy(F.col("order_date").desc())
            .rowsBetween(Window.unboundedPreceding, -1))
-    groups = (cd.join(F.broadcast(chosen), "customer_id")
-              .withColumn("_before", F.coalesce(F.sum("_g").over(w_c), F.lit(0)))
-              .where(F.col("_cbefore") + F.col("_before") < limit)
-              .select("customer_id", "order_date", "customer_total_orders", "customer_lifetime_value",
-                      (F.col("_before") + 1).cast("bigint").alias("customer_order_rank")))
+    first = (first.withColumn("_gbefore", F.coalesce(F.sum("_g").over(w_all), F.lit(0)))
+             .withColumn("_before", F.coalesce(F.sum("_g").over(w_c), F.lit(0)))
+             .where(F.col("_gbefore") < limit))
+    keep = F.broadcast(first.select("customer_id").distinct())  # at most `limit` keys
+    totals = cd.join(keep, "customer_id").groupBy("customer_id").agg(
+        F.sum("_g").alias("customer_total_orders"),
+        F.sum("_v").cast(DEC).alias("customer_lifetime_value"))
+    groups = first.join(totals, "customer_id").select(
+        "customer_id", "order_date", "customer_total_orders", "customer_lifetime_value",
+        (F.col("_before") + 1).cast("bigint").alias("customer_order_rank"))
 
     o = _orders_since(t, lo).select("order_id", "customer_id", "order_date", F.col("status").alias("order_status"),
                            F.col("total_amount").alias("order_total"), "payment_method")
