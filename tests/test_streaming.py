@@ -73,3 +73,13 @@ def test_t3_reservation_stream_equals_batch_fold(spark, tables):
         if r.inventory_id in got:
             assert got[r.inventory_id] == r.quantity_available
     assert dec.count() == req.join(inv, "product_id").count()
+
+
+def test_t1_replayed_batch_is_idempotent(spark, tables):
+    from ledgerline.streaming import write_partials
+    root = tempfile.mkdtemp(prefix="ll-t1r-")
+    o = tables["orders"]
+    write_partials(o, 0, root)
+    once = sorted(tuple(r) for r in read_sales_summary(spark, root).collect())
+    write_partials(o, 0, root)   # the same batch again, as after a failure before the commit
+    assert sorted(tuple(r) for r in read_sales_summary(spark, root).collect()) == once
