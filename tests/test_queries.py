@@ -45,7 +45,7 @@ def test_q1_with_a_hot_customer(spark):
 
     from ledgerline.plans.analytics import customer_order_detail, customer_order_detail_bruteforce
     from ledgerline.sources import load_tables
-    t = dict(load_tables(spark, SF_SMALL).items()) if False else load_tables(spark, SF_SMALL)
+    t = load_tables(spark, SF_SMALL)
     o = t["orders"]
     hot = o.withColumn("customer_id", F.when(F.col("order_id") % 3 == 0, F.lit(1)).otherwise(F.col("customer_id")))
     t2 = {k: t[k] for k in ["customers", "order_items", "products", "inventory", "transactions"]}
