@@ -31,3 +31,23 @@ def test_reset_and_replace(spark):
     cust = read_table(spark, f"{root}/customers", "customers")
     replace_table(cust.limit(3), f"{root}/customers")   # replaced while the old version was readable
     assert read_table(spark, f"{root}/customers", "customers").count() == 3
+
+
+def test_clustered_layout_gives_disjoint_file_ranges(spark, tables):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from ledgerline.sources.layout import CLUSTERING, write_clustered
+    root = tempfile.mkdtemp(prefix="ledgerline-layout-")
+    o = tables["orders"]
+    write_clustered(o, f"{root}/orders", CLUSTERING["orders"], num_files=4)
+    back = spark.read.parquet(f"{root}/orders")
+    assert back.count() == o.count()
+    ranges = []
+    for f in sorted(glob.glob(f"{root}/orders/*.parquet")):
+        col = pq.read_table(f, columns=["order_date"]).column(0)
+        if len(col):
+            ranges.append((min(col).as_py(), max(col).as_py()))
+    ranges.sort()
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))  # files do not overlap in time

@@ -83,3 +83,21 @@ def test_t1_replayed_batch_is_idempotent(spark, tables):
     once = sorted(tuple(r) for r in read_sales_summary(spark, root).collect())
     write_partials(o, 0, root)   # the same batch again, as after a failure before the commit
     assert sorted(tuple(r) for r in read_sales_summary(spark, root).collect()) == once
+
+
+def test_t2_dedup_append_mode_drops_replayed_orders(spark, tables):
+    root = tempfile.mkdtemp(prefix="ll-t2d-")
+    o = tables["orders"].select("order_id", "customer_id", "order_date", "status", "total_amount", "payment_method")
+    o.coalesce(1).write.parquet(f"{root}/in/a")
+    o.coalesce(1).write.parquet(f"{root}/in/b")          # every order delivered twice
+    stream = read_order_stream(spark, f"{root}/in/*", max_files=1)
+    q = (daily_totals_stream(stream, dedup=True).writeStream.outputMode("append").format("memory")
+         .queryName("ll_t2d").option("checkpointLocation", f"{root}/ckpt").start())
+    q.processAllAvailable()
+    q.stop()
+    got = {r.order_day: (r.total_orders, r.revenue) for r in spark.table("ll_t2d").collect()}
+    exp = {r.d: (r.n, r.r) for r in o.groupBy(F.to_date("order_date").alias("d")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("total_amount").cast("decimal(38,2)").alias("r")).collect()}
+    assert got, "append mode emitted no closed day"
+    for day, v in got.items():          # each emitted (closed) day counts every order once
+        assert v == exp[day], day
