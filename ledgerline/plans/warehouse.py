@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions import as_timestamp, day_start, lit_date, lit_ts
 from ..operators.upsert import upsert
 from ..schema import SCHEMAS
-from ..session import materialize
 from ..sources.fixtures import AS_OF
 
 # Statuses counted by the rollup; spend cut-offs of the value segment.
@@ -66,8 +65,8 @@ def merge_sales_summary_twice(t, as_of=AS_OF, days: int = 7, earlier_days: int =
     spark = t["orders"].sparkSession
     first = merge_sales_summary(t, empty_table(spark, "sales_summary"),
                                 as_timestamp(as_of) - _dt.timedelta(days=earlier_days), days)
-    # the stored table the second run merges into (written once, lineage cut)
-    return merge_sales_summary(t, materialize(first, "target"), as_of, days)
+    # the first run's new rows (with their ids) are already written by assign_ids
+    return merge_sales_summary(t, first, as_of, days)
 
 
 # ----------------------------------------------------------- aggregate-customers
@@ -100,7 +99,7 @@ def aggregate_customers_twice(t, as_of=AS_OF, earlier_days: int = 30) -> DataFra
     spark = t["orders"].sparkSession
     first = aggregate_customers(t, empty_table(spark, "customer_analytics"),
                                 as_timestamp(as_of) - _dt.timedelta(days=earlier_days))
-    return aggregate_customers(t, materialize(first, "target"), as_of)
+    return aggregate_customers(t, first, as_of)
 
 
 # ------------------------------------------------------------ aggregate-products
@@ -138,4 +137,4 @@ def aggregate_products_twice(t, as_of=AS_OF, days: int = 90, stale_days: int = 3
     spark = t["orders"].sparkSession
     stale = day_start(as_of) - _dt.timedelta(days=stale_days)
     first = aggregate_products(t, empty_table(spark, "product_performance"), as_of, days, data_until=stale)
-    return aggregate_products(t, materialize(first, "target"), as_of, days)
+    return aggregate_products(t, first, as_of, days)

@@ -217,3 +217,11 @@ def test_daily_sales_drops_orders_without_items_and_counts_fan_out(spark):
     assert got == {dt.date(2001, 7, 30): (1, Decimal("30.00")), dt.date(2001, 7, 31): (1, Decimal("7.00"))}
     got = {r.order_day: (r.total_orders, r.revenue) for r in daily_sales(t, AS_OF, dedup=True).collect()}
     assert got[dt.date(2001, 7, 30)] == (1, Decimal("10.00"))
+
+
+def test_assign_ids_small_and_distributed_paths_agree(spark):
+    df = spark.range(0, 3000).select((F.col("id") % 37).alias("k"), (F.col("id") * 13 % 101).alias("v"))
+    small = sorted((r.k, r.v, r.id) for r in assign_ids(df, ["k"], id_col="id", start=10).collect())
+    dist = sorted((r.k, r.v, r.id) for r in assign_ids(df, ["k"], id_col="id", start=10, num_partitions=5).collect())
+    assert small == dist
+    assert [r[2] for r in sorted(small, key=lambda x: x[2])] == list(range(10, 3010))
