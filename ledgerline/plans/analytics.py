@@ -183,32 +183,28 @@ Q1_COLUMNS = [
 ]
 
 
-def _q1_day_weights(t, lo, dedup: bool):
-    """Rows and value of the 6-way join per (customer, order day), without building the join.
+def _q1_order_weights(t, o: DataFrame, dedup: bool) -> DataFrame:
+    """Rows of the 6-way join per order of ``o``, without building the join.
 
     rows(order) = sum over its items with a known product of
-    max(1, #inventory rows of the product), times max(1, #transactions);
-    value(order) = total_amount * rows(order).  One per-product table carries
-    both the product-exists test and the warehouse multiplicity, so items
-    take a single join before collapsing to one row per order.
+    max(1, #inventory rows of the product), times max(1, #transactions).
+    One per-product table carries both the product-exists test and the
+    warehouse multiplicity, so items take a single join before collapsing to
+    one row per order.  Only items of the orders in ``o`` take part.
     """
-    o = _orders_since(t, lo, "order_id", "customer_id", "order_date", "total_amount")
-    items = t["order_items"].select("order_id", "product_id")
+    items = t["order_items"].select("order_id", "product_id").join(o.select("order_id"), "order_id", "left_semi")
     prods = t["products"].select("product_id")
     if dedup:
-        item_w = items.join(prods, "product_id", "left_semi").select("order_id").distinct() \
-            .withColumn("_iw", F.lit(1).cast("bigint"))
-        ow = o.join(item_w, "order_id").withColumn("_rows", F.col("_iw"))
-    else:
-        inv_n = t["inventory"].groupBy("product_id").agg(F.count(F.lit(1)).alias("_ni"))
-        prod_w = prods.join(inv_n, "product_id", "left").select(
-            "product_id", F.coalesce(F.col("_ni"), F.lit(1)).alias("_w"))
-        tx_n = t["transactions"].groupBy("order_id").agg(F.count(F.lit(1)).alias("_nt"))
-        item_w = items.join(prod_w, "product_id").groupBy("order_id").agg(F.sum("_w").alias("_iw"))
-        ow = (o.join(item_w, "order_id").join(tx_n, "order_id", "left")
-              .withColumn("_rows", (F.col("_iw") * F.coalesce(F.col("_nt"), F.lit(1))).cast("bigint")))
-    return ow.groupBy("customer_id", "order_date").agg(
-        F.sum("_rows").alias("_g"), F.sum(F.col("total_amount") * F.col("_rows")).alias("_v"))
+        has_item = items.join(prods, "product_id", "left_semi").select("order_id").distinct()
+        return o.join(has_item, "order_id").withColumn("_rows", F.lit(1).cast("bigint"))
+    inv_n = t["inventory"].groupBy("product_id").agg(F.count(F.lit(1)).alias("_ni"))
+    prod_w = prods.join(inv_n, "product_id", "left").select(
+        "product_id", F.coalesce(F.col("_ni"), F.lit(1)).alias("_w"))
+    tx_n = (t["transactions"].select("order_id").join(o.select("order_id"), "order_id", "left_semi")
+            .groupBy("order_id").agg(F.count(F.lit(1)).alias("_nt")))
+    item_w = items.join(prod_w, "product_id").groupBy("order_id").agg(F.sum("_w").alias("_iw"))
+    return (o.join(item_w, "order_id").join(tx_n, "order_id", "left")
+            .withColumn("_rows", (F.col("_iw") * F.coalesce(F.col("_nt"), F.lit(1))).cast("bigint")))
 
 
 def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
@@ -217,23 +213,47 @@ def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
     windows (joined-row count, lifetime value, rank by order date), sorted by
     customer, newest order, largest line; the first ``limit`` rows.
 
-    Plan (no window over the full join, no hot partition, no unbounded sort):
-    1. per-order join multiplicities from pre-aggregated counts, summed per
-       (customer, order timestamp) for existing customers, written once to
-       the shared checkpoint folder (both branches below read it);
-    2. every such group holds >= 1 output row, so only the first ``limit``
-       groups in (customer asc, date desc) order can appear: a distributed
-       top-k picks them, and the running positions (global and per customer,
-       which give the rank) are windows over at most ``limit`` rows;
-    3. lifetime totals only for the customers that survive (a broadcast of at
-       most ``limit`` keys against the written aggregate);
-    4. expand just the surviving groups to detail rows and take the final
-       ordered top-k, which runs per partition first.
+    Plan (touches only the customers that can appear; no window over the
+    full join, no hot partition, no unbounded sort):
+    1. candidate (customer, order time) groups from ``orders`` alone: a
+       distributed top-k in output order.  Their customers form a prefix of
+       all customers by id;
+    2. join multiplicities (items x warehouses x payments) for every order
+       of those customers only, summed per group and written once to the
+       shared checkpoint folder; items are filtered by these orders, never
+       aggregated in full;
+    3. exactness check: if those customers' rows reach ``limit`` (or the
+       candidates cover every customer), every group that can appear is
+       among them; otherwise the candidate count grows and step 2 repeats;
+    4. the first ``limit`` groups (each holds >= 1 row) by a top-k, running
+       positions and ranks as windows over at most ``limit`` rows, lifetime
+       totals for the surviving customers, then their detail rows and the
+       final ordered top-k.
     """
     lo = add_months_sticky(as_of, -months)
-    cd = materialize(_q1_day_weights(t, lo, dedup).join(t["customers"].select("customer_id"), "customer_id",
-                                                         "left_semi"), "q1-day-weights")
-
+    o = (_orders_since(t, lo, "order_id", "customer_id", "order_date", "total_amount")
+         .join(t["customers"].select("customer_id"), "customer_id", "left_semi"))
+    g0 = o.groupBy("customer_id", "order_date").agg(F.count(F.lit(1)).alias("_no"))
+    k = max(limit, 1)
+    while True:
+        cand = g0.orderBy(F.col("customer_id").asc(), F.col("order_date").desc()).limit(k)
+        last = cand.agg(F.max("customer_id").alias("m"), F.count(F.lit(1)).alias("n")).first()
+        if last["n"] == 0:
+            cd = None
+            break
+        # every customer up to the last candidate's id: a prefix, selected by a pushed range
+        ow = _q1_order_weights(t, o.where(F.col("customer_id") <= F.lit(last["m"])), dedup)
+        cd = materialize(ow.groupBy("customer_id", "order_date").agg(
+            F.sum("_rows").alias("_g"), F.sum(F.col("total_amount") * F.col("_rows")).alias("_v")),
+            "q1-day-weights")
+        rows = cd.agg(F.sum("_g")).first()[0] or 0
+        if rows >= limit or last["n"] < k:
+            break
+        k *= 4
+
+    if cd is None:  # no order in the window
+        cd = o.select("customer_id", "order_date", F.lit(0).cast("bigint").alias("_g"),
+                      F.col("total_amount").alias("_v")).limit(0)
     first = cd.orderBy(F.col("customer_id").asc(), F.col("order_date").desc()).limit(limit)
     w_all = (Window.orderBy(F.col("customer_id").asc(), F.col("order_date").desc())
              .rowsBetween(Window.unboundedPreceding, -1))
@@ -254,15 +274,19 @@ def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
                            F.col("total_amount").alias("order_total"), "payment_method")
     c = t["customers"].select("customer_id", oracle_concat("first_name", F.lit(" "), "last_name")
                               .alias("customer_name"), "email", "customer_type", "loyalty_points")
-    i = t["order_items"].select("order_id", "product_id", "quantity", "unit_price", "subtotal")
+    sel = o.join(F.broadcast(groups), ["customer_id", "order_date"])
+    sel_ids = sel.select("order_id")
+    # semi joins on the raw key first: the filter lands below the items/payments
+    # projections, so only the selected orders' lines are priced and joined
+    i = (t["order_items"].join(sel_ids, "order_id", "left_semi")
+         .select("order_id", "product_id", "quantity", "unit_price", "subtotal"))
     p = t["products"].select("product_id", "product_name", F.col("category").alias("product_category"))
     inv = t["inventory"].select("product_id", "inventory_id",
                                 F.col("quantity_available").alias("inventory_available"))
-    tx = t["transactions"].select("order_id", "transaction_id", F.col("status").alias("transaction_status"),
-                                  "payment_gateway")
+    tx = (t["transactions"].join(sel_ids, "order_id", "left_semi")
+          .select("order_id", "transaction_id", F.col("status").alias("transaction_status"), "payment_gateway"))
 
-    detail = (o.join(F.broadcast(groups), ["customer_id", "order_date"])
-              .join(c, "customer_id").join(i, "order_id").join(p, "product_id")
+    detail = (sel.join(c, "customer_id").join(i, "order_id").join(p, "product_id")
               .join(inv, "product_id", "left").join(tx, "order_id", "left"))
 
     recent, moderate = add_months_sticky(as_of, -1), add_months_sticky(as_of, -6)
