@@ -11,6 +11,8 @@ table default (or NULL).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +25,9 @@ class MergeError(ValueError):
 
 
 def check_unique_keys(source: DataFrame, keys: list[str]) -> None:
-    dup = (source.where(F.greatest(*[F.col(k).isNotNull() for k in keys]) if len(keys) > 1
-                        else F.col(keys[0]).isNotNull())
-           .groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect())
+    """Raise when two source rows share a merge key (keys with a NULL part never match)."""
+    nonnull = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    dup = source.where(nonnull).groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect()
     if dup:
         raise MergeError(f"source has more than one row for merge key {dict(dup[0].asDict())}")
 

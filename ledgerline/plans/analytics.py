@@ -144,21 +144,27 @@ def customer_activity(t, as_of=AS_OF, days: int = 90, limit: int | None = 100) -
     """Orders and items per customer with an order in the last ``days`` days.
 
     The reference LEFT JOINs are inner for customers/orders (WHERE on the
-    order date).  Items are summed per order on the join's order_id
-    partitioning, then per customer; names are joined last.  The reference
-    takes 100 arbitrary rows; we take the first ``limit`` customer ids.
+    order date), and items only add counts, so which customers appear is
+    decided by orders and customers alone: the first ``limit`` customer ids
+    come from a distributed top-k over distinct ids (the reference takes 100
+    arbitrary rows; we take the first ids).  Only those customers' orders
+    meet the items (a semi join pushed below the items projection); items are
+    summed per order, then per customer.
     """
     lo = as_timestamp(as_of) - _dt.timedelta(days=days)
-    o = _orders_since(t, lo, "order_id", "customer_id")
-    per_order = (o.join(t["order_items"].select("order_id", "quantity"), "order_id", "left")
+    c = t["customers"].select("customer_id", oracle_concat("first_name", F.lit(" "), "last_name")
+                              .alias("customer_name"))
+    o = _orders_since(t, lo, "order_id", "customer_id").join(c.select("customer_id"), "customer_id", "left_semi")
+    if limit is not None:
+        first = o.select("customer_id").distinct().orderBy("customer_id").limit(limit)
+        o = o.join(F.broadcast(first), "customer_id")  # at most `limit` keys
+    items = t["order_items"].join(o.select("order_id"), "order_id", "left_semi").select("order_id", "quantity")
+    per_order = (o.join(items, "order_id", "left")
                  .groupBy("customer_id", "order_id").agg(F.sum("quantity").alias("_q")))
     per_cust = per_order.groupBy("customer_id").agg(F.count(F.lit(1)).alias("order_count"),
                                                     F.sum("_q").cast("bigint").alias("total_items"))
-    c = t["customers"].select("customer_id", oracle_concat("first_name", F.lit(" "), "last_name")
-                              .alias("customer_name"))
-    out = per_cust.join(c, "customer_id").select("customer_id", "customer_name", "order_count", "total_items")
-    out = out.orderBy("customer_id")
-    return out.limit(limit) if limit is not None else out
+    return (per_cust.join(c, "customer_id").select("customer_id", "customer_name", "order_count", "total_items")
+            .orderBy("customer_id"))
 
 
 # --------------------------------------------------------------------------- Q9

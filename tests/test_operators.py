@@ -225,3 +225,11 @@ def test_assign_ids_small_and_distributed_paths_agree(spark):
     dist = sorted((r.k, r.v, r.id) for r in assign_ids(df, ["k"], id_col="id", start=10, num_partitions=5).collect())
     assert small == dist
     assert [r[2] for r in sorted(small, key=lambda x: x[2])] == list(range(10, 3010))
+
+
+def test_merge_duplicates_with_null_key_part_are_allowed(spark):
+    from ledgerline.operators.upsert import check_unique_keys
+    src = spark.createDataFrame([(1, None, 5), (1, None, 6), (2, 3, 7)], "a bigint, b bigint, v bigint")
+    check_unique_keys(src, ["a", "b"])     # (1, NULL) can never match: no error
+    with pytest.raises(MergeError):
+        check_unique_keys(src.unionByName(src.where("a = 2")), ["a", "b"])
