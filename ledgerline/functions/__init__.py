@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "as_timestamp", "add_months_sticky", "add_months_col", "day_start", "lit_ts", "lit_date",
-    "oracle_concat", "month_index", "month_label_from_index", "order_desc", "order_asc",
+    "concat_null_as_empty", "month_index", "month_label_from_index", "order_desc", "order_asc",
     "hash_choice", "hash_int_between",
 ]
 
@@ -74,7 +74,7 @@ def lit_date(d) -> Column:
     return F.lit(as_timestamp(d).date().isoformat()).cast("date")
 
 
-def oracle_concat(*cols) -> Column:
+def concat_null_as_empty(*cols) -> Column:
     """String concatenation where NULL acts as the empty string."""
     return F.concat_ws("", *[F.col(c) if isinstance(c, str) else c for c in cols])
 

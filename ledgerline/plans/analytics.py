@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import (add_months_sticky, as_timestamp, day_start, lit_ts, month_index,
-                         month_label_from_index, oracle_concat, order_desc)
+                         month_label_from_index, concat_null_as_empty, order_desc)
 from ..session import materialize
 from ..sources.fixtures import AS_OF
 
@@ -152,7 +152,7 @@ def customer_activity(t, as_of=AS_OF, days: int = 90, limit: int | None = 100) -
     summed per order, then per customer.
     """
     lo = as_timestamp(as_of) - _dt.timedelta(days=days)
-    c = t["customers"].select("customer_id", oracle_concat("first_name", F.lit(" "), "last_name")
+    c = t["customers"].select("customer_id", concat_null_as_empty("first_name", F.lit(" "), "last_name")
                               .alias("customer_name"))
     o = _orders_since(t, lo, "order_id", "customer_id").join(c.select("customer_id"), "customer_id", "left_semi")
     if limit is not None:
@@ -278,7 +278,7 @@ def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
 
     o = _orders_since(t, lo).select("order_id", "customer_id", "order_date", F.col("status").alias("order_status"),
                            F.col("total_amount").alias("order_total"), "payment_method")
-    c = t["customers"].select("customer_id", oracle_concat("first_name", F.lit(" "), "last_name")
+    c = t["customers"].select("customer_id", concat_null_as_empty("first_name", F.lit(" "), "last_name")
                               .alias("customer_name"), "email", "customer_type", "loyalty_points")
     sel = o.join(F.broadcast(groups), ["customer_id", "order_date"])
     sel_ids = sel.select("order_id")
@@ -325,7 +325,7 @@ def customer_order_detail_bruteforce(t, as_of=AS_OF, months: int = 24, limit: in
     w = Window.partitionBy("customer_id")
     recent, moderate = add_months_sticky(as_of, -1), add_months_sticky(as_of, -6)
     j = j.select(
-        "*", oracle_concat("first_name", F.lit(" "), "last_name").alias("customer_name"),
+        "*", concat_null_as_empty("first_name", F.lit(" "), "last_name").alias("customer_name"),
         F.count(F.lit(1)).over(w).alias("customer_total_orders"),
         F.sum("total_amount").over(w).cast(DEC).alias("customer_lifetime_value"),
         F.rank().over(w.orderBy(order_desc("order_date"))).cast("bigint").alias("customer_order_rank"),

@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ledgerline.functions import (add_months_col, add_months_sticky, month_index, month_label_from_index,
-                                  oracle_concat, order_desc)
+                                  concat_null_as_empty, order_desc)
 
 
 def test_add_months_sticky_rules():
@@ -25,7 +25,7 @@ def test_add_months_col_matches_python(spark):
 
 def test_concat_null_is_empty(spark):
     df = spark.createDataFrame([(None, "X"), ("A", None)], "a string, b string")
-    assert [r[0] for r in df.select(oracle_concat("a", F.lit(" "), "b")).collect()] == [" X", "A "]
+    assert [r[0] for r in df.select(concat_null_as_empty("a", F.lit(" "), "b")).collect()] == [" X", "A "]
 
 
 def test_desc_nulls_first(spark):
