@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_timestamp, hash_choice, hash_int_between, lit_ts
-from .defaults import apply_defaults
+from .defaults import apply_defaults, default_value
 from .ids import assign_ids, next_id
 from .reserve import reserve_inventory
 
@@ -234,9 +234,10 @@ def place_orders(t: dict, order_requests: DataFrame, line_requests: DataFrame, a
     pay = done.select("order_id", F.col("total_amount").alias("amount"),
                       F.lit(PLACE_ORDER_GATEWAY).alias("payment_gateway"))
     new_tx = record_transactions(pay, next_id(txns, "transaction_id"), as_of)
-    order_cols = orders.columns
-    new_order_rows = done.select(*[F.col(c) if c in done.columns else F.lit(None) for c in order_cols])
-    new_order_rows = new_order_rows.select(*[F.col(c).cast(orders.schema[c].dataType) for c in order_cols])
+    # the new rows in the target's layout; columns the pipeline does not set take the DDL default
+    new_order_rows = done.select(*[
+        (F.col(f.name) if f.name in done.columns else default_value("orders", f.name, as_of))
+        .cast(f.dataType).alias(f.name) for f in orders.schema.fields])
     return {
         "orders": orders.unionByName(new_order_rows),
         "order_items": items.unionByName(new_items.drop("line_no"), allowMissingColumns=True),

@@ -57,6 +57,16 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[table]).parquet(path)
 
 
+# DDL table name -> key of the table dict the plans take
+PLAN_KEYS = {"customers": "customers", "products": "products", "inventory": "inventory", "orders": "orders",
+             "order_items": "order_items", "transactions": "transactions", "sessions": "sessions"}
+
+
+def load_shop_tables(spark: SparkSession, root: str) -> dict:
+    """R1 for stored tables: ``<root>/<table>`` parquet folders read with the DDL schemas."""
+    return {key: read_table(spark, f"{root.rstrip('/')}/{name}", name) for name, key in PLAN_KEYS.items()}
+
+
 # The tables the reset job empties, in its order.
 RESET_TRUNCATE = ["order_items", "transactions", "orders", "sessions", "audit_log", "inventory",
                   "customers", "products"]
