@@ -59,7 +59,9 @@ def reserve_inventory(inventory: DataFrame, requests: DataFrame, max_rounds: int
     pend = (requests.select("seq", "product_id", "quantity")
             .join(inv_keys.select("inventory_id", "product_id"), "product_id")
             .select("inventory_id", "seq", "quantity"))
-    state = inv_keys.select("inventory_id", "_avail", F.lit(0).cast("bigint").alias("_taken"))
+    # state only for inventory rows that receive requests; the rest never change
+    state = (inv_keys.join(pend.select("inventory_id").distinct(), "inventory_id", "left_semi")
+             .select("inventory_id", "_avail", F.lit(0).cast("bigint").alias("_taken")))
     accepted_parts = []
     for _ in range(max_rounds):
         cand = (pend.join(state.select("inventory_id", "_avail"), "inventory_id")
