@@ -243,23 +243,17 @@ def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
     k = max(limit, 1)
     while True:
         cand = g0.orderBy(F.col("customer_id").asc(), F.col("order_date").desc()).limit(k)
-        last = cand.agg(F.max("customer_id").alias("m"), F.count(F.lit(1)).alias("n")).first()
-        if last["n"] == 0:
-            cd = None
-            break
-        # every customer up to the last candidate's id: a prefix, selected by a pushed range
-        ow = _q1_order_weights(t, o.where(F.col("customer_id") <= F.lit(last["m"])), dedup)
+        # every customer up to the last candidate's id (a prefix): the bound is a
+        # scalar subquery, evaluated inside the weights job
+        last_id = cand.agg(F.max("customer_id")).scalar()
+        ow = _q1_order_weights(t, o.where(F.col("customer_id") <= last_id), dedup)
         cd = materialize(ow.groupBy("customer_id", "order_date").agg(
             F.sum("_rows").alias("_g"), F.sum(F.col("total_amount") * F.col("_rows")).alias("_v")),
             "q1-day-weights")
-        rows = cd.agg(F.sum("_g")).first()[0] or 0
-        if rows >= limit or last["n"] < k:
+        if (cd.agg(F.sum("_g")).first()[0] or 0) >= limit or cand.count() < k:
             break
         k *= 4
 
-    if cd is None:  # no order in the window
-        cd = o.select("customer_id", "order_date", F.lit(0).cast("bigint").alias("_g"),
-                      F.col("total_amount").alias("_v")).limit(0)
     first = cd.orderBy(F.col("customer_id").asc(), F.col("order_date").desc()).limit(limit)
     w_all = (Window.orderBy(F.col("customer_id").asc(), F.col("order_date").desc())
              .rowsBetween(Window.unboundedPreceding, -1))

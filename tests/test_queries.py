@@ -82,3 +82,10 @@ def test_q1_candidate_prefix_grows_when_orders_lack_items(spark):
         a = [tuple(r) for r in customer_order_detail(t2, limit=limit).collect()]
         b = [tuple(r) for r in customer_order_detail_bruteforce(t2, limit=limit).collect()]
         assert a == b and len(a) > 0, limit
+
+
+def test_q1_empty_window(spark):
+    from ledgerline.plans.analytics import customer_order_detail
+    from ledgerline.sources import load_tables
+    df = customer_order_detail(load_tables(spark, SF_SMALL), as_of="2100-01-01 00:00:00", months=1)
+    assert df.count() == 0 and len(df.columns) == 25
