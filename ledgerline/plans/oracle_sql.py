@@ -531,3 +531,36 @@ def _constraint_sql() -> str:
 
 
 ORACLE["constraint_report"] = _constraint_sql()
+
+
+ORACLE["customer_order_detail_per_order"] = _q(
+    ["customers", "shop_orders", "order_items", "products", "inventory", "transactions"], f""",
+j AS (
+  SELECT c.customer_id, concat(c.first_name, ' ', c.last_name) AS customer_name, c.email, c.customer_type,
+    c.loyalty_points, o.order_id, o.order_date, o.status AS order_status, o.total_amount AS order_total,
+    o.payment_method, oi.product_id, p.product_name, p.category AS product_category, oi.quantity, oi.unit_price,
+    oi.subtotal, inv.quantity_available AS inventory_available, inv.inventory_id, t.transaction_id,
+    t.status AS transaction_status, t.payment_gateway
+  FROM customers c
+  JOIN shop_orders o ON c.customer_id = o.customer_id
+  JOIN order_items oi ON o.order_id = oi.order_id
+  JOIN products p ON oi.product_id = p.product_id
+  LEFT JOIN inventory inv ON p.product_id = inv.product_id
+  LEFT JOIN transactions t ON o.order_id = t.order_id
+  WHERE o.order_date >= {TS} - INTERVAL 24 MONTH),
+ord AS (SELECT DISTINCT customer_id, order_id, order_date, order_total FROM j),
+cs AS (SELECT customer_id, COUNT(*) AS n, SUM(order_total) AS v FROM ord GROUP BY customer_id),
+rk AS (SELECT order_id, RANK() OVER (PARTITION BY customer_id ORDER BY order_date DESC NULLS FIRST) AS r FROM ord)
+SELECT j.customer_id, j.customer_name, j.email, j.customer_type, j.loyalty_points,
+  cs.n AS customer_total_orders, CAST(cs.v AS DECIMAL(38,2)) AS customer_lifetime_value,
+  CAST(rk.r AS BIGINT) AS customer_order_rank, j.order_id, j.order_date, j.order_status, j.order_total,
+  j.payment_method, j.product_id, j.product_name, j.product_category, j.quantity, j.unit_price, j.subtotal,
+  j.inventory_available, j.transaction_id, j.transaction_status, j.payment_gateway,
+  CASE WHEN j.order_date >= {TS} - INTERVAL 1 MONTH THEN 'RECENT'
+       WHEN j.order_date >= {TS} - INTERVAL 6 MONTH THEN 'MODERATE' ELSE 'OLD' END AS order_recency,
+  CASE WHEN cs.v >= 1000 THEN 'HIGH_VALUE' WHEN cs.v >= 500 THEN 'MEDIUM_VALUE' ELSE 'LOW_VALUE' END
+    AS customer_value_segment
+FROM j JOIN cs ON j.customer_id = cs.customer_id JOIN rk ON j.order_id = rk.order_id
+ORDER BY j.customer_id, j.order_date DESC NULLS FIRST, j.subtotal DESC NULLS FIRST, j.order_id, j.product_id,
+  j.quantity, j.unit_price, j.inventory_id NULLS LAST, j.transaction_id NULLS LAST
+LIMIT 500""")

@@ -28,6 +28,7 @@ def _on_tables(fn, **kw) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # analytical statements (Q1-Q9)
     "customer_order_detail": _on_tables(A.customer_order_detail),
+    "customer_order_detail_per_order": _on_tables(A.customer_order_detail, dedup=True),
     "daily_sales": _on_tables(A.daily_sales),
     "daily_sales_per_order": _on_tables(A.daily_sales, dedup=True),
     "monthly_sales": _on_tables(A.monthly_sales),
