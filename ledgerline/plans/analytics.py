@@ -189,6 +189,10 @@ Q1_COLUMNS = [
 ]
 
 
+# Largest candidate prefix taken by a top-k; beyond it Q1 weighs all customers.
+Q1_MAX_CANDIDATES = 1_000_000
+
+
 def _q1_order_weights(t, o: DataFrame, dedup: bool) -> DataFrame:
     """Rows of the 6-way join per order of ``o``, without building the join.
 
@@ -239,17 +243,25 @@ def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
     lo = add_months_sticky(as_of, -months)
     o = (_orders_since(t, lo, "order_id", "customer_id", "order_date", "total_amount")
          .join(t["customers"].select("customer_id"), "customer_id", "left_semi"))
-    g0 = o.groupBy("customer_id", "order_date").agg(F.count(F.lit(1)).alias("_no"))
+    g0 = o.select("customer_id", "order_date").distinct()
+    def day_weights(orders):
+        ow = _q1_order_weights(t, orders, dedup)
+        return materialize(ow.groupBy("customer_id", "order_date").agg(
+            F.sum("_rows").alias("_g"), F.sum(F.col("total_amount") * F.col("_rows")).alias("_v")),
+            "q1-day-weights")
+
     k = max(limit, 1)
     while True:
+        if k > Q1_MAX_CANDIDATES:
+            # a prefix this long is no cheaper than everything: one exact, fully
+            # distributed round over all customers instead of a huge top-k
+            cd = day_weights(o)
+            break
         cand = g0.orderBy(F.col("customer_id").asc(), F.col("order_date").desc()).limit(k)
         # every customer up to the last candidate's id (a prefix): the bound is a
         # scalar subquery, evaluated inside the weights job
         last_id = cand.agg(F.max("customer_id")).scalar()
-        ow = _q1_order_weights(t, o.where(F.col("customer_id") <= last_id), dedup)
-        cd = materialize(ow.groupBy("customer_id", "order_date").agg(
-            F.sum("_rows").alias("_g"), F.sum(F.col("total_amount") * F.col("_rows")).alias("_v")),
-            "q1-day-weights")
+        cd = day_weights(o.where(F.col("customer_id") <= last_id))
         if (cd.agg(F.sum("_g")).first()[0] or 0) >= limit or cand.count() < k:
             break
         k *= 4

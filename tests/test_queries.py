@@ -89,3 +89,18 @@ def test_q1_empty_window(spark):
     from ledgerline.sources import load_tables
     df = customer_order_detail(load_tables(spark, SF_SMALL), as_of="2100-01-01 00:00:00", months=1)
     assert df.count() == 0 and len(df.columns) == 25
+
+
+def test_q1_full_round_beyond_candidate_cap(spark, monkeypatch):
+    """With the candidate cap forced low, the exact all-customer round gives the same rows."""
+    from pyspark.sql import functions as F
+
+    from ledgerline.plans import analytics as A
+    from ledgerline.sources import load_tables
+    t = load_tables(spark, SF_SMALL)
+    t2 = {k: t[k] for k in ["customers", "orders", "products", "inventory", "transactions"]}
+    t2["order_items"] = t["order_items"].where(F.col("order_id") % 97 == 0)
+    monkeypatch.setattr(A, "Q1_MAX_CANDIDATES", 10)
+    a = [tuple(r) for r in A.customer_order_detail(t2, limit=40).collect()]
+    b = [tuple(r) for r in A.customer_order_detail_bruteforce(t2, limit=40).collect()]
+    assert a == b and len(a) > 0
