@@ -33,12 +33,13 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p, jvm
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write ``df`` as the new content of ``path`` (staged write, then swap)."""
-    spark = df.sparkSession
-    tag = uuid.uuid4().hex[:12]
+def _stage(df: DataFrame, path: str, tag: str) -> str:
     staging = f"{path.rstrip('/')}.__staging_{tag}"
     df.write.mode("errorifexists").parquet(staging)
+    return staging
+
+
+def _swap(spark: SparkSession, staging: str, path: str, tag: str) -> None:
     fs, target, jvm = _fs(spark, path)
     stage_p = jvm.org.apache.hadoop.fs.Path(staging)
     old_p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.__old_{tag}")
@@ -53,6 +54,25 @@ def replace_table(df: DataFrame, path: str) -> None:
         fs.delete(old_p, True)
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write ``df`` as the new content of ``path`` (staged write, then swap)."""
+    tag = uuid.uuid4().hex[:12]
+    _swap(df.sparkSession, _stage(df, path, tag), path, tag)
+
+
+def replace_tables(tables: dict[str, DataFrame], root: str) -> None:
+    """Replace several tables together (e.g. a purge of orders, items, payments):
+    every new version is written before any folder is swapped, so a failed
+    job leaves all tables as they were; only the renames remain to be done."""
+    if not tables:
+        return
+    tag = uuid.uuid4().hex[:12]
+    staged = {name: _stage(df, f"{root}/{name}", tag) for name, df in tables.items()}
+    spark = next(iter(tables.values())).sparkSession
+    for name, staging in staged.items():
+        _swap(spark, staging, f"{root}/{name}", tag)
+
+
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[table]).parquet(path)
 

@@ -75,3 +75,23 @@ def test_stored_tables_end_to_end(spark):
     assert spark.read.parquet(f"{root}/orders_new").count() == 1
     inv = {r.inventory_id: (r.quantity_available, r.quantity_reserved) for r in out["inventory"].collect()}
     assert inv[2] == (1000 + (2 * 137) % 5000 - 3, 3)
+
+
+def test_purge_persisted_together(spark, tables):
+    from pyspark.sql import functions as F
+
+    from ledgerline.operators.oltp import purge_old_orders
+    from ledgerline.sources.sinks import replace_tables
+    root = tempfile.mkdtemp(prefix="ledgerline-purge-")
+    names = ["orders", "order_items", "transactions"]
+    for n in names:
+        tables[n].write.parquet(f"{root}/{n}")
+    cur = {n: spark.read.parquet(f"{root}/{n}") for n in names}
+    before = {n: cur[n].count() for n in names}
+    out = purge_old_orders(cur["orders"], cur["order_items"], cur["transactions"], "2001-08-01 12:00:00")
+    expect = {n: out[n].count() for n in names}
+    replace_tables({n: out[n] for n in names}, root)     # reads and replaces the same folders
+    after = {n: spark.read.parquet(f"{root}/{n}").count() for n in names}
+    assert after == expect and all(after[n] < before[n] for n in names)
+    gone = spark.read.parquet(f"{root}/orders").where(F.col("status") == "COMPLETED").agg(F.min("order_date")).first()[0]
+    assert gone is None or str(gone) >= "2001-05-03"
