@@ -62,11 +62,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+STAGE_FOLDER = "ledgerline-stage"
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A per-call subfolder of the shared checkpoint folder (for staged writes)."""
+    """A fresh subfolder of ``<checkpoint dir>/ledgerline-stage`` (for staged writes)."""
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{base}/{STAGE_FOLDER}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df, name: str = "stage"):
@@ -75,9 +78,24 @@ def materialize(df, name: str = "stage"):
     Cuts the lineage like a reliable checkpoint, but computes the plan once
     (a reliable RDD checkpoint runs its job a second time to write).  The
     folder survives executor loss because it lives in the cluster's shared
-    checkpoint location, never on a machine-local disk.
+    checkpoint location, never on a machine-local disk.  :func:`clear_stage`
+    removes all such folders once the results that read them are written.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stage(spark: SparkSession) -> None:
+    """Delete every staged folder of this library under the checkpoint folder.
+
+    Call it at the end of a job, after the outputs that read staged data are
+    written (DataFrames built on staged data cannot be evaluated afterwards).
+    """
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{base}/{STAGE_FOLDER}")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(p):
+        fs.delete(p, True)

@@ -95,3 +95,15 @@ def test_purge_persisted_together(spark, tables):
     assert after == expect and all(after[n] < before[n] for n in names)
     gone = spark.read.parquet(f"{root}/orders").where(F.col("status") == "COMPLETED").agg(F.min("order_date")).first()[0]
     assert gone is None or str(gone) >= "2001-05-03"
+
+
+def test_materialize_and_clear_stage(spark):
+    import os
+
+    from ledgerline.session import STAGE_FOLDER, clear_stage, ensure_checkpoint_dir, materialize
+    df = materialize(spark.range(10), "t")
+    assert df.count() == 10
+    base = ensure_checkpoint_dir(spark)
+    assert os.path.isdir(os.path.join(base, STAGE_FOLDER))
+    clear_stage(spark)
+    assert not os.path.exists(os.path.join(base, STAGE_FOLDER))
