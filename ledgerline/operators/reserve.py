@@ -82,6 +82,8 @@ def reserve_inventory(inventory: DataFrame, requests: DataFrame, max_rounds: int
         pend = (cs.join(per_inv.select("inventory_id", "_fail"), "inventory_id")
                 .where(F.col("_fail").isNotNull() & (F.col("seq") > F.col("_fail")))
                 .select("inventory_id", "seq", "quantity"))
+        if pend.isEmpty():  # nothing after a refusal: done without another round
+            break
     else:
         raise RuntimeError("reservation did not converge")
     after = (inventory.join(state, "inventory_id", "left")
