@@ -169,7 +169,7 @@ def customer_activity(t, as_of=AS_OF, days: int = 90, limit: int | None = 100) -
 
 # --------------------------------------------------------------------------- Q9
 def sessions_by_user(t, types=("PREMIUM", "VIP")) -> DataFrame:
-    """Sessions per account kind, restricted to an IN list (the README's monitoring query
+    """Sessions per account kind, restricted to an IN list (the documented monitoring query
     re-aimed at SESSION_DATA: account kind plays the role of the database user)."""
     s = t["sessions"].select("customer_id", "is_active")
     c = t["customers"].where(F.col("customer_type").isin(list(types))).select("customer_id", "customer_type")

@@ -43,6 +43,7 @@ def top_products(t, as_of=AS_OF, days: int = 30, n: int = 10) -> DataFrame:
 
 
 def revenue_by_payment(t, as_of=AS_OF, days: int = 30) -> DataFrame:
+    """Orders and revenue per payment method in the window."""
     return (_since(t, days=days, as_of=as_of).groupBy("payment_method")
             .agg(F.count(F.lit(1)).alias("total_orders"), F.sum("total_amount").cast(DEC).alias("revenue")))
 
