@@ -193,16 +193,16 @@ Q1_COLUMNS = [
 Q1_MAX_CANDIDATES = 1_000_000
 
 
-def _q1_order_weights(t, o: DataFrame, dedup: bool) -> DataFrame:
+def _q1_order_weights(t, o: DataFrame, items: DataFrame, dedup: bool) -> DataFrame:
     """Rows of the 6-way join per order of ``o``, without building the join.
 
     rows(order) = sum over its items with a known product of
     max(1, #inventory rows of the product), times max(1, #transactions).
     One per-product table carries both the product-exists test and the
     warehouse multiplicity, so items take a single join before collapsing to
-    one row per order.  Only items of the orders in ``o`` take part.
+    one row per order.  ``items`` holds (at least) the lines of ``o``'s orders.
     """
-    items = t["order_items"].select("order_id", "product_id").join(o.select("order_id"), "order_id", "left_semi")
+    items = items.select("order_id", "product_id")
     prods = t["products"].select("product_id")
     if dedup:
         has_item = items.join(prods, "product_id", "left_semi").select("order_id").distinct()
@@ -228,10 +228,10 @@ def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
     1. candidate (customer, order time) groups from ``orders`` alone: a
        distributed top-k in output order.  Their customers form a prefix of
        all customers by id;
-    2. join multiplicities (items x warehouses x payments) for every order
-       of those customers only, summed per group and written once to the
-       shared checkpoint folder; items are filtered by these orders, never
-       aggregated in full;
+    2. those customers' item lines are written once to the shared checkpoint
+       folder (one filtered pass over order_items, which is never aggregated
+       in full); join multiplicities (items x warehouses x payments) per
+       order, summed per group, are written next to them;
     3. exactness check: if those customers' rows reach ``limit`` (or the
        candidates cover every customer), every group that can appear is
        among them; otherwise the candidate count grows and step 2 repeats;
@@ -241,11 +241,13 @@ def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
        final ordered top-k.
     """
     lo = add_months_sticky(as_of, -months)
-    o = (_orders_since(t, lo, "order_id", "customer_id", "order_date", "total_amount")
+    o = (_orders_since(t, lo, "order_id", "customer_id", "order_date", "total_amount", "status", "payment_method")
          .join(t["customers"].select("customer_id"), "customer_id", "left_semi"))
     g0 = o.select("customer_id", "order_date").distinct()
-    def day_weights(orders):
-        ow = _q1_order_weights(t, orders, dedup)
+    item_cols = ["order_id", "product_id", "quantity", "unit_price", "subtotal"]
+
+    def day_weights(orders, items):
+        ow = _q1_order_weights(t, orders, items, dedup)
         return materialize(ow.groupBy("customer_id", "order_date").agg(
             F.sum("_rows").alias("_g"), F.sum(F.col("total_amount") * F.col("_rows")).alias("_v")),
             "q1-day-weights")
@@ -255,13 +257,18 @@ def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
         if k > Q1_MAX_CANDIDATES:
             # a prefix this long is no cheaper than everything: one exact, fully
             # distributed round over all customers instead of a huge top-k
-            cd = day_weights(o)
+            orders, items = o, t["order_items"].select(*item_cols)
+            cd = day_weights(orders, items)
             break
         cand = g0.orderBy(F.col("customer_id").asc(), F.col("order_date").desc()).limit(k)
-        # every customer up to the last candidate's id (a prefix): the bound is a
-        # scalar subquery, evaluated inside the weights job
+        # every customer up to the last candidate's id (a prefix), selected by a scalar
+        # subquery; the prefix's item lines are written once and serve both the
+        # weights and the detail rows (one filtered pass over order_items)
         last_id = cand.agg(F.max("customer_id")).scalar()
-        cd = day_weights(o.where(F.col("customer_id") <= last_id))
+        orders = o.where(F.col("customer_id") <= last_id)
+        items = materialize(t["order_items"].join(orders.select("order_id"), "order_id", "left_semi")
+                            .select(*item_cols), "q1-items")
+        cd = day_weights(orders, items)
         if (cd.agg(F.sum("_g")).first()[0] or 0) >= limit or cand.count() < k:
             break
         k *= 4
@@ -282,16 +289,15 @@ def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
         "customer_id", "order_date", "customer_total_orders", "customer_lifetime_value",
         (F.col("_before") + 1).cast("bigint").alias("customer_order_rank"))
 
-    o = _orders_since(t, lo).select("order_id", "customer_id", "order_date", F.col("status").alias("order_status"),
-                           F.col("total_amount").alias("order_total"), "payment_method")
+    o = orders.select("order_id", "customer_id", "order_date", F.col("status").alias("order_status"),
+                      F.col("total_amount").alias("order_total"), "payment_method")
     c = t["customers"].select("customer_id", concat_null_as_empty("first_name", F.lit(" "), "last_name")
                               .alias("customer_name"), "email", "customer_type", "loyalty_points")
     sel = o.join(F.broadcast(groups), ["customer_id", "order_date"])
     sel_ids = sel.select("order_id")
     # semi joins on the raw key first: the filter lands below the items/payments
     # projections, so only the selected orders' lines are priced and joined
-    i = (t["order_items"].join(sel_ids, "order_id", "left_semi")
-         .select("order_id", "product_id", "quantity", "unit_price", "subtotal"))
+    i = items.join(sel_ids, "order_id", "left_semi").select(*item_cols)
     p = t["products"].select("product_id", "product_name", F.col("category").alias("product_category"))
     inv = t["inventory"].select("product_id", "inventory_id",
                                 F.col("quantity_available").alias("inventory_available"))
