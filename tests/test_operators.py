@@ -233,3 +233,44 @@ def test_merge_duplicates_with_null_key_part_are_allowed(spark):
     check_unique_keys(src, ["a", "b"])     # (1, NULL) can never match: no error
     with pytest.raises(MergeError):
         check_unique_keys(src.unionByName(src.where("a = 2")), ["a", "b"])
+
+
+def test_lookups_unknown_ids_give_nulls(spark, tables):
+    ids = spark.createDataFrame([(1,), (-7,)], "product_id bigint")
+    got = {r.product_id: r.product_name for r in B.lookup_products(tables["products"], ids).collect()}
+    assert got[-7] is None and got[1] is not None
+    cids = spark.createDataFrame([(1,), (-7,)], "customer_id bigint")
+    got = {r.customer_id: r.email for r in B.lookup_customers(tables["customers"], cids).collect()}
+    assert got[-7] is None and got[1] == "customer1@example.com"
+
+
+def test_check_inventory_sum_and_per_row(spark):
+    inv = _inv(spark, [(1, 100, 10, 0), (2, 100, 4, 0)])
+    ids = spark.createDataFrame([(100,), (200,)], "product_id bigint")
+    assert {r.product_id: r.quantity_available for r in B.check_inventory(inv, ids).collect()} == {100: 14, 200: 0}
+    rows = sorted((r.product_id, r.inventory_id, r.quantity_available)
+                  for r in B.check_inventory(inv, ids, per_row=True).collect())
+    assert rows == [(100, 1, 10), (100, 2, 4), (200, None, 0)]
+
+
+def test_restock_adds_duplicates_to_every_warehouse_row(spark):
+    inv = spark.createDataFrame([(1, 100, 10, dt.datetime(2001, 1, 1)), (2, 100, 4, None), (3, 200, 5, None)],
+                                "inventory_id bigint, product_id bigint, quantity_available bigint, "
+                                "last_restock_date timestamp_ntz")
+    d = spark.createDataFrame([(100, 3), (100, 4)], "product_id bigint, quantity bigint")
+    got = {r.inventory_id: (r.quantity_available, r.last_restock_date)
+           for r in B.restock_inventory(inv, d, as_of=AS_OF).collect()}
+    assert got == {1: (17, dt.datetime(2001, 8, 1, 12)), 2: (11, dt.datetime(2001, 8, 1, 12)), 3: (5, None)}
+
+
+def test_sessions_create_is_repeatable_and_end_flags(spark):
+    reqs = spark.createDataFrame([(1, 10, "ua"), (2, 11, None)], "request_id bigint, customer_id bigint, user_agent string")
+    a = sorted(tuple(r) for r in B.create_sessions(reqs, "2024-01-31 00:00:00").collect())
+    b = sorted(tuple(r) for r in B.create_sessions(reqs, "2024-01-31 00:00:00").collect())
+    assert a == b and all(r[7] == 1 for r in a)
+    assert all(len(r[0]) == 36 and r[0].count("-") == 4 for r in a)
+    s = B.create_sessions(reqs, "2024-01-31 00:00:00")
+    first = s.orderBy("customer_id").first().session_id
+    ended = {r.session_id: r.is_active for r in
+             B.end_sessions(s, spark.createDataFrame([(first,)], "session_id string")).collect()}
+    assert ended[first] == 0 and sorted(ended.values()) == [0, 1]
