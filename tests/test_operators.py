@@ -274,3 +274,13 @@ def test_sessions_create_is_repeatable_and_end_flags(spark):
     ended = {r.session_id: r.is_active for r in
              B.end_sessions(s, spark.createDataFrame([(first,)], "session_id string")).collect()}
     assert ended[first] == 0 and sorted(ended.values()) == [0, 1]
+
+
+def test_process_transactions_ranges_and_repeatable(spark):
+    ids = spark.range(1, 501).select(F.col("id").alias("order_id"))
+    a = B.process_transactions(ids, 1000, AS_OF).collect()
+    b = B.process_transactions(ids, 1000, AS_OF).collect()
+    assert sorted(tuple(r) for r in a) == sorted(tuple(r) for r in b)
+    assert {r.payment_gateway for r in a} == set(B.GATEWAYS)
+    assert all(50 <= r.amount < 500 and r.currency == "USD" and r.status == "COMPLETED" for r in a)
+    assert sorted(r.transaction_id for r in a) == list(range(1000, 1500))
