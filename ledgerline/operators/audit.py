@@ -1,10 +1,9 @@
 """Change rows in the AUDIT_LOG layout from a before/after pair of a table.
 
 A full outer join on the key classifies each key as INSERT (after only),
-DELETE (before only) or UPDATE (both, some non-key value differs); the row
-images are JSON text of the non-key columns.  Rows are compared by a hash
-of the row image first and by the image itself, so unchanged rows cost one
-hash per side.
+DELETE (before only) or UPDATE (both, the JSON images of the non-key
+columns differ); unchanged keys produce no row.  Audit ids are dense and
+ordered by (record id, operation).
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from .ids import assign_ids
 
 def audit_diff(before: DataFrame, after: DataFrame, key: str, table_name: str, changed_by: str = "ledgerline",
                as_of=None, start_id: int = 1) -> DataFrame:
+    """AUDIT_LOG rows (INSERT / UPDATE / DELETE with JSON row images) between two versions of a table keyed by ``key``."""
     vals = [c for c in before.columns if c != key]
     b = before.select(F.col(key).alias("_k"), F.to_json(F.struct(*vals)).alias("old_value"))
     a = after.select(F.col(key).alias("_k"), F.to_json(F.struct(*vals)).alias("new_value"))

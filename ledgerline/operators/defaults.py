@@ -15,6 +15,7 @@ from ..schema import DEFAULTS, SCHEMAS
 
 
 def default_value(table: str, col: str, as_of=None) -> Column:
+    """The DDL default of ``table.col`` as a column (the job clock for timestamp defaults), else NULL."""
     v = DEFAULTS.get(table, {}).get(col)
     if v is None:
         return F.lit(None)

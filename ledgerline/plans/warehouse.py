@@ -88,6 +88,7 @@ def customer_stats(t, as_of=AS_OF) -> DataFrame:
 
 
 def aggregate_customers(t, target: DataFrame, as_of=AS_OF) -> DataFrame:
+    """aggregate-customers: merge per-customer stats into CUSTOMER_ANALYTICS (update matched, insert new with ids)."""
     src = customer_stats(t, as_of)
     cols = ["total_orders", "total_spent", "avg_order_value", "last_order_date", "customer_segment",
             "calculated_at"]
@@ -96,6 +97,7 @@ def aggregate_customers(t, target: DataFrame, as_of=AS_OF) -> DataFrame:
 
 
 def aggregate_customers_twice(t, as_of=AS_OF, earlier_days: int = 30) -> DataFrame:
+    """The registered check: an earlier run into an empty table, then the run at ``as_of`` merged over it."""
     spark = t["orders"].sparkSession
     first = aggregate_customers(t, empty_table(spark, "customer_analytics"),
                                 as_timestamp(as_of) - _dt.timedelta(days=earlier_days))
@@ -124,6 +126,7 @@ def product_stats(t, period_start, period_end, as_of=AS_OF, data_until=None) ->
 
 
 def aggregate_products(t, target: DataFrame, as_of=AS_OF, days: int = 90, data_until=None) -> DataFrame:
+    """aggregate-products: merge per-product stats of the last ``days`` days into PRODUCT_PERFORMANCE."""
     end = day_start(as_of)
     src = product_stats(t, end - _dt.timedelta(days=days), end, as_of, data_until)
     cols = ["period_end", "units_sold", "revenue", "profit", "return_count", "calculated_at"]

@@ -88,6 +88,7 @@ _TWO_COPIES_SPARK = "LATERAL VIEW explode(array(0, 1)) ks AS k"
 
 
 def shop_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One shop table mapped from the raw parquet of ``sf_dir`` (lazy)."""
     raw = {r: read_raw(spark, sf_dir, r) for r in _SOURCES[name]}
     return spark.sql(FIXTURE_SQL[name].replace(_TWO_COPIES_SQL, _TWO_COPIES_SPARK), **raw)
 

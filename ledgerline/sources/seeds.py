@@ -34,6 +34,7 @@ def _s(c):
 
 def seed_customers(spark: SparkSession, n: int = 1000, variant: str = "setup", seed: int = 42,
                    as_of=None) -> DataFrame:
+    """Seed customers 1..n: the setup closed forms, or repeatable draws from the reset job's value lists."""
     r = _ids(spark, n)
     if variant == "setup":
         df = r.select(
@@ -65,6 +66,7 @@ def seed_customers(spark: SparkSession, n: int = 1000, variant: str = "setup", s
 
 def seed_products(spark: SparkSession, n: int = 500, variant: str = "setup", seed: int = 42,
                   as_of=None) -> DataFrame:
+    """Seed products 1..n: the setup closed forms, or repeatable draws (cost = 60 % of price)."""
     r = _ids(spark, n)
     if variant == "setup":
         i = F.col("i").cast("decimal(10,2)")
@@ -90,6 +92,7 @@ def seed_products(spark: SparkSession, n: int = 500, variant: str = "setup", see
 
 def seed_inventory(spark: SparkSession, n: int = 500, variant: str = "setup", seed: int = 42,
                    as_of=None) -> DataFrame:
+    """Seed one inventory row per product 1..n: the setup closed forms, or repeatable draws."""
     r = _ids(spark, n)
     if variant == "setup":
         df = r.select(F.col("i").alias("inventory_id"), F.col("i").alias("product_id"),

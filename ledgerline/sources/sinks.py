@@ -20,10 +20,12 @@ from .seeds import SEED_COUNTS, seed_customers, seed_inventory, seed_products
 
 
 def drain(df: DataFrame) -> None:
+    """Run the plan to the end without collecting anything (the reference only counts rows)."""
     df.write.format("noop").mode("overwrite").save()
 
 
 def append_table(df: DataFrame, path: str) -> None:
+    """INSERT as a parquet append."""
     df.write.mode("append").parquet(path)
 
 
@@ -74,6 +76,7 @@ def replace_tables(tables: dict[str, DataFrame], root: str) -> None:
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A stored table read with its DDL schema (never inferred)."""
     return spark.read.schema(SCHEMAS[table]).parquet(path)
 
 

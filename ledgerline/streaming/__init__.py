@@ -29,6 +29,7 @@ REQUEST_STREAM_SCHEMA = "seq bigint, product_id bigint, quantity bigint"
 
 
 def read_order_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """A file stream of orders (parquet, explicit schema); ``max_files`` bounds each micro-batch."""
     r = spark.readStream.schema(ORDER_STREAM_SCHEMA)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
