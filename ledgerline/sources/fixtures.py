@@ -1,8 +1,10 @@
 """Shop tables mapped from the driver's TPC-H-like parquet (FIXTURES.md §1).
 
-Each mapping is one SQL text that both engines run unchanged: Spark gets the
-raw tables as DataFrame parameters of ``spark.sql`` (no session-wide views),
-DuckDB gets the raw view names and uses the texts as CTEs in the oracle SQL.
+Each mapping is one SQL text shared by both engines: Spark gets the raw tables
+as DataFrame parameters of ``spark.sql`` (no session-wide views) and the
+two-copies expansion as a generator instead of a join with a two-row
+relation; DuckDB gets the raw view names and uses the texts as CTEs in the
+oracle SQL.
 All mappings are per-row projections (plus one group-by for sessions), so
 they stay fused in the scan stage of every plan that uses them.
 """

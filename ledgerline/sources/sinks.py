@@ -3,8 +3,9 @@
 * ``drain``: run a plan to the end without collecting (the reference only
   counts rows), through Spark's ``noop`` writer;
 * ``append_table``: INSERT as a parquet append;
-* ``replace_table``: write the new version of a table into a fresh folder
-  next to it, then swap folders with two renames.  A table is never
+* ``replace_table`` / ``replace_tables``: write the new version of a table
+  (of several tables, all before any swap) into a fresh folder next to it,
+  then swap folders with two renames.  A table is never
   overwritten while a plan that reads it is running, which is what a MERGE
   into the table it reads (Q7, U1) needs.
 """
