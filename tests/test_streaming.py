@@ -101,3 +101,25 @@ def test_t2_dedup_append_mode_drops_replayed_orders(spark, tables):
     assert got, "append mode emitted no closed day"
     for day, v in got.items():          # each emitted (closed) day counts every order once
         assert v == exp[day], day
+
+
+def test_t2_late_order_within_allowance_updates_its_day(spark, tables):
+    """A later micro-batch carries orders three days older than the newest seen:
+    inside the 8-day allowance, so their day is updated, not dropped."""
+    root = tempfile.mkdtemp(prefix="ll-t2late-")
+    o = tables["orders"].select("order_id", "customer_id", "order_date", "status", "total_amount", "payment_method")
+    newest = o.agg(F.max("order_date")).first()[0]
+    cut = F.lit(str(newest)).cast("timestamp_ntz") - F.expr("INTERVAL 3 DAYS")
+    on_time = o.where((F.col("order_date") < cut) | (F.col("order_date") == F.lit(str(newest)).cast("timestamp_ntz")))
+    late = o.where((F.col("order_date") >= cut) & (F.col("order_date") < F.lit(str(newest)).cast("timestamp_ntz")))
+    assert late.count() > 0
+    on_time.coalesce(1).write.parquet(f"{root}/in/a")
+    late.coalesce(1).write.parquet(f"{root}/in/b")
+    stream = read_order_stream(spark, f"{root}/in/*", max_files=1)
+    q = (daily_totals_stream(stream).writeStream.outputMode("update").format("memory").queryName("ll_t2late")
+         .option("checkpointLocation", f"{root}/ckpt").start())
+    q.processAllAvailable()
+    q.stop()
+    got = spark.sql("SELECT order_day, max(total_orders) AS n FROM ll_t2late GROUP BY order_day")
+    exp = o.groupBy(F.to_date("order_date").alias("order_day")).agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in exp.collect())
