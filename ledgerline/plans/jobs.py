@@ -11,6 +11,7 @@ them) and applies one operator from :mod:`ledgerline.operators`:
 * order placement (B13): last week's orders replayed as new requests;
 * payment status (B12): each order's status from its latest payment attempt;
 * customer kind (B5): each customer's kind from its latest order;
+* product price (B6): each product's price from its latest sold line;
 * purge (B14), sessions (B17/B18), payments (B15/B16), audit (U5), checks (U2).
 """
 
@@ -111,6 +112,13 @@ def customer_kind_job(t) -> DataFrame:
     return B.set_customer_type(t["customers"], changes).select("customer_id", "customer_type")
 
 
+def product_price_job(t) -> DataFrame:
+    """Each product's price set from its most recent sold line (last write wins by order id)."""
+    changes = t["order_items"].select("product_id", F.col("order_id").alias("seq"),
+                                      F.col("unit_price").alias("price"))
+    return B.set_product_price(t["products"], changes).select("product_id", "price")
+
+
 def purge_job(t, as_of=AS_OF, days: int = 90) -> DataFrame:
     out = B.purge_old_orders(t["orders"], t["order_items"], t["transactions"], as_of, days)
     parts = []

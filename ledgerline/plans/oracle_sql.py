@@ -250,6 +250,12 @@ FROM customers c LEFT JOIN (
   SELECT customer_id, arg_max(CASE WHEN total_amount >= 200000 THEN 'VIP' ELSE 'REGULAR' END, order_id) AS t
   FROM shop_orders GROUP BY customer_id) w ON c.customer_id = w.customer_id""")
 
+ORACLE["product_price"] = _q(["products", "order_items"], """
+SELECT p.product_id, CASE WHEN w.product_id IS NULL THEN p.price ELSE CAST(w.v AS DECIMAL(10,2)) END AS price
+FROM products p LEFT JOIN (
+  SELECT product_id, max(struct_pack(s := order_id, v := unit_price)).v AS v FROM order_items GROUP BY product_id) w
+  ON p.product_id = w.product_id""")
+
 ORACLE["purge_old_orders"] = _q(["shop_orders", "order_items", "transactions"], f""",
 doomed AS (SELECT order_id FROM shop_orders
            WHERE status IN ('COMPLETED', 'DELIVERED') AND order_date < {_ts_minus_days(90)}),

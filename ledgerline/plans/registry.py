@@ -45,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "loyalty_update": _on_tables(J.loyalty_update_job),
     "customer_kind": _on_tables(J.customer_kind_job),
     "payment_status": _on_tables(J.payment_status_job),
+    "product_price": _on_tables(J.product_price_job),
     "restock_inventory": _on_tables(J.restock_job),
     "reserve_inventory": _on_tables(J.reserve_job),
     "price_orders": _on_tables(J.price_orders_job),
