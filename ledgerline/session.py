@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,15 +47,19 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder.
+    """Return the session's shared folder for staged data.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; that one is
-    used as is.  Only when it is unset (local tests) a fresh scratch folder
-    is created.
+    A cluster names it in ``spark.checkpoint.dir``; that folder is used as
+    is.  Where the setting is absent, a local session (master ``local[...]``)
+    gets a scratch folder, since its driver and executors are one process;
+    any other master raises, because a machine-local folder would be
+    invisible to the other executors.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
@@ -65,11 +70,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 STAGE_FOLDER = "ledgerline-stage"
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh subfolder of ``<checkpoint dir>/ledgerline-stage`` (for staged writes)."""
-    import uuid
+def stage_root(spark: SparkSession) -> str:
+    """``<checkpoint dir>/ledgerline-stage/<application id>``: other applications keep theirs beside it."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{STAGE_FOLDER}/{name}-{uuid.uuid4().hex}"
+    return f"{base}/{STAGE_FOLDER}/{spark.sparkContext.applicationId}"
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh subfolder of :func:`stage_root` (for staged writes)."""
+    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df, name: str = "stage"):
@@ -79,7 +88,8 @@ def materialize(df, name: str = "stage"):
     (a reliable RDD checkpoint runs its job a second time to write).  The
     folder survives executor loss because it lives in the cluster's shared
     checkpoint location, never on a machine-local disk.  :func:`clear_stage`
-    removes all such folders once the results that read them are written.
+    removes this application's folders once the results that read them are
+    written.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
@@ -88,14 +98,12 @@ def materialize(df, name: str = "stage"):
 
 
 def clear_stage(spark: SparkSession) -> None:
-    """Delete every staged folder of this library under the checkpoint folder.
+    """Delete the staged folders of this application (never another's).
 
     Call it at the end of a job, after the outputs that read staged data are
     written (DataFrames built on staged data cannot be evaluated afterwards).
     """
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{base}/{STAGE_FOLDER}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(p):
         fs.delete(p, True)

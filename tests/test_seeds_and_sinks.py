@@ -98,12 +98,17 @@ def test_purge_persisted_together(spark, tables):
 
 
 def test_materialize_and_clear_stage(spark):
+    """clear_stage removes this application's folders and leaves another application's alone."""
     import os
 
-    from ledgerline.session import STAGE_FOLDER, clear_stage, ensure_checkpoint_dir, materialize
-    df = materialize(spark.range(10), "t")
-    assert df.count() == 10
+    from ledgerline.session import STAGE_FOLDER, clear_stage, ensure_checkpoint_dir, materialize, stage_root
+    df = materialize(spark.range(5).toDF("v"))
+    assert df.count() == 5
     base = ensure_checkpoint_dir(spark)
-    assert os.path.isdir(os.path.join(base, STAGE_FOLDER))
+    own = stage_root(spark)
+    assert os.path.isdir(own) and own.startswith(os.path.join(base, STAGE_FOLDER))
+    other = os.path.join(base, STAGE_FOLDER, "app-of-someone-else", "stage-1")
+    os.makedirs(other)
     clear_stage(spark)
-    assert not os.path.exists(os.path.join(base, STAGE_FOLDER))
+    assert not os.path.exists(own)
+    assert os.path.isdir(other)
