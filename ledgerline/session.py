@@ -107,3 +107,25 @@ def clear_stage(spark: SparkSession) -> None:
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(p):
         fs.delete(p, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers, once per application.
+
+    Needed where the package is not installed on the executors (as with
+    ``--py-files``); harmless where it is.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if any(str(p).endswith("ledgerline_code.zip") for p in sc._python_includes):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="ledgerline-code-"), "ledgerline_code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for at, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(at, n)
+                    z.write(full, os.path.join("ledgerline", os.path.relpath(full, root)))
+    sc.addPyFile(target)
