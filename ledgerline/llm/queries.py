@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir, ship_package
-from . import mixing, packing, rules, sharding, warc
+from . import ann, html, importance, licenses, minhash, mixing, packing, rules, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,12 +24,25 @@ def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         warc.page_of(F.col("refers_to")).alias("refers_to"), "target_uri")
 
 
+def op2_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op3_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select(
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
         (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select("page_id", "url", html.main_text("html").alias("text")).select(
+        "*", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -40,6 +53,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents")).drop("blocks")
+
+
+def op9_importance_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.weigh(docs, importance.fit(docs, _read(spark, sf_dir, "labels"))).select(
+        F.col("row.doc_id").alias("doc_id"), "log_weight", "key", "kept")
+
+
 N_SHARDS = 40
 
 
@@ -60,7 +83,8 @@ def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _shipped(f) for f in (op1_warc_chunks, op4_source_mix, op6_best_fit_packing, op7_quality_rules,
-                            op10_hypergeometric_shards)}
+    f.__name__: _shipped(f) for f in (
+        op1_warc_chunks, op2_multiprobe_neighbours, op3_minhash_components, op4_source_mix, op5_text_density,
+        op6_best_fit_packing, op7_quality_rules, op8_license_scan, op9_importance_classifier, op10_hypergeometric_shards)}
 
 ORACLE: dict[str, str] = {"op4_source_mix": mixing.ORACLE_MIX}

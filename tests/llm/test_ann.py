@@ -1,0 +1,82 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerline.llm import ann, queries
+
+
+def exact(rows, asked, k=5):
+    """rows: (id, vector); the exact answer in Python floats."""
+    norm = {}
+    for i, v in rows:
+        norm.setdefault(i, []).append([x / math.sqrt(math.fsum(y * y for y in v)) for x in v])
+    out = {}
+    for q in asked:
+        best = [(-max(sum(a * b for a, b in zip(u, w, strict=True)) for u in norm[q] for w in ws), i)
+                for i, ws in norm.items() if i != q]
+        out[q] = [(i, -s) for s, i in sorted(best)[:k]]
+    return out
+
+
+def recall(got, want):
+    hit = sum(len({i for i, _ in want[q]} & {r["vec_id"] for r in got if r["query_id"] == q}) for q in want)
+    return hit / sum(map(len, want.values()))
+
+
+def test_perturbations_come_in_order_of_score():
+    sets = ann.perturbations(5, 60)
+    assert sets[0] == () and sets[1] == (0,) and len(set(sets)) == 60
+    assert all(9 - r not in s for s in sets for r in s)
+    z = lambda j: j * (j + 1) / 168 if j <= 5 else 1 - (11 - j) / 6 + (11 - j) * (12 - j) / 168
+    score = [sum(z(r + 1) for r in s) for s in sets]
+    assert all(a <= b + 1e-12 for a, b in zip(score, score[1:], strict=False))
+    assert len(ann.perturbations(2, 1000)) == 9  # all of -1, 0, 1 for two integers
+
+
+def test_own_bucket_is_the_first_probe():
+    h = ann.Hashes(8, 3, 4, 1.5, 20, 1)
+    q = np.random.default_rng(0).standard_normal((50, 8))
+    for t in range(3):
+        assert (h.probes(t, q)[:, 0] == h.buckets(t, q)).all()
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_query_recall_and_scores(spark, size):
+    d = f"/root/testdata/{size}"
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet")
+    got = queries.QUERIES["op2_multiprobe_neighbours"](spark, d).collect()
+    want = ann.brute_force(vectors, F.col("id") % 50 == 0).collect()
+    assert {r["query_id"] for r in got} == {r["query_id"] for r in want}
+    pair = {(r["query_id"], r["vec_id"]): r["score"] for r in want}
+    hit = [r for r in got if (r["query_id"], r["vec_id"]) in pair]
+    assert len(hit) >= 0.9 * len(want)
+    assert all(r["score"] == pair[r["query_id"], r["vec_id"]] for r in hit)
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append((r["rank"], -r["score"], r["vec_id"]))
+    for v in by.values():
+        v.sort()
+        assert [x[0] for x in v] == [1, 2, 3, 4, 5] and [x[1:] for x in v] == sorted(x[1:] for x in v)
+
+
+def test_copies_ties_and_unusable_vectors(spark):
+    rng = random.Random(1)
+    vec = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    hot = vec()
+    rows = [(i, hot) for i in range(0, 300)] + [(i, vec()) for i in range(300, 500)]
+    bad = [(1000, None), (1050, []), (1100, [0.0] * 6), (1150, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (None, vec()),
+           (1200, [float("nan")] + [1.0] * 5), (1250, [float("inf")] + [1.0] * 5), (1300, [1.0, 2.0])]
+    df = spark.createDataFrame(rows + bad + rows[:3], "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
+    got = ann.search(df, F.col("id") % 50 == 0, probes=3 ** 10).collect()
+    want = exact(rows, range(0, 500, 50))
+    assert recall(got, want) == 1.0
+    top = {(r["query_id"], r["rank"]): r["vec_id"] for r in got}
+    assert [top[0, k] for k in range(1, 6)] == [1, 2, 3, 4, 5] and [top[100, k] for k in range(1, 6)] == [0, 1, 2, 3, 4]
+    assert {r["query_id"] for r in got} == set(want)
+    few = ann.search(df.where("vec_id in (300, 301, 350)"), F.col("id") % 50 == 0, probes=3 ** 10).collect()
+    assert len(few) == 4
+    assert ann.search(df.limit(0), F.col("id") % 50 == 0).count() == 0
+    assert ann.search(df.where("vec_id >= 1000"), F.col("id") % 50 == 0).count() == 0

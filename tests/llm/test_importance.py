@@ -1,0 +1,85 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerline.llm import importance, queries
+
+
+def grams(text, buckets=importance.BUCKETS):
+    """Bucket of each byte 4-gram, one at a time."""
+    b, out = (text or "").encode(), []
+    for i in range(len(b) - 3):
+        x = int.from_bytes(b[i:i + 4], "little") + 7
+        for shift, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> shift)) * m % 2 ** 64
+        out.append((x ^ (x >> 31)) % buckets)
+    return out
+
+
+def test_grams():
+    for t in (None, "", "abc", "abcd", "héllo wörld", "x" * 50):
+        got = [g for part in importance.gram_buckets(np.frombuffer((t or "").encode(), np.uint8)) for g in part.tolist()]
+        assert got == grams(t)
+    long = np.random.default_rng(0).integers(0, 256, (1 << 20) + 100, dtype=np.uint8)
+    assert sum(len(p) for p in importance.gram_buckets(long)) == len(long) - 3
+
+
+def test_model_against_plain_counts(make_docs, spark):
+    docs = make_docs([(i, f"good text number {i} with words" if i % 2 else f"### junk $$$ {i} %%%") for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(99, 1, 0), (1, 1, 0), (3, 1, 1), (None, 1, 0)],
+                                   "doc_id long, quality int, toxic int")
+    model = importance.fit(docs, labels, miss=0.0)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    good = [r[0] for r in spark.createDataFrame([(i,) for i in [*range(1, 40, 2), 99]], "i long")
+            .orderBy(F.xxhash64(F.lit(41), "i")).collect()]
+    raw, target = np.zeros(importance.BUCKETS), np.zeros(importance.BUCKETS)
+    for i, t in rows.items():
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += i in good[::2]
+    want = np.log((target + 5) / (target.sum() * raw / raw.sum() + 5))
+    assert np.allclose(model.log_ratio, want)
+    got = {r["id"]: r for r in importance.weigh(docs, model).select(F.col("row.doc_id").alias("id"), "log_weight", "key", "kept").collect()}
+    for i, t in rows.items():
+        assert got[i]["log_weight"] == pytest.approx(want[grams(t)].sum())
+    assert all(got[i]["kept"] for i in good[1::2] if i in got)
+    assert np.mean([r["log_weight"] for i, r in got.items() if i % 2]) > np.mean([r["log_weight"] for i, r in got.items() if not i % 2])
+
+
+def test_gumbel_noise(spark):
+    g = np.array([r[0] for r in spark.range(20_000).select(importance.gumbel(F.col("id"), 3)).collect()])
+    assert abs(g.mean() - 0.5772) < 0.03 and abs(g.var() - np.pi ** 2 / 6) < 0.08
+
+
+def test_top_k_draws_in_proportion_to_weight(spark):
+    """Of two documents with weights 1 and 3, the first of Gumbel top-1 is the second three times in four."""
+    d = spark.range(20_000).select((importance.gumbel(F.col("id"), 5) + float(np.log(3)) > importance.gumbel(-F.col("id") - 1, 5)).alias("b"))
+    assert abs(d.where("b").count() / 20_000 - 0.75) < 0.012
+
+
+def test_key_of_rank(spark):
+    d = spark.createDataFrame([(float(x),) for x in [5, 1, 3, 3, 3, -2, 9, 8, 1e-9, 1e12]], "key double")
+    ordered = sorted([5, 1, 3, 3, 3, -2, 9, 8, 1e-9, 1e12], reverse=True)
+    for k in range(1, 11):
+        assert importance.key_of_rank(d, k) == ordered[k - 1]
+    assert importance.key_of_rank(d, 0) == float("inf") and importance.key_of_rank(d.limit(0), 3) == float("inf")
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.1"
+    q = queries.QUERIES["op9_importance_classifier"](spark, d)
+    assert q.count() == spark.read.parquet(f"{d}/documents.parquet").count()
+    n = {(r["quality"], r["kept"]): r["count"]
+         for r in q.join(spark.read.parquet(f"{d}/labels.parquet").where("toxic = 0"), "doc_id").groupBy("quality", "kept").count().collect()}
+    assert n.get((1, False), 0) <= 0.004 * n[1, True]
+    assert n.get((0, False), 0) >= 0.8 * (n.get((0, False), 0) + n.get((0, True), 0))
+
+
+def test_edge_cases(make_docs, spark):
+    docs = make_docs([(1, None), (2, ""), (None, "abcd"), (3, "abc"), (4, "w" * 300_000), (4, "w" * 300_000)],
+                     extra=["row", "id", "key", "kept", "log_weight"])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = importance.weigh(docs, importance.fit(docs, none))
+    assert got.where("kept").count() == 6 and got.select("row.*").columns == docs.columns
+    assert all(r["log_weight"] == 0 for r in got.collect())
+    assert importance.weigh(docs.limit(0), importance.fit(docs.limit(0), none)).count() == 0
