@@ -39,7 +39,7 @@ def main(argv=None) -> int:
 
     from pyspark.sql import SparkSession
 
-    from ledgerline.session import PLAN_CONF, ensure_checkpoint_dir
+    from ledgerline.session import PLAN_CONF, clear_stage, ensure_checkpoint_dir
     # master from spark-submit, else local; no web UI
     b = (SparkSession.builder.appName(f"ledgerline-{args.query}").config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false"))
@@ -55,9 +55,9 @@ def main(argv=None) -> int:
     else:
         if not args.out:
             ap.error("run needs --out")
-        from ledgerline.sources.sinks import replace_table
-        replace_table(df, args.out)
+        df.write.mode("overwrite").parquet(args.out)
         print(f"wrote {args.out}")
+    clear_stage(spark)
     spark.stop()
     return 0
 

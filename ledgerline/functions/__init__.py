@@ -84,9 +84,14 @@ def month_index(ts_col: Column) -> Column:
     return F.year(ts_col) * 12 + F.month(ts_col) - 1
 
 
+def int_div(a, b) -> Column:
+    """Integral division of whole numbers (``div``), exact over the full BIGINT range."""
+    return F.call_function("div", a, b)
+
+
 def month_label_from_index(idx: Column) -> Column:
     """'yyyy-MM' text for a :func:`month_index` value."""
-    return F.date_format(F.make_date(F.floor(idx / 12).cast("int"), (idx % 12 + 1).cast("int"), F.lit(1)),
+    return F.date_format(F.make_date(int_div(idx, F.lit(12)).cast("int"), (idx % 12 + 1).cast("int"), F.lit(1)),
                          "yyyy-MM")
 
 
@@ -95,20 +100,19 @@ def order_desc(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).desc_nulls_first()
 
 
-def order_asc(c) -> Column:
-    """ASC with NULLs last, as in the reference's ORDER BY ... ASC."""
-    return (F.col(c) if isinstance(c, str) else c).asc_nulls_last()
+def _hash32(cols, seed: int) -> Column:
+    """32 bits of an MD5 digest of ``seed`` and the columns (any SQL engine can state it)."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
+                                                for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
 def hash_choice(values: list, *cols, seed: int = 0) -> Column:
     """Repeatable pick from a fixed list, keyed by column values (replaces a random choice)."""
     arr = F.array(*[F.lit(v) for v in values])
-    idx = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols]),
-                 F.lit(len(values))) + 1
-    return F.element_at(arr, idx.cast("int"))
+    return F.element_at(arr, (_hash32(cols, seed) % F.lit(len(values)) + 1).cast("int"))
 
 
 def hash_int_between(lo: int, hi: int, *cols, seed: int = 0) -> Column:
     """Repeatable integer in [lo, hi) keyed by column values (replaces Random.Next(lo, hi))."""
-    h = F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])
-    return (F.pmod(h, F.lit(hi - lo)) + F.lit(lo)).cast("bigint")
+    return (_hash32(cols, seed) % F.lit(hi - lo) + F.lit(lo)).cast("bigint")

@@ -7,17 +7,17 @@ from .constraints import constraint_report, constraint_violations
 from .defaults import apply_defaults
 from .ids import assign_ids, next_id, next_id_col
 from .oltp import (add_order_items, apply_last_write, apply_loyalty_deltas, check_inventory, create_orders,
-                   create_sessions, end_sessions, lookup_by_key, lookup_customers, lookup_products, place_orders,
+                   create_sessions, end_sessions, lookup_by_key, lookup_by_literals, lookup_customers, lookup_products, place_orders,
                    price_orders, process_transactions, purge_old_orders, record_transactions, restock_inventory,
                    set_customer_type, set_order_status, set_product_price)
-from .reserve import reserve_inventory, reserve_inventory_fold, running_sum
+from .reserve import reserve_inventory, running_sum
 from .upsert import MergeError, upsert
 
 __all__ = [
     "audit_diff", "constraint_report", "constraint_violations", "apply_defaults", "assign_ids", "next_id",
     "next_id_col", "add_order_items", "apply_last_write", "apply_loyalty_deltas", "check_inventory",
-    "create_orders", "create_sessions", "end_sessions", "lookup_by_key", "lookup_customers", "lookup_products",
+    "create_orders", "create_sessions", "end_sessions", "lookup_by_key", "lookup_by_literals", "lookup_customers", "lookup_products",
     "place_orders", "price_orders", "process_transactions", "purge_old_orders", "record_transactions",
     "restock_inventory", "set_customer_type", "set_order_status", "set_product_price", "reserve_inventory",
-    "reserve_inventory_fold", "running_sum", "MergeError", "upsert",
+    "running_sum", "MergeError", "upsert",
 ]

@@ -75,31 +75,48 @@ def constraint_violations(tables: dict) -> DataFrame:
 
 
 def constraint_report(tables: dict) -> DataFrame:
-    """One row per constraint: (constraint_type, constraint_name, violating_rows).
+    """One row per declared constraint of the given tables: (constraint_type, constraint_name, violating_rows).
 
-    All NULL checks of a table share one aggregate (one scan per table);
-    each duplicate check is one map-side-combined group-by on its key; each
-    FK check one anti join of the child's distinct keys.
+    A constraint whose column or parent table is absent is reported with a
+    null count: not checked.  All NULL checks of a table share one aggregate
+    (one scan per table); each duplicate check is one map-side-combined
+    group-by on its key; each FK check one anti join of the child's distinct
+    keys.
     """
-    parts = []
+    spark = next(iter(tables.values())).sparkSession
+    parts, skipped = [], []
     for tb in sorted(k for k in PRIMARY_KEYS if k in tables):
         df = tables[tb]
-        pk = [c for c in PRIMARY_KEYS[tb] if c in df.columns]
-        null_checks = [("PRIMARY_KEY_NULL", f"pk_{tb}_null", c) for c in pk[:1]]
-        null_checks += [("NOT_NULL", f"nn_{tb}_{c}", c) for c in NOT_NULL.get(tb, ()) if c in df.columns]
+        pk = list(PRIMARY_KEYS[tb])
+        have_pk = all(c in df.columns for c in pk)
+        wanted = [("PRIMARY_KEY_NULL", f"pk_{tb}_null", c) for c in pk[:1]]
+        wanted += [("NOT_NULL", f"nn_{tb}_{c}", c) for c in NOT_NULL.get(tb, ())]
+        null_checks = [w for w in wanted if w[2] in df.columns]
+        skipped += [(kind, name) for kind, name, c in wanted if c not in df.columns]
         if null_checks:
             counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"_n{i}") for i, (_, _, c) in enumerate(null_checks)])
             parts.append(counts.select(F.inline(F.array(*[
                 F.struct(F.lit(kind).alias("constraint_type"), F.lit(name).alias("constraint_name"),
                          F.col(f"_n{i}").cast("bigint").alias("violating_rows"))
                 for i, (kind, name, _) in enumerate(null_checks)]))))
-        dup_checks = ([("PRIMARY_KEY", f"pk_{tb}", pk)] if pk else []) + \
-            [("UNIQUE", f"uq_{tb}_{c}", [c]) for c in UNIQUE_KEYS.get(tb, ()) if c in df.columns]
-        for kind, name, cols in dup_checks:
-            parts.append(_total(_dups(df, tb, kind, cols), kind, name))
+        if have_pk:
+            parts.append(_total(_dups(df, tb, "PRIMARY_KEY", pk), "PRIMARY_KEY", f"pk_{tb}"))
+        else:
+            skipped.append(("PRIMARY_KEY", f"pk_{tb}"))
+        for c in UNIQUE_KEYS.get(tb, ()):
+            if c in df.columns:
+                parts.append(_total(_dups(df, tb, "UNIQUE", [c]), "UNIQUE", f"uq_{tb}_{c}"))
+            else:
+                skipped.append(("UNIQUE", f"uq_{tb}_{c}"))
     for ct, cc, pt, pc in FOREIGN_KEYS:
-        if ct in tables and pt in tables and cc in tables[ct].columns:
-            parts.append(_total(_orphans(tables[ct], tables[pt], ct, cc, pt, pc), "FOREIGN_KEY", f"fk_{ct}_{cc}"))
+        if ct in tables:
+            if pt in tables and cc in tables[ct].columns and pc in tables[pt].columns:
+                parts.append(_total(_orphans(tables[ct], tables[pt], ct, cc, pt, pc), "FOREIGN_KEY", f"fk_{ct}_{cc}"))
+            else:
+                skipped.append(("FOREIGN_KEY", f"fk_{ct}_{cc}"))
+    if skipped:
+        parts.append(spark.createDataFrame([(k, n, None) for k, n in skipped],
+                                           "constraint_type string, constraint_name string, violating_rows bigint"))
     return reduce(DataFrame.unionByName, parts)
 
 

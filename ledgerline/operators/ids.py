@@ -13,10 +13,6 @@ counting: range bounds come from sampling, and a second evaluation of an
 input whose row order is not fixed (a join output, a re-run after a lost
 executor) could otherwise cut partitions differently from the counts.
 Gaps never occur; ids are start, start+1, ... in the stated order.
-
-Small batches (at most ``SMALL_BATCH`` rows, checked by counting at most
-``SMALL_BATCH + 1`` rows) take a single-partition ``row_number`` instead:
-the bound is proven before one task is given the whole batch.
 """
 
 from __future__ import annotations
@@ -28,7 +24,6 @@ from pyspark.sql import types as T
 from ..session import materialize
 
 _LOW33 = (1 << 33) - 1
-SMALL_BATCH = 100_000
 
 
 def _sortable(dt: T.DataType) -> bool:
@@ -48,10 +43,9 @@ def assign_ids(df: DataFrame, order_cols, id_col: str = "id", start=1,
     ties = [F.col(f.name) for f in df.schema.fields if f.name not in named and _sortable(f.dataType)]
     order = keys + ties
     base = start if isinstance(start, Column) else F.lit(start)
-    if num_partitions is None and df.limit(SMALL_BATCH + 1).count() <= SMALL_BATCH:
-        rn = F.row_number().over(Window.orderBy(*order))
-        return df.withColumn(id_col, (base + rn - 1).cast("bigint"))
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the copy serves the sampling of range bounds and the sort: the input's plan runs once
+    df = materialize(df, "ids-input")
     tagged = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
                          .withColumn("_mid", F.monotonically_increasing_id()), "ids")
     tagged = (tagged.withColumn("_pid", F.shiftright(F.col("_mid"), 33))
@@ -59,7 +53,7 @@ def assign_ids(df: DataFrame, order_cols, id_col: str = "id", start=1,
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    # offsets has one row per partition: a bounded broadcast
+    # offsets has one row per partition: a bounded broadcast (the window above runs over as many)
     out = tagged.join(F.broadcast(offsets), "_pid")
     return out.withColumn(id_col, (base + F.col("_off") + F.col("_pos")).cast("bigint")) \
         .drop("_mid", "_pid", "_pos", "_off")

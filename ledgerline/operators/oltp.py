@@ -35,24 +35,18 @@ PRODUCT_LOOKUP_COLS = ["product_id", "product_name", "category", "subcategory",
 
 
 # ----------------------------------------------------------------- R3 key lookup
-MAX_INLINE_KEYS = 1000  # above this, a key list travels as a DataFrame and is joined
+def lookup_by_key(table: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``table`` whose ``key`` is among ``keys`` (a DataFrame): a semi join planned by AQE."""
+    return table.join(keys.select(key).distinct(), key, "left_semi")
 
 
-def lookup_by_key(table: DataFrame, key: str, values) -> DataFrame:
-    """Rows of ``table`` whose ``key`` is in ``values``.
+def lookup_by_literals(table: DataFrame, key: str, *values) -> DataFrame:
+    """Rows whose ``key`` equals one of the values written out in the call (a point lookup).
 
-    A short literal list becomes ``key IN (...)``, which reaches the parquet
-    scan (row-group skipping); a DataFrame of keys, or a list longer than
-    ``MAX_INLINE_KEYS``, is a semi join planned by AQE.
+    The predicate ``key IN (...)`` reaches the parquet scan and skips row
+    groups; for key sets that come from data use :func:`lookup_by_key`.
     """
-    if isinstance(values, DataFrame):
-        return table.join(values.select(key).distinct(), key, "left_semi")
-    values = list(values)
-    if len(values) <= MAX_INLINE_KEYS:
-        return table.where(F.col(key).isin(values))
-    spark = table.sparkSession
-    keys = spark.createDataFrame([(v,) for v in values], f"{key} {table.schema[key].dataType.simpleString()}")
-    return table.join(keys.distinct(), key, "left_semi")
+    return table.where(F.col(key).isin(list(values)))
 
 
 # ----------------------------------------------------------------- B1-B3 lookups
@@ -217,7 +211,9 @@ def place_orders(t: dict, order_requests: DataFrame, line_requests: DataFrame, a
     line_requests(request_id, line_no, product_id, quantity).
     As in the reference, a refused reservation does not stop the order.
     Returns the new tables plus ``new_orders`` / ``new_items`` /
-    ``new_transactions`` / ``reservations``.
+    ``new_transactions``; ``reserve()`` runs the reservation and returns the
+    inventory after it and the decisions, so that only callers who want the
+    stock pay for its rounds.
     """
     orders, items, inv, txns = t["orders"], t["order_items"], t["inventory"], t["transactions"]
     new_orders = create_orders(order_requests, next_id(orders, "order_id"), as_of)
@@ -225,8 +221,6 @@ def place_orders(t: dict, order_requests: DataFrame, line_requests: DataFrame, a
     new_items = add_order_items(lines.select("order_id", "line_no", "product_id", "quantity"),
                                 t["products"], next_id(items, "order_item_id") if "order_item_id" in items.columns
                                 else 1)
-    reqs = new_items.select(F.col("order_item_id").alias("seq"), "product_id", "quantity")
-    inv_after, decisions = reserve_inventory(inv, reqs)
     priced = price_orders(new_orders, new_items)
     done = (new_orders.drop("total_amount", "tax_amount", "shipping_cost", "status")
             .join(priced, "order_id")
@@ -241,9 +235,9 @@ def place_orders(t: dict, order_requests: DataFrame, line_requests: DataFrame, a
     return {
         "orders": orders.unionByName(new_order_rows),
         "order_items": items.unionByName(new_items.drop("line_no"), allowMissingColumns=True),
-        "inventory": inv_after,
         "transactions": txns.unionByName(new_tx, allowMissingColumns=True),
-        "new_orders": done, "new_items": new_items, "new_transactions": new_tx, "reservations": decisions,
+        "new_orders": done, "new_items": new_items, "new_transactions": new_tx,
+        "reserve": lambda: reserve_inventory(inv, new_items.select(F.col("order_item_id").alias("seq"), "product_id", "quantity")),
     }
 
 

@@ -15,9 +15,13 @@ requests into one task:
 * every candidate whose running sum fits is accepted; the first that does
   not fit is refused; availability drops by the accepted total and the
   candidates after the refused one are next round's pending requests.
-Each round retires at least one request per still-active inventory row; with
-small order quantities (1-3 units in the workload) two or three rounds
-finish.  Every round is written to the shared checkpoint folder (lineage cut).
+Rounds: a refusal of q leaves less than q available, and larger requests are
+no candidates from then on, so the largest pending quantity of an inventory
+row falls strictly with each round that refuses something.  There are at
+most (number of distinct quantities + 1) rounds; with the workload's 1-3
+units, two or three.  Each round is written once to the shared checkpoint
+folder: its rows carry the stock left, the accepted flag and whether they
+are still pending, so nothing of it is computed again.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import scratch_dir
 
 
 def running_sum(df: DataFrame, key: str, order_col: str, value_col: str, out_col: str,
@@ -46,77 +50,42 @@ def running_sum(df: DataFrame, key: str, order_col: str, value_col: str, out_col
             .withColumn(out_col, F.col("_in") + F.col("_off")).drop("_chunk", "_in", "_off"))
 
 
-def reserve_inventory(inventory: DataFrame, requests: DataFrame, max_rounds: int = 10_000,
-                      chunk: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+def reserve_inventory(inventory: DataFrame, requests: DataFrame, chunk: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
     """Apply reservation requests (seq, product_id, quantity) to every inventory row of the product.
 
     Returns (inventory after, decisions(inventory_id, seq, product_id, quantity, accepted)).
     ``seq`` must be unique and integral (request order).
     """
     spark = inventory.sparkSession
-    ensure_checkpoint_dir(spark)
-    inv_keys = inventory.select("inventory_id", "product_id", F.col("quantity_available").alias("_avail"))
-    pend = (requests.select("seq", "product_id", "quantity")
-            .join(inv_keys.select("inventory_id", "product_id"), "product_id")
-            .select("inventory_id", "seq", "quantity"))
-    # state only for inventory rows that receive requests; the rest never change
-    state = (inv_keys.join(pend.select("inventory_id").distinct(), "inventory_id", "left_semi")
-             .select("inventory_id", "_avail", F.lit(0).cast("bigint").alias("_taken")))
-    accepted_parts = []
-    for _ in range(max_rounds):
-        cand = (pend.join(state.select("inventory_id", "_avail"), "inventory_id")
-                .where(F.col("quantity") <= F.col("_avail")))
-        cs = materialize(running_sum(cand, "inventory_id", "seq", "quantity", "_cum", chunk), "reserve-round")
-        if cs.isEmpty():
-            break
+    asked = (requests.select("seq", "product_id", "quantity")
+             .join(inventory.select("inventory_id", "product_id", F.col("quantity_available").alias("_avail")), "product_id"))
+    root = scratch_dir(spark, "reserve")
+    pend = asked.select("inventory_id", "seq", "quantity", "_avail")
+    n = 0
+    while True:
+        cs = running_sum(pend.where(F.col("quantity") <= F.col("_avail")), "inventory_id", "seq", "quantity", "_cum", chunk)
         fits = F.col("_cum") <= F.col("_avail")
-        acc = cs.where(fits).select("inventory_id", "seq")
-        accepted_parts.append(acc)
-        per_inv = cs.groupBy("inventory_id").agg(
-            F.max(F.when(fits, F.col("_cum"))).alias("_got"),
-            F.min(F.when(~fits, F.col("seq"))).alias("_fail"))
-        state = (state.join(per_inv, "inventory_id", "left")
-                 .select("inventory_id", (F.col("_avail") - F.coalesce(F.col("_got"), F.lit(0))).alias("_avail"),
-                         (F.col("_taken") + F.coalesce(F.col("_got"), F.lit(0))).alias("_taken")))
-        state = materialize(state, "reserve-state")
-        pend = (cs.join(per_inv.select("inventory_id", "_fail"), "inventory_id")
-                .where(F.col("_fail").isNotNull() & (F.col("seq") > F.col("_fail")))
-                .select("inventory_id", "seq", "quantity"))
-        if pend.isEmpty():  # nothing after a refusal: done without another round
+        per_inv = cs.groupBy("inventory_id").agg(F.coalesce(F.max(F.when(fits, F.col("_cum"))), F.lit(0)).alias("_got"),
+                                                 F.min(F.when(~fits, F.col("seq"))).alias("_fail"))
+        path = f"{root}/round={n}"
+        (cs.join(per_inv, "inventory_id")
+         .select("inventory_id", "seq", "quantity", (F.col("_avail") - F.col("_got")).alias("_avail"),
+                 fits.alias("_accepted"), F.coalesce(F.col("seq") > F.col("_fail"), F.lit(False)).alias("_pending"))
+         # a row beyond the refused one is decided in a later round, even if it would have fitted
+         .withColumn("_accepted", F.col("_accepted") & ~F.col("_pending")).write.parquet(path))
+        done = spark.read.parquet(path)
+        pend = done.where("_pending").select("inventory_id", "seq", "quantity", "_avail")
+        n += 1
+        if pend.isEmpty():
             break
-    else:
-        raise RuntimeError("reservation did not converge")
-    after = (inventory.join(state, "inventory_id", "left")
-             .withColumn("quantity_available", F.coalesce(F.col("_avail"), F.col("quantity_available")))
-             .withColumn("quantity_reserved",
-                         F.coalesce(F.col("quantity_reserved"), F.lit(0)) + F.coalesce(F.col("_taken"), F.lit(0)))
+    accepted = spark.read.parquet(root).where("_accepted").select("inventory_id", "seq", "quantity")
+    taken = accepted.groupBy("inventory_id").agg(F.sum("quantity").alias("_taken"))
+    got = F.coalesce(F.col("_taken"), F.lit(0))
+    after = (inventory.join(taken, "inventory_id", "left")
+             .withColumn("quantity_available", F.col("quantity_available") - got)
+             .withColumn("quantity_reserved", F.coalesce(F.col("quantity_reserved"), F.lit(0)) + got)
              .select(*inventory.columns))
-    all_req = (requests.select("seq", "product_id", "quantity")
-               .join(inv_keys.select("inventory_id", "product_id"), "product_id"))
-    if accepted_parts:
-        acc_all = accepted_parts[0]
-        for p in accepted_parts[1:]:
-            acc_all = acc_all.unionByName(p)
-        acc_all = acc_all.withColumn("accepted", F.lit(True))
-        decisions = all_req.join(acc_all, ["inventory_id", "seq"], "left")
-    else:
-        decisions = all_req.withColumn("accepted", F.lit(None).cast("boolean"))
-    decisions = decisions.select("inventory_id", "seq", "product_id", "quantity",
-                                 F.coalesce(F.col("accepted"), F.lit(False)).alias("accepted"))
+    decisions = (asked.join(accepted.select("inventory_id", "seq", F.lit(True).alias("accepted")), ["inventory_id", "seq"], "left")
+                 .select("inventory_id", "seq", "product_id", "quantity",
+                         F.coalesce(F.col("accepted"), F.lit(False)).alias("accepted")))
     return after, decisions
-
-
-def reserve_inventory_fold(inventory: DataFrame, requests: DataFrame) -> DataFrame:
-    """Test oracle: the literal ordered fold over each inventory row's request list."""
-    reqs = (requests.groupBy("product_id")
-            .agg(F.array_sort(F.collect_list(F.struct("seq", "quantity"))).alias("_r")))
-    j = inventory.join(reqs, "product_id", "left")
-    folded = F.aggregate(
-        F.coalesce(F.col("_r"), F.array().cast("array<struct<seq:bigint,quantity:bigint>>")),
-        F.struct(F.col("quantity_available").cast("bigint").alias("a"),
-                 F.coalesce(F.col("quantity_reserved"), F.lit(0)).cast("bigint").alias("r")),
-        lambda acc, x: F.when(acc["a"] >= x["quantity"],
-                              F.struct((acc["a"] - x["quantity"]).alias("a"), (acc["r"] + x["quantity"]).alias("r")))
-        .otherwise(acc))
-    return (j.withColumn("_f", folded).withColumn("quantity_available", F.col("_f.a"))
-            .withColumn("quantity_reserved", F.col("_f.r")).select(*inventory.columns))

@@ -1,8 +1,10 @@
 """MERGE as a set operation (matched -> update some columns, not matched -> insert).
 
-A left join of target and source updates matched rows; a left-anti join of
-the source against the target's keys finds the new rows.  NULL keys never
-match (plain equality), as in the reference.  Each
+One full outer join of target and source, with presence flags, decides every
+row: both present -> update, target only -> kept, source only -> new.  Its
+result is written once, so target and source are each evaluated once; the
+kept rows, the new rows and the largest id are all read from that copy.
+NULL keys never match (plain equality), as in the reference.  Each
 target row may match at most one source row; the reference database raises
 otherwise, and so do we (``check_unique``).  New rows get surrogate ids
 after the current maximum.  Columns neither updated nor inserted take the
@@ -16,6 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .defaults import default_value
 from .ids import assign_ids, next_id_col
 
@@ -46,38 +49,28 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update_cols: l
     if check_unique:  # skip only when the source is grouped by exactly the merge keys
         check_unique_keys(source, keys)
     src_cols = list(dict.fromkeys(keys + update_cols + insert_cols))
+    t = target.select(*[F.col(c).alias(f"_t_{c}") for c in target.columns]).withColumn("_t", F.lit(True))
     s = source.select(*[F.col(c).alias(f"_s_{c}") for c in src_cols]).withColumn("_s", F.lit(True))
-    cond = None
-    for k in keys:
-        c = target[k] == s[f"_s_{k}"]
-        cond = c if cond is None else cond & c
-    # matched rows take the source values, the rest of the target is kept as is
+    cond = reduce(lambda a, b: a & b, [F.col(f"_t_{k}") == F.col(f"_s_{k}") for k in keys])
+    both = materialize(t.join(s, cond, "full_outer"), "upsert")
+
     matched = F.col("_s").isNotNull()
-    kept = target.join(s, cond, "left").select(*[
-        (F.when(matched, F.col(f"_s_{c}")).otherwise(F.col(c)) if c in update_cols else F.col(c))
+    kept = both.where(F.col("_t").isNotNull()).select(*[
+        (F.when(matched, F.col(f"_s_{c}")).otherwise(F.col(f"_t_{c}")) if c in update_cols else F.col(f"_t_{c}"))
         .cast(target.schema[c].dataType).alias(c) for c in target.columns])
 
-    # source rows without a partner (NULL keys never have one) become new rows;
-    # only the target's key columns take part in this anti join
-    tkeys = target.select(*[F.col(k).alias(f"_t_{k}") for k in keys])
-    anti = None
-    for k in keys:
-        c = F.col(f"_s_{k}") == F.col(f"_t_{k}")
-        anti = c if anti is None else anti & c
-    new = s.join(tkeys, anti, "left_anti")
     new_cols = []
     for f in target.schema.fields:
         c = f.name
         if c in insert_cols:
             e = F.col(f"_s_{c}")
         elif c == id_col:
-            e = F.lit(None)
+            continue
         else:
             e = default_value(table, c, as_of) if table else F.lit(None)
         new_cols.append(e.cast(f.dataType).alias(c))
-    new = new.select(*new_cols)
+    new = both.where(F.col("_t").isNull()).select(*new_cols)
     if id_col:
-        start = next_id_col(target, id_col)
-        new = assign_ids(new.drop(id_col), keys, id_col=id_col, start=start)
-        new = new.select(*[F.col(f.name).cast(f.dataType) for f in target.schema.fields])
-    return kept.unionByName(new)
+        start = next_id_col(both.select(F.col(f"_t_{id_col}").alias(id_col)), id_col)
+        new = assign_ids(new, keys, id_col=id_col, start=start)
+    return kept.unionByName(new.select(*[F.col(f.name).cast(f.dataType) for f in target.schema.fields]))

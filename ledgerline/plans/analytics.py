@@ -22,7 +22,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import (add_months_sticky, as_timestamp, day_start, lit_ts, month_index,
+from ..functions import (add_months_sticky, as_timestamp, day_start, int_div, lit_ts, month_index,
                          month_label_from_index, concat_null_as_empty, order_desc)
 from ..session import materialize
 from ..sources.fixtures import AS_OF
@@ -88,7 +88,7 @@ def customer_retention(t, as_of=AS_OF, months: int = 12) -> DataFrame:
                                            F.sum("nxt").cast("bigint").alias("customers_next_month"))
     n, k = F.col("customers_this_month"), F.col("customers_next_month")
     # ROUND(k*100/n, 2) in exact integer arithmetic: hundredths, half up
-    hundredths = F.when(n != 0, F.floor((F.lit(20000) * k + n) / (F.lit(2) * n)))
+    hundredths = F.when(n != 0, int_div(F.lit(20000) * k + n, F.lit(2) * n))
     rate = (hundredths.cast("decimal(38,0)") * F.lit(0.01).cast("decimal(3,2)")).cast("decimal(10,2)")
     return (per_month.select(month_label_from_index(F.col("month")).alias("month"), "customers_this_month",
                              "customers_next_month", rate.alias("retention_rate"))
@@ -154,15 +154,17 @@ def customer_activity(t, as_of=AS_OF, days: int = 90, limit: int | None = 100) -
     lo = as_timestamp(as_of) - _dt.timedelta(days=days)
     c = t["customers"].select("customer_id", concat_null_as_empty("first_name", F.lit(" "), "last_name")
                               .alias("customer_name"))
-    o = _orders_since(t, lo, "order_id", "customer_id").join(c.select("customer_id"), "customer_id", "left_semi")
+    o = _orders_since(t, lo, "order_id", "customer_id")
     if limit is not None:
-        first = o.select("customer_id").distinct().orderBy("customer_id").limit(limit)
-        o = o.join(F.broadcast(first), "customer_id")  # at most `limit` keys
-    items = t["order_items"].join(o.select("order_id"), "order_id", "left_semi").select("order_id", "quantity")
-    per_order = (o.join(items, "order_id", "left")
-                 .groupBy("customer_id", "order_id").agg(F.sum("quantity").alias("_q")))
-    per_cust = per_order.groupBy("customer_id").agg(F.count(F.lit(1)).alias("order_count"),
-                                                    F.sum("_q").cast("bigint").alias("total_items"))
+        # ids in order: the last of the first `limit` customers with orders is a literal for the scan
+        last = (o.select("customer_id").distinct().join(c.select("customer_id"), "customer_id", "left_semi")
+                .orderBy("customer_id").limit(limit).agg(F.max("customer_id")).first()[0])
+        o = o.where(F.col("customer_id") <= F.lit(last))
+        c = c.where(F.col("customer_id") <= F.lit(last))
+    items = t["order_items"].select("order_id", "quantity").join(o.select("order_id"), "order_id", "left_semi")
+    per_item = items.groupBy("order_id").agg(F.sum("quantity").alias("_q"))
+    per_cust = o.join(per_item, "order_id", "left").groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("order_count"), F.sum("_q").cast("bigint").alias("total_items"))
     return (per_cust.join(c, "customer_id").select("customer_id", "customer_name", "order_count", "total_items")
             .orderBy("customer_id"))
 
@@ -189,10 +191,6 @@ Q1_COLUMNS = [
 ]
 
 
-# Largest candidate prefix taken by a top-k; beyond it Q1 weighs all customers.
-Q1_MAX_CANDIDATES = 1_000_000
-
-
 def _q1_order_weights(t, o: DataFrame, items: DataFrame, dedup: bool) -> DataFrame:
     """Rows of the 6-way join per order of ``o``, without building the join.
 
@@ -223,55 +221,31 @@ def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
     windows (joined-row count, lifetime value, rank by order date), sorted by
     customer, newest order, largest line; the first ``limit`` rows.
 
-    Plan (touches only the customers that can appear; no window over the
-    full join, no hot partition, no unbounded sort):
-    1. candidate (customer, order time) groups from ``orders`` alone: a
-       distributed top-k in output order.  Their customers form a prefix of
-       all customers by id;
-    2. those customers' item lines are written once to the shared checkpoint
-       folder (one filtered pass over order_items, which is never aggregated
-       in full); join multiplicities (items x warehouses x payments) per
-       order, summed per group, are written next to them;
-    3. exactness check: if those customers' rows reach ``limit`` (or the
-       candidates cover every customer), every group that can appear is
-       among them; otherwise the candidate count grows and step 2 repeats;
-    4. the first ``limit`` groups (each holds >= 1 row) by a top-k, running
-       positions and ranks as windows over at most ``limit`` rows, lifetime
-       totals for the surviving customers, then their detail rows and the
-       final ordered top-k.
+    One plan for every size; no window over the full join, no unbounded sort:
+    1. (customer, order time) groups of orders that have a line with a known
+       product, so each holds one row at least; the customer id of the last
+       of the first ``limit`` groups, taken once, is a literal that bounds
+       the scan of orders from then on;
+    2. join multiplicities (items x warehouses x payments) of those
+       customers' orders, from order and product ids alone, summed per group
+       and written once;
+    3. the first ``limit`` groups by a top-k, running positions and ranks as
+       windows over at most ``limit`` rows, lifetime totals, then the detail
+       rows of the chosen groups only and the final ordered top-k.
     """
     lo = add_months_sticky(as_of, -months)
     o = (_orders_since(t, lo, "order_id", "customer_id", "order_date", "total_amount", "status", "payment_method")
          .join(t["customers"].select("customer_id"), "customer_id", "left_semi"))
-    g0 = o.select("customer_id", "order_date").distinct()
     item_cols = ["order_id", "product_id", "quantity", "unit_price", "subtotal"]
-
-    def day_weights(orders, items):
-        ow = _q1_order_weights(t, orders, items, dedup)
-        return materialize(ow.groupBy("customer_id", "order_date").agg(
-            F.sum("_rows").alias("_g"), F.sum(F.col("total_amount") * F.col("_rows")).alias("_v")),
-            "q1-day-weights")
-
-    k = max(limit, 1)
-    while True:
-        if k > Q1_MAX_CANDIDATES:
-            # a prefix this long is no cheaper than everything: one exact, fully
-            # distributed round over all customers instead of a huge top-k
-            orders, items = o, t["order_items"].select(*item_cols)
-            cd = day_weights(orders, items)
-            break
-        cand = g0.orderBy(F.col("customer_id").asc(), F.col("order_date").desc()).limit(k)
-        # every customer up to the last candidate's id (a prefix), selected by a scalar
-        # subquery; the prefix's item lines are written once and serve both the
-        # weights and the detail rows (one filtered pass over order_items)
-        last_id = cand.agg(F.max("customer_id")).scalar()
-        orders = o.where(F.col("customer_id") <= last_id)
-        items = materialize(t["order_items"].join(orders.select("order_id"), "order_id", "left_semi")
-                            .select(*item_cols), "q1-items")
-        cd = day_weights(orders, items)
-        if (cd.agg(F.sum("_g")).first()[0] or 0) >= limit or cand.count() < k:
-            break
-        k *= 4
+    known = t["order_items"].select("order_id", "product_id").join(t["products"].select("product_id"), "product_id", "left_semi")
+    live = o.select("order_id", "customer_id", "order_date").join(known.select("order_id"), "order_id", "left_semi")
+    last_id = (live.select("customer_id", "order_date").distinct()
+               .orderBy(F.col("customer_id").asc(), F.col("order_date").desc()).limit(max(limit, 1))
+               .agg(F.max("customer_id")).first()[0])
+    orders = o.where(F.col("customer_id") <= F.lit(last_id))
+    lines = t["order_items"].join(orders.select("order_id"), "order_id", "left_semi").select("order_id", "product_id")
+    cd = materialize(_q1_order_weights(t, orders, lines, dedup).groupBy("customer_id", "order_date").agg(
+        F.sum("_rows").alias("_g"), F.sum(F.col("total_amount") * F.col("_rows")).alias("_v")), "q1-day-weights")
 
     first = cd.orderBy(F.col("customer_id").asc(), F.col("order_date").desc()).limit(limit)
     w_all = (Window.orderBy(F.col("customer_id").asc(), F.col("order_date").desc())
@@ -281,8 +255,7 @@ def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
     first = (first.withColumn("_gbefore", F.coalesce(F.sum("_g").over(w_all), F.lit(0)))
              .withColumn("_before", F.coalesce(F.sum("_g").over(w_c), F.lit(0)))
              .where(F.col("_gbefore") < limit))
-    keep = F.broadcast(first.select("customer_id").distinct())  # at most `limit` keys
-    totals = cd.join(keep, "customer_id").groupBy("customer_id").agg(
+    totals = cd.join(first.select("customer_id").distinct(), "customer_id").groupBy("customer_id").agg(
         F.sum("_g").alias("customer_total_orders"),
         F.sum("_v").cast(DEC).alias("customer_lifetime_value"))
     groups = first.join(totals, "customer_id").select(
@@ -293,11 +266,11 @@ def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
                       F.col("total_amount").alias("order_total"), "payment_method")
     c = t["customers"].select("customer_id", concat_null_as_empty("first_name", F.lit(" "), "last_name")
                               .alias("customer_name"), "email", "customer_type", "loyalty_points")
-    sel = o.join(F.broadcast(groups), ["customer_id", "order_date"])
+    sel = o.join(groups, ["customer_id", "order_date"])
     sel_ids = sel.select("order_id")
     # semi joins on the raw key first: the filter lands below the items/payments
     # projections, so only the selected orders' lines are priced and joined
-    i = items.join(sel_ids, "order_id", "left_semi").select(*item_cols)
+    i = t["order_items"].join(sel_ids, "order_id", "left_semi").select(*item_cols)
     p = t["products"].select("product_id", "product_name", F.col("category").alias("product_category"))
     inv = t["inventory"].select("product_id", "inventory_id",
                                 F.col("quantity_available").alias("inventory_available"))
@@ -320,35 +293,3 @@ def customer_order_detail(t, as_of=AS_OF, months: int = 24, limit: int = 500,
              F.col("unit_price").asc(), F.col("inventory_id").asc_nulls_last(),
              F.col("transaction_id").asc_nulls_last()]
     return detail.orderBy(*order).limit(limit).select(*Q1_COLUMNS)
-
-
-def customer_order_detail_bruteforce(t, as_of=AS_OF, months: int = 24, limit: int = 500) -> DataFrame:
-    """The literal plan (full join + windows); test oracle for small data only."""
-    lo = add_months_sticky(as_of, -months)
-    o = _orders_since(t, lo)
-    j = (t["customers"].join(o, "customer_id").join(t["order_items"].select(
-            "order_id", "product_id", "quantity", "unit_price", "subtotal"), "order_id")
-         .join(t["products"].select("product_id", "product_name", F.col("category").alias("product_category")),
-               "product_id")
-         .join(t["inventory"].select("product_id", "inventory_id",
-                                     F.col("quantity_available").alias("inventory_available")), "product_id", "left")
-         .join(t["transactions"].select("order_id", "transaction_id", F.col("status").alias("transaction_status"),
-                                        "payment_gateway"), "order_id", "left"))
-    w = Window.partitionBy("customer_id")
-    recent, moderate = add_months_sticky(as_of, -1), add_months_sticky(as_of, -6)
-    j = j.select(
-        "*", concat_null_as_empty("first_name", F.lit(" "), "last_name").alias("customer_name"),
-        F.count(F.lit(1)).over(w).alias("customer_total_orders"),
-        F.sum("total_amount").over(w).cast(DEC).alias("customer_lifetime_value"),
-        F.rank().over(w.orderBy(order_desc("order_date"))).cast("bigint").alias("customer_order_rank"),
-        F.col("status").alias("order_status"), F.col("total_amount").alias("order_total"))
-    ltv = F.col("customer_lifetime_value")
-    j = j.withColumn("order_recency", F.when(F.col("order_date") >= lit_ts(recent), "RECENT")
-                     .when(F.col("order_date") >= lit_ts(moderate), "MODERATE").otherwise("OLD")) \
-         .withColumn("customer_value_segment", F.when(ltv >= 1000, "HIGH_VALUE").when(ltv >= 500, "MEDIUM_VALUE")
-                     .otherwise("LOW_VALUE"))
-    order = [F.col("customer_id").asc(), order_desc("order_date"), order_desc("subtotal"),
-             F.col("order_id").asc(), F.col("product_id").asc(), F.col("quantity").asc(),
-             F.col("unit_price").asc(), F.col("inventory_id").asc_nulls_last(),
-             F.col("transaction_id").asc_nulls_last()]
-    return j.orderBy(*order).limit(limit).select(*Q1_COLUMNS)

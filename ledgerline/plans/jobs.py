@@ -6,7 +6,8 @@ them) and applies one operator from :mod:`ledgerline.operators`:
 * lookups (B1-B3): ids touched by last week's orders;
 * loyalty (B4): one point per 10 currency units of each order of the last 30 days;
 * restock (B8): the units sold in the last 30 days, put back;
-* reservation (B7): every order line, in line order, against the stock;
+* reservation (B7): every order line, in line order, against a stock cut to
+  below 60 units, so that many are refused;
 * pricing (B11): every order re-priced from its lines;
 * order placement (B13): last week's orders replayed as new requests;
 * payment status (B12): each order's status from its latest payment attempt;
@@ -18,6 +19,7 @@ them) and applies one operator from :mod:`ledgerline.operators`:
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ from ..functions import as_timestamp, lit_ts
 from ..operators import oltp as B
 from ..operators.audit import audit_diff
 from ..operators.constraints import constraint_report
-from ..operators.ids import assign_ids
+from ..operators.ids import assign_ids, next_id_col
 from ..operators.reserve import reserve_inventory
 from ..sources.fixtures import AS_OF, SESSION_AS_OF
 
@@ -78,24 +80,61 @@ def line_requests(t) -> DataFrame:
     return assign_ids(i, ["order_id", "product_id", "quantity", "unit_price", "subtotal"], id_col="seq")
 
 
+def scarce_inventory(t) -> DataFrame:
+    """The stock cut to below 60 units a row, so that the order lines meet many refusals."""
+    return t["inventory"].withColumn("quantity_available", (F.col("quantity_available") % 60).cast("bigint"))
+
+
 def reserve_job(t) -> DataFrame:
-    after, _ = reserve_inventory(t["inventory"], line_requests(t).select("seq", "product_id", "quantity"))
+    after, _ = reserve_inventory(scarce_inventory(t), line_requests(t).select("seq", "product_id", "quantity"))
     return after.select("inventory_id", "product_id", "quantity_available", "quantity_reserved")
 
 
+def reserve_decisions_job(t) -> DataFrame:
+    return reserve_inventory(scarce_inventory(t), line_requests(t).select("seq", "product_id", "quantity"))[1]
+
+
+def lookup_latest_orders_job(t) -> DataFrame:
+    """The rows of each customer's latest order, looked up by key."""
+    keys = t["orders"].groupBy("customer_id").agg(F.max(F.struct("order_date", "order_id")).alias("last")).select(
+        F.col("last.order_id").alias("order_id"))
+    return B.lookup_by_key(t["orders"], "order_id", keys)
+
+
 def price_orders_job(t) -> DataFrame:
     return B.price_orders(t["orders"], t["order_items"])
 
 
-def place_orders_job(t, as_of=AS_OF, days: int = 7) -> DataFrame:
+def _placed(t, as_of=AS_OF, days: int = 7, stock=None) -> dict:
     recent = _recent_orders(t, days, as_of)
     reqs = recent.select(F.col("order_id").alias("request_id"), "customer_id", "payment_method")
     lines = (t["order_items"].select(F.col("order_id").alias("request_id"), "product_id", "quantity", "subtotal")
              .join(reqs.select("request_id"), "request_id"))
     lines = assign_ids(lines, ["request_id", "product_id", "quantity", "subtotal"], id_col="line_no")
-    out = B.place_orders(t, reqs, lines.select("request_id", "line_no", "product_id", "quantity"), as_of)
-    return out["new_orders"].select("order_id", "customer_id", "order_date", "status", "total_amount", "tax_amount",
-                                    "shipping_cost", "payment_method")
+    tables = {k: t[k] for k in ("orders", "order_items", "inventory", "transactions", "products")}
+    if stock is not None:
+        tables["inventory"] = stock
+    return B.place_orders(tables, reqs, lines.select("request_id", "line_no", "product_id", "quantity"), as_of)
+
+
+def place_orders_job(t, as_of=AS_OF, days: int = 7) -> DataFrame:
+    return _placed(t, as_of, days)["new_orders"].select("order_id", "customer_id", "order_date", "status", "total_amount",
+                                                        "tax_amount", "shipping_cost", "payment_method")
+
+
+def placed_items_job(t, as_of=AS_OF, days: int = 7) -> DataFrame:
+    return _placed(t, as_of, days)["new_items"].select("order_item_id", "order_id", "product_id", "quantity", "unit_price",
+                                                       "subtotal")
+
+
+def placed_payments_job(t, as_of=AS_OF, days: int = 7) -> DataFrame:
+    return _placed(t, as_of, days)["new_transactions"].select("transaction_id", "order_id", "amount", "payment_gateway", "status")
+
+
+def placed_stock_job(t, as_of=AS_OF, days: int = 7) -> DataFrame:
+    """Stock after last week's orders were placed against the scarce stock."""
+    return _placed(t, as_of, days, scarce_inventory(t))["reserve"]()[0].select(
+        "inventory_id", "product_id", "quantity_available", "quantity_reserved")
 
 
 def payment_status_job(t) -> DataFrame:
@@ -120,21 +159,34 @@ def product_price_job(t) -> DataFrame:
 
 
 def purge_job(t, as_of=AS_OF, days: int = 90) -> DataFrame:
-    out = B.purge_old_orders(t["orders"], t["order_items"], t["transactions"], as_of, days)
+    """Rows before, after and deleted of each table: one conditional count a table."""
+    doomed = B.purge_old_orders(t["orders"], t["order_items"], t["transactions"], as_of, days)["deleted_orders"].select(
+        F.col("order_id").alias("doomed"))
     parts = []
-    for name, before in (("orders", t["orders"]), ("order_items", t["order_items"]),
-                         ("transactions", t["transactions"])):
-        parts.append(before.agg(F.count(F.lit(1)).alias("rows_before")).select(
-            F.lit(name).alias("table_name"), "rows_before", F.lit(0).cast("bigint").alias("rows_after")))
-        parts.append(out[name].agg(F.count(F.lit(1)).alias("rows_after")).select(
-            F.lit(name).alias("table_name"), F.lit(0).cast("bigint").alias("rows_before"), "rows_after"))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return (u.groupBy("table_name").agg(F.sum("rows_before").alias("rows_before"), F.sum("rows_after").alias("rows_after"))
-            .select("table_name", F.col("rows_before").cast("bigint").alias("rows_before"),
-                    F.col("rows_after").cast("bigint").alias("rows_after"),
-                    (F.col("rows_before") - F.col("rows_after")).cast("bigint").alias("rows_deleted")))
+    for name in ("orders", "order_items", "transactions"):
+        per = t[name].groupBy("order_id").agg(F.count(F.lit(1)).alias("n"))
+        gone = F.col("doomed").isNotNull()
+        parts.append(per.join(doomed, F.col("order_id") == F.col("doomed"), "left").agg(
+            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows_before"),
+            F.coalesce(F.sum(F.when(~gone, F.col("n"))), F.lit(0)).cast("bigint").alias("rows_after"),
+            F.coalesce(F.sum(F.when(gone, F.col("n"))), F.lit(0)).cast("bigint").alias("rows_deleted"))
+            .select(F.lit(name).alias("table_name"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def purged_orders_job(t, as_of=AS_OF, days: int = 90) -> DataFrame:
+    return B.purge_old_orders(t["orders"], t["order_items"], t["transactions"], as_of, days)["orders"].select(
+        "order_id", "customer_id", "status", "total_amount")
+
+
+def purged_items_job(t, as_of=AS_OF, days: int = 90) -> DataFrame:
+    return B.purge_old_orders(t["orders"], t["order_items"], t["transactions"], as_of, days)["order_items"].select(
+        "order_id", "product_id", "quantity", "unit_price", "subtotal")
+
+
+def purged_transactions_job(t, as_of=AS_OF, days: int = 90) -> DataFrame:
+    return B.purge_old_orders(t["orders"], t["order_items"], t["transactions"], as_of, days)["transactions"].select(
+        "transaction_id", "order_id", "amount", "status")
 
 
 def end_idle_sessions_job(t, as_of=SESSION_AS_OF, idle_hours: int = 12) -> DataFrame:
@@ -149,14 +201,14 @@ def create_sessions_job(t, as_of=SESSION_AS_OF) -> DataFrame:
     reqs = (t["sessions"].where(F.col("login_time") >= lit_ts(last_day)).select("customer_id").distinct()
             .select(F.col("customer_id").alias("request_id"), "customer_id"))
     return B.create_sessions(reqs, as_of).select("session_id", "customer_id", "login_time", "last_activity",
-                                                 "is_active")
+                                                 "ip_address", "is_active")
 
 
 def process_payments_job(t, as_of=AS_OF, days: int = 7) -> DataFrame:
     ids = _recent_orders(t, days, as_of).select("order_id")
-    start = t["transactions"].agg(F.max("transaction_id")).first()[0] + 1
+    start = next_id_col(t["transactions"], "transaction_id")
     return B.process_transactions(ids, start, as_of).select(
-        "transaction_id", "order_id", "transaction_type", "status", "currency", "processed_at")
+        "transaction_id", "order_id", "transaction_type", "amount", "payment_gateway", "status", "currency", "processed_at")
 
 
 def audit_loyalty_job(t, as_of=AS_OF, days: int = 30) -> DataFrame:
@@ -165,6 +217,23 @@ def audit_loyalty_job(t, as_of=AS_OF, days: int = 30) -> DataFrame:
     return audit_diff(before, after, "customer_id", "CUSTOMERS", as_of=as_of)
 
 
+def broken_tables(t) -> dict:
+    """The shop tables with violations derived from their own rows; a price column is absent."""
+    c, p = t["customers"], t["products"]
+    return {"customers": c.where("customer_id % 7 <> 0").withColumn(
+                "email", F.when(F.col("customer_id") % 11 == 0, None).when(F.col("customer_id") % 13 == 0, "same@example.com")
+                .otherwise(F.col("email"))),
+            "products": p.unionByName(p.where("product_id % 50 = 0")).drop("price"),
+            "inventory": t["inventory"].withColumn("product_id", F.when(F.col("product_id") % 17 != 0, F.col("product_id"))),
+            "orders": t["orders"], "order_items": t["order_items"].where("product_id % 3 <> 0 OR order_id % 2 = 0"),
+            "transactions": t["transactions"].withColumn("order_id", F.col("order_id") + F.when(
+                F.col("order_id") % 10 == 3, F.lit(100_000_000)).otherwise(F.lit(0)))}
+
+
+def broken_constraint_report_job(t) -> DataFrame:
+    return constraint_report(broken_tables(t))
+
+
 def constraint_report_job(t) -> DataFrame:
     return constraint_report({"customers": t["customers"], "products": t["products"],
                               "inventory": t["inventory"], "orders": t["orders"],

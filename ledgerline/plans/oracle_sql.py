@@ -1,9 +1,8 @@
 """DuckDB twins of the registered queries (correctness oracle).
 
-Each text is a literal translation of the reference statement (windows,
-scalar subqueries, COUNT DISTINCT and outer joins as written), run on the
-raw driver tables with the shop mapping inlined as CTEs.  Result columns are
-cast to the same types the Spark plans produce.
+Each text states the result described in SURVEY §2 in a formulation of its
+own, run on the raw driver tables with the shop mapping inlined as CTEs.
+Result columns are cast to the same types the Spark plans produce.
 """
 
 from __future__ import annotations
@@ -46,21 +45,17 @@ GROUP BY CAST(o.order_date AS DATE)
 ORDER BY order_day DESC""")
 
 ORACLE["customer_retention"] = _q(["shop_orders"], f""",
-monthly_customers AS (
-  SELECT strftime(o.order_date, '%Y-%m') AS month, o.customer_id
-  FROM shop_orders o WHERE o.order_date >= {TS} - INTERVAL 12 MONTH
-  GROUP BY strftime(o.order_date, '%Y-%m'), o.customer_id),
-retention_calc AS (
-  SELECT mc1.month, COUNT(DISTINCT mc1.customer_id) AS customers_this_month,
-         COUNT(DISTINCT mc2.customer_id) AS customers_next_month
-  FROM monthly_customers mc1 LEFT JOIN monthly_customers mc2
-    ON mc2.month = strftime(strptime(mc1.month, '%Y-%m') + INTERVAL 1 MONTH, '%Y-%m')
-   AND mc1.customer_id = mc2.customer_id
-  GROUP BY mc1.month)
-SELECT month, customers_this_month, customers_next_month,
-       CAST(CAST((20000 * customers_next_month + customers_this_month) // NULLIF(2 * customers_this_month, 0)
-            AS DECIMAL(38,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(10,2)) AS retention_rate
-FROM retention_calc ORDER BY month DESC""")
+active AS (
+  SELECT DISTINCT customer_id AS who, date_trunc('month', order_date) AS m
+  FROM shop_orders WHERE order_date >= {TS} - INTERVAL 12 MONTH),
+came_back AS (
+  SELECT m, (who, m + INTERVAL 1 MONTH) IN (SELECT (who, CAST(m AS TIMESTAMP)) FROM active) AS again FROM active),
+counted AS (
+  SELECT m, COUNT(*) AS n, COUNT(*) FILTER (WHERE again) AS k FROM came_back GROUP BY m)
+SELECT strftime(m, '%Y-%m') AS month, n AS customers_this_month, k AS customers_next_month,
+       CAST(CAST((20000 * k + n) // NULLIF(2 * n, 0) AS DECIMAL(38,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(10,2))
+         AS retention_rate
+FROM counted ORDER BY m DESC""")
 
 ORACLE["product_performance"] = _q(["products", "order_items", "shop_orders"], f"""
 SELECT p.product_id, p.product_name, p.category,
@@ -99,33 +94,54 @@ FROM session_data s JOIN customers c ON s.customer_id = c.customer_id
 WHERE c.customer_type IN ('PREMIUM', 'VIP')
 GROUP BY c.customer_type""")
 
-ORACLE["customer_order_detail"] = _q(
-    ["customers", "shop_orders", "order_items", "products", "inventory", "transactions"], f"""
-SELECT c.customer_id,
-  concat(c.first_name, ' ', c.last_name) AS customer_name, c.email, c.customer_type, c.loyalty_points,
-  COUNT(*) OVER (PARTITION BY c.customer_id) AS customer_total_orders,
-  CAST(SUM(o.total_amount) OVER (PARTITION BY c.customer_id) AS DECIMAL(38,2)) AS customer_lifetime_value,
-  CAST(RANK() OVER (PARTITION BY c.customer_id ORDER BY o.order_date DESC NULLS FIRST) AS BIGINT) AS customer_order_rank,
-  o.order_id, o.order_date, o.status AS order_status, o.total_amount AS order_total, o.payment_method,
-  oi.product_id, p.product_name, p.category AS product_category, oi.quantity, oi.unit_price, oi.subtotal,
-  inv.quantity_available AS inventory_available, t.transaction_id, t.status AS transaction_status, t.payment_gateway,
-  CASE WHEN o.order_date >= {TS} - INTERVAL 1 MONTH THEN 'RECENT'
-       WHEN o.order_date >= {TS} - INTERVAL 6 MONTH THEN 'MODERATE' ELSE 'OLD' END AS order_recency,
-  CASE WHEN SUM(o.total_amount) OVER (PARTITION BY c.customer_id) >= 1000 THEN 'HIGH_VALUE'
-       WHEN SUM(o.total_amount) OVER (PARTITION BY c.customer_id) >= 500 THEN 'MEDIUM_VALUE'
-       ELSE 'LOW_VALUE' END AS customer_value_segment
-FROM customers c
-JOIN shop_orders o ON c.customer_id = o.customer_id
-JOIN order_items oi ON o.order_id = oi.order_id
-JOIN products p ON oi.product_id = p.product_id
-LEFT JOIN inventory inv ON p.product_id = inv.product_id
-LEFT JOIN transactions t ON o.order_id = t.order_id
-WHERE o.order_date >= {TS} - INTERVAL 24 MONTH
-ORDER BY c.customer_id, o.order_date DESC NULLS FIRST, oi.subtotal DESC NULLS FIRST, o.order_id, oi.product_id,
-  oi.quantity, oi.unit_price, inv.inventory_id NULLS LAST, t.transaction_id NULLS LAST
+_RECENCY = f"""CASE WHEN order_date < {TS} - INTERVAL 6 MONTH THEN 'OLD'
+       WHEN order_date < {TS} - INTERVAL 1 MONTH THEN 'MODERATE' ELSE 'RECENT' END"""
+
+
+def _value(v: str) -> str:
+    return f"CASE WHEN {v} >= 1000 THEN 'HIGH_VALUE' WHEN {v} >= 500 THEN 'MEDIUM_VALUE' ELSE 'LOW_VALUE' END"
+
+
+def _order_detail(per_row: bool) -> str:
+    """Q1: how often each order appears, totals and ranks from those counts, and the lines of the first orders.
+
+    ``per_row`` counts joined rows (as the statement does), else orders.
+    """
+    times = "l.copies * greatest(COALESCE(y.n, 0), 1)" if per_row else "1"
+    return _q(["customers", "shop_orders", "order_items", "products", "inventory", "transactions"], f""",
+stock AS (SELECT product_id, COUNT(*) AS n FROM inventory GROUP BY product_id),
+paid AS (SELECT order_id, COUNT(*) AS n FROM transactions GROUP BY order_id),
+line_count AS (
+  SELECT i.order_id, SUM(COALESCE(s.n, 1)) AS copies FROM order_items i LEFT JOIN stock s USING (product_id)
+  WHERE i.product_id IN (SELECT product_id FROM products) GROUP BY i.order_id),
+seen AS (
+  SELECT o.order_id, o.customer_id, o.order_date, o.total_amount, {times} AS times
+  FROM shop_orders o JOIN line_count l USING (order_id) LEFT JOIN paid y USING (order_id)
+  WHERE o.order_date >= {TS} - INTERVAL 24 MONTH AND o.customer_id IN (SELECT customer_id FROM customers)),
+per_customer AS (
+  SELECT customer_id, SUM(times) AS n, SUM(total_amount * times) AS v FROM seen GROUP BY customer_id),
+ranked AS (
+  SELECT a.order_id, 1 + COALESCE((SELECT SUM(b.times) FROM seen b
+                                   WHERE b.customer_id = a.customer_id AND b.order_date > a.order_date), 0) AS place
+  FROM seen a)
+SELECT o.customer_id, concat(c.first_name, ' ', c.last_name) AS customer_name, c.email, c.customer_type, c.loyalty_points,
+  CAST(pc.n AS BIGINT) AS customer_total_orders, CAST(pc.v AS DECIMAL(38,2)) AS customer_lifetime_value,
+  CAST(r.place AS BIGINT) AS customer_order_rank, o.order_id, o.order_date, o.status AS order_status,
+  o.total_amount AS order_total, o.payment_method, i.product_id, p.product_name, p.category AS product_category, i.quantity,
+  i.unit_price, i.subtotal, w.quantity_available AS inventory_available, t.transaction_id, t.status AS transaction_status,
+  t.payment_gateway, {_RECENCY} AS order_recency, {_value("pc.v")} AS customer_value_segment
+FROM ranked r JOIN shop_orders o USING (order_id) JOIN per_customer pc USING (customer_id) JOIN customers c USING (customer_id)
+  JOIN order_items i USING (order_id) JOIN products p USING (product_id)
+  LEFT JOIN inventory w USING (product_id) LEFT JOIN transactions t USING (order_id)
+ORDER BY o.customer_id, o.order_date DESC, i.subtotal DESC NULLS FIRST, o.order_id, i.product_id, i.quantity, i.unit_price,
+  w.inventory_id NULLS LAST, t.transaction_id NULLS LAST
 LIMIT 500""")
 
 
+ORACLE["customer_order_detail"] = _order_detail(True)
+ORACLE["customer_order_detail_per_order"] = _order_detail(False)
+
+
 # --------------------------------------------------------------------------- helpers
 def _rec(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
@@ -148,6 +164,11 @@ def _ts_minus_days(days: int, base: str = TS) -> str:
     return f"{base} - INTERVAL {days} DAY"
 
 
+def _draw(col: str, seed: int, n: int) -> str:
+    """A repeatable number in 0..n-1 keyed by a column."""
+    return f"(('0x' || substr(md5('{seed}|' || CAST({col} AS VARCHAR)), 1, 8))::BIGINT % {n})"
+
+
 TS_EARLY3 = "TIMESTAMP '2001-07-29 12:00:00'"   # as_of - 3 days
 TS_EARLY30 = "TIMESTAMP '2001-07-02 12:00:00'"  # as_of - 30 days
 
@@ -197,22 +218,39 @@ FROM inventory i LEFT JOIN (
   SELECT oi.product_id, SUM(oi.quantity) AS d FROM order_items oi JOIN shop_orders o ON oi.order_id = o.order_id
   WHERE o.order_date >= {_ts_minus_days(30)} GROUP BY oi.product_id) d ON i.product_id = d.product_id""")
 
-ORACLE["reserve_inventory"] = _rec(_q(["inventory", "order_items"], """,
-req AS (SELECT ROW_NUMBER() OVER (ORDER BY order_id, product_id, quantity, unit_price, subtotal, discount) AS seq,
-               product_id, quantity FROM order_items),
-inv_req AS (SELECT i.inventory_id, r.quantity, ROW_NUMBER() OVER (PARTITION BY i.inventory_id ORDER BY r.seq) AS k
-            FROM inventory i JOIN req r ON i.product_id = r.product_id),
+def _reservation(requests: str, stock: str, result: str, tables: list[str]) -> str:
+    """Requests (seq, product_id, quantity) folded in order into every row of ``stock``."""
+    return _rec(_q(tables, f""",
+{requests},
+scarce AS (SELECT inventory_id, product_id, {stock} AS quantity_available, quantity_reserved FROM inventory),
+inv_req AS (SELECT i.inventory_id, r.seq, r.quantity, ROW_NUMBER() OVER (PARTITION BY i.inventory_id ORDER BY r.seq) AS k
+            FROM scarce i JOIN req r ON i.product_id = r.product_id),
 fold AS (
-  SELECT inventory_id, CAST(0 AS BIGINT) AS k, quantity_available AS avail, CAST(0 AS BIGINT) AS taken FROM inventory
+  SELECT inventory_id, CAST(0 AS BIGINT) AS k, CAST(quantity_available AS BIGINT) AS avail, CAST(0 AS BIGINT) AS taken,
+         false AS ok FROM scarce
   UNION ALL
-  SELECT f.inventory_id, f.k + 1,
-         CASE WHEN f.avail >= r.quantity THEN f.avail - r.quantity ELSE f.avail END,
-         CASE WHEN f.avail >= r.quantity THEN f.taken + r.quantity ELSE f.taken END
+  SELECT f.inventory_id, f.k + 1, f.avail - CASE WHEN f.avail >= r.quantity THEN r.quantity ELSE 0 END,
+         f.taken + CASE WHEN f.avail >= r.quantity THEN r.quantity ELSE 0 END, f.avail >= r.quantity
   FROM fold f JOIN inv_req r ON r.inventory_id = f.inventory_id AND r.k = f.k + 1),
 fin AS (SELECT inventory_id, arg_max(avail, k) AS avail, arg_max(taken, k) AS taken FROM fold GROUP BY inventory_id)
-SELECT i.inventory_id, i.product_id, CAST(f.avail AS BIGINT) AS quantity_available,
+{result}"""))
+
+
+_LINE_REQ = """req AS (SELECT ROW_NUMBER() OVER (ORDER BY order_id, product_id, quantity, unit_price, subtotal) AS seq,
+               product_id, quantity FROM order_items)"""
+_STOCK_AFTER = """SELECT i.inventory_id, i.product_id, CAST(f.avail AS BIGINT) AS quantity_available,
        CAST(i.quantity_reserved + f.taken AS BIGINT) AS quantity_reserved
-FROM inventory i JOIN fin f ON i.inventory_id = f.inventory_id"""))
+FROM scarce i JOIN fin f ON i.inventory_id = f.inventory_id"""
+
+ORACLE["reserve_inventory"] = _reservation(_LINE_REQ, "quantity_available % 60", _STOCK_AFTER, ["inventory", "order_items"])
+
+ORACLE["reserve_decisions"] = _reservation(_LINE_REQ, "quantity_available % 60", """
+SELECT q.inventory_id, q.seq, i.product_id, q.quantity, f.ok AS accepted
+FROM inv_req q JOIN fold f ON f.inventory_id = q.inventory_id AND f.k = q.k JOIN scarce i ON i.inventory_id = q.inventory_id""",
+                                           ["inventory", "order_items"])
+
+ORACLE["lookup_latest_orders"] = _q(["shop_orders"], """
+SELECT * FROM shop_orders QUALIFY ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY order_date DESC, order_id DESC) = 1""")
 
 _PRICE = """CAST(COALESCE(s.s, 0) AS DECIMAL(38,2)) AS items_total,
   CAST(COALESCE(s.s, 0) * CAST(0.08 AS DECIMAL(3,2)) AS DECIMAL(10,2)) AS tax_amount,
@@ -238,6 +276,34 @@ priced AS (SELECT n.order_id, n.customer_id, n.payment_method, {_PRICE}
 SELECT order_id, customer_id, {TS} AS order_date, 'COMPLETED' AS status, total_amount, tax_amount, shipping_cost,
        payment_method FROM priced""")
 
+_PLACED_ITEMS = f"""placed AS (
+  SELECT (SELECT MAX(order_id) FROM shop_orders) + DENSE_RANK() OVER (ORDER BY oi.order_id) AS order_id, oi.order_id AS request_id,
+         oi.product_id, oi.quantity, oi.subtotal
+  FROM order_items oi JOIN shop_orders o ON oi.order_id = o.order_id WHERE o.order_date >= {_ts_minus_days(7)}),
+numbered AS (
+  SELECT ROW_NUMBER() OVER (ORDER BY request_id, x.product_id, quantity, subtotal) AS order_item_id, x.order_id, x.product_id,
+         CAST(quantity AS BIGINT) AS quantity, CAST(p.price AS DECIMAL(10,2)) AS unit_price
+  FROM placed x JOIN products p ON x.product_id = p.product_id)"""
+
+ORACLE["placed_items"] = _q(["shop_orders", "order_items", "products"], f""",
+{_PLACED_ITEMS}
+SELECT order_item_id, order_id, product_id, quantity, unit_price, CAST(quantity * unit_price AS DECIMAL(12,2)) AS subtotal
+FROM numbered""")
+
+ORACLE["placed_payments"] = _q(["shop_orders", "order_items", "products", "transactions"], f""",
+req AS (SELECT order_id AS request_id FROM shop_orders WHERE order_date >= {_ts_minus_days(7)}),
+newo AS (SELECT (SELECT MAX(order_id) FROM shop_orders) + ROW_NUMBER() OVER (ORDER BY request_id) AS order_id, request_id FROM req),
+s AS (SELECT oi.order_id AS request_id, SUM(oi.quantity * CAST(p.price AS DECIMAL(10,2))) AS s
+      FROM order_items oi JOIN req ON oi.order_id = req.request_id JOIN products p ON oi.product_id = p.product_id
+      GROUP BY oi.order_id),
+priced AS (SELECT n.order_id, {_PRICE} FROM newo n LEFT JOIN s ON n.request_id = s.request_id)
+SELECT (SELECT MAX(transaction_id) FROM transactions) + ROW_NUMBER() OVER (ORDER BY order_id) AS transaction_id, order_id,
+       total_amount AS amount, 'STRIPE' AS payment_gateway, 'COMPLETED' AS status FROM priced""")
+
+ORACLE["placed_stock"] = _reservation(
+    _PLACED_ITEMS + ",\nreq AS (SELECT order_item_id AS seq, product_id, quantity FROM numbered)", "quantity_available % 60",
+    _STOCK_AFTER, ["inventory", "order_items", "shop_orders", "products"])
+
 ORACLE["payment_status"] = _q(["shop_orders", "transactions"], """
 SELECT o.order_id, CASE WHEN w.order_id IS NULL THEN o.status ELSE w.status END AS status
 FROM shop_orders o LEFT JOIN (
@@ -271,6 +337,18 @@ c AS (
 SELECT table_name, CAST(rows_before AS BIGINT) AS rows_before, CAST(rows_after AS BIGINT) AS rows_after,
        CAST(rows_before - rows_after AS BIGINT) AS rows_deleted FROM c""")
 
+_KEPT = f"""order_id NOT IN (SELECT order_id FROM shop_orders WHERE status IN ('COMPLETED', 'DELIVERED')
+                                     AND order_date < {_ts_minus_days(90)})"""
+
+ORACLE["purged_orders"] = _q(["shop_orders"], f"""
+SELECT order_id, customer_id, status, total_amount FROM shop_orders WHERE {_KEPT}""")
+
+ORACLE["purged_items"] = _q(["shop_orders", "order_items"], f"""
+SELECT order_id, product_id, quantity, unit_price, subtotal FROM order_items WHERE {_KEPT}""")
+
+ORACLE["purged_transactions"] = _q(["shop_orders", "transactions"], f"""
+SELECT transaction_id, order_id, amount, status FROM transactions WHERE {_KEPT}""")
+
 ORACLE["end_idle_sessions"] = _q(["session_data"], f"""
 SELECT session_id, customer_id,
   CASE WHEN is_active = 1 AND last_activity < {STS} - INTERVAL 12 HOUR THEN 0 ELSE is_active END AS is_active
@@ -281,11 +359,15 @@ r AS (SELECT DISTINCT customer_id FROM session_data WHERE login_time >= {STS} -
 h AS (SELECT customer_id, md5(concat_ws('|', CAST(customer_id AS VARCHAR), '2024-01-31 00:00:00', '0')) AS h FROM r)
 SELECT concat_ws('-', substring(h, 1, 8), substring(h, 9, 4), substring(h, 13, 4), substring(h, 17, 4),
                  substring(h, 21, 12)) AS session_id,
-       customer_id, {STS} AS login_time, {STS} AS last_activity, 1 AS is_active FROM h""")
+       customer_id, {STS} AS login_time, {STS} AS last_activity,
+       concat('192.168.', {_draw("customer_id", 0, 254)} + 1, '.', {_draw("customer_id", 1, 254)} + 1) AS ip_address,
+       1 AS is_active FROM h""")
 
 ORACLE["process_payments"] = _q(["shop_orders", "transactions"], f"""
 SELECT (SELECT MAX(transaction_id) FROM transactions) + ROW_NUMBER() OVER (ORDER BY order_id) AS transaction_id,
-       order_id, 'PAYMENT' AS transaction_type, 'COMPLETED' AS status, 'USD' AS currency, {TS} AS processed_at
+       order_id, 'PAYMENT' AS transaction_type, CAST(50 + {_draw("order_id", 1, 450)} AS DECIMAL(12,2)) AS amount,
+       ['STRIPE', 'PAYPAL', 'SQUARE'][1 + {_draw("order_id", 0, 3)}] AS payment_gateway, 'COMPLETED' AS status, 'USD' AS currency,
+       {TS} AS processed_at
 FROM shop_orders WHERE order_date >= {_ts_minus_days(7)}""")
 
 # --------------------------------------------------------------------------- Q7 and aggregate-*
@@ -314,6 +396,18 @@ SELECT CAST(summary_id AS BIGINT) AS summary_id, summary_date, CAST(total_orders
 FROM (SELECT * FROM kept UNION ALL SELECT * FROM new) u""")
 
 
+# the rows of the stored table, with the rows each run inserted or changed
+ORACLE["stored_sales_summary"] = f"""
+WITH merged AS ({ORACLE["merge_sales_summary"]}),
+early AS ({_q(["shop_orders"], _rollup_src(TS_EARLY3))}),
+late AS ({_q(["shop_orders"], _rollup_src(TS))})
+SELECT summary_id, summary_date, total_orders, total_revenue, (SELECT COUNT(*) FROM early) AS first_run_rows,
+  (SELECT COUNT(*) FROM late l WHERE NOT EXISTS (
+     SELECT 1 FROM early e WHERE e.summary_date = l.summary_date AND e.total_orders = l.total_orders
+                             AND e.total_revenue IS NOT DISTINCT FROM l.total_revenue)) AS second_run_rows
+FROM merged"""
+
+
 def _cust_stats(ts: str) -> str:
     return f"""SELECT customer_id, COUNT(*) AS total_orders, CAST(SUM(total_amount) AS DECIMAL(12,2)) AS total_spent,
     CAST({_hu('SUM(total_amount)', 'COUNT(total_amount)')} AS DECIMAL(10,2)) AS avg_order_value,
@@ -420,24 +514,26 @@ FROM products p JOIN {_STOCK} s ON p.product_id = s.product_id LEFT JOIN {_SOLD9
 WHERE p.is_active = 1 AND s.stock > 0 AND COALESCE(d.units, 0) < 5""")
 
 ORACLE["profit_margin"] = _q(["order_items", "shop_orders", "products"], f""",
-x AS (SELECT p.category, SUM(oi.subtotal) AS r, SUM(oi.quantity * p.cost) AS c
+x AS (SELECT p.category, p.product_id, SUM(oi.subtotal) AS r, SUM(oi.quantity * p.cost) AS c
       FROM {_WIN_ITEMS} JOIN products p ON oi.product_id = p.product_id
-      WHERE o.order_date >= {_ts_minus_days(90)} GROUP BY p.category)
-SELECT category, CAST(r AS DECIMAL(38,2)) AS revenue, CAST(c AS DECIMAL(38,2)) AS cost,
+      WHERE o.order_date >= {_ts_minus_days(90)} GROUP BY GROUPING SETS ((p.category), (p.category, p.product_id)))
+SELECT category, product_id, CAST(r AS DECIMAL(38,2)) AS revenue, CAST(c AS DECIMAL(38,2)) AS cost,
        CAST(r - c AS DECIMAL(38,2)) AS profit, CAST({_hu('(r - c) * 100', 'r', 2, 2)} AS DECIMAL(38,2)) AS margin_pct
 FROM x""")
 
-ORACLE["affinity"] = _q(["order_items", "shop_orders"], f""",
+ORACLE["affinity"] = _q(["order_items", "shop_orders", "products"], f""",
 items AS (SELECT DISTINCT oi.order_id, oi.product_id FROM {_WIN_ITEMS} WHERE o.order_date >= {_ts_minus_days(90)}),
 per AS (SELECT product_id, COUNT(*) AS orders FROM items GROUP BY product_id),
-anc AS (SELECT product_id AS anchor_id, orders AS anchor_n FROM per ORDER BY orders DESC, product_id LIMIT 1),
+anc AS (SELECT product_id AS anchor_id, orders AS anchor_n FROM per JOIN products USING (product_id)
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY category ORDER BY orders DESC, product_id) = 1),
 tot AS (SELECT COUNT(DISTINCT order_id) AS n_all FROM items),
-tog AS (SELECT i.product_id, COUNT(*) AS together FROM items i JOIN items a ON i.order_id = a.order_id
-        JOIN anc ON a.product_id = anc.anchor_id WHERE i.product_id <> anc.anchor_id GROUP BY i.product_id)
-SELECT anc.anchor_id, t.product_id, t.together, p.orders,
-       CAST({_hu('t.together * 100', 'anc.anchor_n')} AS DECIMAL(38,2)) AS support_pct,
-       CAST({_hu('t.together * tot.n_all', 'anc.anchor_n * p.orders', 4)} AS DECIMAL(38,4)) AS lift
-FROM tog t JOIN per p ON t.product_id = p.product_id CROSS JOIN anc CROSS JOIN tot""")
+tog AS (SELECT anc.anchor_id, anc.anchor_n, i.product_id, COUNT(*) AS together
+        FROM anc JOIN items a ON a.product_id = anc.anchor_id JOIN items i ON i.order_id = a.order_id
+        WHERE i.product_id <> anc.anchor_id GROUP BY ALL)
+SELECT t.anchor_id, t.product_id, t.together, p.orders,
+       CAST({_hu('t.together * 100', 't.anchor_n')} AS DECIMAL(38,2)) AS support_pct,
+       CAST({_hu('t.together * tot.n_all', 't.anchor_n * p.orders', 4)} AS DECIMAL(38,4)) AS lift
+FROM tog t JOIN per p ON t.product_id = p.product_id CROSS JOIN tot""")
 
 ORACLE["revenue_growth"] = _q(["order_items", "shop_orders", "products"], f""",
 x AS (SELECT p.category, year(o.order_date) * 12 + month(o.order_date) - 1 AS m, SUM(oi.subtotal) AS rev
@@ -506,67 +602,44 @@ def _profile_sql() -> str:
 ORACLE["full_table_scan"] = _profile_sql()
 
 
-def _constraint_sql() -> str:
+def _constraint_sql(source: dict[str, str] | None = None, absent: dict[str, set] | None = None) -> str:
+    """One row per declared constraint; ``source`` gives the text to read a table from, ``absent`` its missing columns."""
     from ..schema import FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, UNIQUE_KEYS
-    cols = {name: set(c) for _, name, c, _ in _PROFILE}
-    cte = {name: c for c, name, _, _ in _PROFILE}
+    cols = {name: set(c) - (absent or {}).get(name, set()) for _, name, c, _ in _PROFILE}
+    cte = {name: (source or {}).get(name, c) for c, name, _, _ in _PROFILE}
     tables = sorted(t for t in ("customers", "products", "inventory", "orders", "order_items", "transactions"))
     parts = []
 
+    def row(kind, cname, count):
+        parts.append(f"SELECT '{kind}' AS constraint_type, '{cname}' AS constraint_name, CAST({count} AS BIGINT) AS violating_rows")
+
     def dup(kind, cname, tb, c):
-        return (f"SELECT '{kind}' AS constraint_type, '{cname}' AS constraint_name, "
-                f"CAST(COALESCE(SUM(n), 0) AS BIGINT) AS violating_rows FROM (SELECT COUNT(*) AS n FROM {cte[tb]} "
-                f"WHERE {c} IS NOT NULL GROUP BY {c} HAVING COUNT(*) > 1) d")
+        row(kind, cname, "NULL" if c not in cols[tb] else
+            f"(SELECT COALESCE(SUM(n), 0) FROM (SELECT COUNT(*) AS n FROM {cte[tb]} x WHERE {c} IS NOT NULL GROUP BY {c}) d WHERE n > 1)")
 
     def nul(kind, cname, tb, c):
-        return (f"SELECT '{kind}', '{cname}', CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) FROM {cte[tb]}")
+        row(kind, cname, "NULL" if c not in cols[tb] else f"(SELECT COUNT(*) FROM {cte[tb]} x WHERE {c} IS NULL)")
 
     for tb in tables:
-        pk = [c for c in PRIMARY_KEYS[tb] if c in cols[tb]]
-        if pk:
-            parts.append(dup("PRIMARY_KEY", f"pk_{tb}", tb, pk[0]))
-            parts.append(nul("PRIMARY_KEY_NULL", f"pk_{tb}_null", tb, pk[0]))
-        for c in [c for c in UNIQUE_KEYS.get(tb, ()) if c in cols[tb]]:
-            parts.append(dup("UNIQUE", f"uq_{tb}_{c}", tb, c))
-        for c in [c for c in NOT_NULL.get(tb, ()) if c in cols[tb]]:
-            parts.append(nul("NOT_NULL", f"nn_{tb}_{c}", tb, c))
+        pk = PRIMARY_KEYS[tb][0]
+        dup("PRIMARY_KEY", f"pk_{tb}", tb, pk)
+        nul("PRIMARY_KEY_NULL", f"pk_{tb}_null", tb, pk)
+        for c in UNIQUE_KEYS.get(tb, ()):
+            dup("UNIQUE", f"uq_{tb}_{c}", tb, c)
+        for c in NOT_NULL.get(tb, ()):
+            nul("NOT_NULL", f"nn_{tb}_{c}", tb, c)
     for ct, cc, pt, pc in FOREIGN_KEYS:
-        parts.append(f"SELECT 'FOREIGN_KEY', 'fk_{ct}_{cc}', CAST(COUNT(*) AS BIGINT) FROM {cte[ct]} x "
-                     f"WHERE x.{cc} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {cte[pt]} y WHERE y.{pc} = x.{cc})")
-    return _q(sorted({cte[t] for t in tables}), "\n" + "\nUNION ALL\n".join(parts))
+        row("FOREIGN_KEY", f"fk_{ct}_{cc}", f"(SELECT COUNT(*) FROM {cte[ct]} x WHERE x.{cc} NOT IN (SELECT {pc} FROM {cte[pt]} y))")
+    return _q(sorted(c for c, name, _, _ in _PROFILE if name in tables), "\n" + "\nUNION ALL\n".join(parts))
 
 
 ORACLE["constraint_report"] = _constraint_sql()
 
-
-ORACLE["customer_order_detail_per_order"] = _q(
-    ["customers", "shop_orders", "order_items", "products", "inventory", "transactions"], f""",
-j AS (
-  SELECT c.customer_id, concat(c.first_name, ' ', c.last_name) AS customer_name, c.email, c.customer_type,
-    c.loyalty_points, o.order_id, o.order_date, o.status AS order_status, o.total_amount AS order_total,
-    o.payment_method, oi.product_id, p.product_name, p.category AS product_category, oi.quantity, oi.unit_price,
-    oi.subtotal, inv.quantity_available AS inventory_available, inv.inventory_id, t.transaction_id,
-    t.status AS transaction_status, t.payment_gateway
-  FROM customers c
-  JOIN shop_orders o ON c.customer_id = o.customer_id
-  JOIN order_items oi ON o.order_id = oi.order_id
-  JOIN products p ON oi.product_id = p.product_id
-  LEFT JOIN inventory inv ON p.product_id = inv.product_id
-  LEFT JOIN transactions t ON o.order_id = t.order_id
-  WHERE o.order_date >= {TS} - INTERVAL 24 MONTH),
-ord AS (SELECT DISTINCT customer_id, order_id, order_date, order_total FROM j),
-cs AS (SELECT customer_id, COUNT(*) AS n, SUM(order_total) AS v FROM ord GROUP BY customer_id),
-rk AS (SELECT order_id, RANK() OVER (PARTITION BY customer_id ORDER BY order_date DESC NULLS FIRST) AS r FROM ord)
-SELECT j.customer_id, j.customer_name, j.email, j.customer_type, j.loyalty_points,
-  cs.n AS customer_total_orders, CAST(cs.v AS DECIMAL(38,2)) AS customer_lifetime_value,
-  CAST(rk.r AS BIGINT) AS customer_order_rank, j.order_id, j.order_date, j.order_status, j.order_total,
-  j.payment_method, j.product_id, j.product_name, j.product_category, j.quantity, j.unit_price, j.subtotal,
-  j.inventory_available, j.transaction_id, j.transaction_status, j.payment_gateway,
-  CASE WHEN j.order_date >= {TS} - INTERVAL 1 MONTH THEN 'RECENT'
-       WHEN j.order_date >= {TS} - INTERVAL 6 MONTH THEN 'MODERATE' ELSE 'OLD' END AS order_recency,
-  CASE WHEN cs.v >= 1000 THEN 'HIGH_VALUE' WHEN cs.v >= 500 THEN 'MEDIUM_VALUE' ELSE 'LOW_VALUE' END
-    AS customer_value_segment
-FROM j JOIN cs ON j.customer_id = cs.customer_id JOIN rk ON j.order_id = rk.order_id
-ORDER BY j.customer_id, j.order_date DESC NULLS FIRST, j.subtotal DESC NULLS FIRST, j.order_id, j.product_id,
-  j.quantity, j.unit_price, j.inventory_id NULLS LAST, j.transaction_id NULLS LAST
-LIMIT 500""")
+ORACLE["broken_constraint_report"] = _constraint_sql({
+    "customers": """(SELECT * REPLACE (CASE WHEN customer_id % 11 = 0 THEN NULL WHEN customer_id % 13 = 0 THEN 'same@example.com'
+                     ELSE email END AS email) FROM customers WHERE customer_id % 7 <> 0)""",
+    "products": "(SELECT * FROM products UNION ALL SELECT * FROM products WHERE product_id % 50 = 0)",
+    "inventory": "(SELECT * REPLACE (CASE WHEN product_id % 17 <> 0 THEN product_id END AS product_id) FROM inventory)",
+    "order_items": "(SELECT * FROM order_items WHERE product_id % 3 <> 0 OR order_id % 2 = 0)",
+    "transactions": """(SELECT * REPLACE (order_id + CASE WHEN order_id % 10 = 3 THEN 100000000 ELSE 0 END AS order_id)
+                        FROM transactions)"""}, {"products": {"price"}})

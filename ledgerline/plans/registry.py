@@ -36,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "product_performance": _on_tables(A.product_performance),
     "executive_dashboard": _on_tables(A.executive_dashboard),
     "merge_sales_summary": _on_tables(W.merge_sales_summary_twice),
+    "stored_sales_summary": _on_tables(W.stored_sales_summary),
     "customer_activity": _on_tables(A.customer_activity),
     "sessions_by_user": _on_tables(A.sessions_by_user),
     # order-management operators on derived request batches
@@ -48,14 +49,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "product_price": _on_tables(J.product_price_job),
     "restock_inventory": _on_tables(J.restock_job),
     "reserve_inventory": _on_tables(J.reserve_job),
+    "reserve_decisions": _on_tables(J.reserve_decisions_job),
+    "lookup_latest_orders": _on_tables(J.lookup_latest_orders_job),
     "price_orders": _on_tables(J.price_orders_job),
     "place_orders": _on_tables(J.place_orders_job),
+    "placed_items": _on_tables(J.placed_items_job),
+    "placed_payments": _on_tables(J.placed_payments_job),
+    "placed_stock": _on_tables(J.placed_stock_job),
     "purge_old_orders": _on_tables(J.purge_job),
+    "purged_orders": _on_tables(J.purged_orders_job),
+    "purged_items": _on_tables(J.purged_items_job),
+    "purged_transactions": _on_tables(J.purged_transactions_job),
     "process_payments": _on_tables(J.process_payments_job),
     "create_sessions": _on_tables(J.create_sessions_job),
     "end_idle_sessions": _on_tables(J.end_idle_sessions_job),
     "audit_loyalty": _on_tables(J.audit_loyalty_job),
     "constraint_report": _on_tables(J.constraint_report_job),
+    "broken_constraint_report": _on_tables(J.broken_constraint_report_job),
     # report tier
     "top_products": _on_tables(R.top_products),
     "revenue_by_payment": _on_tables(R.revenue_by_payment),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import add_months_sticky, as_timestamp, lit_ts, month_index, month_label_from_index, order_desc
+from ..session import materialize
 from ..sources.fixtures import AS_OF
 from .warehouse import SEGMENT_HIGH, SEGMENT_MEDIUM, div_half_up
 
@@ -117,52 +118,56 @@ def slow_moving(t, as_of=AS_OF, days: int = 90, below: int = 5) -> DataFrame:
 
 
 def profit_margin(t, as_of=AS_OF, days: int = 90) -> DataFrame:
-    """Per category: revenue, cost of goods (units x cost), profit and margin %."""
+    """Per category, and per product within it: revenue, cost of goods (units x cost), profit and margin %.
+
+    Items are summed per product first (a hot product is one row a task);
+    cost and category join the sums.  ``product_id`` is null in the rows of
+    whole categories.
+    """
     i = _window_items(t, days, as_of, "product_id", "quantity", "subtotal")
-    p = t["products"].select("product_id", "category", "cost")
-    per = i.join(p, "product_id").groupBy("category").agg(
-        F.sum("subtotal").alias("_r"), F.sum(F.col("quantity") * F.col("cost")).alias("_c"))
+    sold = i.groupBy("product_id").agg(F.sum("subtotal").alias("_r"), F.sum("quantity").alias("_q"))
+    per = sold.join(t["products"].select("product_id", "category", "cost"), "product_id").select(
+        "category", "product_id", "_r", (F.col("_q") * F.col("cost")).alias("_c"))
+    both = per.select("category", "_r", "_c", F.explode(F.array(F.col("product_id"), F.lit(None).cast("bigint"))).alias("product_id"))
+    sums = both.groupBy("category", "product_id").agg(F.sum("_r").alias("_r"), F.sum("_c").alias("_c"))
     profit = F.col("_r") - F.col("_c")
-    return per.select("category", F.col("_r").cast(DEC).alias("revenue"), F.col("_c").cast(DEC).alias("cost"),
-                      profit.cast(DEC).alias("profit"),
-                      div_half_up(profit * 100, F.col("_r")).cast(DEC).alias("margin_pct"))
+    return sums.select("category", "product_id", F.col("_r").cast(DEC).alias("revenue"), F.col("_c").cast(DEC).alias("cost"),
+                       profit.cast(DEC).alias("profit"),
+                       div_half_up(profit * 100, F.col("_r")).cast(DEC).alias("margin_pct"))
+
+
+def category_leaders(t, as_of=AS_OF, days: int = 90) -> DataFrame:
+    """Anchors for :func:`affinity`: of each category, the product in the most orders of the window."""
+    n = (_window_items(t, days, as_of, "product_id").distinct().groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+         .join(t["products"].select("product_id", "category"), "product_id"))
+    top = n.groupBy("category").agg(F.max(F.struct("n", (-F.col("product_id")).alias("neg"))).alias("top"))
+    return top.select((-F.col("top.neg")).alias("anchor_id"))
 
 
-def affinity(t, as_of=AS_OF, days: int = 90, anchor: int | None = None, n: int | None = None) -> DataFrame:
-    """Products bought together with an anchor product ("bought X, also bought").
+def affinity(t, anchors: DataFrame | None = None, as_of=AS_OF, days: int = 90) -> DataFrame:
+    """Products bought together with each anchor product ("bought X, also bought").
 
-    The anchor defaults to the product in the most orders of the window (a
-    one-row top-k).  Linear in the data: the anchor's orders (a semi join)
-    meet the items once; no product pairs are enumerated.  Per co-bought
-    product: orders together, its orders, support within the anchor's orders
-    (%), and lift x 10000 as an integer-rounded ratio.
+    ``anchors`` holds anchor_id values (default: :func:`category_leaders`).
+    The window's distinct (order, product) rows are written once; the orders
+    of the anchors meet them in one join, and only pairs with an anchor are
+    counted.  Per anchor and product: orders together, the product's orders,
+    support within the anchor's orders (%) and lift.
     """
-    items = _window_items(t, days, as_of, "product_id").distinct()
+    items = materialize(_window_items(t, days, as_of, "product_id").distinct(), "affinity-items")
+    anchors = (category_leaders(t, as_of, days) if anchors is None else anchors).select("anchor_id").distinct()
     per_prod = items.groupBy("product_id").agg(F.count(F.lit(1)).alias("orders"))
-    if anchor is None:
-        top = per_prod.orderBy(F.col("orders").desc(), "product_id").limit(1)
-    else:
-        top = per_prod.where(F.col("product_id") == F.lit(anchor))
-    top_key = F.broadcast(top.select("product_id"))  # one row
-    # scalar subqueries (one level each): evaluated once, then used as constants
-    anchor_id = top.select("product_id").scalar()
-    anchor_n = top.select("orders").scalar()
-    n_orders = items.select("order_id").distinct().agg(F.count(F.lit(1))).scalar()
-    anchor_orders = items.join(top_key, "product_id", "left_semi").select("order_id")
-    together = (items.join(anchor_orders, "order_id", "left_semi").join(top_key, "product_id", "left_anti")
-                .groupBy("product_id").agg(F.count(F.lit(1)).alias("together")))
-    # bind each scalar once, then derive the ratios from plain columns
-    out = together.join(per_prod, "product_id").select(
-        anchor_id.alias("anchor_id"), "product_id", "together", "orders", anchor_n.alias("_an"),
-        n_orders.alias("_no"))
-    out = out.select(
+    n_orders = items.agg(F.count_distinct("order_id").alias("_no"))
+    with_anchor = items.join(anchors, F.col("product_id") == F.col("anchor_id")).select("order_id", "anchor_id")
+    together = (items.join(with_anchor, "order_id").where("product_id != anchor_id")
+                .groupBy("anchor_id", "product_id").agg(F.count(F.lit(1)).alias("together")))
+    out = (together.join(per_prod, "product_id")
+           .join(per_prod.select(F.col("product_id").alias("anchor_id"), F.col("orders").alias("_an")), "anchor_id")
+           .withColumn("_no", n_orders.scalar()))
+    return out.select(
         "anchor_id", "product_id", "together", "orders",
         div_half_up(F.col("together") * 100, F.col("_an")).cast(DEC).alias("support_pct"),
         div_half_up(F.col("together") * F.col("_no"), F.col("_an") * F.col("orders"), 4)
         .cast("decimal(38,4)").alias("lift"))
-    if n is not None:
-        out = out.orderBy(F.col("together").desc(), "product_id").limit(n)
-    return out
 
 
 def revenue_growth(t, as_of=AS_OF, months: int = 12) -> DataFrame:
@@ -171,9 +176,11 @@ def revenue_growth(t, as_of=AS_OF, months: int = 12) -> DataFrame:
     The lag window is per category over at most ``months``+1 monthly rows.
     """
     o = _since(t, months=months, as_of=as_of).select("order_id", month_index(F.col("order_date")).alias("m"))
-    i = t["order_items"].select("order_id", "product_id", "subtotal").join(o, "order_id")
+    # sums per product and month first: a hot product is one row a month and task
+    i = (t["order_items"].select("order_id", "product_id", "subtotal").join(o, "order_id")
+         .groupBy("product_id", "m").agg(F.sum("subtotal").alias("rev")))
     p = t["products"].select("product_id", "category")
-    per = i.join(p, "product_id").groupBy("category", "m").agg(F.sum("subtotal").alias("rev"))
+    per = i.join(p, "product_id").groupBy("category", "m").agg(F.sum("rev").alias("rev"))
     w = Window.partitionBy("category").orderBy("m")
     prev = F.lag("rev").over(w)
     prev_m = F.lag("m").over(w)

@@ -7,6 +7,7 @@ Each is a per-key aggregate (map-side combined) followed by :func:`upsert`.
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import as_timestamp, day_start, lit_date, lit_ts
 from ..operators.upsert import upsert
 from ..schema import SCHEMAS
+from ..session import materialize, scratch_dir
 from ..sources.fixtures import AS_OF
+from ..sources.sinks import read_table, replace_table, table_exists
 
 # Statuses counted by the rollup; spend cut-offs of the value segment.
 ROLLUP_STATUSES = ("COMPLETED", "SHIPPED", "DELIVERED")
@@ -65,10 +68,35 @@ def merge_sales_summary_twice(t, as_of=AS_OF, days: int = 7, earlier_days: int =
     spark = t["orders"].sparkSession
     first = merge_sales_summary(t, empty_table(spark, "sales_summary"),
                                 as_timestamp(as_of) - _dt.timedelta(days=earlier_days), days)
-    # the first run's new rows (with their ids) are already written by assign_ids
+    # the first run's result stands on written copies: the second reads them
     return merge_sales_summary(t, first, as_of, days)
 
 
+def run_merge(spark: SparkSession, path: str, table: str, merge) -> int:
+    """A rollup as a stored job: read the table at ``path`` (empty if there is none), merge, publish.
+
+    ``merge`` takes the stored target and returns the merged table.  Returns
+    the number of rows inserted or updated.
+    """
+    target = read_table(spark, path, table) if table_exists(spark, path) else empty_table(spark, table)
+    merged = materialize(merge(target), f"merge-{table}")
+    changed = merged.join(target, reduce(lambda a, b: a & b, [merged[c].eqNullSafe(target[c]) for c in merged.columns]),
+                          "left_anti").count()
+    replace_table(merged, path)
+    return changed
+
+
+def stored_sales_summary(t, as_of=AS_OF, days: int = 7, earlier_days: int = 3) -> DataFrame:
+    """The registered check of the stored job: two runs over one stored table, with each run's changed rows."""
+    spark = t["orders"].sparkSession
+    path = scratch_dir(spark, "sales-summary")
+    runs = [as_timestamp(as_of) - _dt.timedelta(days=earlier_days), as_of]
+    n = [run_merge(spark, path, "sales_summary", lambda target, at=at: merge_sales_summary(t, target, at, days)) for at in runs]
+    return read_table(spark, path, "sales_summary").select(
+        "summary_id", "summary_date", "total_orders", "total_revenue", F.lit(n[0]).cast("bigint").alias("first_run_rows"),
+        F.lit(n[1]).cast("bigint").alias("second_run_rows"))
+
+
 # ----------------------------------------------------------- aggregate-customers
 def customer_stats(t, as_of=AS_OF) -> DataFrame:
     """Per customer, all orders up to ``as_of``: count, spend, average, last order, segment."""

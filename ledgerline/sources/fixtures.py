@@ -105,13 +105,7 @@ class ShopTables(dict):
         super().__init__()
         self._spark, self._dir = spark, sf_dir
 
-    _parent = None
-
     def __missing__(self, key):
-        if self._parent is not None:
-            df = self._parent[key]
-            self[key] = df
-            return df
         for name, k in TABLE_KEYS.items():
             if k == key:
                 df = shop_table(self._spark, self._dir, name)
@@ -120,23 +114,13 @@ class ShopTables(dict):
         raise KeyError(key)
 
 
-_CATALOG: dict[tuple[int, str], ShopTables] = {}
-
-
 def load_tables(spark: SparkSession, sf_dir: str) -> ShopTables:
-    """The OLTP tables over one data folder.
+    """The OLTP tables over one data folder, as the folder stands now.
 
-    Like tables registered once in a catalog, the mapped (lazy) DataFrames
-    are kept per session and folder, so repeated queries skip re-analysis.
-    A copy of the dict is returned; callers may replace entries freely.
+    Nothing is kept between calls, so files added or replaced since an
+    earlier call are seen.
     """
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
-    cat = _CATALOG.get(key)
-    if cat is None:
-        cat = _CATALOG[key] = ShopTables(spark, sf_dir)
-    view = ShopTables(spark, sf_dir)
-    view._parent = cat
-    return view
+    return ShopTables(spark, sf_dir)
 
 
 def cte_prefix(names: list[str]) -> str:

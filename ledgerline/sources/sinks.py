@@ -3,11 +3,10 @@
 * ``drain``: run a plan to the end without collecting (the reference only
   counts rows), through Spark's ``noop`` writer;
 * ``append_table``: INSERT as a parquet append;
-* ``replace_table`` / ``replace_tables``: write the new version of a table
-  (of several tables, all before any swap) into a fresh folder next to it,
-  then swap folders with two renames.  A table is never
-  overwritten while a plan that reads it is running, which is what a MERGE
-  into the table it reads (Q7, U1) needs.
+* ``replace_table`` / ``replace_tables``: write new versions of a table (of
+  several) into fresh folders, then name them all in one pointer file.  A
+  table is never overwritten while a plan that reads it is running, which is
+  what a MERGE into the table it reads (Q7, U1) needs.
 """
 
 from __future__ import annotations
@@ -27,7 +26,16 @@ def drain(df: DataFrame) -> None:
 
 def append_table(df: DataFrame, path: str) -> None:
     """INSERT as a parquet append."""
-    df.write.mode("append").parquet(path)
+    df.write.mode("append").parquet(current_path(df.sparkSession, path))
+
+
+# A stored table is a folder with one subfolder per version; the file
+# ``_current`` beside the tables names each one's current version.  Versions
+# are written in full before that file is replaced (one atomic rename), so
+# readers see all old or all new tables, and a job that dies in between
+# leaves them as they were.  A folder that the file does not name is a plain
+# parquet folder.
+POINTER = "_current"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -36,49 +44,75 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p, jvm
 
 
-def _stage(df: DataFrame, path: str, tag: str) -> str:
-    staging = f"{path.rstrip('/')}.__staging_{tag}"
-    df.write.mode("errorifexists").parquet(staging)
-    return staging
+def _pointers(spark: SparkSession, root: str) -> dict[str, str]:
+    fs, p, jvm = _fs(spark, f"{root}/{POINTER}")
+    if not fs.exists(p):
+        return {}
+    stream = fs.open(p)
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return dict(line.split("=", 1) for line in text.split("\n") if line)
+
+
+def _publish(spark: SparkSession, root: str, tags: dict[str, str], notes: dict[str, str]) -> None:
+    before = _pointers(spark, root)
+    fs, draft, jvm = _fs(spark, f"{root}/{POINTER}.{uuid.uuid4().hex[:12]}")
+    stream = fs.create(draft)
+    stream.write(bytearray("\n".join(f"{n}={t}" for n, t in sorted({**before, **tags, **notes}.items())).encode()))
+    stream.close()
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else fs.getUri(),
+                                                        spark._jsc.hadoopConfiguration()).rename(
+        draft, jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}"), how)
+    # running readers may still hold the version before; older ones go
+    for name, tag in tags.items():
+        for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")):
+            old = status.getPath()
+            if old.getName().startswith("version-") and old.getName() not in (tag, before.get(name)):
+                fs.delete(old, True)
+
+
+def current_path(spark: SparkSession, path: str) -> str:
+    """The folder that holds the table's current rows."""
+    root, name = path.rstrip("/").rsplit("/", 1)
+    tag = _pointers(spark, root).get(name)
+    return f"{root}/{name}/{tag}" if tag else f"{root}/{name}"
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    fs, p, _ = _fs(spark, current_path(spark, path))
+    return fs.exists(p)
 
 
-def _swap(spark: SparkSession, staging: str, path: str, tag: str) -> None:
-    fs, target, jvm = _fs(spark, path)
-    stage_p = jvm.org.apache.hadoop.fs.Path(staging)
-    old_p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.__old_{tag}")
-    had_old = fs.exists(target)
-    if had_old and not fs.rename(target, old_p):
-        raise IOError(f"cannot move {path} aside")
-    if not fs.rename(stage_p, target):
-        if had_old:
-            fs.rename(old_p, target)
-        raise IOError(f"cannot publish {staging} as {path}")
-    if had_old:
-        fs.delete(old_p, True)
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write ``df`` as the new version of the table at ``path``."""
+    root, name = path.rstrip("/").rsplit("/", 1)
+    replace_tables({name: df}, root)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write ``df`` as the new content of ``path`` (staged write, then swap)."""
-    tag = uuid.uuid4().hex[:12]
-    _swap(df.sparkSession, _stage(df, path, tag), path, tag)
+def note(spark: SparkSession, root: str, name: str) -> str | None:
+    """A word published together with tables (see :func:`replace_tables`)."""
+    return _pointers(spark, root.rstrip("/")).get(name)
 
 
-def replace_tables(tables: dict[str, DataFrame], root: str) -> None:
-    """Replace several tables together (e.g. a purge of orders, items, payments):
-    every new version is written before any folder is swapped, so a failed
-    job leaves all tables as they were; only the renames remain to be done."""
+def replace_tables(tables: dict[str, DataFrame], root: str, **notes: str) -> None:
+    """Replace several tables together (e.g. a purge of orders, items, payments); ``notes`` are published with them."""
     if not tables:
         return
-    tag = uuid.uuid4().hex[:12]
-    staged = {name: _stage(df, f"{root}/{name}", tag) for name, df in tables.items()}
-    spark = next(iter(tables.values())).sparkSession
-    for name, staging in staged.items():
-        _swap(spark, staging, f"{root}/{name}", tag)
+    root = root.rstrip("/")
+    tag = f"version-{uuid.uuid4().hex[:12]}"
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{root}/{name}/{tag}")
+    _publish(next(iter(tables.values())).sparkSession, root, dict.fromkeys(tables, tag), notes)
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A stored table read with its DDL schema (never inferred)."""
-    return spark.read.schema(SCHEMAS[table]).parquet(path)
+    """The current version of a stored table, read with its DDL schema (never inferred)."""
+    return spark.read.schema(SCHEMAS[table]).parquet(current_path(spark, path))
 
 
 # DDL table name -> key of the table dict the plans take

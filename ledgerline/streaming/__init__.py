@@ -2,26 +2,30 @@
 
 All sources and sinks are files (parquet folders); no server is involved.
 
-* T1 ``start_sales_summary_stream``: each micro-batch's per-day partial
-  totals are written to ``<target>/partials/batch_id=N`` (overwrite of that
-  folder, so a replayed batch is idempotent); :func:`read_sales_summary`
-  folds the partials into SALES_SUMMARY rows.
+* T1 ``start_sales_summary_stream``: each micro-batch updates a stored table
+  of the last eight days' orders by order id and recomputes the days it
+  touched, which are merged into SALES_SUMMARY (U1).  An order that changes
+  its status is counted once, and a replayed batch changes nothing.
 * T2 ``daily_totals_stream``: event-time windows of one day with a
   watermark; late orders inside the allowance still update their day.
-* T3 ``reservation_stream``: per inventory row state (available, reserved)
-  kept by ``applyInPandasWithState``; each micro-batch's requests are applied
-  in request order.  The batch operator (B7) is its oracle.
+* T3 ``start_reservation_stream``: each micro-batch's requests run through
+  the batch operator (B7) against the stored stock, so a hot product is
+  spread over tasks and restocks between batches count.  Stock and the
+  number of the batch are published together.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..plans.warehouse import ROLLUP_STATUSES
+from ..operators.reserve import reserve_inventory
+from ..operators.upsert import upsert
+from ..plans.warehouse import ROLLUP_STATUSES, empty_table
+from ..session import materialize
+from ..sources.sinks import current_path, note, read_table, replace_tables, table_exists
 
 ORDER_STREAM_SCHEMA = ("order_id bigint, customer_id bigint, order_date timestamp_ntz, status string, "
                        "total_amount decimal(12,2), payment_method string")
@@ -37,34 +41,55 @@ def read_order_stream(spark: SparkSession, path: str, max_files: int | None = No
 
 
 # --------------------------------------------------------------------------- T1
-def _day_partials(batch: DataFrame) -> DataFrame:
-    return (batch.where(F.col("status").isin(list(ROLLUP_STATUSES)))
-            .groupBy(F.to_date("order_date").alias("summary_date"))
-            .agg(F.count(F.lit(1)).alias("total_orders"), F.sum("total_amount").alias("total_revenue")))
+RECOMPUTE_DAYS = 8
+# Of several versions of an order the farthest one counts (fixed order of the workflow).
+STATUS_ORDER = ("PENDING", "PAYMENT_FAILED", "PAID", "SHIPPED", "COMPLETED", "DELIVERED", "RETURNED", "CANCELLED")
+ORDER_STATE = "order_id bigint, order_date timestamp_ntz, status string, total_amount decimal(12,2)"
 
 
-def write_partials(batch: DataFrame, batch_id: int, target: str) -> None:
-    """One micro-batch of T1: its per-day partials replace the batch's own folder,
-    so a batch replayed after a failure leaves the same files (exactly-once)."""
-    _day_partials(batch).write.mode("overwrite").parquet(f"{target}/partials/batch_id={batch_id}")
+def apply_order_batch(batch: DataFrame, target: str) -> None:
+    """One micro-batch of T1: newest state of the recent orders, touched days recomputed and merged."""
+    spark = batch.sparkSession
+    rows = materialize(batch.select("order_id", "order_date", "status", "total_amount"), "t1-batch")
+    if rows.isEmpty():
+        return
+    path = f"{target}/order_state"
+    state = (spark.read.schema(ORDER_STATE).parquet(current_path(spark, path)) if table_exists(spark, path)
+             else spark.createDataFrame([], ORDER_STATE))
+    place = F.array_position(F.array(*[F.lit(x) for x in STATUS_ORDER]), F.col("status"))
+    newest = state.unionByName(rows).groupBy("order_id").agg(
+        F.max(F.struct(place.alias("place"), "order_date", "status", "total_amount")).alias("o")).select("order_id", "o.*").drop("place")
+    newest = materialize(newest, "t1-state")
+    last = newest.agg(F.max("order_date")).first()[0]
+    oldest = F.lit(last.date() - _dt.timedelta(days=RECOMPUTE_DAYS))
+    summary = f"{target}/sales_summary"
+    stored = read_table(spark, summary, "sales_summary") if table_exists(spark, summary) else empty_table(spark, "sales_summary")
+    known = stored.select("summary_date").withColumn("_there", F.lit(True))
+    # recent days are recomputed; an older one enters once, when it is first seen, and is closed from then on
+    days = (rows.select(F.to_date("order_date").alias("summary_date")).distinct().join(known, "summary_date", "left")
+            .where((F.col("summary_date") >= oldest) | F.col("_there").isNull()))
+    counted = F.col("status").isin(list(ROLLUP_STATUSES))
+    totals = (newest.select(F.to_date("order_date").alias("summary_date"), "status", "total_amount").join(days, "summary_date")
+              .groupBy("summary_date", "_there").agg(F.count_if(counted).alias("total_orders"),
+                                                     F.sum(F.when(counted, F.col("total_amount"))).alias("total_revenue")))
+    # a day without counted orders enters the summary only if it is there already
+    totals = totals.where("total_orders > 0 OR _there").drop("_there")
+    merged = upsert(stored, totals, ["summary_date"], ["total_orders", "total_revenue"], id_col="summary_id",
+                    table="sales_summary", as_of=last, check_unique=False)
+    replace_tables({"order_state": newest.where(F.to_date("order_date") >= oldest), "sales_summary": merged}, target)
 
 
 def start_sales_summary_stream(orders: DataFrame, target: str, checkpoint: str, trigger_once: bool = True):
     """Start T1.  Returns the StreamingQuery."""
-    w = (orders.writeStream.foreachBatch(lambda batch, batch_id: write_partials(batch, batch_id, target))
+    w = (orders.writeStream.foreachBatch(lambda batch, batch_id: apply_order_batch(batch, target))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if trigger_once else w
     return w.start()
 
 
 def read_sales_summary(spark: SparkSession, target: str) -> DataFrame:
-    """SALES_SUMMARY rows from the partials: per day, summed over batches; ids in day order."""
-    parts = spark.read.schema("summary_date date, total_orders bigint, total_revenue decimal(22,2), "
-                              "batch_id bigint").parquet(f"{target}/partials")
-    agg = parts.groupBy("summary_date").agg(F.sum("total_orders").cast("bigint").alias("total_orders"),
-                                            F.sum("total_revenue").cast("decimal(15,2)").alias("total_revenue"))
-    from ..operators.ids import assign_ids
-    return assign_ids(agg, ["summary_date"], id_col="summary_id").select(
+    """The SALES_SUMMARY rows that T1 has merged so far."""
+    return read_table(spark, f"{target}/sales_summary", "sales_summary").select(
         "summary_id", "summary_date", "total_orders", "total_revenue")
 
 
@@ -87,54 +112,36 @@ def daily_totals_stream(orders: DataFrame, lateness: str = "8 days", dedup: bool
 
 
 # --------------------------------------------------------------------------- T3
-RESERVATION_OUT = "inventory_id bigint, seq bigint, quantity bigint, accepted boolean, available_after bigint"
-RESERVATION_STATE = "available bigint, reserved bigint"
-
-
-def fold_reservations(avail: int, q: np.ndarray) -> np.ndarray:
-    """Accepted flags for quantities ``q`` (in order) against ``avail``, in vectorised rounds:
-    candidates (q <= remaining) accept the prefix whose running sum fits; the
-    first that does not fit is refused; repeat on the candidates after it."""
-    acc = np.zeros(len(q), dtype=bool)
-    pending = np.arange(len(q))
-    while len(pending):
-        cand = pending[q[pending] <= avail]
-        if not len(cand):
-            break
-        cs = np.cumsum(q[cand])
-        k = int(np.searchsorted(cs, avail, side="right"))
-        acc[cand[:k]] = True
-        avail -= int(cs[k - 1]) if k else 0
-        pending = cand[k + 1:]
-    return acc
-
-
-def _apply_requests(key, pdfs, state):
-    (inventory_id,) = key
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
-    if not len(pdf):
+def apply_request_batch(requests: DataFrame, batch_id: int, root: str) -> None:
+    """One micro-batch of T3: B7 against the stored stock; decisions go to the batch's own folder.
+
+    A batch that was published already is skipped; one that failed before
+    that finds the stock as it was and writes the same decisions again.
+    """
+    spark = requests.sparkSession
+    done = note(spark, root, "applied_batch")
+    if done is not None and int(done) >= batch_id:
         return
-    if state.exists:
-        avail, reserved = state.get
-    else:
-        avail, reserved = int(pdf["quantity_available"].iloc[0]), 0
-    q = pdf["quantity"].to_numpy(dtype=np.int64)
-    acc = fold_reservations(avail, q)
-    taken = np.cumsum(np.where(acc, q, 0))
-    state.update((int(avail - taken[-1]), int(reserved + taken[-1])))
-    yield pd.DataFrame({"inventory_id": inventory_id, "seq": pdf["seq"].to_numpy(), "quantity": q,
-                        "accepted": acc, "available_after": avail - taken})
-
-
-def reservation_stream(requests: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Decisions for a stream of requests(seq, product_id, quantity).
-
-    The stream meets the static inventory (every inventory row of the
-    product gets the request); the per-row state starts from the row's
-    quantity_available.  Requests must arrive in seq order across batches.
+    stock = read_table(spark, f"{root}/inventory", "inventory")
+    after, decisions = reserve_inventory(stock, materialize(requests.select("seq", "product_id", "quantity"), "t3-batch"))
+    decisions.write.mode("overwrite").parquet(f"{root}/decisions/batch_id={batch_id}")
+    replace_tables({"inventory": after}, root, applied_batch=str(batch_id))
+
+
+def start_reservation_stream(requests: DataFrame, root: str, checkpoint: str, trigger_once: bool = True):
+    """Decide a stream of requests(seq, product_id, quantity) against the stored ``<root>/inventory``.
+
+    Requests must arrive in seq order across batches.  Returns the StreamingQuery.
     """
-    inv = inventory.select("inventory_id", "product_id", "quantity_available")
-    j = requests.join(inv, "product_id")
-    return (j.groupBy("inventory_id")
-            .applyInPandasWithState(_apply_requests, RESERVATION_OUT, RESERVATION_STATE, "append",
-                                    GroupStateTimeout.NoTimeout))
+    w = (requests.writeStream.foreachBatch(lambda batch, batch_id: apply_request_batch(batch, batch_id, root))
+         .option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if trigger_once else w
+    return w.start()
+
+
+def read_decisions(spark: SparkSession, root: str) -> DataFrame:
+    """The decisions of all published batches."""
+    done = int(note(spark, root, "applied_batch") or -1)
+    d = spark.read.schema("inventory_id bigint, seq bigint, product_id bigint, quantity bigint, accepted boolean, "
+                          "batch_id bigint").parquet(f"{root}/decisions")
+    return d.where(F.col("batch_id") <= done).drop("batch_id")

@@ -11,7 +11,9 @@ from ledgerline.operators.audit import audit_diff
 from ledgerline.operators.constraints import constraint_report, constraint_violations
 from ledgerline.operators.defaults import apply_defaults
 from ledgerline.operators.ids import assign_ids
-from ledgerline.operators.reserve import reserve_inventory, reserve_inventory_fold
+from brute import fold_reservations
+
+from ledgerline.operators.reserve import reserve_inventory
 from ledgerline.operators.upsert import MergeError, upsert
 from ledgerline.plans.warehouse import empty_table, merge_sales_summary
 from ledgerline.schema import SCHEMAS
@@ -51,13 +53,31 @@ def test_reserve_rounds_equal_fold_on_derived_requests(spark, tables):
     req = assign_ids(items.select("order_id", "product_id", "quantity"), ["order_id", "product_id", "quantity"],
                      id_col="seq").select("seq", "product_id", "quantity")
     after, dec = reserve_inventory(inv, req, chunk=3)
-    fold = reserve_inventory_fold(inv, req)
-    a = sorted(tuple(r) for r in after.collect())
-    b = sorted(tuple(r) for r in fold.collect())
-    assert a == b
+    fold = fold_reservations(inv, req)
+    assert {r["inventory_id"]: (r["quantity_available"], r["quantity_reserved"]) for r in after.collect()} == {
+        k: v[:2] for k, v in fold.items()}
+    took = {}
+    for r in dec.where("accepted").collect():
+        took.setdefault(r["inventory_id"], set()).add(r["seq"])
+    assert took == {k: v[2] for k, v in fold.items() if v[2]}
     assert dec.where(~F.col("accepted")).count() > 0
 
 
+def test_reserve_rounds_are_bounded_by_distinct_quantities(spark, monkeypatch):
+    """Requests made to alternate 1 and the whole remaining stock: many refusals, each in a round of its own."""
+    from ledgerline.operators import reserve
+    rounds = []
+    real = reserve.running_sum
+    monkeypatch.setattr(reserve, "running_sum", lambda *a: rounds.append(1) or real(*a))
+    inv = _inv(spark, [(1, 7, 9, 0)])
+    q = [x for k in range(9, 4, -1) for x in (1, k)]
+    req = spark.createDataFrame([(i, 7, x) for i, x in enumerate(q, 1)], "seq bigint, product_id bigint, quantity bigint")
+    after, _ = reserve_inventory(inv, req)
+    fold = fold_reservations(inv, req)
+    assert tuple(after.first())[2:4] == fold[1][:2]
+    assert len(rounds) <= len(set(q)) + 1
+
+
 def test_merge_matched_unmatched_and_null_key(spark):
     tgt = empty_table(spark, "sales_summary").unionByName(spark.createDataFrame(
         [(1, dt.date(2024, 1, 1), 5, Decimal("50.00"), None, None, dt.datetime(2024, 1, 1)),
@@ -180,14 +200,15 @@ def test_reserve_hot_product_matches_fold(spark):
     req = spark.range(1, 3001).select(F.col("id").alias("seq"), F.lit(7).cast("bigint").alias("product_id"),
                                       ((F.col("id") * 7919) % 9 + 1).alias("quantity"))
     after, _ = reserve_inventory(inv, req, chunk=64)
-    fold = reserve_inventory_fold(inv, req)
-    assert sorted(tuple(r) for r in after.collect()) == sorted(tuple(r) for r in fold.collect())
+    fold = fold_reservations(inv, req)
+    assert {r["inventory_id"]: (r["quantity_available"], r["quantity_reserved"]) for r in after.collect()} == {
+        k: v[:2] for k, v in fold.items()}
 
 
 def test_key_lookup_pushes_short_lists(spark, tables):
     import contextlib
     import io
-    out = B.lookup_by_key(tables["orders"], "order_id", [1, 2, 3])
+    out = B.lookup_by_literals(tables["orders"], "order_id", 1, 2, 3)
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
         out.explain("formatted")
@@ -219,7 +240,7 @@ def test_daily_sales_drops_orders_without_items_and_counts_fan_out(spark):
     assert got[dt.date(2001, 7, 30)] == (1, Decimal("10.00"))
 
 
-def test_assign_ids_small_and_distributed_paths_agree(spark):
+def test_assign_ids_same_ids_for_any_partitioning(spark):
     df = spark.range(0, 3000).select((F.col("id") % 37).alias("k"), (F.col("id") * 13 % 101).alias("v"))
     small = sorted((r.k, r.v, r.id) for r in assign_ids(df, ["k"], id_col="id", start=10).collect())
     dist = sorted((r.k, r.v, r.id) for r in assign_ids(df, ["k"], id_col="id", start=10, num_partitions=5).collect())
