@@ -23,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -30,10 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
+from .text import texts_of
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 NODES = 4_000
 WIDTH = 4
 _ID = 4  # bytes of a token id
@@ -47,30 +49,71 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Token ids of whole texts, a space-delimited word at a time, as little-endian 32-bit bytes.
+    """Token ids of whole texts, a word at a time, as little-endian 32-bit bytes.
 
-    The tokenizer ends a token at every space, so a text's ids are its words'
-    ids in a row; words are encoded once and kept, up to ``CACHE_WORDS``.
+    The tokenizer ends a token at every space and between a letter and a full
+    stop or the like, and knows lower case only.  So a text is lower-cased
+    and cut there, its words are encoded once (many in one call, with the end
+    token between them) and kept, up to ``CACHE_WORDS`` in a worker.  Texts
+    or words that spell out a special token go to the tokenizer as they are.
     """
 
+    FENCE = "<|endoftext|>"
+    MARK = b"<|"
+    PER_CALL = 64
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.fence = self.tokenizer.token_to_id(self.FENCE)
         self.known: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def words(raw: bytes) -> list[bytes]:
+        if WordEncoder.MARK in raw:
+            return raw.split()
+        return _STOP.sub(rb" \1", raw.lower()).split()
+
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
-            new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            coded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, coded, strict=True):
-                self.known[w] = b"".join(i.to_bytes(_ID, "little") for i in e.ids)
+            new = words
+        plain = [w for w in new if self.MARK not in w]
+        for w in new:
+            if self.MARK in w:
+                ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
+                self.known[w] = b"".join(i.to_bytes(_ID, "little") for i in ids)
+        fence = f" {self.FENCE} "
+        for at in range(0, len(plain), 64 * self.PER_CALL):
+            part = plain[at:at + 64 * self.PER_CALL]
+            groups = [part[k:k + self.PER_CALL] for k in range(0, len(part), self.PER_CALL)]
+            coded = self.tokenizer.encode_batch_fast([fence.join([w.decode() for w in g]) for g in groups], add_special_tokens=False)
+            for g, e in zip(groups, coded, strict=True):
+                ids = np.array(e.ids, dtype="<u4")
+                packed, lo = ids.tobytes(), 0
+                for w, hi in zip(g, [*(np.flatnonzero(ids == self.fence) * _ID).tolist(), len(packed)], strict=True):
+                    self.known[w] = packed[lo:hi]
+                    lo = hi + _ID
 
     def encode(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.known.__getitem__, words))
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:  # the words kept were given up for others meanwhile
+            self.learn(set(words))
+            return b"".join(map(self.known.__getitem__, words))
+
+
+#: Stops at the end of a word, after a letter.
+_STOP = re.compile(rb"(?<=[a-z])([.,;:!?]+)(?=[\x20\x09-\x0D])")
+#: One encoder a Python worker, kept between its tasks.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def _spans(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -99,8 +142,8 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ca
     end = end_id.to_bytes(_ID, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seen = WordEncoder(path), TaskContext.get().partitionId(), {}
-        width, rows, held = capacity * _ID, [], 0
+        coder, part, seen = encoder(path), TaskContext.get().partitionId(), {}
+        width, rows = capacity * _ID, []
 
         def row(doc, n: int, ids: bytes) -> None:
             k = len(ids) // _ID
@@ -114,21 +157,23 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ca
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
         for b in batches:
-            texts = b.column(1).cast(pa.large_binary())
-            at = 0
-            while at < len(texts):
+            left = zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True)
+            while True:
                 split, size = [], 0
-                while at < len(texts) and size < 1 << 21:  # words are learned a few megabytes of text at a time
-                    raw = texts[at].as_py() or b""
-                    split.append((b.column(0)[at].as_py(), raw if len(raw) > 1 << 21 else raw.split()))
+                for doc, text_bytes in left:  # words are learned a few megabytes of text at a time
+                    raw = text_bytes.tobytes()
+                    split.append((doc, raw if len(raw) > 1 << 21 else coder.words(raw)))
                     size += len(raw)
-                    at += 1
-                coder.learn({w for _, words in split if isinstance(words, list) for w in words})
+                    if size >= 1 << 21:
+                        break
+                if not split:
+                    break
+                coder.learn(set().union(*[words for _, words in split if isinstance(words, list)]))
                 for doc, words in split:
                     n, ids = 0, b""
                     if isinstance(words, bytes):
                         for span in _spans(words):
-                            some = span.split()
+                            some = coder.words(span)
                             coder.learn(set(some))
                             ids += coder.encode(some)
                             while len(ids) > width:
@@ -140,7 +185,6 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ca
                     for k in range(0, len(ids), width):
                         row(doc, n, ids[k:k + width])
                         n += 1
-                held += size
                 if len(rows) >= 5000 or with_ids:
                     yield out()
                     rows.clear()
