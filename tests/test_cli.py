@@ -12,9 +12,9 @@ def _run(*args, timeout=300):
 
 
 def test_cli_lists_every_registered_query():
-    import __spark_entry__ as E
+    from ledgerline.plans.registry import QUERIES
     out = _run("list")
-    assert out.returncode == 0 and out.stdout.split() == list(E.queries())
+    assert out.returncode == 0 and out.stdout.split() == list(QUERIES)
 
 
 def test_cli_runs_a_query_to_parquet():

@@ -108,7 +108,7 @@ def test_materialize_and_clear_stage(spark):
     own = stage_root(spark)
     assert os.path.isdir(own) and own.startswith(os.path.join(base, STAGE_FOLDER))
     other = os.path.join(base, STAGE_FOLDER, "app-of-someone-else", "stage-1")
-    os.makedirs(other)
+    os.makedirs(other, exist_ok=True)
     clear_stage(spark)
     assert not os.path.exists(own)
     assert os.path.isdir(other)
