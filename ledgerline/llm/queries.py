@@ -87,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_warc_chunks, op2_multiprobe_neighbours, op3_minhash_components, op4_source_mix, op5_text_density,
         op6_best_fit_packing, op7_quality_rules, op8_license_scan, op9_importance_classifier, op10_hypergeometric_shards)}
 
-ORACLE: dict[str, str] = {"op4_source_mix": mixing.ORACLE_MIX}
+ORACLE: dict[str, str] = {"op1_warc_chunks": warc.ORACLE_RECORDS, "op4_source_mix": mixing.ORACLE_MIX,
+                          "op7_quality_rules": rules.oracle()}

@@ -230,3 +230,14 @@ def records(chunks: DataFrame) -> DataFrame:
 def page_of(urn: Column) -> Column:
     """The key in a record id."""
     return F.regexp_extract(urn, r"^urn:page:(-?\d+)$", 1).try_cast("long")
+
+
+#: What reading back the archives of ``pages`` gives, in DuckDB SQL.
+ORACLE_RECORDS = f"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS target_uri, sha256(coalesce(html, '')) AS payload_digest,
+         octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= {MIN_REVISIT} THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to, target_uri FROM f
+"""
