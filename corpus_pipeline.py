@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import importance, minhash, mixing, packing, rules
+from ledgerline.llm.text import whole_row
 from ledgerline.session import materialize, ship_package
 
 
@@ -32,7 +33,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return rules.judge(docs).where("kept").select("row.*")
+    return rules.keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +43,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     twice = docs.groupBy(F.col("doc_id").alias("gone")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND gone IS NOT NULL")
     gone = copies.union(twice.select("gone", F.lit(False))).groupBy("gone").agg(F.max("copy").alias("copy"))
     gone = materialize(gone, "pipeline-gone")
-    marked = docs.join(gone, F.col("doc_id") == F.col("gone"), "left")
-    once = marked.where("gone IS NULL").select(*docs.columns)
-    return once.unionByName(marked.where("NOT copy").select(*docs.columns).dropDuplicates(["doc_id"]))
+    marked = docs.select(whole_row(docs), F.col("doc_id").alias("id")).join(gone, F.col("id") == F.col("gone"), "left")
+    once = marked.where("gone IS NULL").select("row.*")
+    return once.unionByName(marked.where("NOT copy").dropDuplicates(["id"]).select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

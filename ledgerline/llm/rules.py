@@ -112,3 +112,45 @@ def judge(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """``row``, the measures, ``base_failed`` and ``kept`` of each document."""
     return measures(docs, text).withColumn("base_failed", base_failed()).withColumn(
         "kept", ~F.col("base_failed") & verdict(rules))
+
+
+def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """The documents that pass, with their own columns.
+
+    Each row yields itself or nothing.  A plain filter on ``kept`` would be
+    pushed below the projections, which repeats every measure in every place
+    that uses it.
+    """
+    return judge(docs, text, rules).select(F.inline(F.when(F.col("kept"), F.array("row"))))
+
+
+def oracle(rules=RULES) -> str:
+    """The same judgement in DuckDB SQL over the table ``documents``."""
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    ok = " AND ".join(f"{r.measure} {op} {v}" for r in rules for op, v in ((">=", r.low), ("<=", r.high)) if v is not None)
+    return rf"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS three
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM split)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, three) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY doc_id),
+counts AS (
+  SELECT s.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+         len(lines) AS n_lines, len(list_filter(words, lambda x: lower(x) IN ({stop}))) AS n_stop,
+         length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper
+  FROM split s LEFT JOIN covered c ON s.doc_id = c.doc_id),
+ratios AS (
+  SELECT *, word_chars / greatest(n_words, 1)::DOUBLE AS mean_word_chars, n_symbols / greatest(n_words, 1)::DOUBLE AS symbol_ratio,
+         n_stop / greatest(n_words, 1)::DOUBLE AS stop_word_ratio, n_repeat_words / greatest(n_words, 1)::DOUBLE AS repeat_word_ratio,
+         n_dup_lines / greatest(n_lines, 1)::DOUBLE AS dup_line_ratio, n_upper / greatest(word_chars, 1)::DOUBLE AS upper_ratio,
+         n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {ok} AS kept
+FROM ratios"""

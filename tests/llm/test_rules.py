@@ -50,6 +50,14 @@ def test_clean_documents_stay_and_junk_goes(spark, sf):
     assert bad < 0.35 * sum(v for k, v in n.items() if k[0] == 0)
 
 
+def test_keep_returns_the_rows_judged_so(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r[0] for r in rules.judge(docs).select("row.doc_id", "kept").collect() if r[1]}
+    got = rules.keep(docs)
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == want
+    assert "Python" not in got._jdf.queryExecution().toString()
+
+
 def test_no_python_in_the_plan(spark, sf):
     plan = queries.QUERIES["op7_quality_rules"](spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
