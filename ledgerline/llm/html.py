@@ -9,7 +9,8 @@ with LCb and Cb those of the body and zero denominators taken as one.  An
 element's density sum adds its children's densities; the element of largest
 sum holds the text.  The least density on its path below the body is the
 threshold at which further subtrees beside the path belong to it as well.  An
-article or main element around the chosen one is taken whole.
+article or main element around the chosen one is taken whole; if the chosen
+subtree has no first-rank heading, those beside it are taken too.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments,
 scripts and styles are cut from the tree first, by element, role and the
@@ -54,11 +55,14 @@ CUT_TAGS = frozenset("head script style noscript template nav footer aside form
                      "svg canvas menu dialog noembed noframes xmp".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 CUT_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner sidebar sidebars menu "
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors alert alerts promo promotion banner sidebar sidebars menu "
     "nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead cookie cookies consent gdpr notice notices popup "
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments "
     "commentlist disqus reply replies respond search toolbar widget".split())
-#: Only a page's own header is cut: an article's holds its title.
+#: Words before these say that a part is absent or present elsewhere, not that this is it.
+ABOUT_OTHERS = frozenset("no has with without".split())
+#: A header of these is the article's own and holds its title; any other, outside an article, is the page's.
+OWN_HEADER = frozenset("article post entry content story".split())
 _WORD = re.compile(r"[A-Za-z][a-z]*")
 
 
@@ -80,8 +84,12 @@ def _is_cut(tag: str, attributes: str, inside_article: bool) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
-            if any(w.lower() in CUT_WORDS for w in _WORD.findall(value)):
-                return True
+            for token in value.split():
+                words = [w.lower() for w in _WORD.findall(token)]
+                if words and words[0] not in ABOUT_OTHERS and (
+                        CUT_WORDS.intersection(words)
+                        or "header" in words and not inside_article and not OWN_HEADER.intersection(words)):
+                    return True
         elif name == "role" and value.lower() in CUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -209,15 +217,21 @@ def content(root: _Node) -> list[_Node]:
     while n is not None and n.tag not in ("body", "html", "#page"):
         path.append(n)
         n = n.parent
-    if not path:
-        return [best]
-    threshold = min(x.density for x in path)
     chosen = {id(best)}
+    if not any(x.tag == "h1" for x in _walk(best)):  # the article's title may stand beside its text
+        chosen |= {id(x) for x in nodes if x.tag == "h1"}
+    threshold = min((x.density for x in path), default=0.0)
     inside = {id(x) for x in path}
     for p in path[1:]:  # beside the path, below the body
         chosen |= {id(c) for c in p.children if isinstance(c, _Node) and not c.cut and id(c) not in inside
                    and c.chars and c.density >= threshold}
-    return [x for x in nodes if id(x) in chosen]
+    out, below = [], set()  # parents come first: what lies in a chosen subtree is not taken again
+    for x in nodes:
+        if x.parent is not None and (id(x.parent) in below or id(x.parent) in chosen):
+            below.add(id(x))
+        elif id(x) in chosen:
+            out.append(x)
+    return out
 
 
 def text_of(node: _Node) -> str:

@@ -32,6 +32,13 @@ def test_articles_in_chrome():
         assert html.extract(CHROME.format(article=body)) == want, body
 
 
+def test_names_that_only_mention_other_parts():
+    page = CHROME.format(article="<div class='layout no-sidebar has-comments'><div class='post-header'><h1>Title</h1></div>"
+                                 "<div class=body><p>One paragraph of some length, as it is.</p><p>Another one, a little longer, here.</p>"
+                                 "</div></div>").replace("<body", "<body id=x").replace("<nav>", "<div id='site-header'>Logo text</div><nav>")
+    assert html.extract(page) == "Title One paragraph of some length, as it is. Another one, a little longer, here."
+
+
 def test_odd_pages():
     assert html.extract(None) == html.extract("") == html.extract("<html><body></body></html>") == ""
     assert html.extract("plain  text\n here") == "plain text here"
