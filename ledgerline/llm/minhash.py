@@ -213,7 +213,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """doc_id, n_shingles, component_id and kept of each document."""
     signed = materialize(signatures(docs, id_col, text), "minhash-signatures")
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # written, so that the join below has an exchange of its own, in which a hot class is split
+    classes = materialize(real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "minhash-representatives")
     member = materialize(real.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"])
                          .select("doc_id", "n_shingles", "rep"), "minhash-classes")
     firsts = member.where("doc_id = rep").select("doc_id").distinct()
