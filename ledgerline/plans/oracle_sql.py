@@ -276,10 +276,12 @@ priced AS (SELECT n.order_id, n.customer_id, n.payment_method, {_PRICE}
 SELECT order_id, customer_id, {TS} AS order_date, 'COMPLETED' AS status, total_amount, tax_amount, shipping_cost,
        payment_method FROM priced""")
 
-_PLACED_ITEMS = f"""placed AS (
-  SELECT (SELECT MAX(order_id) FROM shop_orders) + DENSE_RANK() OVER (ORDER BY oi.order_id) AS order_id, oi.order_id AS request_id,
-         oi.product_id, oi.quantity, oi.subtotal
-  FROM order_items oi JOIN shop_orders o ON oi.order_id = o.order_id WHERE o.order_date >= {_ts_minus_days(7)}),
+_PLACED_ITEMS = f"""wanted AS (
+  SELECT order_id AS request_id, (SELECT MAX(order_id) FROM shop_orders) + ROW_NUMBER() OVER (ORDER BY order_id) AS order_id
+  FROM shop_orders WHERE order_date >= {_ts_minus_days(7)}),
+placed AS (
+  SELECT w.order_id, w.request_id, oi.product_id, oi.quantity, oi.subtotal
+  FROM wanted w JOIN order_items oi ON oi.order_id = w.request_id),
 numbered AS (
   SELECT ROW_NUMBER() OVER (ORDER BY request_id, x.product_id, quantity, subtotal) AS order_item_id, x.order_id, x.product_id,
          CAST(quantity AS BIGINT) AS quantity, CAST(p.price AS DECIMAL(10,2)) AS unit_price
