@@ -6,7 +6,7 @@ last return the columns of documents and only drop or repeat rows:
 
 1. quality classifier: documents that importance resampling rejects go;
 2. quality rules: documents that fail the rules go;
-3. near duplicates: one document of each component stays;
+3. near duplicates: one document of each component of 5-word Jaccard 0.8 stays;
 4. source mix: documents are emitted as often as their source's rate says;
 5. packing: pieces of token sequences with their place.
 
@@ -23,6 +23,9 @@ from ledgerline.llm import importance, minhash, mixing, packing, rules
 from ledgerline.llm.text import whole_row
 from ledgerline.session import materialize, ship_package
 
+#: Words of a shingle and least similarity (%) of the near-duplicate stage; op3 has its own.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
@@ -39,7 +42,8 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each component; of rows that repeat it, one."""
     ship_package(spark)
-    copies = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone"), F.lit(True).alias("copy"))
+    copies = minhash.near_duplicates(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT).where("NOT kept").select(
+        F.col("doc_id").alias("gone"), F.lit(True).alias("copy"))
     twice = docs.groupBy(F.col("doc_id").alias("gone")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND gone IS NOT NULL")
     gone = copies.union(twice.select("gone", F.lit(False))).groupBy("gone").agg(F.max("copy").alias("copy"))
     gone = materialize(gone, "pipeline-gone")

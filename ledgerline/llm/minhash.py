@@ -1,7 +1,9 @@
 """Near-duplicate components by b-bit MinHash with band candidates and exact confirmation.
 
 Words are lower-cased (A-Z) runs of non-space characters; a document's set
-is its distinct 3-word shingles (64-bit hashes).  Steps:
+is its distinct shingles of ``width`` words (64-bit hashes), and two sets are
+linked at a similarity of ``percent``.  :class:`Shape` derives all else from
+the two; figures below are those of 3 words and 85 %.  Steps:
 
 1. Signature pass over the texts: 125 minima per set, 25 band keys of 5
    minima, and the low 4 bits of every minimum packed into 8 longs.  Equal
@@ -11,7 +13,7 @@ is its distinct 3-word shingles (64-bit hashes).  Steps:
    one pivot, its most central member (linear in the bucket, never all pairs).
    Packed signatures give the estimate (matches - c) / (1 - c), c = 2^-b, by
    bit counts; what stays is measured exactly on full sets.  Members are near
-   (similarity to the pivot 0.7 or more) or far.
+   (similarity to the pivot 0.7 or more, twice the threshold less one) or far.
 3. Two members linked to the pivot are connected already.  A near member not
    linked to it is compared with the other near ones exactly, by the members'
    differences from the pivot's set, in a join that returns links only.  By
@@ -23,16 +25,20 @@ is its distinct 3-word shingles (64-bit hashes).  Steps:
 
 A pair at the threshold shares no band with probability
 (1 - 0.85^5)^25 = 4e-7, and the estimate's margin is 5 standard deviations.
+At 80 % there are 37 bands (185 minima), near is 0.6, and the same holds.
 
 Cases: null or empty text has an empty set, is linked with nothing and is its
-own component; fewer than three words make one shingle; rows that share a
+own component; fewer than ``width`` words make one shingle; rows that share a
 doc_id are one node, each returned; a null doc_id takes no part (component
 null, kept); a table without rows gives none; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,26 +48,64 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .text import SPACED, lower_ascii, mix64, texts_of, word_bounds, word_hashes
 
-BANDS, ROWS, BITS = 25, 5, 4
-HASHES = BANDS * ROWS
-PERCENT = 85
-NEAR = 0.70
-#: The estimate's standard deviation is 0.033 at 0.85 and 0.044 at 0.70.
-LINK_FLOOR, NEAR_FLOOR = 0.69, 0.53
+WIDTH, PERCENT = 3, 85
+ROWS, BITS = 5, 4
+#: Probability at most that a pair at the threshold shares no band.
+MISS = 4.5e-7
 _PER_LONG = 64 // BITS
-_LONGS = -(-HASHES // _PER_LONG)
 
 
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240229)
-    a = rng.integers(0, 2 ** 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, rng.integers(0, 2 ** 63, HASHES, dtype=np.uint64)
+@dataclass(frozen=True)
+class Shape:
+    """Numbers of the method for shingles of ``width`` words and links at ``percent`` similarity."""
+
+    width: int = WIDTH
+    percent: int = PERCENT
+
+    def __post_init__(self) -> None:
+        if self.width < 1 or not 50 < self.percent < 100:
+            raise ValueError(f"shingles of {self.width} words, linked at {self.percent} %")
+
+    @property
+    def bands(self) -> int:
+        return math.ceil(math.log(MISS) / math.log(1 - (self.percent / 100) ** ROWS))
+
+    @property
+    def hashes(self) -> int:
+        return self.bands * ROWS
+
+    @property
+    def near(self) -> int:
+        """Least percentage to a pivot at which a set may link with one that is linked to the pivot."""
+        return 2 * self.percent - 100
 
+    def _floor(self, percent: int, deviations: int) -> float:
+        """The estimate that a pair of this similarity falls short of by so many standard deviations."""
+        chance = 2.0 ** -BITS
+        match = percent / 100 * (1 - chance) + chance
+        sd = math.sqrt(match * (1 - match) / self.hashes) / (1 - chance)
+        return math.ceil(percent - 100 * deviations * sd) / 100
 
-_A, _B = _multipliers()
+    @property
+    def link_floor(self) -> float:
+        return self._floor(self.percent, 5)
+
+    @property
+    def near_floor(self) -> float:
+        return self._floor(self.near, 4)
+
+
+SHAPE = Shape()
+
+
+@functools.lru_cache
+def _multipliers(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240229)
+    a = rng.integers(0, 2 ** 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return a, rng.integers(0, 2 ** 63, hashes, dtype=np.uint64)
 
 
-def shingle_set(raw: np.ndarray, width: int = 3) -> np.ndarray:
+def shingle_set(raw: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a text given as UTF-8 bytes."""
     low = lower_ascii(raw)
     h = word_hashes(low, *word_bounds(low, SPACED))
@@ -74,16 +118,17 @@ def shingle_set(raw: np.ndarray, width: int = 3) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(s: np.ndarray) -> np.ndarray:
+def minima(s: np.ndarray, hashes: int = SHAPE.hashes) -> np.ndarray:
     """The smallest value of each of the hash functions over a set."""
-    out = np.full(HASHES, np.uint64(2 ** 64 - 1), dtype=np.uint64)
+    mul, add = _multipliers(hashes)
+    out = np.full(hashes, np.uint64(2 ** 64 - 1), dtype=np.uint64)
     for at in range(0, len(s), 4096):
-        np.minimum(out, (s[at:at + 4096, None] * _A + _B).min(axis=0), out=out)
+        np.minimum(out, (s[at:at + 4096, None] * mul + add).min(axis=0), out=out)
     return mix64(out)
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    key = np.arange(1, len(m) // ROWS + 1, dtype=np.uint64)
     for j in range(ROWS):
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + m[j::ROWS])
     return key.view(np.int64)
@@ -91,28 +136,29 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 
 def packed_bits(m: np.ndarray) -> np.ndarray:
     """The low bits of the minima, 16 to a long."""
-    low = np.zeros(_LONGS * _PER_LONG, dtype=np.uint64)
-    low[:HASHES] = m & np.uint64((1 << BITS) - 1)
+    longs = -(-len(m) // _PER_LONG)
+    low = np.zeros(longs * _PER_LONG, dtype=np.uint64)
+    low[:len(m)] = m & np.uint64((1 << BITS) - 1)
     shift = np.arange(_PER_LONG, dtype=np.uint64) * np.uint64(BITS)
-    return (low.reshape(_LONGS, _PER_LONG) << shift).sum(axis=1, dtype=np.uint64).view(np.int64)
+    return (low.reshape(longs, _PER_LONG) << shift).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def estimate(a: Column, b: Column) -> Column:
+def estimate(a: Column, b: Column, hashes: int = SHAPE.hashes) -> Column:
     """Similarity from two packed signatures by bit counts, corrected for chance collisions."""
     ones = sum(1 << (BITS * k) for k in range(_PER_LONG))
     ones = F.lit(ones - (1 << 64) if ones >> 63 else ones)
     differ = F.lit(0)
-    for i in range(_LONGS):
+    for i in range(-(-hashes // _PER_LONG)):
         x = a[i].bitwiseXOR(b[i])
         any_bit = x
         for k in range(1, BITS):
             any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, k))
         differ = differ + F.bit_count(any_bit.bitwiseAND(ones))
     chance = 2.0 ** -BITS
-    return ((F.lit(1.0) - differ / F.lit(float(HASHES))) - chance) / (1.0 - chance)
+    return ((F.lit(1.0) - differ / F.lit(float(hashes))) - chance) / (1.0 - chance)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shape: Shape = SHAPE) -> DataFrame:
     """doc_id, n_shingles, two halves of the set's fingerprint, band keys and packed signature."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
                         ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
@@ -121,11 +167,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
         for b in batches:
             n, fp, bands, sig = [], [], [], []
             for raw in texts_of(b.column(1)):
-                s = shingle_set(raw)
+                s = shingle_set(raw, shape.width)
                 n.append(len(s))
                 both = np.array([mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)])
                 fp.append(both.view(np.int64))
-                m = minima(s) if len(s) else None
+                m = minima(s, shape.hashes) if len(s) else None
                 bands.append(None if m is None else band_keys(m))
                 sig.append(None if m is None else packed_bits(m))
             fp = np.array(fp, dtype=np.int64).reshape(-1, 2)
@@ -138,7 +184,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 
 
 def measure_pairs(pairs: DataFrame, docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text: str = "text",
-                  differences: bool = False) -> DataFrame:
+                  differences: bool = False, shape: Shape = SHAPE) -> DataFrame:
     """Exact set sizes of pairs (``a``, ``b``) of ids: n_a, n_b and common.
 
     With ``differences``, near pairs also get ``mask`` (which elements of b's
@@ -158,14 +204,14 @@ def measure_pairs(pairs: DataFrame, docs: DataFrame, a: str, b: str, id_col: str
             cols: list[list] = [[] for _ in range(len(fields) - 2)]
             for y, ta, tb in zip(batch.column(1).to_pylist(), texts_of(batch.column(2)), texts_of(batch.column(3)), strict=True):
                 if sb is None or last != y:
-                    last, sb = y, shingle_set(tb)
-                sa = shingle_set(ta)
+                    last, sb = y, shingle_set(tb, shape.width)
+                sa = shingle_set(ta, shape.width)
                 at = np.searchsorted(sa, sb)
                 has = (at < len(sa)) & (sa[np.minimum(at, len(sa) - 1)] == sb) if len(sa) else np.zeros(len(sb), bool)
                 common = int(has.sum())
                 row = [len(sa), len(sb), common]
                 if differences:
-                    near = common >= NEAR * (len(sa) + len(sb) - common)
+                    near = 100 * common >= shape.near * (len(sa) + len(sb) - common)
                     bits = np.zeros(-(-len(sb) // 64) * 64, dtype=np.uint8)
                     bits[:len(sb)] = has
                     row += [np.packbits(bits, bitorder="little").view(np.int64), np.setdiff1d(sa, sb, assume_unique=True)
@@ -180,8 +226,8 @@ def measure_pairs(pairs: DataFrame, docs: DataFrame, a: str, b: str, id_col: str
                              + (", mask array<long>, added array<long>" if differences else ""))
 
 
-def linked(n_a: Column, n_b: Column, common: Column) -> Column:
-    return 100 * common >= PERCENT * (n_a + n_b - common)
+def linked(n_a: Column, n_b: Column, common: Column, percent: int = PERCENT) -> Column:
+    return 100 * common >= percent * (n_a + n_b - common)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,9 +255,11 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH,
+                    percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
-    signed = materialize(signatures(docs, id_col, text), "minhash-signatures")
+    shape = Shape(width, percent)
+    signed = materialize(signatures(docs, id_col, text, shape), "minhash-signatures")
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # written, so that the join below has an exchange of its own, in which a hot class is split
     classes = materialize(real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "minhash-representatives")
@@ -231,16 +279,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     sig = reps.select("doc_id", "n_shingles", "sig")
     side = lambda c, s: sig.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-    est = estimate(F.col("sig_x"), F.col("sig_y"))
+    est = estimate(F.col("sig_x"), F.col("sig_y"), shape.hashes)
 
-    def estimated(pairs: DataFrame, x: str, y: str, floor: float, ratio: float) -> DataFrame:
+    def estimated(pairs: DataFrame, x: str, y: str, floor: float, least: int) -> DataFrame:
         # sets of sizes n <= m have a similarity of n / m at most
-        size_ok = F.least("n_x", "n_y") >= ratio * F.greatest("n_x", "n_y")
+        size_ok = 100 * F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y")
         return pairs.join(side(x, "x"), x).join(side(y, "y"), y).where(size_ok & (est >= floor)).select(x, y)
 
-    stars = estimated(in_star.select("doc_id", "pivot").distinct(), "doc_id", "pivot", NEAR_FLOOR, NEAR).distinct()
-    stars = materialize(measure_pairs(stars, docs, "doc_id", "pivot", id_col, text, differences=True), "minhash-measured")
-    stars = stars.withColumn("link", linked(F.col("n_a"), F.col("n_b"), F.col("common")))
+    stars = estimated(in_star.select("doc_id", "pivot").distinct(), "doc_id", "pivot", shape.near_floor, shape.near).distinct()
+    stars = materialize(measure_pairs(stars, docs, "doc_id", "pivot", id_col, text, differences=True, shape=shape), "minhash-measured")
+    stars = stars.withColumn("link", linked(F.col("n_a"), F.col("n_b"), F.col("common"), percent))
     links = stars.where("link").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
     first = components(links)
 
@@ -252,9 +300,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     common = (F.aggregate(F.zip_with("mask_x", "mask_y", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda s, v: s + v)
               + F.size(F.array_intersect("added_x", "added_y"))).cast("long")
     once = F.col("link_y") | (F.col("doc_id_x") < F.col("doc_id_y"))
-    size_ok = 100 * F.least("n_a_x", "n_a_y") >= PERCENT * F.greatest("n_a_x", "n_a_y")
+    size_ok = 100 * F.least("n_a_x", "n_a_y") >= percent * F.greatest("n_a_x", "n_a_y")
     more = x.join(y, "pivot").where((F.col("label_x") != F.col("label_y")) & once & size_ok
-                                    & linked(F.col("n_a_x"), F.col("n_a_y"), common)).select(
+                                    & linked(F.col("n_a_x"), F.col("n_a_y"), common, percent)).select(
         F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
 
     # far members against the far and the near unlinked ones of their bucket
@@ -266,11 +314,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     sx = sig.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n_x"), F.col("sig").alias("sig_x"))
     sy = sig.select(F.col("doc_id").alias("y"), F.col("n_shingles").alias("n_y"), F.col("sig").alias("sig_y"))
     keep = ((F.col("x") < F.col("y")) | F.col("near")) & (F.col("x") != F.col("y")) & \
-        (100 * F.least("n_x", "n_y") >= PERCENT * F.greatest("n_x", "n_y")) & (est >= LINK_FLOOR)
+        (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (est >= shape.link_floor)
     q = q.join(p.select("key").distinct(), "key", "left_semi")
     far = p.join(sx, "x").join(q.join(sy, "y"), "key").where(keep).select("x", "y").distinct()
-    far = measure_pairs(materialize(far, "minhash-far"), docs, "x", "y", id_col, text).where(
-        linked(F.col("n_a"), F.col("n_b"), F.col("common"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    far = measure_pairs(materialize(far, "minhash-far"), docs, "x", "y", id_col, text, shape=shape).where(
+        linked(F.col("n_a"), F.col("n_b"), F.col("common"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     # stars of the first components stand for its links
     last = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more).union(far))

@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -103,3 +104,64 @@ def test_stages_on_odd_rows(spark, make_docs, sf):
             assert out.columns == docs.columns, name
         if name == "near duplicates":
             assert Counter(r["doc_id"] for r in out.collect() if r["doc_id"] is not None) == Counter([1, 2, 3, 4, 5])
+
+
+def brute_components(rows, width, percent):
+    """doc_id -> smallest doc_id of its component, every pair that shares one of its first shingles compared."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k:k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+    root, holders = {i: i for i in sets}, defaultdict(list)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j, b in sorted(sets.items()):
+        # a linked pair shares one of the smallest (100 - percent) % (and one) of either set's shingles
+        for x in sorted(b)[:len(b) - -(-percent * len(b) // 100) + 1]:
+            for i in holders[x]:
+                a = sets[i]
+                if find(i) != find(j) and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
+                    n = len(a & b)
+                    if 100 * n >= percent * (len(a) + len(b) - n):
+                        x_, y_ = find(i), find(j)
+                        root[max(x_, y_)] = min(x_, y_)
+            holders[x].append(j)
+    return {i: find(i) for i in sets}
+
+
+def test_near_duplicate_stage_at_five_words_and_80_percent(spark, make_docs, sf):
+    """Appended passages (1,000 words and 200 more), scattered edits, graded copies, short texts."""
+    rng, rows = random.Random(8), []
+
+    def words(tag, n):
+        return [f"{tag}{k}" for k in range(n)]
+
+    a, b = words("a", 1000), words("b", 400)
+    rows += [(1, a), (2, a + words("x", 200)), (3, a + words("y", 260)), (10, b)]
+    edits = list(b)
+    for k in range(0, 400, 24):  # 3-word 0.85 or more less than 5-word 0.8
+        edits[k] = f"e{k}"
+    rows.append((11, edits))
+    base = words("g", 300)
+    for i in range(80):
+        w = list(base)
+        for _ in range(rng.randrange(0, 30)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(9)}"
+        rows.append((100 + i, w[:rng.randrange(220, 301)] if i % 3 == 0 else w))
+    rows += [(300 + i, words(f"s{i % 3}_", 3 + i % 2)) for i in range(8)] + [(400, [])]
+    texts = [(i, " ".join(w)) for i, w in rows]
+    want = brute_components(texts, 5, 80)
+    assert want[2] == 1 and want[3] == 3 and want != brute_components(texts, 3, 85)
+    got = P.drop_near_duplicates(spark, make_docs(texts), sf)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(want.values()))
+
+
+def test_near_duplicate_stage_on_the_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
+    got = P.drop_near_duplicates(spark, docs, sf)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(want.values()))
