@@ -8,7 +8,8 @@ LC and link tags LT, and the link-adjusted characters per tag
 with LCb and Cb those of the body and zero denominators taken as one.  An
 element's density sum adds its children's densities; the element of largest
 sum holds the text.  The least density on its path below the body is the
-threshold at which further subtrees beside the path belong to it as well.  An
+threshold at which further subtrees beside the path, the body's own children
+included, belong to it as well.  An
 article or main element around the chosen one is taken whole; if the chosen
 subtree has no first-rank heading, those beside it are taken too.
 
@@ -222,7 +223,8 @@ def content(root: _Node) -> list[_Node]:
         chosen |= {id(x) for x in nodes if x.tag == "h1"}
     threshold = min((x.density for x in path), default=0.0)
     inside = {id(x) for x in path}
-    for p in path[1:]:  # beside the path, below the body
+    # beside the path, the children of the body (or of what stands for it) included
+    for p in path[1:] + ([n] if path else []):
         chosen |= {id(c) for c in p.children if isinstance(c, _Node) and not c.cut and id(c) not in inside
                    and c.chars and c.density >= threshold}
     out, below = [], set()  # parents come first: what lies in a chosen subtree is not taken again

@@ -85,3 +85,17 @@ def test_nulls_and_repeats_in_spark(spark):
     got = df.select("page_id", html.main_text("html").alias("t")).collect()
     assert sorted((str(r[0]), r[1]) for r in got) == [("1", ""), ("1", ""), ("2", ""), ("None", "a")]
     assert df.limit(0).select(html.main_text("html")).count() == 0
+
+
+def test_articles_split_over_blocks_of_the_body():
+    p = [f"<p>{c * 100}</p>" for c in "abcde"]
+    whole = " ".join(c * 100 for c in "abcde")
+    for tag in ("div", "section"):
+        split = f"<{tag}>{''.join(p[:3])}</{tag}><{tag}>{''.join(p[3:])}</{tag}>"
+        for page in (f"<body>{split}</body>", f"<html><body>{split}</body></html>", split, f"<body><div>{split}</div></body>",
+                     f"<body><{tag}>{''.join(p[:1])}</{tag}><{tag}>{''.join(p[1:])}</{tag}></body>"):
+            assert html.extract(page) == whole, page
+    assert html.extract(f"<body>{p[0]}<div>{''.join(p[1:])}</div></body>") == whole
+    assert html.extract(f"<body><div>{''.join(p[:4])}</div>{p[4]}</body>") == whole
+    links = "<div>" + "".join(f"<a href=x>link {k}</a> " for k in range(9)) + "</div>"
+    assert html.extract(f"<body>{links}<div>{''.join(p)}</div>{links}</body>") == whole
