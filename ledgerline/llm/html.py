@@ -15,7 +15,10 @@ subtree has no first-rank heading, those beside it are taken too.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments,
 scripts and styles are cut from the tree first, by element, role and the
-words of class and id.  Pages are cut into tags by one regular expression
+words of class and id.  A form, or an element whose name mentions such a part
+among other words, is a wrapper and stays if it holds most of the unlinked
+text, or the article, main or h1 with paragraphs, and the page has no article
+beside it; its flagged inner parts are judged in turn.  Pages are cut into tags by one regular expression
 and nested with the usual implied ends, so broken markup has a tree too.
 
 Cases: null or empty html gives an empty text, as does a page without text;
@@ -25,6 +28,7 @@ open elements is closed at the end; repeated rows are read one by one.
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import math
 import re
@@ -65,42 +69,109 @@ ABOUT_OTHERS = frozenset("no has with without".split())
 #: A header of these is the article's own and holds its title; any other, outside an article, is the page's.
 OWN_HEADER = frozenset("article post entry content story".split())
 _WORD = re.compile(r"[A-Za-z][a-z]*")
+#: Why an element is cut: its name mentions a part (it may wrap one), is that part's name, or it is one by element or role.
+MENTIONS, NAMED, SURE = 1, 2, 3
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "parent", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density",
+                 "flag", "plain", "marks")
 
-    def __init__(self, tag: str, parent: _Node | None, cut: bool) -> None:
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: _Node | None, flag: int) -> None:
+        self.tag, self.parent, self.flag, self.cut = tag, parent, flag, flag > 0
         self.children: list[_Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
+        self.plain = self.marks = 0
 
 
-def _is_cut(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in CUT_TAGS or tag == "header" and not inside_article:
-        return True
+def _name_flag(value: str, inside_article: bool) -> int:
+    """What the words of a class or id say of an element."""
+    flag = 0
+    for token in value.split():
+        words = [w.lower() for w in _WORD.findall(token)]
+        if words and words[0] not in ABOUT_OTHERS and (
+                CUT_WORDS.intersection(words)
+                or "header" in words and not inside_article and not OWN_HEADER.intersection(words)):
+            flag = max(flag, NAMED if CUT_WORDS.issuperset(words) else MENTIONS)
+    return flag
+
+
+def _flag(tag: str, attributes: str, inside_article: bool) -> int:
+    if tag in CUT_TAGS and tag != "form" or tag == "header" and not inside_article:
+        return SURE
+    flag = MENTIONS if tag == "form" else 0
     if tag in ("html", "body", "article", "main") or not attributes:
-        return False
+        return flag
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
-            for token in value.split():
-                words = [w.lower() for w in _WORD.findall(token)]
-                if words and words[0] not in ABOUT_OTHERS and (
-                        CUT_WORDS.intersection(words)
-                        or "header" in words and not inside_article and not OWN_HEADER.intersection(words)):
-                    return True
+            flag = max(flag, _name_flag(value, inside_article))
         elif name == "role" and value.lower() in CUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return SURE
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return SURE
+    return flag
+
+
+_ARTICLE, _TITLE, _PARAGRAPH = 1, 2, 4
+
+
+def _has_article(marks: int) -> bool:
+    return bool(marks & _ARTICLE) or marks & (_TITLE | _PARAGRAPH) == _TITLE | _PARAGRAPH
+
+
+def _keep_wrappers(root: _Node) -> None:
+    """Take back the cut of wrappers that hold the page's text; largest first, then the flagged parts inside them."""
+    order, todo, flagged = [], [(root, False)], False
+    while todo:
+        n, linked = todo.pop()
+        order.append((n, linked := linked or n.tag == "a"))
+        flagged |= n.flag > 0
+        todo += [(c, linked) for c in n.children if isinstance(c, _Node) and c.flag != SURE]
+    if not flagged:
+        return
+    own = {id(n): 0 if linked else sum(len("".join(c.split())) for c in n.children if isinstance(c, str)) for n, linked in order}
+    for strict in (True, False):  # parts named outright are wrappers only where nothing else has text
+        limit = MENTIONS if strict else NAMED
+        mark = {id(n): n.marks for n, _ in order}
+        for n, _ in reversed(order):  # children first
+            kids = [c for c in n.children if isinstance(c, _Node) and c.flag <= limit]
+            n.plain = own[id(n)] + sum(c.plain for c in kids)
+            for c in kids:
+                mark[id(n)] |= mark[id(c)]
+            mark[id(n)] = mark[id(n)] if n.plain else 0
+        outside, seen, heap = 0, 0, []
+
+        def look(start: _Node) -> None:
+            """Count what stands uncut in ``start`` and list the wrappers there."""
+            nonlocal outside, seen
+            todo = [start]
+            while todo:
+                n = todo.pop()
+                outside += own[id(n)]
+                seen |= n.marks if n.plain else 0
+                for c in n.children:
+                    if isinstance(c, _Node) and c.flag <= limit:
+                        if c.cut:
+                            heapq.heappush(heap, (-c.plain, len(heap), id(c), c))
+                        else:
+                            todo.append(c)
+
+        look(root)
+        while heap:
+            n = heapq.heappop(heap)[-1]
+            beside = _has_article(seen) and (seen & _ARTICLE or 10 * outside >= root.plain)
+            if n.plain and not beside and (2 * n.plain > root.plain or _has_article(mark[id(n)])):
+                n.cut = False
+                look(n)
+        if outside:
+            return
 
 
 def parse(page: str) -> _Node:
     """The tree of a page; text children are decoded strings."""
-    root = _Node("#page", None, False)
+    root = _Node("#page", None, 0)
     at, node, end = 0, root, len(page)
     articles = 0
 
@@ -140,7 +211,7 @@ def parse(page: str) -> _Node:
         tag = name.lower()
         if m[1] or m[4]:
             if tag == "br":
-                node.children.append(_Node("br", node, False))
+                node.children.append(_Node("br", node, 0))
             elif n := open_one((tag,), ("table",) if tag in ("p", "li") else ()):
                 close(n)
             continue
@@ -149,18 +220,24 @@ def parse(page: str) -> _Node:
         if tag in ENDS:
             while n := open_one(*ENDS[tag]):
                 close(n)
-        child = _Node(tag, node, _is_cut(tag, m[3] or m[6] or "", articles > 0))
+        child = _Node(tag, node, _flag(tag, m[3] or m[6] or "", articles > 0))
+        if tag in ("article", "main"):
+            named = [v[2] or v[3] or v[4] or "" for v in _ATTRIBUTE.finditer(m[3] or m[6] or "") if v[1].lower() in ("class", "id")]
+            child.marks = _ARTICLE * (not any(_name_flag(v, True) for v in named))
+        elif tag in ("h1", "p"):
+            child.marks = _TITLE if tag == "h1" else _PARAGRAPH
         node.children.append(child)
         if tag in VOID or (m[3] or m[6] or "").endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             child.children.append(page[at:stop.start() if stop else end])
-            child.cut = True
+            child.flag, child.cut = SURE, True
             at = stop.end() if stop else end
             continue
         node = child
         articles += tag in ("article", "main")
+    _keep_wrappers(root)
     return root
 
 

@@ -99,3 +99,23 @@ def test_articles_split_over_blocks_of_the_body():
     assert html.extract(f"<body><div>{''.join(p[:4])}</div>{p[4]}</body>") == whole
     links = "<div>" + "".join(f"<a href=x>link {k}</a> " for k in range(9)) + "</div>"
     assert html.extract(f"<body>{links}<div>{''.join(p)}</div>{links}</body>") == whole
+
+
+def test_wrappers_named_after_parts_they_contain():
+    text = "<h1>Title</h1>" + "".join(f"<p>{c * 100}</p>" for c in "abc")
+    want = "Title " + " ".join(c * 100 for c in "abc")
+    side = "<div class='sidebar'><p>Other stories, which nobody asked for here.</p></div><div class='page-header'>Logo</div>"
+    for name in ("content-with-sidebar", "layout-sidebar-right", "fixed-header-page", "sticky-header", "search-results-article"):
+        for inner in (text, f"<article>{text}</article>", f"<div class=layout-sidebar>{text}</div>", f"<main>{text}</main>"):
+            for page in (f"<body><div class='{name}'>{inner}{side}</div></body>", f"<body>{side}<div id='{name}'>{inner}</div></body>",
+                         f"<body><a href=x>menu</a><form id=aspnetForm><div class='{name}'>{side}{inner}</div></form></body>"):
+                assert html.extract(page) == want, page
+    assert html.extract(f"<body><div class=search>{text}</div></body>") == want
+    assert html.extract(f"<body><form>{text}<label>Search here</label></form></body>").startswith(want)
+    # parts beside an article stay cut, however long
+    long = "<div><p>" + "word " * 400 + "</p></div>"
+    for part in (f"<div id=comments>{long}</div>", f"<div class=comments-area>{long}</div>", f"<form>{long}</form>",
+                 f"<div class=related-posts><article class=post>{long}</article></div>"):
+        for main in (f"<article>{text}</article>", f"<div>{text}</div>"):
+            assert html.extract(f"<body>{main}{part}</body>") == want, (part[:60], main[:20])
+    assert html.extract("<div class='top-menu'>" * 5_000 + "text" + "</div>" * 5_000) == "text"
