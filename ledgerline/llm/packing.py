@@ -6,8 +6,9 @@
    corpus holds, is planned as one cutting-stock instance: branch and bound
    over undominated fillings around the largest length left, best-fit plan as
    the first incumbent, waste bound against the best plan so far.  A filling
-   is used as often as the counts allow, so the plan has some thousand
-   patterns at any size.
+   is used as often as the counts allow (half as often, a quarter and so on
+   are branches of their own), so the plan has some thousand patterns at any
+   size.
 3. A pattern's places for a length are ranges of that length's rank.  Ranks
    come from per-task counts, so neither a hot length nor the corpus is ever
    in one task, and each piece finds its place by its rank.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -249,12 +251,32 @@ def _fillings(room: int, counts: dict[int, int], order: list[int], width: int) -
     return [f for _, _, f in out[:width]]
 
 
+def _undominated(room: int, counts: dict[int, int], order: list[int]) -> Iterator[list[tuple[int, int]] | None]:
+    """All undominated fillings of ``room`` in turn, larger lengths first; None for each that is dominated."""
+    def more(at: int, rest: int, items: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]] | None]:
+        used = dict(items)
+        full = not any(counts.get(y, 0) > used.get(y, 0) for y in range(1, rest + 1))
+        if full:
+            dominated = any(counts.get(y, 0) > used.get(y, 0) for x, _ in items for y in range(x + 1, x + rest + 1))
+            yield None if dominated else list(items)
+            return
+        yield None
+        for i in range(at, len(order)):
+            x = order[i]
+            for n in range(min(counts.get(x, 0), rest // x), 0, -1):
+                yield from more(i + 1, rest - n * x, [*items, (x, n)])
+
+    yield from more(0, room, [])
+
+
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> list[Pattern]:
     """Patterns that hold all pieces in as few bins as found.
 
-    Depth-first over the fillings around the largest length left.  A branch
-    ends when its waste exceeds what a plan one bin better than the incumbent
-    may waste; the search ends at the lower bound or after ``nodes`` nodes.
+    Descents over the fillings around the largest length left; the choices
+    left open on the way, of pruned descents too, are taken up from the last
+    and the first in turn.  A branch ends when its waste exceeds what a plan
+    one bin better than the incumbent may waste; the search ends at the lower
+    bound, when no choice is open, or after ``nodes`` nodes.
     The first descent is the best-fit incumbent; the number of nodes bounds
     the search only, every piece is placed by any plan.
     """
@@ -264,67 +286,107 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int =
     def bins_of(p: list[Pattern]) -> int:
         return sum(t for _, t in p)
 
-    def descend(first: bool, start: list[Pattern], counts: dict[int, int], allowed: float) -> tuple[list[Pattern] | None, list]:
-        """One plan to the end, and the choices left open on the way."""
+    def waste_of(p: list[Pattern]) -> int:
+        return sum((capacity - sum(x * n for x, n in items)) * t for items, t in p)
+
+    def descend(first: bool, start: list[Pattern], counts: dict[int, int], allowed: float) -> tuple[list[Pattern], bool, list[int]]:
+        """One plan, whether it came to its end, and the places at which other fillings could be chosen."""
         plan, open_, counts = list(start), [], dict(counts)
         order = sorted((k for k, n in counts.items() if n), reverse=True)
-        waste = sum((capacity - sum(x * n for x, n in items)) * t for items, t in plan)
+        waste = waste_of(plan)
         while order:
             if not counts[order[0]]:
                 order.pop(0)
                 continue
             big = order[0]
             counts[big] -= 1
-            choices = [_best_fit(capacity - big, counts, order)] if first else \
-                _fillings(capacity - big, counts, order, width) or [_best_fit(capacity - big, counts, order)]
+            f = _best_fit(capacity - big, counts, order) if first else \
+                (_fillings(capacity - big, counts, order, width) or [_best_fit(capacity - big, counts, order)])[0]
             counts[big] += 1
-            if len(choices) > 1 and len(open_) < nodes:
-                open_.append((len(plan), choices[1:]))
-            items = {big: 1}
-            for x, n in choices[0]:
-                items[x] = items.get(x, 0) + n
-            times = min(counts[x] // n for x, n in items.items())
-            for x, n in items.items():
+            open_.append(len(plan))
+            pattern, times = widest(big, f, counts)
+            for x, n in pattern:
                 counts[x] -= n * times
-            pattern = tuple(sorted(items.items(), reverse=True))
             last = not any(counts[x] for x in order)
             plan.append((pattern, times))
             waste += (capacity - sum(x * n for x, n in pattern)) * times
             if waste > allowed and not last:
-                return None, open_
+                return plan, False, open_
             order = [x for x in order if counts[x]] if len(plan) % 16 == 0 or last else order
-        return plan, open_
+        return plan, True, open_
+
+    def widest(big: int, f: list[tuple[int, int]], counts: dict[int, int]) -> tuple[tuple[tuple[int, int], ...], int]:
+        """The filling with ``big`` as a pattern, and how often the counts allow it."""
+        items = {big: 1}
+        for x, n in f:
+            items[x] = items.get(x, 0) + n
+        return tuple(sorted(items.items(), reverse=True)), min(counts[x] // n for x, n in items.items())
 
-    def after(plan: list[Pattern], upto: int) -> dict[int, int]:
+    def others(start: list[Pattern], taken: Pattern) -> Iterator[tuple[Pattern, dict[int, int]] | None]:
+        """The choices but ``taken`` after ``start``, with the counts they leave; None for a step without one."""
         counts = dict(histogram)
-        for items, t in plan[:upto]:
+        for items, t in start:
             for x, n in items:
                 counts[x] -= n * t
-        return counts
-
-    best, _ = descend(True, [], histogram, float("inf"))
-    spent = len(best)
-    stack: list[tuple[list[Pattern], dict[int, int]]] = [([], dict(histogram))]
-    while stack and bins_of(best) > bound and spent < nodes:
-        start, counts = stack.pop()
-        plan, open_ = descend(False, start, counts, (bins_of(best) - 1) * capacity - total)
-        spent += len(plan) - len(start) if plan else 1 + len(open_)
-        done = plan if plan is not None else None
-        if done is not None and bins_of(done) < bins_of(best):
-            best = done
-        if done is None:
+        order = sorted((k for k, n in counts.items() if n), reverse=True)
+        big = order[0]
+        inside = {**counts, big: counts[big] - 1}
+
+        def choice(pattern: tuple[tuple[int, int], ...], times: int) -> tuple[Pattern, dict[int, int]]:
+            left = dict(counts)
+            for x, n in pattern:
+                left[x] -= n * times
+            return (pattern, times), left
+
+        few = [widest(big, f, counts) for f in _fillings(capacity - big, inside, order, width)]
+        seen = {taken[0]}
+        for pattern, times in few:
+            if pattern not in seen:
+                seen.add(pattern)
+                yield choice(pattern, times)
+        for pattern, times in [taken, *[c for c in few if c[0] != taken[0]]]:
+            while times := times // 2:
+                yield choice(pattern, times)
+        for f in _undominated(capacity - big, inside, order):
+            pattern, times = widest(big, f, counts) if f is not None else (None, 0)
+            if pattern is None or pattern in seen:
+                yield None
+                continue
+            while times:
+                yield choice(pattern, times)
+                times //= 2
+
+    best, _, _ = descend(True, [], histogram, float("inf"))
+    spent, turn = len(best), 0
+    todo: deque[tuple[list[Pattern], Iterator]] = deque()
+
+    def go(start: list[Pattern], counts: dict[int, int]) -> None:
+        nonlocal best, spent
+        plan, done, open_ = descend(False, start, counts, (bins_of(best) - 1) * capacity - total)
+        spent += len(plan) - len(start)
+        if done and bins_of(plan) < bins_of(best):
+            best = plan
+        todo.extend((plan[:k], others(plan[:k], plan[k])) for k in open_)
+
+    if bins_of(best) > bound and spent < nodes:
+        go([], histogram)
+    while todo and bins_of(best) > bound and spent < nodes:
+        turn += 1
+        start, left = todo.pop() if turn % 2 else todo.popleft()
+        spent += 1
+        # what begins with too much waste can't become a better plan
+        if waste_of(start) > (bins_of(best) - 1) * capacity - total:
+            continue
+        try:
+            nxt = next(left)
+        except StopIteration:
             continue
-        for upto, others in open_[-64:]:
-            counts = after(done, upto)
-            for f in others[::-1]:
-                big = max(x for x, n in counts.items() if n)
-                items = {big: 1}
-                for x, n in f:
-                    items[x] = items.get(x, 0) + n
-                left = dict(counts)
-                for x, n in items.items():
-                    left[x] -= n
-                stack.append((done[:upto] + [(tuple(sorted(items.items(), reverse=True)), 1)], left))
+        if turn % 2:
+            todo.append((start, left))
+        else:
+            todo.appendleft((start, left))
+        if nxt is not None:
+            go([*start, nxt[0]], nxt[1])
     return best
 
 

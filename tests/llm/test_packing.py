@@ -152,3 +152,18 @@ def test_real_ids(make_docs):
     for d, text in docs.items():
         mine = sorted((r for r in rows if r["doc_id"] == d), key=lambda r: r["piece"])
         assert list(itertools.chain.from_iterable(r["ids"] for r in mine)) == whole_ids(text)
+
+
+def test_search_takes_up_choices_of_pruned_descents():
+    """Best fit needs 4 bins, 44+30+26, 43+32+25 and 45+29+26 hold all; the same many times over."""
+    one = {45: 1, 44: 1, 43: 1, 32: 1, 30: 1, 29: 1, 25: 1, 26: 2}
+    assert holds(packing.plan_bins(one, 100), one, 100) == 3
+    for times in (10, 1_000, 1_000_000):
+        many = {k: n * times for k, n in one.items()}
+        assert holds(packing.plan_bins(many, 100), many, 100) == 3 * times
+
+
+def test_undominated_fillings():
+    order = [5, 4, 3, 2]
+    got = [f for f in packing._undominated(7, dict.fromkeys(order, 1), order) if f is not None]
+    assert got == [[(5, 1), (2, 1)], [(4, 1), (3, 1)]]
