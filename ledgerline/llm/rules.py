@@ -40,7 +40,7 @@ class Rule:
 
 #: Thresholds on measures of :func:`measures`.
 RULES = (
-    Rule("n_words", 50, 1_000_000),
+    Rule("n_words", 50, None),
     Rule("mean_word_chars", 2.0, 15.0),
     Rule("symbol_ratio", None, 0.3),
     Rule("stop_word_ratio", 0.03, None),

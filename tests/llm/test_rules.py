@@ -61,3 +61,11 @@ def test_keep_returns_the_rows_judged_so(spark, sf):
 def test_no_python_in_the_plan(spark, sf):
     plan = queries.QUERIES["op7_quality_rules"](spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_length_alone_rejects_no_long_text(spark):
+    clean = {"mean_word_chars": 5.0, "symbol_ratio": 0.0, "stop_word_ratio": 0.4, "dup_line_ratio": 0.0, "upper_ratio": 0.03,
+             "repeat_word_ratio": 0.1}
+    rows = [{"n_words": n, **clean} for n in (49, 50, 1_000_000, 1_000_001, 50_000_000)]
+    got = spark.createDataFrame(rows).select("n_words", rules.verdict().alias("kept")).collect()
+    assert {r["n_words"]: r["kept"] for r in got} == {49: False, 50: True, 1_000_000: True, 1_000_001: True, 50_000_000: True}
