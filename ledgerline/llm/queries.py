@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir, ship_package
-from . import ann, html, importance, licenses, merkle, minhash, mixing, packing, phrases, rules, sharding, warc
+from . import ann, collisions, html, importance, licenses, merkle, minhash, mixing, packing, phrases, rules, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -83,6 +83,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_read(spark, sf_dir, "documents"), changed, change={"n_chars": F.col("n_chars") + 1})
 
 
+def op13_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f) for f in (
         op1_warc_chunks, op2_multiprobe_neighbours, op3_minhash_components, op4_source_mix, op5_text_density,
         op6_best_fit_packing, op7_quality_rules, op8_license_scan, op9_importance_classifier, op10_hypergeometric_shards,
-        op11_phrase_streams, op12_merkle_manifest)}
+        op11_phrase_streams, op12_merkle_manifest, op13_collision_counting)}
 
 ORACLE: dict[str, str] = {"op1_warc_chunks": warc.ORACLE_RECORDS, "op4_source_mix": mixing.ORACLE_MIX,
                           "op7_quality_rules": rules.oracle(), "op11_phrase_streams": phrases.ORACLE_PHRASES,
