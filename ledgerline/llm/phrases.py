@@ -5,8 +5,10 @@ pieces into words ``[^\\x20\\x09]+``; all counts are per language.
 
 1. Counting.  A task joins the texts of a language into runs of about
    ``RUN`` bytes, numbers their words and counts phrases by sorting numbers,
-   so a frequent phrase is one row a run before it is shuffled.  The sums that
-   reach ``least`` form the count stream of that phrase length.
+   so a frequent phrase is one line a run.  A run's lines are dealt to buckets
+   by phrase, as many as there are ``BUCKET`` bytes of text, and travel as one
+   pack a bucket; a task adds up one bucket, frequent words or not.  The sums
+   that reach ``least`` form the count stream of that phrase length.
 2. Phrases of s > 2 words are counted only where both phrases of s - 1 words
    inside them are frequent.  Tasks see those through a bit table of a fixed
    size (``SLOTS`` bits, at any corpus size), which may let infrequent ones
@@ -36,6 +38,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -46,7 +49,9 @@ from .text import lower_ascii, mix64, texts_of, word_bounds, word_hashes
 
 LEAST, LONGEST, TOP, SHARE = 10, 3, 2000, 50
 #: Bytes of text counted in one go.
-RUN = 12 << 20
+RUN = 6 << 20
+#: Bytes of text whose phrases make a bucket of counts.
+BUCKET = 8 << 20
 #: Bits of the table of frequent phrases.
 SLOTS = 1 << 26
 SALTS = 32
@@ -57,7 +62,6 @@ WORD = ~BREAK
 WORD[[0x20, 0x09]] = False
 
 _STREAM = "lang string, size int, phrase string, n long"
-_SCHEMA = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
 def slices(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -81,44 +85,67 @@ def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def count_run(lang: str, raw: np.ndarray, sizes: tuple[int, ...], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Phrase counts of one run of texts (pieces end at break bytes); with size 1 also all words as size 0."""
+def count_run(lang: str, raw: np.ndarray, sizes: tuple[int, ...], bits: np.ndarray | None) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Phrase counts of one run of texts (pieces end at break bytes): size, phrases and how often each stands there.
+
+    With size 1 also all words, as size 0.
+    """
     starts, ends = word_bounds(raw, WORD)
     if not len(starts):
         return
     h = word_hashes(raw, starts, ends)
-    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    number, names = pd.factorize(h)
+    v = len(names)
+    first = np.empty(v, dtype=np.int64)
+    first[number[::-1]] = np.arange(len(h) - 1, -1, -1)
     words = slices(raw, starts[first], ends[first])
-    v = len(first)
     piece = np.searchsorted(np.flatnonzero(BREAK[raw]), starts)
-
-    def rows(size: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64))), pa.array(np.full(len(n), size, np.int32)),
-             phrase.cast(pa.string()), pa.array(n.astype(np.int64))], schema=_SCHEMA)
-
     if 1 in sizes:
-        yield rows(0, pa.array([""]), np.array([len(starts)]))
-        yield rows(1, words, np.bincount(number, minlength=v))
-    at, key, text = np.arange(len(starts)), number.astype(np.int64), words
-    for size in range(2, max(sizes) + 1):
-        # phrases one word longer: places whose next word lies in the same piece
-        nxt = at + size - 1
-        ok = nxt < len(starts)
-        ok[ok] = piece[nxt[ok]] == piece[at[ok]]
-        at, key, nxt = at[ok], key[ok], nxt[ok]
-        if size == max(sizes) and bits is not None:
+        yield 0, pa.array([""], pa.large_string()), np.array([len(starts)])
+        yield 1, words, np.bincount(number, minlength=v)
+    for size in sizes:
+        if size < 2 or len(starts) < size:
+            continue
+        at = np.flatnonzero(piece[size - 1:] == piece[:len(piece) - size + 1])
+        if bits is not None:
             short = [h[at + j] for j in range(size)]
-            ok = has(bits, slots(lang, short[:-1])) & has(bits, slots(lang, short[1:]))
-            at, key, nxt = at[ok], key[ok], nxt[ok]
+            at = at[has(bits, slots(lang, short[:-1])) & has(bits, slots(lang, short[1:]))]
         if not len(at):
-            return
-        pairs, key, n = np.unique(key * v + number[nxt], return_inverse=True, return_counts=True)
-        text = pc.binary_join_element_wise(text.take(pa.array(pairs // v)), words.take(pa.array(pairs % v)),
-                                           pa.scalar(" ", pa.large_string()))
-        if size in sizes:
-            for lo in range(0, len(n), 1 << 18):
-                yield rows(size, text.slice(lo, 1 << 18), n[lo:lo + (1 << 18)])
+            continue
+        key = number[at].astype(np.int64)
+        for j in range(1, size):
+            if j > 1:
+                key = np.unique(key, return_inverse=True)[1]
+            key = key * v + number[at + j]
+        if size == 2:
+            key, n = np.unique(key, return_counts=True)
+            spelt = [key // v, key % v]
+        else:
+            _, one, n = np.unique(key, return_index=True, return_counts=True)
+            spelt = [number[at[one] + j] for j in range(size)]
+        yield size, pc.binary_join_element_wise(*[words.take(pa.array(w)) for w in spelt], pa.scalar(" ", pa.large_string())), n
+
+
+def packed(phrases: pa.Array, n: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Phrases and counts by bucket: lines of text and 64-bit numbers."""
+    lines = pc.binary_join_element_wise(phrases, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+    offs = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset:lines.offset + len(lines) + 1]
+    raw = np.frombuffer(lines.buffers()[2], np.uint8)
+    of = (mix64(word_hashes(raw, offs[:-1], offs[1:])) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    lines, n, cuts = lines.take(pa.array(order)), n[order].astype(np.int64), np.searchsorted(of[order], np.arange(buckets + 1))
+    offs = np.frombuffer(lines.buffers()[1], np.int64)
+    body = lines.buffers()[2]
+    for k in np.flatnonzero(np.diff(cuts)):
+        lo, hi = int(cuts[k]), int(cuts[k + 1])
+        yield int(k), body[int(offs[lo]):int(offs[hi])].to_pybytes(), n[lo:hi].tobytes()
+
+
+def unpacked(lines: bytes) -> pa.Array:
+    """The lines of a pack, each with its line end."""
+    ends = np.flatnonzero(np.frombuffer(lines, np.uint8) == 0x0A) + 1
+    offs = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(offs), pa.py_buffer(lines)])
 
 
 def parts(raw: np.ndarray, most: int) -> Iterator[np.ndarray]:
@@ -132,8 +159,8 @@ def parts(raw: np.ndarray, most: int) -> Iterator[np.ndarray]:
     yield raw
 
 
-def counted(docs: DataFrame, sizes: tuple[int, ...], bits=None) -> DataFrame:
-    """Partial counts (lang, size, phrase, n) of docs (lang, text), one row a phrase and run."""
+def counted(docs: DataFrame, sizes: tuple[int, ...], buckets: int, bits=None) -> DataFrame:
+    """Packs of partial counts of docs (lang, text): lang, size, bucket, lines and numbers, one row a run and bucket."""
     run = RUN
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +170,13 @@ def counted(docs: DataFrame, sizes: tuple[int, ...], bits=None) -> DataFrame:
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
             texts, _ = held.pop(lang)
-            yield from count_run(lang, np.concatenate(texts), sizes, table)
+            for size, phrase, n in count_run(lang, np.concatenate(texts), sizes, table):
+                # the words of a language in all are one number a run; they stay with bucket 0
+                packs = list(packed(phrase, n, buckets if size else 1))
+                yield pa.RecordBatch.from_pydict({
+                    "lang": [lang] * len(packs), "size": pa.array([size] * len(packs), pa.int32()),
+                    "bucket": pa.array([k for k, _, _ in packs], pa.int32()),
+                    "lines": pa.array([x for _, x, _ in packs], pa.binary()), "n": pa.array([x for _, _, x in packs], pa.binary())})
 
         for b in batches:
             for lang, raw in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
@@ -158,11 +191,27 @@ def counted(docs: DataFrame, sizes: tuple[int, ...], bits=None) -> DataFrame:
         for lang in list(held):
             yield from flush(lang)
 
-    return docs.mapInArrow(count, _STREAM)
+    return docs.mapInArrow(count, "lang string, size int, bucket int, lines binary, n binary")
+
 
+def summed(packs: DataFrame, least: int) -> DataFrame:
+    """The count stream of packs: sums of at least ``least``, and of size 0."""
+    def add(rows: pa.Table) -> pa.Table:
+        out = []
+        keys = list(zip(rows.column("lang").to_pylist(), rows.column("size").to_pylist(), strict=True))
+        for lang, size in set(keys):
+            mine = [i for i, k in enumerate(keys) if k == (lang, size)]
+            lines = pa.chunked_array([unpacked(rows.column("lines")[i].as_py()) for i in mine])
+            n = pa.chunked_array([pa.array(np.frombuffer(rows.column("n")[i].as_py(), np.int64)) for i in mine])
+            sums = pa.table({"phrase": lines, "n": n}).group_by("phrase").aggregate([("n", "sum")])
+            if size:
+                sums = sums.filter(pc.greater_equal(sums.column("n_sum"), least))
+            phrase = pc.ascii_rtrim(sums.column("phrase"), "\n").cast(pa.string())
+            out.append(pa.table({"lang": pa.array([lang] * len(sums), pa.string()), "size": pa.array([size] * len(sums), pa.int32()),
+                                 "phrase": phrase, "n": sums.column("n_sum")}))
+        return pa.concat_tables(out)
 
-def summed(counts: DataFrame, least: int) -> DataFrame:
-    return counts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("size") == 0) | (F.col("n") >= least))
+    return packs.groupBy("bucket").applyInArrow(add, _STREAM)
 
 
 def bit_table(phrases: DataFrame) -> np.ndarray:
@@ -188,10 +237,12 @@ def streams(docs: DataFrame, lang: str = "lang", text: str = "text", least: int
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    levels = [materialize(summed(counted(texts, (1, 2)), least), "phrase-counts")]
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET))
+    levels = [materialize(summed(counted(texts, (1, 2), buckets), least), "phrase-counts")]
     for size in range(3, longest + 1):
         table = spark.sparkContext.broadcast(bit_table(levels[-1].where(F.col("size") == size - 1)))
-        levels.append(materialize(summed(counted(texts, (size,), table), least), "phrase-counts"))
+        levels.append(materialize(summed(counted(texts, (size,), buckets, table), least), "phrase-counts"))
     return functools.reduce(DataFrame.unionByName, levels)
 
 
