@@ -45,12 +45,6 @@ def test_rules_stage(steps):
         assert not (r["doc_id"] in kept and measures(r["text"])[5])
 
 
-def test_near_duplicate_stage(steps):
-    rows = [(r["doc_id"], r["text"]) for r in steps[2].collect()]
-    want = {c for _, c in components(rows).values()}
-    assert sorted(r["doc_id"] for r in steps[3].collect()) == sorted(want)
-
-
 def test_mix_stage(steps):
     rows, copies = steps[3].collect(), Counter(r["doc_id"] for r in steps[4].collect())
     size, got = defaultdict(int), defaultdict(int)
