@@ -23,9 +23,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .text import texts_of
+from .text import SPACED, lower_ascii, texts_of, word_bounds, word_hashes
 
 CAPACITY = 2048
 END_ID = 0
@@ -58,6 +59,8 @@ class WordEncoder:
     and cut there, its words are encoded once (many in one call, with the end
     token between them) and kept, up to ``CACHE_WORDS`` in a worker.  Texts
     or words that spell out a special token go to the tokenizer as they are.
+    :meth:`encode_many` finds the words of many texts by their 64-bit hashes
+    and puts the ids together by offsets.
     """
 
     FENCE = "<|endoftext|>"
@@ -69,6 +72,12 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.fence = self.tokenizer.token_to_id(self.FENCE)
         self.known: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.at = self.size = np.empty(0, dtype=np.int64)
+        self.ids = np.empty(0, dtype="<u4")
 
     @staticmethod
     def words(raw: bytes) -> list[bytes]:
@@ -76,28 +85,77 @@ class WordEncoder:
             return raw.split()
         return _STOP.sub(rb" \1", raw.lower()).split()
 
-    def learn(self, words: set[bytes]) -> None:
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = words
-        plain = [w for w in new if self.MARK not in w]
-        for w in new:
+    def coded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each word (in some order) and its ids."""
+        plain = []
+        for w in words:
             if self.MARK in w:
                 ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
-                self.known[w] = b"".join(i.to_bytes(_ID, "little") for i in ids)
+                yield w, b"".join(i.to_bytes(_ID, "little") for i in ids)
+            else:
+                plain.append(w)
         fence = f" {self.FENCE} "
         for at in range(0, len(plain), 64 * self.PER_CALL):
             part = plain[at:at + 64 * self.PER_CALL]
             groups = [part[k:k + self.PER_CALL] for k in range(0, len(part), self.PER_CALL)]
-            coded = self.tokenizer.encode_batch_fast([fence.join([w.decode() for w in g]) for g in groups], add_special_tokens=False)
-            for g, e in zip(groups, coded, strict=True):
+            done = self.tokenizer.encode_batch_fast([fence.join([w.decode() for w in g]) for g in groups], add_special_tokens=False)
+            for g, e in zip(groups, done, strict=True):
                 ids = np.array(e.ids, dtype="<u4")
                 packed, lo = ids.tobytes(), 0
                 for w, hi in zip(g, [*(np.flatnonzero(ids == self.fence) * _ID).tolist(), len(packed)], strict=True):
-                    self.known[w] = packed[lo:hi]
+                    yield w, packed[lo:hi]
                     lo = hi + _ID
 
+    def learn(self, words: set[bytes]) -> None:
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+            new = words
+        self.known.update(self.coded(list(new)))
+
+    def _slots(self, hashes: np.ndarray, word: Callable[[int], bytes]) -> np.ndarray:
+        """Where the words of these distinct hashes are kept; unknown ones are encoded first."""
+        keys = hashes.tolist()
+        new = [k for k, h in enumerate(keys) if h not in self.slot]
+        if len(self.slot) + len(new) > CACHE_WORDS:
+            self._forget()
+            new = range(len(keys))
+        if new:
+            spelt = {word(k): keys[k] for k in new}
+            order, ids = zip(*self.coded(list(spelt)), strict=True)
+            first = len(self.slot)
+            for k, w in enumerate(order):
+                self.slot[spelt[w]] = first + k
+            size = np.array([len(x) // _ID for x in ids], dtype=np.int64)
+            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), dtype="<u4")])
+        return np.fromiter(map(self.slot.__getitem__, keys), dtype=np.int64, count=len(keys))
+
+    def encode_many(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (without special tokens' spellings) one after another, and where each text's begin (and the last's end)."""
+        gap = np.array([0x0A], np.uint8)
+        raw = lower_ascii(np.concatenate([x for t in texts for x in (t, gap)]))
+        begin = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        starts, ends = word_bounds(raw, SPACED)
+        stop = _STOPS[raw]
+        cut = np.flatnonzero(stop[1:] & _LETTERS[raw[:-1]]) + 1
+        rest = np.flatnonzero(~stop)
+        cut = cut[~SPACED[raw[rest[np.searchsorted(rest, cut)]]]]
+        if len(cut):
+            starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+        if not len(starts):
+            return self.ids[:0], np.zeros(len(texts) + 1, dtype=np.int64)
+        number, hashes = pd.factorize(word_hashes(raw, starts, ends))
+        first = np.empty(len(hashes), dtype=np.int64)
+        first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+        body, lo, hi = raw.tobytes(), starts[first].tolist(), ends[first].tolist()
+        kept = self._slots(hashes, lambda k: body[lo[k]:hi[k]])
+        size = self.size[kept][number]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.at[kept][number] - upto[:-1], size) + np.arange(upto[-1])]
+        return ids, upto[np.searchsorted(starts, begin)]
+
     def encode(self, words: list[bytes]) -> bytes:
         try:
             return b"".join(map(self.known.__getitem__, words))
@@ -108,6 +166,9 @@ class WordEncoder:
 
 #: Stops at the end of a word, after a letter.
 _STOP = re.compile(rb"(?<=[a-z])([.,;:!?]+)(?=[\x20\x09-\x0D])")
+_STOPS, _LETTERS = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_STOPS[[*b".,;:!?"]] = True
+_LETTERS[97:123] = True
 #: One encoder a Python worker, kept between its tasks.
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -158,36 +219,42 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ca
             cols = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
+        def long(doc, raw: bytes) -> None:
+            n, ids = 0, b""
+            for span in _spans(raw):
+                some = coder.words(span)
+                coder.learn(set(some))
+                ids += coder.encode(some)
+                while len(ids) > width:
+                    row(doc, n, ids[:width])
+                    n, ids = n + 1, ids[width:]
+            for k in range(0, len(ids) + _ID, width):
+                row(doc, n, (ids + end)[k:k + width])
+                n += 1
+
         for b in batches:
             left = zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True)
             while True:
-                split, size = [], 0
-                for doc, text_bytes in left:  # words are learned a few megabytes of text at a time
-                    raw = text_bytes.tobytes()
-                    split.append((doc, raw if len(raw) > 1 << 21 else coder.words(raw)))
+                docs_here, texts, size = [], [], 0
+                for doc, raw in left:  # a few megabytes of text at a time
                     size += len(raw)
+                    if len(raw) > 1 << 21 or (raw[:-1][raw[1:] == 0x7C] == 0x3C).any():
+                        long(doc, raw.tobytes())
+                    else:
+                        docs_here.append(doc)
+                        texts.append(raw)
                     if size >= 1 << 21:
                         break
-                if not split:
+                if not size and not docs_here:
                     break
-                coder.learn(set().union(*[words for _, words in split if isinstance(words, list)]))
-                for doc, words in split:
-                    n, ids = 0, b""
-                    if isinstance(words, bytes):
-                        for span in _spans(words):
-                            some = coder.words(span)
-                            coder.learn(set(some))
-                            ids += coder.encode(some)
-                            while len(ids) > width:
-                                row(doc, n, ids[:width])
-                                n, ids = n + 1, ids[width:]
-                    else:
-                        ids = coder.encode(words)
-                    ids += end
-                    for k in range(0, len(ids), width):
-                        row(doc, n, ids[k:k + width])
-                        n += 1
-                if len(rows) >= 5000 or with_ids:
+                if texts:
+                    ids, bounds = coder.encode_many(texts)
+                    bounds = bounds.tolist()
+                    for doc, lo, hi in zip(docs_here, bounds[:-1], bounds[1:], strict=True):
+                        for n, at in enumerate(range(lo, hi + 1, capacity)):
+                            some = ids[at:min(at + capacity, hi)].tobytes()
+                            row(doc, n, some + end if hi - at < capacity else some)
+                if len(rows) >= 5000 or with_ids and rows:
                     yield out()
                     rows.clear()
         if rows:

@@ -39,6 +39,27 @@ def test_words_give_the_ids_of_real_texts(spark, sf):
         assert by_words(text) == whole_ids(text, t)
 
 
+def many(texts):
+    c = packing.encoder(packing.default_tokenizer())
+    ids, at = c.encode_many([np.frombuffer((t or "").encode(), np.uint8) for t in texts])
+    return [[*ids[lo:hi].tolist(), 0] for lo, hi in zip(at[:-1], at[1:], strict=True)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=40), st.text("aB.,'!?;: \t\n1é\u0301", max_size=40)).filter(lambda t: "<|" not in t), max_size=5))
+def test_many_texts_at_once_give_their_own_ids(texts):
+    assert many(["x", *texts]) == [whole_ids(t) for t in ["x", *texts]]
+
+
+def test_many_real_texts(spark, sf, monkeypatch):
+    texts = [d["text"] for d in spark.read.parquet(f"{sf}/documents.parquet").limit(400).collect()]
+    texts = [None, "", " \n", "end.", "a.b. c?! d", *[t for t in texts if "<|" not in (t or "")], "Z."]
+    want = [whole_ids(t) for t in texts]
+    assert many(texts) == want and many(texts) == want
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    assert many(texts[:20]) == want[:20]
+
+
 def test_words_given_up_are_learned_again(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 50)
     text = " ".join(f"w{i} x{i % 7}" for i in range(400))
