@@ -215,14 +215,14 @@ def summed(packs: DataFrame, least: int) -> DataFrame:
 
 
 def bit_table(phrases: DataFrame) -> np.ndarray:
-    """The table of a stream's phrases: ``SLOTS`` bits, whatever the stream holds."""
+    """The table of a stream's phrases (all of one length): ``SLOTS`` bits, whatever the stream holds."""
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.empty(b.num_rows, dtype=np.int64)
-            for i, (lang, raw) in enumerate(zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True)):
-                h = word_hashes(raw, *word_bounds(raw, WORD))
-                at[i] = slots(lang, list(h[:, None]))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(at)], names=["slot"])
+            for lang in pc.unique(b.column(0)).to_pylist():
+                mine = b.column(1).filter(pc.equal(b.column(0), lang))
+                raw = np.frombuffer("\n".join(mine.to_pylist()).encode(), np.uint8)
+                h = word_hashes(raw, *word_bounds(raw, WORD)).reshape(len(mine), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(slots(lang, list(h.T)).astype(np.int64))], names=["slot"])
 
     words = (phrases.select("lang", "phrase").mapInArrow(place, "slot long")
              .groupBy(F.shiftright("slot", 6).alias("at"))

@@ -8,7 +8,6 @@ import corpus_pipeline as P
 from ledgerline.llm import importance, mixing, packing
 from ledgerline.session import materialize
 
-from .test_minhash import brute as components
 from .test_mixing import brute_targets
 from .test_packing import whole_ids
 from .test_rules import brute as measures
