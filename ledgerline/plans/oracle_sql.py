@@ -537,6 +537,16 @@ SELECT t.anchor_id, t.product_id, t.together, p.orders,
        CAST({_hu('t.together * tot.n_all', 't.anchor_n * p.orders', 4)} AS DECIMAL(38,4)) AS lift
 FROM tog t JOIN per p ON t.product_id = p.product_id CROSS JOIN tot""")
 
+ORACLE["affinity_pairs"] = _q(["order_items"], f""",
+items AS (SELECT DISTINCT order_id, product_id FROM order_items),
+per AS (SELECT product_id, COUNT(*) AS orders FROM items GROUP BY product_id),
+tot AS (SELECT COUNT(DISTINCT order_id) AS n_all FROM items),
+tog AS (SELECT x.product_id AS product_a, y.product_id AS product_b, COUNT(*) AS together
+        FROM items x JOIN items y ON x.order_id = y.order_id AND x.product_id < y.product_id GROUP BY ALL HAVING COUNT(*) >= 2)
+SELECT product_a, product_b, together, a.orders AS orders_a, b.orders AS orders_b,
+       CAST({_hu('together * n_all', 'a.orders * b.orders', 4)} AS DECIMAL(38,4)) AS lift
+FROM tog JOIN per a ON a.product_id = product_a JOIN per b ON b.product_id = product_b CROSS JOIN tot""")
+
 ORACLE["revenue_growth"] = _q(["order_items", "shop_orders", "products"], f""",
 x AS (SELECT p.category, year(o.order_date) * 12 + month(o.order_date) - 1 AS m, SUM(oi.subtotal) AS rev
       FROM {_WIN_ITEMS} JOIN products p ON oi.product_id = p.product_id
@@ -559,7 +569,7 @@ GROUP BY ROLLUP (CAST(order_date AS DATE), status)""")
 ORACLE["inventory_report"] = _q(["inventory"], """
 SELECT warehouse_location, COUNT(*) AS inventory_rows, CAST(SUM(quantity_available) AS BIGINT) AS stock,
        CAST(SUM(quantity_reserved) AS BIGINT) AS reserved,
-       COUNT(*) FILTER (WHERE quantity_available <= reorder_level) AS below_reorder
+       COUNT(*) FILTER (WHERE quantity_available < reorder_level) AS below_reorder
 FROM inventory GROUP BY warehouse_location""")
 
 ORACLE["customer_report"] = _q(["customers"], """

@@ -76,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "slow_moving": _on_tables(R.slow_moving),
     "profit_margin": _on_tables(R.profit_margin),
     "affinity": _on_tables(R.affinity),
+    "affinity_pairs": _on_tables(R.affinity_pairs),
     "revenue_growth": _on_tables(R.revenue_growth),
     "sales_report": _on_tables(R.sales_report),
     "inventory_report": _on_tables(R.inventory_report),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import add_months_sticky, as_timestamp, lit_ts, month_index, month_label_from_index, order_desc
+from ..operators.baskets import frequent_pairs
 from ..session import materialize
 from ..sources.fixtures import AS_OF
 from .warehouse import SEGMENT_HIGH, SEGMENT_MEDIUM, div_half_up
@@ -170,6 +171,19 @@ def affinity(t, anchors: DataFrame | None = None, as_of=AS_OF, days: int = 90) -
         .cast("decimal(38,4)").alias("lift"))
 
 
+def affinity_pairs(t, min_support: int = 2, as_of=AS_OF, days: int | None = None) -> DataFrame:
+    """Product pairs bought together in at least ``min_support`` orders (a < b), with lift.
+
+    ``days`` restricts the orders to a window before ``as_of`` (default: all orders).
+    """
+    items = t["order_items"].select("order_id", "product_id") if days is None else _window_items(t, days, as_of, "product_id")
+    n_orders = items.where("product_id IS NOT NULL").agg(F.count_distinct("order_id").alias("_no"))
+    out = frequent_pairs(items, min_support).withColumn("_no", n_orders.scalar())
+    return out.select("product_a", "product_b", "together", "orders_a", "orders_b",
+                      div_half_up(F.col("together") * F.col("_no"), F.col("orders_a") * F.col("orders_b"), 4)
+                      .cast("decimal(38,4)").alias("lift"))
+
+
 def revenue_growth(t, as_of=AS_OF, months: int = 12) -> DataFrame:
     """Month-over-month item revenue change per category (%).
 
@@ -200,12 +214,12 @@ def sales_report(t, as_of=AS_OF, days: int = 30) -> DataFrame:
 
 
 def inventory_report(t) -> DataFrame:
-    """Per warehouse: inventory rows, stock, reserved, rows at or below their reorder level."""
+    """Per warehouse: inventory rows, stock, reserved, rows below their reorder level."""
     return (t["inventory"].groupBy("warehouse_location")
             .agg(F.count(F.lit(1)).alias("inventory_rows"),
                  F.sum("quantity_available").cast("bigint").alias("stock"),
                  F.sum("quantity_reserved").cast("bigint").alias("reserved"),
-                 F.count_if(F.col("quantity_available") <= F.col("reorder_level")).alias("below_reorder")))
+                 F.count_if(F.col("quantity_available") < F.col("reorder_level")).alias("below_reorder")))
 
 
 def customer_report(t) -> DataFrame:
