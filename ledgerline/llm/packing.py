@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .text import SPACED, lower_ascii, texts_of, word_bounds, word_hashes
+from .text import SPACED, lower_ascii, slices, texts_of, word_bounds, word_hashes
 
 CAPACITY = 2048
 END_ID = 0
 CACHE_WORDS = 600_000
+CHUNK = 4 << 20
 NODES = 4_000
 WIDTH = 4
 _ID = 4  # bytes of a token id
@@ -75,7 +76,7 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.hash = np.empty(0, dtype=np.uint64)
         self.at = self.size = np.empty(0, dtype=np.int64)
         self.ids = np.empty(0, dtype="<u4")
 
@@ -85,52 +86,51 @@ class WordEncoder:
             return raw.split()
         return _STOP.sub(rb" \1", raw.lower()).split()
 
-    def coded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Each word (in some order) and its ids."""
-        plain = []
-        for w in words:
-            if self.MARK in w:
-                ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
-                yield w, b"".join(i.to_bytes(_ID, "little") for i in ids)
-            else:
-                plain.append(w)
-        fence = f" {self.FENCE} "
-        for at in range(0, len(plain), 64 * self.PER_CALL):
-            part = plain[at:at + 64 * self.PER_CALL]
-            groups = [part[k:k + self.PER_CALL] for k in range(0, len(part), self.PER_CALL)]
-            done = self.tokenizer.encode_batch_fast([fence.join([w.decode() for w in g]) for g in groups], add_special_tokens=False)
-            for g, e in zip(groups, done, strict=True):
-                ids = np.array(e.ids, dtype="<u4")
-                packed, lo = ids.tobytes(), 0
-                for w, hi in zip(g, [*(np.flatnonzero(ids == self.fence) * _ID).tolist(), len(packed)], strict=True):
-                    yield w, packed[lo:hi]
-                    lo = hi + _ID
-
     def learn(self, words: set[bytes]) -> None:
         new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
             new = words
-        self.known.update(self.coded(list(new)))
+        plain = sorted(w for w in new if self.MARK not in w)
+        for w in new:
+            if self.MARK in w:
+                ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
+                self.known[w] = b"".join(i.to_bytes(_ID, "little") for i in ids)
+        if plain:
+            raw = np.frombuffer(b"".join(plain), np.uint8)
+            ends = np.cumsum([len(w) for w in plain])
+            size, ids = self._new(raw, np.concatenate([[0], ends[:-1]]), ends)
+            packed, upto = ids.tobytes(), (np.cumsum(size) * _ID).tolist()
+            for w, lo, hi in zip(plain, [0, *upto[:-1]], upto, strict=True):
+                self.known[w] = packed[lo:hi]
+
+    def _new(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of these words has, and all of them one after another."""
+        words = slices(raw, starts, ends).to_pylist()
+        fence = f" {self.FENCE} "
+        groups = [fence.join(words[k:k + self.PER_CALL]) for k in range(0, len(words), self.PER_CALL)]
+        done = self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.concatenate([np.array([*e.ids, self.fence], dtype="<u4") for e in done])
+        stops = np.flatnonzero(ids == self.fence)
+        return np.diff(stops, prepend=-1) - 1, ids[ids != self.fence]
 
-    def _slots(self, hashes: np.ndarray, word: Callable[[int], bytes]) -> np.ndarray:
+    def _slots(self, hashes: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Where the words of these distinct hashes are kept; unknown ones are encoded first."""
-        keys = hashes.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.slot]
-        if len(self.slot) + len(new) > CACHE_WORDS:
+        at = np.searchsorted(self.hash, hashes)
+        new = np.flatnonzero(self.hash[np.minimum(at, len(self.hash) - 1)] != hashes) if len(self.hash) else np.arange(len(hashes))
+        if len(self.hash) + len(new) > CACHE_WORDS:
             self._forget()
-            new = range(len(keys))
-        if new:
-            spelt = {word(k): keys[k] for k in new}
-            order, ids = zip(*self.coded(list(spelt)), strict=True)
-            first = len(self.slot)
-            for k, w in enumerate(order):
-                self.slot[spelt[w]] = first + k
-            size = np.array([len(x) // _ID for x in ids], dtype=np.int64)
-            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), dtype="<u4")])
-        return np.fromiter(map(self.slot.__getitem__, keys), dtype=np.int64, count=len(keys))
+            new = np.arange(len(hashes))
+        if len(new):
+            new = new[np.argsort(hashes[new])]
+            size, ids = self._new(raw, starts[new], ends[new])
+            both = np.concatenate([self.hash, hashes[new]])
+            order = np.argsort(both, kind="stable")
+            self.hash = both[order]
+            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])[order]
+            self.size = np.concatenate([self.size, size])[order]
+            self.ids = np.concatenate([self.ids, ids])
+        return np.searchsorted(self.hash, hashes)
 
     def encode_many(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (without special tokens' spellings) one after another, and where each text's begin (and the last's end)."""
@@ -149,8 +149,7 @@ class WordEncoder:
         number, hashes = pd.factorize(word_hashes(raw, starts, ends))
         first = np.empty(len(hashes), dtype=np.int64)
         first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
-        body, lo, hi = raw.tobytes(), starts[first].tolist(), ends[first].tolist()
-        kept = self._slots(hashes, lambda k: body[lo[k]:hi[k]])
+        kept = self._slots(hashes, raw, starts[first], ends[first])
         size = self.size[kept][number]
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.at[kept][number] - upto[:-1], size) + np.arange(upto[-1])]
@@ -243,7 +242,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ca
                     else:
                         docs_here.append(doc)
                         texts.append(raw)
-                    if size >= 1 << 21:
+                    if size >= CHUNK:
                         break
                 if not size and not docs_here:
                     break

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
-from .text import lower_ascii, mix64, texts_of, word_bounds, word_hashes
+from .text import lower_ascii, mix64, slices, texts_of, word_bounds, word_hashes
 
 LEAST, LONGEST, TOP, SHARE = 10, 3, 2000, 50
 #: Bytes of text counted in one go.
@@ -64,15 +64,6 @@ WORD[[0x20, 0x09]] = False
 _STREAM = "lang string, size int, phrase string, n long"
 
 
-def slices(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The slices of a byte array as an Arrow string column."""
-    sizes = ends - starts
-    offs = np.zeros(len(sizes) + 1, dtype=np.int64)
-    np.cumsum(sizes, out=offs[1:])
-    at = np.repeat(starts - offs[:-1], sizes) + np.arange(offs[-1])
-    return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offs), pa.py_buffer(raw[at])])
-
-
 def slots(lang: str, hashes: list[np.ndarray]) -> np.ndarray:
     """Places in the bit table of phrases given by the hashes of their words."""
     out = np.full(len(hashes[0]), np.uint64(zlib.crc32(lang.encode())), dtype=np.uint64)
