@@ -13,6 +13,7 @@ them) and applies one operator from :mod:`ledgerline.operators`:
 * payment status (B12): each order's status from its latest payment attempt;
 * customer kind (B5): each customer's kind from its latest order;
 * product price (B6): each product's price from its latest sold line;
+* streamed rollup (T1): every order in slices of order time, twice;
 * purge (B14), sessions (B17/B18), payments (B15/B16), audit (U5), checks (U2).
 """
 
@@ -30,6 +31,7 @@ from ..operators.audit import audit_diff
 from ..operators.constraints import constraint_report
 from ..operators.ids import assign_ids, next_id_col
 from ..operators.reserve import reserve_inventory
+from ..session import scratch_dir
 from ..sources.fixtures import AS_OF, SESSION_AS_OF
 
 
@@ -238,3 +240,29 @@ def constraint_report_job(t) -> DataFrame:
     return constraint_report({"customers": t["customers"], "products": t["products"],
                               "inventory": t["inventory"], "orders": t["orders"],
                               "order_items": t["order_items"], "transactions": t["transactions"]})
+
+
+def streamed_sales_summary(t, slices: int = 3) -> DataFrame:
+    """T1 over all orders: they arrive in slices of order time, each first as pending without a price and then as they are.
+
+    Every slice is one run of the stream from its checkpoint; a last one
+    delivers the newest week again.
+    """
+    from ..streaming import read_order_stream, read_sales_summary, start_sales_summary_stream
+
+    spark = t["orders"].sparkSession
+    root = scratch_dir(spark, "order-stream")
+    orders = t["orders"].select("order_id", "customer_id", "order_date", "status", "total_amount", "payment_method")
+    first, last = orders.agg(F.min("order_date"), F.max("order_date")).first()
+    if first is None:
+        return orders.select(F.to_date("order_date").alias("summary_date"), F.lit(0).cast("bigint").alias("total_orders"),
+                             F.col("total_amount").cast("decimal(15,2)").alias("total_revenue")).where("false")
+    cuts = [first + (last - first) * k / slices for k in range(slices)] + [last + _dt.timedelta(microseconds=1)]
+    spans = [*zip(cuts[:-1], cuts[1:], strict=True), (last - _dt.timedelta(days=7), cuts[-1])]
+    for k, (lo, hi) in enumerate(spans):
+        part = orders.where((F.col("order_date") >= lit_ts(lo)) & (F.col("order_date") < lit_ts(hi)))
+        early = part.withColumn("status", F.lit("PENDING")).withColumn("total_amount", F.lit(None).cast("decimal(12,2)"))
+        (early.unionByName(part) if k < slices else part).write.mode("append").parquet(f"{root}/in")
+        start_sales_summary_stream(read_order_stream(spark, f"{root}/in"), f"{root}/target", f"{root}/checkpoint",
+                                   as_of=AS_OF).awaitTermination()
+    return read_sales_summary(spark, f"{root}/target").select("summary_date", "total_orders", "total_revenue")

@@ -37,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "executive_dashboard": _on_tables(A.executive_dashboard),
     "merge_sales_summary": _on_tables(W.merge_sales_summary_twice),
     "stored_sales_summary": _on_tables(W.stored_sales_summary),
+    "streamed_sales_summary": _on_tables(J.streamed_sales_summary),
     "customer_activity": _on_tables(A.customer_activity),
     "sessions_by_user": _on_tables(A.sessions_by_user),
     # order-management operators on derived request batches

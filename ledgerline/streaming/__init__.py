@@ -2,10 +2,12 @@
 
 All sources and sinks are files (parquet folders); no server is involved.
 
-* T1 ``start_sales_summary_stream``: each micro-batch updates a stored table
-  of the last eight days' orders by order id and recomputes the days it
-  touched, which are merged into SALES_SUMMARY (U1).  An order that changes
-  its status is counted once, and a replayed batch changes nothing.
+* T1 ``start_sales_summary_stream``: the newest version of every recent order
+  is streaming state keyed by order id, which a timer drops eight days (of
+  order time) later.  A change yields signed deltas for the days it touches;
+  each micro-batch adds them up and merges those days into SALES_SUMMARY (U1).
+  What is written a batch is days, never orders.
+  ``apply_order_batch`` is the same for a single batch given as a table.
 * T2 ``daily_totals_stream``: event-time windows of one day with a
   watermark; late orders inside the allowance still update their day.
 * T3 ``start_reservation_stream``: each micro-batch's requests run through
@@ -18,13 +20,13 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.reserve import reserve_inventory
 from ..operators.upsert import upsert
 from ..plans.warehouse import ROLLUP_STATUSES, empty_table
-from ..session import materialize
+from ..session import materialize, ship_package
 from ..sources.sinks import current_path, note, read_table, replace_tables, table_exists
 
 ORDER_STREAM_SCHEMA = ("order_id bigint, customer_id bigint, order_date timestamp_ntz, status string, "
@@ -47,18 +49,34 @@ STATUS_ORDER = ("PENDING", "PAYMENT_FAILED", "PAID", "SHIPPED", "COMPLETED", "DE
 ORDER_STATE = "order_id bigint, order_date timestamp_ntz, status string, total_amount decimal(12,2)"
 
 
-def apply_order_batch(batch: DataFrame, target: str) -> None:
-    """One micro-batch of T1: newest state of the recent orders, touched days recomputed and merged."""
+#: How far ahead of the clock an order may be dated; rows beyond it, and rows without a date, are set aside.
+AHEAD = "INTERVAL 1 DAY"
+
+
+def usable(clock: Column | None = None) -> Column:
+    """Whether an order's date is given and not beyond the clock: one order of the year 2100 must not close all days before it."""
+    now = F.localtimestamp() if clock is None else clock.cast("timestamp_ntz")
+    return F.coalesce(F.col("order_id").isNotNull() & (F.col("order_date") <= now + F.expr(AHEAD)), F.lit(False))
+
+
+def _place() -> Column:
+    return F.array_position(F.array(*[F.lit(x) for x in STATUS_ORDER]), F.col("status"))
+
+
+def apply_order_batch(batch: DataFrame, target: str, clock: Column | None = None) -> None:
+    """One batch of orders as a table: newest state of the recent orders, touched days recomputed and merged.
+
+    Rows without a date or dated beyond the clock are not counted.
+    """
     spark = batch.sparkSession
-    rows = materialize(batch.select("order_id", "order_date", "status", "total_amount"), "t1-batch")
+    rows = materialize(batch.where(usable(clock)).select("order_id", "order_date", "status", "total_amount"), "t1-batch")
     if rows.isEmpty():
         return
     path = f"{target}/order_state"
     state = (spark.read.schema(ORDER_STATE).parquet(current_path(spark, path)) if table_exists(spark, path)
              else spark.createDataFrame([], ORDER_STATE))
-    place = F.array_position(F.array(*[F.lit(x) for x in STATUS_ORDER]), F.col("status"))
     newest = state.unionByName(rows).groupBy("order_id").agg(
-        F.max(F.struct(place.alias("place"), "order_date", "status", "total_amount")).alias("o")).select("order_id", "o.*").drop("place")
+        F.max(F.struct(_place().alias("place"), "order_date", "status", "total_amount")).alias("o")).select("order_id", "o.*").drop("place")
     newest = materialize(newest, "t1-state")
     last = newest.agg(F.max("order_date")).first()[0]
     oldest = F.lit(last.date() - _dt.timedelta(days=RECOMPUTE_DAYS))
@@ -79,14 +97,118 @@ def apply_order_batch(batch: DataFrame, target: str) -> None:
     replace_tables({"order_state": newest.where(F.to_date("order_date") >= oldest), "sales_summary": merged}, target)
 
 
-def start_sales_summary_stream(orders: DataFrame, target: str, checkpoint: str, trigger_once: bool = True):
+# The state of an order (its newest version) and what a change of it yields: a
+# delta of a day, or (``set_aside``) a row that is not counted.
+VERSION = "place int, event long, status string, cents long"
+CHANGES = ("summary_date date, orders long, priced long, cents long, set_aside boolean, order_id long, "
+           "order_date timestamp_ntz, status string, total_amount decimal(12,2)")
+DAY_TOTALS = "summary_date date, orders long, priced long, cents long"
+_CHANGE_COLUMNS = [c.split()[0] for c in CHANGES.split(", ")]
+_DAY_US = 86_400_000_000
+
+
+def _newest_version(key, frames, state):
+    """State function of one order: deltas between the version counted so far and the newest one."""
+    import pandas as pd
+
+    if state.hasTimedOut:
+        state.remove()
+        return
+    before = state.get if state.exists else None
+    best, odd = before, []
+    for f in frames:
+        for row in f.itertuples(index=False):
+            if pd.isna(row.event):
+                odd.append(row)
+                continue
+            version = (int(row.place), int(row.event), row.status, None if pd.isna(row.cents) else int(row.cents))
+            if best is None or _rank(version) > _rank(best):
+                best = version
+    if best is not None and best != before:
+        state.update(best)
+    if best is not None:
+        state.setTimeoutTimestamp(max(best[1] // 1000 + RECOMPUTE_DAYS * 86_400_000, state.getCurrentWatermarkMs() + 1))
+    out = []
+    for version, sign in ((before, -1), (best, 1)):
+        if version and best != before and version[2] in ROLLUP_STATUSES:
+            day = _dt.date(1970, 1, 1) + _dt.timedelta(days=version[1] // _DAY_US)
+            out.append((day, sign, sign * (version[3] is not None), sign * (version[3] or 0), False, None, None, None, None))
+    none = lambda x: None if pd.isna(x) else x
+    out += [(None, None, None, None, True, none(r.order_id), none(r.order_date), r.status, r.total_amount) for r in odd]
+    if out:
+        yield pd.DataFrame(out, columns=_CHANGE_COLUMNS, dtype=object)
+
+
+def _rank(version: tuple) -> tuple:
+    """Versions in order: farthest in the workflow, then newest, then by their values (nulls first)."""
+    place, event, status, cents = version
+    return place, event, status or "", cents is not None, cents or 0
+
+
+def order_changes(orders: DataFrame, clock: Column | None = None) -> DataFrame:
+    """A stream of orders as signed day deltas, by state per order with event-time timers.
+
+    Rows older than the newest order seen in earlier batches by more than
+    ``RECOMPUTE_DAYS`` are too late and dropped, as the rollup never looks
+    further back.  Rows without a usable date come out as set aside; their
+    null event time leaves the watermark alone.
+    """
+    event = F.when(usable(clock), F.col("order_date").cast("timestamp"))
+    rows = orders.select("order_id", "order_date", "status", "total_amount", event.alias("_event")).withWatermark(
+        "_event", f"{RECOMPUTE_DAYS} days")
+    rows = rows.select("order_id", "order_date", "status", "total_amount", "_event", F.unix_micros("_event").alias("event"),
+                       F.coalesce(_place().cast("int"), F.lit(0)).alias("place"),
+                       (F.col("total_amount") * 100).cast("long").alias("cents"))
+    return rows.groupBy("order_id").applyInPandasWithState(_newest_version, CHANGES, VERSION, "append", "EventTimeTimeout")
+
+
+def apply_day_deltas(changes: DataFrame, batch_id: int, target: str, as_of=None) -> None:
+    """One micro-batch of T1: the deltas' days are merged; a batch that was published already is skipped.
+
+    ``day_totals`` (a row per day) carries what SALES_SUMMARY doesn't: how
+    many orders have a price, so that a day without any has no revenue.
+    """
+    spark = changes.sparkSession
+    done = note(spark, target, "applied_batch")
+    if done is not None and int(done) >= batch_id:
+        return
+    rows = materialize(changes, "t1-changes")
+    rows.where("set_aside").select("order_id", "order_date", "status", "total_amount").write.mode("overwrite").parquet(
+        f"{target}/set_aside/batch_id={batch_id}")
+    path, summary = f"{target}/day_totals", f"{target}/sales_summary"
+    stored = spark.read.schema(DAY_TOTALS).parquet(current_path(spark, path)) if table_exists(spark, path) else \
+        spark.createDataFrame([], DAY_TOTALS)
+    deltas = rows.where("NOT set_aside").groupBy("summary_date").agg(*[F.sum(c).alias(c) for c in ("orders", "priced", "cents")])
+    deltas = materialize(deltas, "t1-deltas")
+    totals = materialize(stored.unionByName(deltas).groupBy("summary_date").agg(
+        *[F.sum(c).alias(c) for c in ("orders", "priced", "cents")]), "t1-totals")
+    known = read_table(spark, summary, "sales_summary") if table_exists(spark, summary) else empty_table(spark, "sales_summary")
+    touched = totals.join(deltas.select("summary_date"), "summary_date", "left_semi").join(
+        known.select("summary_date", F.lit(True).alias("_there")), "summary_date", "left").where("orders > 0 OR _there")
+    revenue = F.when(F.col("priced") > 0, F.col("cents").cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)"))
+    source = touched.select("summary_date", F.col("orders").alias("total_orders"), revenue.cast("decimal(15,2)").alias("total_revenue"))
+    merged = upsert(known, source, ["summary_date"], ["total_orders", "total_revenue"], id_col="summary_id",
+                    table="sales_summary", as_of=as_of or _dt.datetime.now(), check_unique=False)
+    replace_tables({"day_totals": totals, "sales_summary": merged}, target, applied_batch=str(batch_id))
+
+
+def start_sales_summary_stream(orders: DataFrame, target: str, checkpoint: str, trigger_once: bool = True,
+                               clock: Column | None = None, as_of=None):
     """Start T1.  Returns the StreamingQuery."""
-    w = (orders.writeStream.foreachBatch(lambda batch, batch_id: apply_order_batch(batch, target))
+    # the state function runs in Python workers
+    ship_package(orders.sparkSession)
+    w = (order_changes(orders, clock).writeStream.outputMode("append")
+         .foreachBatch(lambda batch, batch_id: apply_day_deltas(batch, batch_id, target, as_of))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if trigger_once else w
     return w.start()
 
 
+def read_set_aside(spark: SparkSession, target: str) -> DataFrame:
+    """Orders that T1 did not count: no usable date."""
+    return spark.read.schema(ORDER_STATE + ", batch_id bigint").parquet(f"{target}/set_aside").drop("batch_id")
+
+
 def read_sales_summary(spark: SparkSession, target: str) -> DataFrame:
     """The SALES_SUMMARY rows that T1 has merged so far."""
     return read_table(spark, f"{target}/sales_summary", "sales_summary").select(

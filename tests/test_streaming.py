@@ -137,3 +137,71 @@ def test_t2_late_order_within_allowance_updates_its_day(spark, tables):
     got = spark.sql("SELECT order_day, max(total_orders) AS n FROM ll_t2late GROUP BY order_day")
     exp = o.groupBy(F.to_date("order_date").alias("order_day")).agg(F.count(F.lit(1)).alias("n"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in exp.collect())
+
+
+def _orders(spark, rows):
+    """rows: (order_id, day text or None, status, amount)."""
+    import datetime as dt
+    from decimal import Decimal
+    return spark.createDataFrame([(i, 1, None if d is None else dt.datetime.fromisoformat(d), s, None if v is None else Decimal(v), "CARD")
+                                  for i, d, s, v in rows], ORDER_STREAM_SCHEMA)
+
+
+def _feed(spark, root, rows):
+    """Rows appended to the stream's folder, and the stream run over them from its checkpoint (one micro-batch)."""
+    _orders(spark, rows).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    start_sales_summary_stream(read_order_stream(spark, f"{root}/in"), f"{root}/target", f"{root}/ckpt").awaitTermination()
+    return {str(r["summary_date"]): (r["total_orders"], None if r["total_revenue"] is None else str(r["total_revenue"]))
+            for r in read_sales_summary(spark, f"{root}/target").collect()}
+
+
+def test_t1_state_counts_newest_versions_over_restarts(spark):
+    root = tempfile.mkdtemp(prefix="ll-t1r-")
+    first = [(1, "2001-07-20T09:00", "SHIPPED", "10.00"), (2, "2001-07-20T09:00", "PENDING", "5.00"), (3, "2001-07-21T09:00", "SHIPPED", "7.00")]
+    assert _feed(spark, root, first) == {"2001-07-20": (1, "10.00"), "2001-07-21": (1, "7.00")}
+    assert _feed(spark, root, first) == {"2001-07-20": (1, "10.00"), "2001-07-21": (1, "7.00")}  # a replay
+    got = _feed(spark, root, [(1, "2001-07-20T09:00", "COMPLETED", "10.00"), (2, "2001-07-20T09:00", "SHIPPED", "5.00"),
+                              (3, "2001-07-21T09:00", "CANCELLED", "7.00"), (4, "2001-07-25T00:00", "SHIPPED", None)])
+    assert got == {"2001-07-20": (2, "15.00"), "2001-07-21": (0, None), "2001-07-25": (1, None)}
+    # an earlier version that comes late changes nothing; an order may move to another day
+    got = _feed(spark, root, [(1, "2001-07-20T09:00", "PENDING", "99.00"), (2, "2001-07-22T23:59", "DELIVERED", "6.00")])
+    assert got == {"2001-07-20": (1, "10.00"), "2001-07-21": (0, None), "2001-07-22": (1, "6.00"), "2001-07-25": (1, None)}
+    # eight days on, the timers have dropped the old orders, and their days are closed
+    got = _feed(spark, root, [(5, "2001-08-09T08:00", "SHIPPED", "1.00")])
+    got = _feed(spark, root, [(1, "2001-07-20T09:00", "CANCELLED", "10.00"), (6, "2001-08-08T08:00", "SHIPPED", "2.00")])
+    assert got["2001-07-20"] == (1, "10.00") and got["2001-08-08"] == (1, "2.00") and got["2001-08-09"] == (1, "1.00")
+    ids = [r["summary_id"] for r in read_sales_summary(spark, f"{root}/target").orderBy("summary_date").collect()]
+    assert sorted(ids) == list(range(1, len(ids) + 1))
+
+
+def test_t1_future_and_null_dates_are_set_aside(spark):
+    from ledgerline.streaming import read_set_aside
+    root = tempfile.mkdtemp(prefix="ll-t1f-")
+    assert _feed(spark, root, [(1, None, "SHIPPED", "1.00"), (None, None, "SHIPPED", "1.00")]) == {}
+    _feed(spark, root, [(1, "2001-07-20T09:00", "SHIPPED", "10.00"), (2, "2001-07-20T09:00", "SHIPPED", "5.00")])
+    _feed(spark, root, [(3, "2100-01-01T00:00", "SHIPPED", "1000.00")])
+    got = _feed(spark, root, [(2, "2001-07-20T09:00", "CANCELLED", "5.00"), (4, "2001-07-21T09:00", "SHIPPED", "4.00")])
+    assert got == {"2001-07-20": (1, "10.00"), "2001-07-21": (1, "4.00")}
+    aside = sorted(((r["order_id"], r["order_date"] and r["order_date"].year) for r in read_set_aside(spark, f"{root}/target").collect()), key=repr)
+    assert aside == [(1, None), (3, 2100), (None, None)]
+
+
+def test_t1_batch_form_with_future_and_null_dates(spark):
+    root = tempfile.mkdtemp(prefix="ll-t1b-")
+    apply_order_batch(_orders(spark, [(1, None, "SHIPPED", "1.00")]), root)
+    apply_order_batch(_orders(spark, [(1, "2001-07-20T09:00", "SHIPPED", "10.00"), (2, "2001-07-20T09:00", "SHIPPED", "5.00"),
+                                      (9, None, "SHIPPED", "5.00")]), root)
+    apply_order_batch(_orders(spark, [(3, "2100-01-01T00:00", "SHIPPED", "1000.00")]), root)
+    apply_order_batch(_orders(spark, [(2, "2001-07-20T09:00", "CANCELLED", "5.00"), (4, "2001-07-21T09:00", "SHIPPED", "4.00")]), root)
+    got = {str(r["summary_date"]): (r["total_orders"], str(r["total_revenue"])) for r in read_sales_summary(spark, root).collect()}
+    assert got == {"2001-07-20": (1, "10.00"), "2001-07-21": (1, "4.00")}
+
+
+def test_t1_a_published_batch_is_not_added_twice(spark):
+    from ledgerline.streaming import CHANGES, apply_day_deltas
+    import datetime as dt
+    root = tempfile.mkdtemp(prefix="ll-t1p-")
+    changes = spark.createDataFrame([(dt.date(2001, 7, 1), 1, 1, 250, False, None, None, None, None)], CHANGES)
+    for batch_id in (0, 0, 1):
+        apply_day_deltas(changes, batch_id, root)
+    assert [(r["total_orders"], str(r["total_revenue"])) for r in read_sales_summary(spark, root).collect()] == [(2, "5.00")]
