@@ -33,3 +33,15 @@ def audit_diff(before: DataFrame, after: DataFrame, key: str, table_name: str, c
     out = assign_ids(rows, ["record_id", "operation"], id_col="audit_id", start=start_id)
     return out.select("audit_id", "table_name", "operation", "record_id", "old_value", "new_value",
                       "changed_by", "changed_at")
+
+
+def audit_changes(changes: DataFrame, key: str, table_name: str, changed_by: str = "ledgerline", as_of=None,
+                  start_id: int = 1) -> DataFrame:
+    """AUDIT_LOG rows of a merge's change feed (see :func:`.upsert.upsert_changes`): no second join of the table's versions."""
+    vals = [f.name for f in changes.schema["new"].dataType.fields if f.name != key]
+    image = lambda side: F.when(F.col(side).isNotNull(), F.to_json(F.struct(*[F.col(f"{side}.{c}").alias(c) for c in vals])))
+    rows = changes.select(F.lit(table_name).alias("table_name"), "operation", F.col(f"new.{key}").cast("bigint").alias("record_id"),
+                          image("old").alias("old_value"), image("new").alias("new_value"), F.lit(changed_by).alias("changed_by"),
+                          (lit_ts(as_of) if as_of is not None else F.localtimestamp()).alias("changed_at"))
+    return assign_ids(rows, ["record_id", "operation"], id_col="audit_id", start=start_id).select(
+        "audit_id", "table_name", "operation", "record_id", "old_value", "new_value", "changed_by", "changed_at")

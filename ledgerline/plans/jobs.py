@@ -31,8 +31,10 @@ from ..operators.audit import audit_diff
 from ..operators.constraints import constraint_report
 from ..operators.ids import assign_ids, next_id_col
 from ..operators.reserve import reserve_inventory
-from ..session import scratch_dir
+from ..session import materialize, scratch_dir
 from ..sources.fixtures import AS_OF, SESSION_AS_OF
+from ..sources.partitions import PART, append_batch, manifest, month_of, read_partitions, touched, write_partitioned
+from .stored import place_orders_stored, purge_stored, stock_bucket
 
 
 def _recent_orders(t, days, as_of=AS_OF):
@@ -107,16 +109,48 @@ def price_orders_job(t) -> DataFrame:
     return B.price_orders(t["orders"], t["order_items"])
 
 
-def _placed(t, as_of=AS_OF, days: int = 7, stock=None) -> dict:
+def _requests(t, as_of=AS_OF, days: int = 7) -> tuple[DataFrame, DataFrame]:
     recent = _recent_orders(t, days, as_of)
     reqs = recent.select(F.col("order_id").alias("request_id"), "customer_id", "payment_method")
     lines = (t["order_items"].select(F.col("order_id").alias("request_id"), "product_id", "quantity", "subtotal")
              .join(reqs.select("request_id"), "request_id"))
     lines = assign_ids(lines, ["request_id", "product_id", "quantity", "subtotal"], id_col="line_no")
+    return reqs, lines.select("request_id", "line_no", "product_id", "quantity")
+
+
+def _placed(t, as_of=AS_OF, days: int = 7, stock=None) -> dict:
+    reqs, lines = _requests(t, as_of, days)
     tables = {k: t[k] for k in ("orders", "order_items", "inventory", "transactions", "products")}
     if stock is not None:
         tables["inventory"] = stock
-    return B.place_orders(tables, reqs, lines.select("request_id", "line_no", "product_id", "quantity"), as_of)
+    return B.place_orders(tables, reqs, lines, as_of)
+
+
+def _placed_stored(t, as_of=AS_OF, days: int = 7) -> str:
+    """Last week's orders as requests to the stored shop, twice, the second time with a batch of other requests' names."""
+    spark = t["orders"].sparkSession
+    root = scratch_dir(spark, "stored-shop")
+    write_partitioned(t["orders"], f"{root}/orders", month_of("order_date"))
+    write_partitioned(scarce_inventory(t), f"{root}/inventory", stock_bucket())
+    reqs, lines = _requests(t, as_of, days)
+    schemas = {n: t[n].schema for n in ("orders", "order_items", "inventory", "transactions")}
+    for batch in ("week", "week-again"):
+        place_orders_stored(spark, root, schemas, t["products"], reqs, lines, batch, as_of)
+    return root
+
+
+def stored_place_orders_job(t, as_of=AS_OF, days: int = 7) -> DataFrame:
+    """B13 as one stored transaction, run twice: the orders it added."""
+    root = _placed_stored(t, as_of, days)
+    return read_partitions(t["orders"].sparkSession, f"{root}/orders", t["orders"].schema, with_part=True).where(
+        F.col(PART).startswith("batch-")).select("order_id", "customer_id", "order_date", "status", "total_amount", "payment_method")
+
+
+def stored_place_stock_job(t, as_of=AS_OF, days: int = 7) -> DataFrame:
+    """The stock after the same two runs."""
+    root = _placed_stored(t, as_of, days)
+    return read_partitions(t["orders"].sparkSession, f"{root}/inventory", t["inventory"].schema).select(
+        "inventory_id", "product_id", "quantity_available", "quantity_reserved")
 
 
 def place_orders_job(t, as_of=AS_OF, days: int = 7) -> DataFrame:
@@ -266,3 +300,42 @@ def streamed_sales_summary(t, slices: int = 3) -> DataFrame:
         start_sales_summary_stream(read_order_stream(spark, f"{root}/in"), f"{root}/target", f"{root}/checkpoint",
                                    as_of=AS_OF).awaitTermination()
     return read_sales_summary(spark, f"{root}/target").select("summary_date", "total_orders", "total_revenue")
+
+
+def stored_purge_job(t, as_of=AS_OF, days: int = 90) -> DataFrame:
+    """B14 on stored tables partitioned by the order's month: only months with doomed orders are read and written.
+
+    Per table: its rows after the purge, its partitions before and after, and how many were written anew.
+    """
+    spark = t["orders"].sparkSession
+    root = scratch_dir(spark, "stored-shop")
+    month = t["orders"].select("order_id", month_of("order_date").alias(PART))
+    names = ("orders", "order_items", "transactions")
+    for name in names:
+        rows = t[name].join(month, "order_id")
+        write_partitioned(rows, f"{root}/{name}", F.col(PART))
+    before = {n: manifest(spark, f"{root}/{n}") for n in names}
+    purge_stored(spark, root, {n: t[n].schema for n in names}, as_of, days)
+    out = []
+    for n in names:
+        after = manifest(spark, f"{root}/{n}")
+        fresh = sum(after.get(v) != x for v, x in before[n].items())
+        out.append(read_partitions(spark, f"{root}/{n}", t[n].schema).agg(F.count(F.lit(1)).alias("rows_after")).select(
+            F.lit(n).alias("table_name"), "rows_after", F.lit(len(before[n])).cast("bigint").alias("partitions_before"),
+            F.lit(len(after)).cast("bigint").alias("partitions_after"), F.lit(fresh).cast("bigint").alias("partitions_replaced")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def stored_payments_job(t, as_of=AS_OF, days: int = 7) -> DataFrame:
+    """R5 with B16: a payment for each of last week's orders, appended in a batch a day, every batch run twice."""
+    spark = t["orders"].sparkSession
+    path = f"{scratch_dir(spark, 'payments')}/transactions"
+    orders = _recent_orders(t, days, as_of).select("order_id", F.date_format("order_date", "yyyy-MM-dd").alias("day"))
+    paid = B.process_transactions(orders.select("order_id"), 1, as_of).drop("transaction_id").join(orders, "order_id")
+    paid = materialize(paid, "payments")
+    for day in touched(orders, F.col("day")):
+        for _ in range(2):
+            append_batch(paid.where(F.col("day") == day).drop("day"), path, day, "transaction_id", ["order_id"])
+    schema = ("transaction_id bigint, order_id bigint, transaction_type string, amount decimal(12,2), payment_gateway string, "
+              "status string, currency string, processed_at timestamp_ntz")
+    return read_partitions(spark, path, schema)

@@ -37,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "executive_dashboard": _on_tables(A.executive_dashboard),
     "merge_sales_summary": _on_tables(W.merge_sales_summary_twice),
     "stored_sales_summary": _on_tables(W.stored_sales_summary),
+    "merge_changes": _on_tables(W.merge_changes),
     "streamed_sales_summary": _on_tables(J.streamed_sales_summary),
     "customer_activity": _on_tables(A.customer_activity),
     "sessions_by_user": _on_tables(A.sessions_by_user),
@@ -57,6 +58,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "placed_items": _on_tables(J.placed_items_job),
     "placed_payments": _on_tables(J.placed_payments_job),
     "placed_stock": _on_tables(J.placed_stock_job),
+    "stored_place_orders": _on_tables(J.stored_place_orders_job),
+    "stored_place_stock": _on_tables(J.stored_place_stock_job),
+    "stored_payments": _on_tables(J.stored_payments_job),
+    "stored_purge": _on_tables(J.stored_purge_job),
     "purge_old_orders": _on_tables(J.purge_job),
     "purged_orders": _on_tables(J.purged_orders_job),
     "purged_items": _on_tables(J.purged_items_job),

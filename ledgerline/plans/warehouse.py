@@ -7,7 +7,6 @@ Each is a per-key aggregate (map-side combined) followed by :func:`upsert`.
 from __future__ import annotations
 
 import datetime as _dt
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import as_timestamp, day_start, lit_date, lit_ts
 from ..operators.upsert import upsert
 from ..schema import SCHEMAS
-from ..session import materialize, scratch_dir
+from ..session import scratch_dir
 from ..sources.fixtures import AS_OF
-from ..sources.sinks import read_table, replace_table, table_exists
+from ..sources.partitions import merge_partitions, month_of, read_partitions
 
 # Statuses counted by the rollup; spend cut-offs of the value segment.
 ROLLUP_STATUSES = ("COMPLETED", "SHIPPED", "DELIVERED")
@@ -72,18 +71,10 @@ def merge_sales_summary_twice(t, as_of=AS_OF, days: int = 7, earlier_days: int =
     return merge_sales_summary(t, first, as_of, days)
 
 
-def run_merge(spark: SparkSession, path: str, table: str, merge) -> int:
-    """A rollup as a stored job: read the table at ``path`` (empty if there is none), merge, publish.
-
-    ``merge`` takes the stored target and returns the merged table.  Returns
-    the number of rows inserted or updated.
-    """
-    target = read_table(spark, path, table) if table_exists(spark, path) else empty_table(spark, table)
-    merged = materialize(merge(target), f"merge-{table}")
-    changed = merged.join(target, reduce(lambda a, b: a & b, [merged[c].eqNullSafe(target[c]) for c in merged.columns]),
-                          "left_anti").count()
-    replace_table(merged, path)
-    return changed
+def merge_stored_summary(spark: SparkSession, path: str, t, as_of=AS_OF, days: int = 7) -> DataFrame:
+    """The rollup as a stored job: only the months it touches are read, merged and written; returns the change feed."""
+    return merge_partitions(spark, path, "sales_summary", sales_rollup(t, as_of, days), month_of, "summary_date", ["summary_date"],
+                            ["total_orders", "total_revenue"], "summary_id", as_of, check_unique=False)
 
 
 def stored_sales_summary(t, as_of=AS_OF, days: int = 7, earlier_days: int = 3) -> DataFrame:
@@ -91,12 +82,24 @@ def stored_sales_summary(t, as_of=AS_OF, days: int = 7, earlier_days: int = 3) -
     spark = t["orders"].sparkSession
     path = scratch_dir(spark, "sales-summary")
     runs = [as_timestamp(as_of) - _dt.timedelta(days=earlier_days), as_of]
-    n = [run_merge(spark, path, "sales_summary", lambda target, at=at: merge_sales_summary(t, target, at, days)) for at in runs]
-    return read_table(spark, path, "sales_summary").select(
+    n = [merge_stored_summary(spark, path, t, at, days).count() for at in runs]
+    return read_partitions(spark, path, SCHEMAS["sales_summary"]).select(
         "summary_id", "summary_date", "total_orders", "total_revenue", F.lit(n[0]).cast("bigint").alias("first_run_rows"),
         F.lit(n[1]).cast("bigint").alias("second_run_rows"))
 
 
+def merge_changes(t, as_of=AS_OF, days: int = 7, earlier_days: int = 3) -> DataFrame:
+    """The change feed of a stored run: an earlier run knew the orders of its own day, today's updates and adds to it."""
+    spark = t["orders"].sparkSession
+    path = scratch_dir(spark, "sales-summary")
+    early = as_timestamp(as_of) - _dt.timedelta(days=earlier_days)
+    merge_stored_summary(spark, path, {"orders": t["orders"].where(F.col("order_date") < lit_ts(early))}, early, days)
+    return merge_stored_summary(spark, path, t, as_of, days).select(
+        "operation", "new.summary_id", "new.summary_date", F.col("old.total_orders").alias("old_orders"),
+        F.col("new.total_orders").alias("new_orders"), F.col("old.total_revenue").alias("old_revenue"),
+        F.col("new.total_revenue").alias("new_revenue"))
+
+
 # ----------------------------------------------------------- aggregate-customers
 def customer_stats(t, as_of=AS_OF) -> DataFrame:
     """Per customer, all orders up to ``as_of``: count, spend, average, last order, segment."""

@@ -2,7 +2,8 @@
 
 * ``drain``: run a plan to the end without collecting (the reference only
   counts rows), through Spark's ``noop`` writer;
-* ``append_table``: INSERT as a parquet append;
+* ``append_table``: INSERT as a parquet append (:mod:`.partitions` has the
+  repeatable form, and tables of which single partitions are replaced);
 * ``replace_table`` / ``replace_tables``: write new versions of a table (of
   several) into fresh folders, then name them all in one pointer file.  A
   table is never overwritten while a plan that reads it is running, which is
@@ -44,24 +45,35 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p, jvm
 
 
-def _pointers(spark: SparkSession, root: str) -> dict[str, str]:
-    fs, p, jvm = _fs(spark, f"{root}/{POINTER}")
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file of the store ("" if there is none)."""
+    fs, p, jvm = _fs(spark, path)
     if not fs.exists(p):
-        return {}
+        return ""
     stream = fs.open(p)
     try:
-        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
-    return dict(line.split("=", 1) for line in text.split("\n") if line)
 
 
-def _publish(spark: SparkSession, root: str, tags: dict[str, str], notes: dict[str, str]) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p, _ = _fs(spark, path)
+    stream = fs.create(p)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def _pointers(spark: SparkSession, root: str) -> dict[str, str]:
+    return dict(line.split("=", 1) for line in read_text(spark, f"{root}/{POINTER}").split("\n") if line)
+
+
+def _publish(spark: SparkSession, root: str, tags: dict[str, str], notes: dict[str, str],
+             keep: dict[str, set[str]] | None = None) -> None:
+    """Name the tables' new versions; ``keep`` has, by table, the older ones that still hold current rows."""
     before = _pointers(spark, root)
     fs, draft, jvm = _fs(spark, f"{root}/{POINTER}.{uuid.uuid4().hex[:12]}")
-    stream = fs.create(draft)
-    stream.write(bytearray("\n".join(f"{n}={t}" for n, t in sorted({**before, **tags, **notes}.items())).encode()))
-    stream.close()
+    write_text(spark, f"{root}/{draft.getName()}", "\n".join(f"{n}={t}" for n, t in sorted({**before, **tags, **notes}.items())))
     kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     how = spark.sparkContext._gateway.new_array(kind, 1)
     how[0] = kind.OVERWRITE
@@ -72,7 +84,8 @@ def _publish(spark: SparkSession, root: str, tags: dict[str, str], notes: dict[s
     for name, tag in tags.items():
         for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")):
             old = status.getPath()
-            if old.getName().startswith("version-") and old.getName() not in (tag, before.get(name)):
+            if old.getName().startswith("version-") and old.getName() not in {
+                    tag, before.get(name), *(keep or {}).get(name, ())}:
                 fs.delete(old, True)
 
 
