@@ -39,7 +39,7 @@ from .text import SPACED, lower_ascii, slices, texts_of, word_bounds, word_hashe
 CAPACITY = 2048
 END_ID = 0
 CACHE_WORDS = 600_000
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 NODES = 4_000
 WIDTH = 4
 _ID = 4  # bytes of a token id
@@ -108,11 +108,15 @@ class WordEncoder:
         """How many ids each of these words has, and all of them one after another."""
         words = slices(raw, starts, ends).to_pylist()
         fence = f" {self.FENCE} "
-        groups = [fence.join(words[k:k + self.PER_CALL]) for k in range(0, len(words), self.PER_CALL)]
-        done = self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)
-        ids = np.concatenate([np.array([*e.ids, self.fence], dtype="<u4") for e in done])
-        stops = np.flatnonzero(ids == self.fence)
-        return np.diff(stops, prepend=-1) - 1, ids[ids != self.fence]
+        sizes, coded = [], []
+        for at in range(0, len(words), 64 * self.PER_CALL):  # few encodings are held at a time
+            part = words[at:at + 64 * self.PER_CALL]
+            groups = [fence.join(part[k:k + self.PER_CALL]) for k in range(0, len(part), self.PER_CALL)]
+            done = self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)
+            ids = np.concatenate([np.array([*e.ids, self.fence], dtype="<u4") for e in done])
+            sizes.append(np.diff(np.flatnonzero(ids == self.fence), prepend=-1) - 1)
+            coded.append(ids[ids != self.fence])
+        return np.concatenate(sizes), np.concatenate(coded)
 
     def _slots(self, hashes: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Where the words of these distinct hashes are kept; unknown ones are encoded first."""
