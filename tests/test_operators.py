@@ -78,6 +78,37 @@ def test_reserve_rounds_are_bounded_by_distinct_quantities(spark, monkeypatch):
     assert len(rounds) <= len(set(q)) + 1
 
 
+@pytest.mark.parametrize("fold_rows", [0, 1, 7, 40])
+def test_reserve_rounds_and_folds_agree_with_the_fold(spark, fold_rows):
+    """Rows of every size on both ways: many rounds, rows that turn from rounds to the fold, and folds alone."""
+    import random
+    rng = random.Random(fold_rows)
+    inv = _inv(spark, [(i, i % 6, rng.choice([0, 1, 9, 30, 300]), 0) for i in range(1, 15)])
+    rows = [(s, rng.choice([0, 1, 2, 3, 3, 5, 7]), rng.choice([0, 1, 2, 5, 8, 13, 29])) for s in rng.sample(range(10 ** 9), 400)]
+    req = spark.createDataFrame(rows, "seq bigint, product_id bigint, quantity bigint")
+    after, dec = reserve_inventory(inv, req, chunk=5, fold_rows=fold_rows)
+    fold = fold_reservations(inv, req)
+    assert {r["inventory_id"]: (r["quantity_available"], r["quantity_reserved"]) for r in after.collect()} == {
+        k: v[:2] for k, v in fold.items()}
+    took = {}
+    for r in dec.where("accepted").collect():
+        took.setdefault(r["inventory_id"], set()).add(r["seq"])
+    assert took == {k: v[2] for k, v in fold.items() if v[2]}
+    assert dec.count() == sum(r[1] == i["product_id"] for r in rows for i in inv.collect())
+
+
+def test_reserve_refuses_negative_and_null_quantities(spark):
+    inv = _inv(spark, [(1, 7, 10, 0)])
+    schema = "seq bigint, product_id bigint, quantity bigint"
+    with pytest.raises(Exception, match="negative quantity in request 2"):
+        reserve_inventory(inv, spark.createDataFrame([(1, 7, 8), (2, 7, -5), (3, 7, 9)], schema))
+    after, dec = reserve_inventory(inv, spark.createDataFrame([(1, 7, None), (None, 7, 1), (3, 7, 4)], schema))
+    assert after.first()["quantity_available"] == 6
+    assert sorted((r["seq"], r["accepted"]) for r in dec.collect() if r["seq"]) == [(1, False), (3, True)]
+    after, dec = reserve_inventory(inv, spark.createDataFrame([], schema))
+    assert after.first()["quantity_available"] == 10 and dec.count() == 0
+
+
 def test_merge_matched_unmatched_and_null_key(spark):
     tgt = empty_table(spark, "sales_summary").unionByName(spark.createDataFrame(
         [(1, dt.date(2024, 1, 1), 5, Decimal("50.00"), None, None, dt.datetime(2024, 1, 1)),
