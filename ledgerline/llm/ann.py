@@ -20,7 +20,8 @@ Cases: vectors null, empty, zero, with null or non-finite components or of
 another length than ``dim`` (by default the commonest) take no part; a null
 id takes no part; rows that repeat an id and vector count once; of an id with
 several vectors each is a candidate, the best one ranks; with fewer
-candidates than k, all found are returned; a table without rows gives none.
+candidates than k, all found are returned; candidates of equal score rank by
+their ids, also many vectors of one direction; a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -95,17 +96,36 @@ class Hashes:
         return (own * self.code).sum(axis=1)[:, None] + step @ self.sets.T
 
 
-def unit(col: pa.Array, dim: int) -> np.ndarray:
-    x = np.asarray(col.flatten(), dtype=np.float64).reshape(-1, dim)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def matrix(col: pa.Array, dim: int) -> np.ndarray:
+    return np.asarray(col.flatten(), dtype=np.float64).reshape(-1, dim)
 
 
-def visit(h: Hashes, q: np.ndarray, x: np.ndarray, best: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query: the places of its best candidates in the block and their cosines."""
+#: Cosines that differ by less are ranked by the measure itself, added up as :func:`cosine` does.
+MARGIN = 1e-9
+
+
+def exact_cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The doubles that :func:`cosine` gives of q with each row of x."""
+    dot, own, norm = np.zeros(len(x)), 0.0, np.zeros(len(x))
+    for j in range(len(q)):
+        dot, own, norm = dot + q[j] * x[:, j], own + q[j] * q[j], norm + x[:, j] * x[:, j]
+    return dot / (np.sqrt(own) * np.sqrt(norm))
+
+
+def _enough(low: np.ndarray, best: int) -> int:
+    """How many of these entries hold ``best`` different ids first (an id may have several vectors)."""
+    first = np.sort(np.unique(low, return_index=True)[1])
+    return int(first[best - 1]) + 1 if len(first) >= best else len(low)
+
+
+def visit(h: Hashes, q: np.ndarray, x: np.ndarray, low: np.ndarray, best: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Per query: the places of its best candidates in the block; ties go to the smaller of ``low``, the entries' first ids."""
+    length = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    unit_q, unit_x = length(q), length(x)
     seen = np.zeros((len(q), len(x)), dtype=bool)
     for t in range(len(h.a)):
-        codes, of_row = np.unique(h.buckets(t, x), return_inverse=True)
-        probes = h.probes(t, q)
+        codes, of_row = np.unique(h.buckets(t, unit_x), return_inverse=True)
+        probes = h.probes(t, unit_q)
         at = np.minimum(np.searchsorted(codes, probes), len(codes) - 1)
         hit = codes[at] == probes
         visited = np.zeros((len(q), len(codes)), dtype=bool)
@@ -113,9 +133,15 @@ def visit(h: Hashes, q: np.ndarray, x: np.ndarray, best: int) -> Iterator[tuple[
         seen |= visited[:, of_row]
     for i in range(len(q)):
         candidates = np.flatnonzero(seen[i])
-        cosine = x[candidates] @ q[i]
-        top = np.argsort(-cosine, kind="stable")[:best]
-        yield i, candidates[top], cosine[top]
+        cosine = unit_x[candidates] @ unit_q[i]
+        order = np.argsort(-cosine, kind="stable")
+        cut = _enough(low[candidates[order]], best)
+        if cut and cut < len(order) and cosine[order[cut]] >= cosine[order[cut - 1]] - MARGIN:
+            order = order[cosine[order] >= cosine[order[cut - 1]] - MARGIN]
+            near = candidates[order]
+            order = order[np.lexsort((low[near], -exact_cosines(q[i], x[near])))]
+            cut = _enough(low[candidates[order]], best)
+        yield i, candidates[order[:cut]]
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -162,7 +188,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
     blocks, chunks = max(1, -(-n // BLOCK)), max(1, -(-n_q // CHUNK))
     h = Hashes(size or 1, tables, projections, width, probes, seed)
     place = lambda c, m: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(m))
-    left = index.select(place("entry", blocks).alias("block"), "entry", "v").withColumn(
+    left = index.select(place("entry", blocks).alias("block"), "entry", F.element_at("ids", 1).alias("low"), "v").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
     right = asked.select(place("id", chunks).alias("chunk"), "id", "v").withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
@@ -170,10 +196,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
     def best_of_block(rows_x: pa.Table, rows_q: pa.Table) -> pa.Table:
         out = {"query_id": [], "entry": []}
         if rows_x.num_rows and rows_q.num_rows:
-            x = unit(rows_x.column("v").combine_chunks(), h.a.shape[1])
-            q = unit(rows_q.column("v").combine_chunks(), h.a.shape[1])
-            names, asked_ids = rows_x.column("entry").to_numpy(), rows_q.column("id").to_numpy()
-            for i, at, _ in visit(h, q, x, k + 1):
+            x = matrix(rows_x.column("v").combine_chunks(), h.a.shape[1])
+            q = matrix(rows_q.column("v").combine_chunks(), h.a.shape[1])
+            names, asked_ids, low = rows_x.column("entry").to_numpy(), rows_q.column("id").to_numpy(), rows_x.column("low").to_numpy()
+            for i, at in visit(h, q, x, low, k + 1):
                 out["query_id"].append(np.full(len(at), asked_ids[i]))
                 out["entry"].append(names[at])
         return pa.table({c: np.concatenate(v) if v else np.empty(0, np.int64) for c, v in out.items()})

@@ -80,3 +80,18 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert len(few) == 4
     assert ann.search(df.limit(0), F.col("id") % 50 == 0).count() == 0
     assert ann.search(df.where("vec_id >= 1000"), F.col("id") % 50 == 0).count() == 0
+
+
+def test_many_vectors_of_one_direction_rank_like_brute_force(spark):
+    """Scores of collinear vectors are equal but for rounding: the order is the measure's, then the id's."""
+    rng = random.Random(3)
+    one = [rng.gauss(0, 1) for _ in range(7)]
+    rows = [(i, [(i * 0.37 + 1) * c for c in one]) for i in range(300)] + [(1000 + i, [2.0 ** i * c for c in one]) for i in range(40)]
+    rows += [(50 + i % 3, [rng.gauss(0, 1) for _ in range(7)]) for i in range(9)]  # ids with several vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    key = lambda r: (r["query_id"], r["rank"], r["vec_id"], r["score"])
+    got = sorted(map(key, ann.search(df, F.col("id") % 50 == 0, probes=3 ** 10).where("query_id != 50").collect()))
+    plain = df.where("vec_id < 50 OR vec_id > 52")
+    want = sorted(map(key, ann.brute_force(plain, F.col("id") % 50 == 0).collect()))
+    got_plain = sorted(map(key, ann.search(plain, F.col("id") % 50 == 0, probes=3 ** 10).collect()))
+    assert got_plain == want and {r[0] for r in got} == {r[0] for r in want}
