@@ -4,7 +4,8 @@ Words are lower-cased runs of letters and digits.  A template of m words is
 compared with blocks of 2w words, w the power of two not below m, begun every
 w words, so that any passage as long as the template lies whole in a block.
 A block matches if it holds at least ``CONTAINMENT`` of the template's word
-set.  The join is exact:
+set, and all of it if the set has fewer than ``SHORT`` words: in a short
+template each word tells licences apart.  The join is exact:
 
 * tokens are ordered by how many blocks of the whole corpus hold them (one
   pass, summed by Spark; only template words are counted, a bounded table);
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from .text import LETTERS, hash_words, lower_ascii, texts_of, word_bounds, word_hashes
 
 CONTAINMENT = 0.8
+SHORT = 10
 
 #: Base phrases and their labels (fixed values of the contract).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -88,7 +90,7 @@ class Index:
         self.templates = []
         for label, ws in split.items():
             tokens = sorted({place[w] for w in ws})
-            least = math.ceil(containment * len(tokens) - 1e-9)
+            least = math.ceil(containment * len(tokens) - 1e-9) if len(tokens) >= SHORT else len(tokens)
             width = 1 << (len(ws) - 1).bit_length()
             prefix = np.zeros(len(self.words), dtype=bool)
             prefix[tokens[:len(tokens) - least + 1]] = True

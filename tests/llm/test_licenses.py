@@ -26,7 +26,7 @@ def brute(text):
         width = 1 << (len(t) - 1).bit_length()
         for k in range(0, max(len(w), 1), width):
             share = len({*t} & {*w[k:k + 2 * width]}) / len({*t})
-            if share >= licenses.CONTAINMENT:
+            if share >= (licenses.CONTAINMENT if len({*t}) >= 10 else 1):
                 labels.add(label)
                 best = max(best, share)
     return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
@@ -54,6 +54,13 @@ def test_edge_and_planted_texts(make_docs):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_short_templates_need_all_their_words(make_docs):
+    texts = ["The data is licensed under CC BY SA 4.0.", "released under the apache license", "Licensed under CC BY NC.",
+             "released under the MIT license", "licensed under the apache license version 3"]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(make_docs(list(enumerate(texts)))).collect()}
+    assert got == {0: "cc-by", 1: "apache", 2: "cc-by,cc-by-nc-short", 3: "mit,mit-short", 4: "apache"}
+
+
 def test_query_against_brute_force(spark, sf):
     docs = {d["doc_id"]: d["text"] for d in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = queries.QUERIES["op8_license_scan"](spark, sf).collect()
