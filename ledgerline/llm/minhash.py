@@ -286,7 +286,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         size_ok = 100 * F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y")
         return pairs.join(side(x, "x"), x).join(side(y, "y"), y).where(size_ok & (est >= floor)).select(x, y)
 
-    stars = estimated(in_star.select("doc_id", "pivot").distinct(), "doc_id", "pivot", shape.near_floor, shape.near).distinct()
+    # written on both sides of the join: with a distinct beside it AQE could not split a hot pivot
+    pairs = materialize(in_star.select("doc_id", "pivot").distinct(), "minhash-pairs")
+    stars = materialize(estimated(pairs, "doc_id", "pivot", shape.near_floor, shape.near), "minhash-estimated").distinct()
     stars = materialize(measure_pairs(stars, docs, "doc_id", "pivot", id_col, text, differences=True, shape=shape), "minhash-measured")
     stars = stars.withColumn("link", linked(F.col("n_a"), F.col("n_b"), F.col("common"), percent))
     links = stars.where("link").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
