@@ -3,16 +3,20 @@
 1. Two bags of hashed byte 4-grams: the raw text (all documents) and the
    target text (documents labelled good and not toxic).  Each task counts
    into ``BUCKETS`` numbers, Spark sums them: one pass over all texts.
-2. A document's log weight is the sum over its n-grams of
-   log((target + k) / (expected + k)), expected being the target's share if
-   it were spread as the raw text is.  ``k`` shrinks rare buckets to 0.
+2. The log weight of an n-gram is log((target + k) / (expected + k)), expected
+   being the target's share if it were spread as the raw text is.  ``k``
+   shrinks rare buckets to 0.  A document counts as its weakest passage: the
+   least sum over ``PASSAGE`` n-grams in a row.  So a long text isn't excused
+   by its length, a few abusive words aren't outweighed by the prose around
+   them, and weights and noise are of one scale.
 3. Sampling without replacement in proportion to the weights: every document
-   gets log weight + Gumbel noise (drawn from its id and the seed), and the k
-   largest keys are kept.  k is the number of keys at or above the one that
-   all but ``MISS`` of held-out good documents reach, so that the sample
-   holds the clean part of the corpus; :func:`key_of_rank` gives the key for
-   any other k.  Comparing keys with one number, a document is kept or goes
-   where it stands: texts are never shuffled, keys never sorted in one task.
+   gets log weight + Gumbel noise (drawn from its id and the seed), and the
+   documents of the k largest keys are the sample.  k is the number of documents
+   with a weight that all but ``MISS`` of held-out good ones reach, so that the sample
+   is as large as the clean part of the corpus; :func:`key_of_rank` finds its
+   last key by counting, in a written table of ids and weights.  Comparing
+   with that key, a document is kept or goes where it stands: texts are never
+   shuffled, keys never sorted in one task.
 
 The labels used are a sample of at most ``LABELS`` rows, smallest hash
 first: half for the target model, half held out for the threshold.  All
@@ -35,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .text import mix64, texts_of, whole_row
 
 BUCKETS = 1 << 16
 SHRINK = 5.0
 LABELS = 50_000
-MISS = 0.001
+MISS = 0.002
+PASSAGE = 24
 _PIECE = 1 << 20
 
 
@@ -66,8 +72,20 @@ class Model:
     seed: int
 
 
+def weakest_passage(raw: np.ndarray, log_ratio: np.ndarray, passage: int = PASSAGE) -> float:
+    """The least sum of ``passage`` log ratios in a row (of all, if there are fewer; 0 without any)."""
+    least, rest = None, np.empty(0)
+    for g in gram_buckets(raw, len(log_ratio)):
+        rest = np.concatenate([rest, log_ratio[g]])
+        if len(rest) >= passage:
+            upto = np.concatenate([[0.0], np.cumsum(rest)])
+            low = float((upto[passage:] - upto[:-passage]).min())
+            least, rest = low if least is None else min(least, low), rest[len(rest) - passage + 1:]
+    return float(rest.sum()) if least is None else least
+
+
 def _log_weights(texts: pa.Array, log_ratio: np.ndarray) -> list[float]:
-    return [float(sum(log_ratio[g].sum() for g in gram_buckets(raw, len(log_ratio)))) for raw in texts_of(texts)]
+    return [weakest_passage(raw, log_ratio) for raw in texts_of(texts)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", buckets: int = BUCKETS,
@@ -110,15 +128,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     expected = target.sum() * raw / max(raw.sum(), 1.0)
     log_ratio = np.log((target + shrink) / (expected + shrink))
 
-    def score_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(among(b.column(0), ids.value[1])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_log_weights(b.column(1), log_ratio), pa.float64())],
-                                             names=["id", "w"])
-
-    keys = (pairs.mapInArrow(score_held, "id long, w double").select((F.col("w") + gumbel(F.col("id"), seed)).alias("key"))
-            .orderBy("key").limit(int(miss * len(held)) + 1).collect())
-    return Model(log_ratio, keys[-1]["key"] if keys else float("-inf"), seed)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_log_weights(b.column(1), log_ratio), pa.float64()),
+                                              pa.array(among(b.column(0), ids.value[1]))], names=["id", "w", "held"])
+
+    weights = materialize(pairs.mapInArrow(score, "id long, w double, held boolean"), "importance-weights")
+    # at most ``sample`` labels are held out
+    bar = weights.where("held").orderBy("w").limit(int(miss * len(held)) + 1).agg(F.max("w")).first()[0]
+    if bar is None:
+        return Model(log_ratio, float("-inf"), seed)
+    k = weights.where(F.col("w") >= bar).count()
+    return Model(log_ratio, key_of_rank(weights.select((F.col("w") + gumbel(F.col("id"), seed)).alias("key")), k), seed)
 
 
 def weigh(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -41,11 +41,39 @@ def test_model_against_plain_counts(make_docs, spark):
     assert np.allclose(model.log_ratio, want)
     got = {r["id"]: r for r in importance.weigh(docs, model).select(F.col("row.doc_id").alias("id"), "log_weight", "key", "kept").collect()}
     for i, t in rows.items():
-        assert got[i]["log_weight"] == pytest.approx(want[grams(t)].sum())
+        r = want[grams(t)]
+        assert got[i]["log_weight"] == pytest.approx(min(r[j:j + importance.PASSAGE].sum() for j in range(max(1, len(r) - importance.PASSAGE + 1))))
     assert all(got[i]["kept"] for i in good[1::2] if i in got)
     assert np.mean([r["log_weight"] for i, r in got.items() if i % 2]) > np.mean([r["log_weight"] for i, r in got.items() if not i % 2])
 
 
+def test_weakest_passage_of_long_texts():
+    ratio = np.random.default_rng(1).standard_normal(1 << 10)
+    raw = np.random.default_rng(2).integers(0, 256, (2 << 20) + 77, dtype=np.uint8)
+    all_ratios = ratio[np.concatenate(list(importance.gram_buckets(raw, 1 << 10)))]
+    upto = np.concatenate([[0.0], np.cumsum(all_ratios)])
+    assert importance.weakest_passage(raw, ratio) == pytest.approx((upto[24:] - upto[:-24]).min(), abs=1e-6)
+    assert importance.weakest_passage(raw[:10], ratio) == pytest.approx(all_ratios[:7].sum())
+    assert importance.weakest_passage(raw[:3], ratio) == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_kept_shares_by_label(spark, seed):
+    """Over three splits and draws: clean documents stay, bad ones go, and most of the toxic ones that read well in English."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = importance.fit(docs, labels, seed=seed)
+    kept = importance.weigh(docs, model).select(F.col("row.doc_id").alias("doc_id"), F.col("row.lang").alias("lang"), "kept", "key")
+    share = {(r["quality"], r["toxic"], r["en"]): r["s"] for r in kept.join(labels, "doc_id").groupBy(
+        "quality", "toxic", (F.col("lang") == "en").alias("en")).agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
+    assert share[1, 0, True] >= 0.99 and share[1, 0, False] >= 0.97
+    assert max(share[0, 0, True], share[0, 0, False]) <= 0.15
+    assert share[1, 1, True] <= 0.25
+    # the kept ones are the k largest keys
+    keys = sorted((r["key"], r["kept"]) for r in kept.select("key", "kept").collect())
+    assert [k for _, k in keys] == sorted(k for _, k in keys)
+
+
 def test_gumbel_noise(spark):
     g = np.array([r[0] for r in spark.range(20_000).select(importance.gumbel(F.col("id"), 3)).collect()])
     assert abs(g.mean() - 0.5772) < 0.03 and abs(g.var() - np.pi ** 2 / 6) < 0.08
