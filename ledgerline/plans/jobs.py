@@ -31,6 +31,7 @@ from ..operators.audit import audit_diff
 from ..operators.constraints import constraint_report
 from ..operators.ids import assign_ids, next_id_col
 from ..operators.reserve import reserve_inventory
+from ..operators.sketches import RELATIVE_ERROR, merged_customers, read_sketches, store_sketches
 from ..session import materialize, scratch_dir
 from ..sources.fixtures import AS_OF, SESSION_AS_OF
 from ..sources.partitions import PART, append_batch, manifest, month_of, read_partitions, touched, write_partitioned
@@ -339,3 +340,19 @@ def stored_payments_job(t, as_of=AS_OF, days: int = 7) -> DataFrame:
     schema = ("transaction_id bigint, order_id bigint, transaction_type string, amount decimal(12,2), payment_gateway string, "
               "status string, currency string, processed_at timestamp_ntz")
     return read_partitions(spark, path, schema)
+
+
+def sketched_customers_job(t) -> DataFrame:
+    """Distinct customers per month from stored daily sketches, held against the exact count.
+
+    ``within_bound`` tells whether the estimate is within three standard errors.
+    """
+    spark = t["orders"].sparkSession
+    path = f"{scratch_dir(spark, 'sketches')}/daily_customers"
+    store_sketches(spark, path, t["orders"])
+    by_month = merged_customers(read_sketches(spark, path), F.date_format("order_day", "yyyy-MM").alias("order_month"))
+    exact = (t["orders"].select(F.date_format("order_date", "yyyy-MM").alias("order_month"), "customer_id").distinct()
+             .groupBy("order_month").agg(F.count("customer_id").alias("exact_customers")))
+    off = F.abs(F.col("customers") - F.col("exact_customers"))
+    return by_month.join(exact, "order_month").select(
+        "order_month", "orders", "exact_customers", (off <= F.ceil(F.col("exact_customers") * 3 * RELATIVE_ERROR)).alias("within_bound"))

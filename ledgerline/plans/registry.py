@@ -38,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_sales_summary": _on_tables(W.merge_sales_summary_twice),
     "stored_sales_summary": _on_tables(W.stored_sales_summary),
     "merge_changes": _on_tables(W.merge_changes),
+    "sketched_customers": _on_tables(J.sketched_customers_job),
     "streamed_sales_summary": _on_tables(J.streamed_sales_summary),
     "customer_activity": _on_tables(A.customer_activity),
     "sessions_by_user": _on_tables(A.sessions_by_user),

@@ -216,9 +216,12 @@ def read_sales_summary(spark: SparkSession, target: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- T2
-def daily_totals_stream(orders: DataFrame, lateness: str = "8 days", dedup: bool = False) -> DataFrame:
+def daily_totals_stream(orders: DataFrame, lateness: str = "8 days", dedup: bool = False, distinct: bool = False) -> DataFrame:
     """Per-day orders and revenue over an order stream.
 
+    ``distinct=True`` adds ``distinct_orders``, an approximate count (a sketch
+    in the state) that works in update mode and counts a redelivered order once.
+
     ``dedup=True`` drops repeated order ids within the watermark first; the
     chained stateful operators then require append output mode.
     """
@@ -228,9 +231,10 @@ def daily_totals_stream(orders: DataFrame, lateness: str = "8 days", dedup: bool
     if dedup:
         o = o.dropDuplicatesWithinWatermark(["order_id"])
     return (o.groupBy(F.window("_event", "1 day").alias("w"))
-            .agg(F.count(F.lit(1)).alias("total_orders"), F.sum("total_amount").alias("revenue"))
+            .agg(F.count(F.lit(1)).alias("total_orders"), F.sum("total_amount").alias("revenue"),
+                 *([F.approx_count_distinct("order_id", 0.01).alias("distinct_orders")] if distinct else []))
             .select(F.to_date(F.col("w.start")).alias("order_day"), "total_orders",
-                    F.col("revenue").cast("decimal(38,2)").alias("revenue")))
+                    F.col("revenue").cast("decimal(38,2)").alias("revenue"), *(["distinct_orders"] if distinct else [])))
 
 
 # --------------------------------------------------------------------------- T3
