@@ -13,7 +13,8 @@ All sources and sinks are files (parquet folders); no server is involved.
 * T3 ``start_reservation_stream``: each micro-batch's requests run through
   the batch operator (B7) against the stored stock, so a hot product is
   spread over tasks and restocks between batches count.  Stock and the
-  number of the batch are published together.
+  number of the batch are published together.  With a lag, requests that come
+  out of order wait in a buffer and are decided in order.
 """
 
 from __future__ import annotations
@@ -238,33 +239,80 @@ def daily_totals_stream(orders: DataFrame, lateness: str = "8 days", dedup: bool
 
 
 # --------------------------------------------------------------------------- T3
-def apply_request_batch(requests: DataFrame, batch_id: int, root: str) -> None:
+REQUEST_COLUMNS = ("seq", "product_id", "quantity")
+
+
+def _decide(spark: SparkSession, root: str, ready: DataFrame, batch_id: int, others: dict[str, DataFrame], **notes: str) -> None:
+    """Run ready requests through B7 against the stored stock and publish stock, ``others`` and notes together."""
+    stock = read_table(spark, f"{root}/inventory", "inventory")
+    after, decisions = reserve_inventory(stock, ready)
+    decisions.write.mode("overwrite").parquet(f"{root}/decisions/batch_id={batch_id}")
+    replace_tables({"inventory": after, **others}, root, applied_batch=str(batch_id), **notes)
+
+
+def apply_request_batch(requests: DataFrame, batch_id: int, root: str, lag: int | None = None) -> None:
     """One micro-batch of T3: B7 against the stored stock; decisions go to the batch's own folder.
 
     A batch that was published already is skipped; one that failed before
     that finds the stock as it was and writes the same decisions again.
+
+    Without ``lag`` the batches' requests must be in seq order.  With it, they
+    may overlap: requests wait in the stored table ``held`` until a seq
+    larger by ``lag`` has been seen, and are decided in seq order.  The buffer
+    holds ``lag`` numbers at most and is published with the stock.  A request
+    that comes again is dropped; one that comes after its number was passed is
+    set aside (:func:`read_late_requests`), never decided out of order.
     """
     spark = requests.sparkSession
     done = note(spark, root, "applied_batch")
     if done is not None and int(done) >= batch_id:
         return
-    stock = read_table(spark, f"{root}/inventory", "inventory")
-    after, decisions = reserve_inventory(stock, materialize(requests.select("seq", "product_id", "quantity"), "t3-batch"))
-    decisions.write.mode("overwrite").parquet(f"{root}/decisions/batch_id={batch_id}")
-    replace_tables({"inventory": after}, root, applied_batch=str(batch_id))
+    rows = requests.select(*REQUEST_COLUMNS)
+    if lag is None:
+        _decide(spark, root, materialize(rows, "t3-batch"), batch_id, {})
+        return
+    passed = int(note(spark, root, "passed_seq") or -(1 << 62))
+    path = f"{root}/held"
+    held = spark.read.schema(REQUEST_STREAM_SCHEMA).parquet(current_path(spark, path)) if table_exists(spark, path) else \
+        spark.createDataFrame([], REQUEST_STREAM_SCHEMA)
+    # of a seq given twice, the smallest row: the same in a batch that is run again
+    rows = rows.where("seq IS NOT NULL").unionByName(held).groupBy("seq").agg(
+        F.min(F.struct("product_id", "quantity")).alias("r")).select("seq", "r.product_id", "r.quantity")
+    rows = materialize(rows, "t3-waiting")
+    late = rows.where(F.col("seq") <= passed)
+    newest = rows.agg(F.max("seq")).first()[0]
+    upto = passed if newest is None else max(passed, newest - lag)
+    if not late.isEmpty():
+        late = late.join(read_decisions(spark, root).select("seq").distinct(), "seq", "left_anti")
+    late.write.mode("overwrite").parquet(f"{root}/late/batch_id={batch_id}")
+    ready = rows.where((F.col("seq") > passed) & (F.col("seq") <= upto))
+    _decide(spark, root, ready, batch_id, {"held": rows.where(F.col("seq") > upto)}, passed_seq=str(upto))
+
+
+def flush_requests(spark: SparkSession, root: str) -> None:
+    """Decide the requests that still wait, as at the end of a stream; later ones with a smaller seq are late."""
+    done = int(note(spark, root, "applied_batch") or -1)
+    apply_request_batch(spark.createDataFrame([], REQUEST_STREAM_SCHEMA), done + 1, root, lag=0)
 
 
-def start_reservation_stream(requests: DataFrame, root: str, checkpoint: str, trigger_once: bool = True):
+def start_reservation_stream(requests: DataFrame, root: str, checkpoint: str, trigger_once: bool = True, lag: int | None = None):
     """Decide a stream of requests(seq, product_id, quantity) against the stored ``<root>/inventory``.
 
-    Requests must arrive in seq order across batches.  Returns the StreamingQuery.
+    Without ``lag`` requests must arrive in seq order across batches.  Returns the StreamingQuery.
     """
-    w = (requests.writeStream.foreachBatch(lambda batch, batch_id: apply_request_batch(batch, batch_id, root))
+    w = (requests.writeStream.foreachBatch(lambda batch, batch_id: apply_request_batch(batch, batch_id, root, lag))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if trigger_once else w
     return w.start()
 
 
+def read_late_requests(spark: SparkSession, root: str) -> DataFrame:
+    """Requests that came after their number was passed and are not decided, of all published batches."""
+    done = int(note(spark, root, "applied_batch") or -1)
+    rows = spark.read.schema(REQUEST_STREAM_SCHEMA + ", batch_id bigint").parquet(f"{root}/late")
+    return rows.where(F.col("batch_id") <= done).drop("batch_id")
+
+
 def read_decisions(spark: SparkSession, root: str) -> DataFrame:
     """The decisions of all published batches."""
     done = int(note(spark, root, "applied_batch") or -1)

@@ -205,3 +205,62 @@ def test_t1_a_published_batch_is_not_added_twice(spark):
     for batch_id in (0, 0, 1):
         apply_day_deltas(changes, batch_id, root)
     assert [(r["total_orders"], str(r["total_revenue"])) for r in read_sales_summary(spark, root).collect()] == [(2, "5.00")]
+
+
+def _stock(spark, root, rows):
+    from ledgerline.schema import SCHEMAS
+    from ledgerline.sources.sinks import replace_table
+    inv = spark.createDataFrame([(i, p, q, 0) for i, p, q in rows],
+                                "inventory_id long, product_id long, quantity_available long, quantity_reserved long")
+    replace_table(inv.select(*[(F.col(f.name) if f.name in inv.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                               for f in SCHEMAS["inventory"].fields]), f"{root}/inventory")
+    return inv
+
+
+def test_t3_shuffled_batches_decide_in_order(spark):
+    """Requests shuffled within the lag, over batches that overlap and repeat, give the decisions of B7 in order."""
+    import random
+
+    from brute import fold_reservations
+
+    from ledgerline.sources.sinks import read_table
+    from ledgerline.streaming import flush_requests, read_late_requests
+    rng, root = random.Random(4), tempfile.mkdtemp(prefix="ll-t3l-")
+    inv = _stock(spark, f"{root}/store", [(1, 1, 40), (2, 1, 9), (3, 2, 25), (4, 3, 0)])
+    rows = [(s, rng.choice([1, 1, 2, 3, 4]), rng.randrange(1, 9)) for s in range(1, 121)]
+    arrival = sorted(rows, key=lambda r: r[0] + rng.randrange(0, 25))
+    for k in range(4):  # each batch brings a few rows of the one before again
+        part = arrival[max(0, 30 * k - 5):30 * k + 30]
+        spark.createDataFrame(part, REQUEST_STREAM_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(REQUEST_STREAM_SCHEMA).parquet(f"{root}/in")
+        start_reservation_stream(stream, f"{root}/store", f"{root}/ckpt", lag=30).awaitTermination()
+    undecided = 120 - read_decisions(spark, f"{root}/store").select("seq").distinct().count()
+    assert undecided >= 30 - 1
+    flush_requests(spark, f"{root}/store")
+    exp = fold_reservations(inv, spark.createDataFrame(rows, REQUEST_STREAM_SCHEMA))
+    got = {r["inventory_id"]: (r["quantity_available"], r["quantity_reserved"])
+           for r in read_table(spark, f"{root}/store/inventory", "inventory").collect()}
+    assert got == {k: v[:2] for k, v in exp.items()}
+    took = {}
+    for r in read_decisions(spark, f"{root}/store").where("accepted").collect():
+        took.setdefault(r["inventory_id"], set()).add(r["seq"])
+    assert took == {k: v[2] for k, v in exp.items() if v[2]}
+    assert read_late_requests(spark, f"{root}/store").count() == 0
+
+
+def test_t3_late_and_repeated_requests(spark):
+    from ledgerline.sources.sinks import read_table
+    from ledgerline.streaming import flush_requests, read_late_requests
+    root = tempfile.mkdtemp(prefix="ll-t3m-")
+    _stock(spark, root, [(1, 1, 10)])
+    send = lambda rows, k, lag=5: apply_request_batch(spark.createDataFrame(rows, REQUEST_STREAM_SCHEMA), k, root, lag)
+    send([(1, 1, 2), (20, 1, 3), (None, 1, 1)], 0)
+    send([(1, 1, 2), (20, 1, 3), (18, 1, 9)], 0)       # the batch was published: skipped
+    send([(3, 1, 1), (1, 1, 2), (18, 1, 1), (20, 1, 3)], 1)  # 3 comes after 15 was passed; 1 is known; 18 is in time
+    send([], 2)
+    left = lambda: read_table(spark, f"{root}/inventory", "inventory").first()["quantity_available"]
+    assert left() == 8 and [tuple(r) for r in read_late_requests(spark, root).collect()] == [(3, 1, 1)]
+    flush_requests(spark, root)
+    assert left() == 4 and sorted(r["seq"] for r in read_decisions(spark, root).collect()) == [1, 18, 20]
+    flush_requests(spark, root)
+    assert left() == 4
