@@ -134,6 +134,13 @@ def visit(h: Hashes, q: np.ndarray, x: np.ndarray, low: np.ndarray, best: int) -
     for i in range(len(q)):
         candidates = np.flatnonzero(seen[i])
         cosine = unit_x[candidates] @ unit_q[i]
+        if len(candidates) > best:
+            # the usual case: the best ones hold different ids, and the next one is farther by more than the margin
+            top = np.argpartition(-cosine, best)[:best + 1]
+            top = top[np.argsort(-cosine[top])]
+            if cosine[top[-1]] < cosine[top[-2]] - MARGIN and len(set(low[candidates[top[:-1]]].tolist())) == best:
+                yield i, candidates[top[:-1]]
+                continue
         order = np.argsort(-cosine, kind="stable")
         cut = _enough(low[candidates[order]], best)
         if cut and cut < len(order) and cosine[order[cut]] >= cosine[order[cut - 1]] - MARGIN:
