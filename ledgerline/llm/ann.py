@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 TABLES, PROJECTIONS, WIDTH, PROBES = 8, 10, 2.0, 1200
-BLOCK, CHUNK = 1024, 2048
+BLOCK, CHUNK = 4096, 2048
 SALTS = 16
 
 
