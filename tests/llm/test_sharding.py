@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ledgerline.llm import queries, sharding
 
@@ -58,3 +59,38 @@ def test_edge_cases(make_docs):
     assert sharding.shuffle_into_shards(docs.limit(0), 4).count() == 0
     few = sharding.shuffle_into_shards(docs.limit(2), 4).collect()
     assert [(r["shard"], r["slot"]) for r in few] == [(0, 0), (1, 0)]
+
+
+def test_many_input_files(spark, make_docs):
+    """Rows dealt from each file are those of the matrix, whose rows the tasks draw from the counts on their paths."""
+    docs = make_docs([(i, f"t{i % 13}") for i in range(900)])
+    for n_files, n_shards in ((1, 3), (2, 5), (37, 7)):
+        split = docs.repartitionByRange(n_files, "doc_id")
+        got = sharding.shuffle_into_shards(split, n_shards, seed=3).select("row.doc_id", "shard", "slot").collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(900))
+        slots = defaultdict(list)
+        for r in got:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+        assert sorted(map(len, slots.values())) == sorted(sharding.shard_sizes(900, n_shards).tolist())
+    counts = [5, 0, 700, 37, 3, 3, 152]
+    files = spark.createDataFrame([(f"f{k}", n, k) for k, n in enumerate(counts)], "file string, n long, number long")
+    m = sharding.communication_matrix(counts, 6, 8)
+    sizes = sharding.shard_sizes(900, 6)
+    paths = sharding.file_paths(files, sharding.halvings(len(counts))).collect()
+    assert len(paths) == len(counts)
+    for r in paths:
+        row, before = sharding.matrix_row(r["number"], r["lefts"], r["rights"], sizes, 8)
+        assert row.tolist() == m[r["number"]].tolist() and before.tolist() == m[:r["number"]].sum(axis=0).tolist()
+
+
+def test_rows_are_dealt_by_the_matrix(spark, make_docs):
+    docs = make_docs([(i, "x") for i in range(500)]).repartitionByRange(4, "doc_id")
+    spread = {r["doc_id"]: r["shard"] for r in sharding.shuffle_into_shards(docs, 5, seed=11).select("row.doc_id", "shard").collect()}
+    # range cuts follow doc_id, so each file is a run of ids; its dealt counts are a row of the matrix
+    runs = [r["n"] for r in docs.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()]
+    m = sharding.communication_matrix(runs, 5, 11)
+    start = 0
+    for row, n in zip(m, runs):
+        assert np.bincount([spread[i] for i in range(start, start + n)], minlength=5).tolist() == row.tolist()
+        start += n
