@@ -7,10 +7,13 @@ LC and link tags LT, and the link-adjusted characters per tag
 
 with LCb and Cb those of the body and zero denominators taken as one.  An
 element's density sum adds its children's densities; the element of largest
-sum holds the text.  The least density on its path below the body is the
+sum holds the text.  The least density on its path from the body is the
 threshold at which further subtrees beside the path, the body's own children
-included, belong to it as well.  An
-article or main element around the chosen one is taken whole; if the chosen
+included, belong to it as well.  Short blocks of an article (a lead, a list, a
+table) lie below any average of it, so a subtree below the threshold belongs
+too if most of its characters are unlinked and stand in paragraphs, headings, items or
+cells.  An article or main element around the chosen one is taken whole, and
+then neither the body nor short blocks beside it count; if the chosen
 subtree has no first-rank heading, those beside it are taken too.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments,
@@ -53,6 +56,7 @@ BLOCK = frozenset(
 ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
         "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
         "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), "option": (("option",), ("select",))}
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote caption figcaption".split())
 CLOSES_P = BLOCK - frozenset("body br html li dd dt td th tr tbody thead tfoot caption option legend summary".split())
 
 #: Never part of an article.
@@ -276,6 +280,18 @@ def measure(root: _Node) -> list[_Node]:
     return nodes
 
 
+def _is_prose(node: _Node) -> bool:
+    """Whether most characters of a subtree are unlinked and stand in elements of running text."""
+    prose, todo = 0, [(node, False)]
+    while todo:
+        n, inside = todo.pop()
+        if n.tag != "a":
+            inside = inside or n.tag in PROSE
+            prose += sum(len("".join(c.split())) for c in n.children if isinstance(c, str)) if inside else 0
+            todo += [(c, inside) for c in n.children if isinstance(c, _Node) and not c.cut]
+    return 2 * prose > node.chars
+
+
 def content(root: _Node) -> list[_Node]:
     """The subtrees that hold the main text, in page order."""
     nodes = measure(root)
@@ -298,12 +314,14 @@ def content(root: _Node) -> list[_Node]:
     chosen = {id(best)}
     if not any(x.tag == "h1" for x in _walk(best)):  # the article's title may stand beside its text
         chosen |= {id(x) for x in nodes if x.tag == "h1"}
-    threshold = min((x.density for x in path), default=0.0)
+    whole = best.tag in ("article", "main")
     inside = {id(x) for x in path}
     # beside the path, the children of the body (or of what stands for it) included
-    for p in path[1:] + ([n] if path else []):
+    parents = path[1:] + ([n] if path else [])
+    threshold = min((x.density for x in (path if whole else [best, *parents])), default=0.0)
+    for p in parents:
         chosen |= {id(c) for c in p.children if isinstance(c, _Node) and not c.cut and id(c) not in inside
-                   and c.chars and c.density >= threshold}
+                   and c.chars and (c.density >= threshold or not whole and _is_prose(c))}
     out, below = [], set()  # parents come first: what lies in a chosen subtree is not taken again
     for x in nodes:
         if x.parent is not None and (id(x.parent) in below or id(x.parent) in chosen):

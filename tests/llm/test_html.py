@@ -119,3 +119,58 @@ def test_wrappers_named_after_parts_they_contain():
         for main in (f"<article>{text}</article>", f"<div>{text}</div>"):
             assert html.extract(f"<body>{main}{part}</body>") == want, (part[:60], main[:20])
     assert html.extract("<div class='top-menu'>" * 5_000 + "text" + "</div>" * 5_000) == "text"
+
+
+def test_pages_without_article_elements(spark, sf):
+    """Generated pages keep their whole text when the article is a div, two blocks, or bare in the body."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").where("html IS NOT NULL").orderBy("page_id").collect()]
+    split = 0
+    for page in pages:
+        want = html.extract(page)
+        m = re.search(r"<article[^>]*>(.*?)</article>", page, re.S)
+        if not m:
+            continue
+        inner, end = m[1], m[1].find("</p>") + 4
+        forms = [f"<div>{inner}</div>", inner]
+        if end > 3 and "</p>" in inner[end:]:
+            two = f"<div>{inner[:end]}</div><div>{inner[end:]}</div>"
+            forms += [two, f"<div>{two}</div>", f"<section><div>{inner[:end]}</div><section>{inner[end:]}</section></section>"]
+            split += 1
+        for form in forms:
+            assert html.extract(page[:m.start()] + form + page[m.end():]) == want, form[:200]
+    assert split > 0
+
+
+def test_short_blocks_of_an_article():
+    items = "".join(f"<li>item number {k} of the list</li>" for k in range(20))
+    inner = f"<h1>Title</h1><p>A short lead.</p><ul>{items}</ul><table><tr><td>a</td><td>b</td></tr></table><pre>x = 1</pre>"
+    want = "Title A short lead. " + " ".join(f"item number {k} of the list" for k in range(20)) + " a b x = 1"
+    links = "<ul>" + "".join(f"<li><a href=x>Story {k}</a></li>" for k in range(9)) + "</ul>"
+    mixed = "<div>More: <a href=x>one more story</a>, <a href=x>and another story</a></div>"
+    for form in (inner, f"<div>{inner}</div>", f"<div><div>{inner}</div></div>"):
+        for beside in ("", links, mixed):
+            assert html.extract(f"<body>{links}{form}{beside}</body>") == want, (form[:40], beside[:40])
+
+
+def test_subtrees_against_brute_force():
+    """Density sums, the path's threshold and the blocks beside it, by their definitions on a small tree without prose elements."""
+    def block(*sizes):
+        return "<div>" + "".join(f"<span>{'x' * n}</span>" for n in sizes) + "</div>"
+
+    for sizes in ([(90, 80), (40, 40, 30), (5, 4)], [(10,), (200, 1), (9, 9, 9)], [(50,), (50,), (50,)], [(7, 7), (300,), (2, 2, 2, 2)]):
+        root = html.parse("<body><div>" + "".join(block(*s) for s in sizes) + "</div></body>")
+        # without links the density is characters per tag, one at least
+        density = [sum(s) / len(s) for s in sizes]
+        wrapper = sum(map(sum, sizes)) / sum(len(s) + 1 for s in sizes)
+        body = sum(map(sum, sizes)) / (sum(len(s) + 1 for s in sizes) + 1)
+        sums = {("block", k): float(sum(s)) for k, s in enumerate(sizes)} | {("wrapper", 0): sum(density), ("body", 0): wrapper}
+        # of equal sums the inner one, of blocks the last
+        best = max(sums, key=lambda k: (sums[k], k[0] == "block", k[1]))
+        if best[0] == "wrapper":
+            want = list(range(len(sizes)))
+        else:
+            assert best[0] == "block"
+            low = min(density[best[1]], wrapper, body)
+            want = [k for k in range(len(sizes)) if k == best[1] or density[k] >= low]
+        got = " ".join(t for t in map(html.text_of, html.content(root)) if t)
+        assert got == " ".join("x" * sum(sizes[k]) for k in want), sizes
