@@ -68,6 +68,18 @@ def test_repeated_rows_draw_alike(make_docs):
     assert len(got) == 8 and len({tuple(r) for r in got}) == 3
 
 
+def test_very_long_texts(make_docs):
+    """Sizes count whole texts; a long text is emitted by its source's rate like any other."""
+    docs = make_docs([(1, "word " * 400_000, "a"), (2, "x" * 3_000_000, "a"), (3, "\t\n y" * 200_000, "b"), (4, "z", "c")])
+    mixed = mixing.mix(docs).select("row.doc_id", "size", "source_size", "target", "copies").collect()
+    assert {r["doc_id"]: r["size"] for r in mixed} == {1: 400_000, 2: 1, 3: 200_000, 4: 1}
+    assert {r["doc_id"]: r["source_size"] for r in mixed} == {1: 400_001, 2: 400_001, 3: 200_000, 4: 1}
+    assert all(0 <= r["copies"] <= 3 for r in mixed)
+    emitted = mixing.emit(mixing.mix(docs)).select("doc_id", "text").collect()
+    assert sum(len(r["text"]) for r in emitted) == sum(
+        r["copies"] * {1: 2_000_000, 2: 3_000_000, 3: 800_000, 4: 1}[r["doc_id"]] for r in mixed)
+
+
 def test_native(spark, sf):
     plan = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan

@@ -158,3 +158,26 @@ def test_near_duplicate_stage_on_the_documents(spark, sf):
     want = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
     got = P.drop_near_duplicates(spark, docs, sf)
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(want.values()))
+
+
+def test_stages_on_very_long_texts(spark, make_docs, sf):
+    """Whole texts count: a difference in the last words of a long text is seen, and its pieces hold all of it."""
+    rng = random.Random(5)
+
+    def prose(n):
+        return [("the", "of", "and")[k % 3] if k % 4 == 0 else f"{rng.choice('bcdfgl')}{rng.randrange(40_000)}" for k in range(n)]
+
+    a = prose(100_000)
+    half = a[:60_000] + prose(40_000)  # the same beginning, 60 % at most in common
+    texts = {1: a, 2: a[:-3] + ["other", "last", "words"], 3: half, 4: prose(80)}
+    docs = make_docs([(i, " ".join(w)) for i, w in texts.items()])
+    assert sorted(r["doc_id"] for r in P.apply_rules(spark, docs, sf).collect()) == [1, 2, 3, 4]
+    once = P.drop_near_duplicates(spark, docs, sf)
+    assert sorted(r["doc_id"] for r in once.collect()) == [1, 3, 4]
+    assert {r["doc_id"]: r["text"] for r in once.collect()} == {i: " ".join(texts[i]) for i in (1, 3, 4)}
+    pieces = P.pack_sequences(spark, docs, sf).collect()
+    for i in texts:
+        own = sorted((r["piece"], r["start"], r["length"]) for r in pieces if r["doc_id"] == i)
+        assert [p for p, _, _ in own] == list(range(len(own)))
+        assert all(s + n == t for (_, s, n), (_, t, _) in zip(own, own[1:])) and all(n == 2048 for _, _, n in own[:-1])
+        assert sum(n for _, _, n in own) >= len(texts[i]) + 1
