@@ -10,6 +10,16 @@ last return the columns of documents and only drop or repeat rows:
 4. source mix: documents are emitted as often as their source's rate says;
 5. packing: pieces of token sequences with their place.
 
+Cases: a null or empty text weighs 0 for the classifier and has no words, so it
+fails the rules' base; given to a later stage alone it is near no other, has size 0 for
+the mix and packs as its end token.  A very long text is read whole by every stage
+and cut into pieces by the last only.  A null id draws as one and is never a
+copy by its id; of rows that repeat an id one stays after the third stage, of
+copies under several ids the smallest, and the mix draws rows of equal id alike.
+A null source is one of its own.  Without good labels the classifier keeps all.
+Empty documents give an empty result with the same columns.  Further columns, whatever
+their names, travel through the first four stages; the last returns its own.
+
 No SQL twin: the classifier's model, the components and the packing plan are
 not expressible in SQL.  tests/llm/test_pipeline.py checks every stage.
 """
