@@ -3,8 +3,8 @@
 All sources and sinks are files (parquet folders); no server is involved.
 
 * T1 ``start_sales_summary_stream``: the newest version of every recent order
-  is streaming state keyed by order id, which a timer drops eight days (of
-  order time) later.  A change yields signed deltas for the days it touches;
+  is streaming state, held by groups of order ids, which a timer per order
+  drops eight days (of order time) later.  A change yields signed deltas for the days it touches;
   each micro-batch adds them up and merges those days into SALES_SUMMARY (U1).
   What is written a batch is days, never orders.
   ``apply_order_batch`` is the same for a single batch given as a table.
@@ -98,56 +98,94 @@ def apply_order_batch(batch: DataFrame, target: str, clock: Column | None = None
     replace_tables({"order_state": newest.where(F.to_date("order_date") >= oldest), "sales_summary": merged}, target)
 
 
-# The state of an order (its newest version) and what a change of it yields: a
-# delta of a day, or (``set_aside``) a row that is not counted.
-VERSION = "place int, event long, status string, cents long"
+# What a change of an order yields: a delta of a day, or (``set_aside``) a row
+# that is not counted.
 CHANGES = ("summary_date date, orders long, priced long, cents long, set_aside boolean, order_id long, "
            "order_date timestamp_ntz, status string, total_amount decimal(12,2)")
 DAY_TOTALS = "summary_date date, orders long, priced long, cents long"
 _CHANGE_COLUMNS = [c.split()[0] for c in CHANGES.split(", ")]
 _DAY_US = 86_400_000_000
 
+#: Order ids are hashed into this many groups, and the state function is called once a group, not once an order.  Like the
+#: number of shuffle partitions it stays as it is for the life of a checkpoint.
+ORDER_GROUPS = 1024
+# The state of a group: an array of its orders' newest versions, each with the time (ms) of its timer.  The status is its
+# place; those without a place count nowhere.
+GROUP_STATE = "orders binary"
+_VERSION = [("order_id", "i8"), ("place", "i4"), ("event", "i8"), ("priced", "?"), ("cents", "i8"), ("expires", "i8")]
+_COUNTED = [STATUS_ORDER.index(s) + 1 for s in ROLLUP_STATUSES]
 
-def _newest_version(key, frames, state):
-    """State function of one order: deltas between the version counted so far and the newest one."""
+
+def _newest(rows):
+    """Of each order the version that counts (farthest in the workflow, then newest, then by price, nulls first), by order id."""
+    import numpy as np
+
+    rows = rows[np.lexsort([rows[c] for c in ("cents", "priced", "event", "place", "order_id")])]
+    return rows[np.append(rows["order_id"][1:] != rows["order_id"][:-1], True)[:len(rows)]]
+
+
+def _deltas(left, entered):
+    """The day deltas of versions that left the rollup and of versions that entered it, a row each."""
+    import numpy as np
+    import pandas as pd
+
+    v, sign = np.concatenate([left, entered]), np.repeat([-1, 1], [len(left), len(entered)])
+    counted = np.isin(v["place"], _COUNTED)
+    v, sign = v[counted], sign[counted]
+    days = (v["event"] // _DAY_US).astype("datetime64[D]").astype(object)
+    return pd.DataFrame({**dict.fromkeys(_CHANGE_COLUMNS), "summary_date": days, "orders": sign, "priced": sign * v["priced"],
+                         "cents": sign * v["cents"], "set_aside": False})
+
+
+def _newest_versions(key, frames, state):
+    """State function of a group of orders: deltas between the versions counted so far and the newest ones.
+
+    Every order has a timer of its own; the group's timer is the earliest of them.
+    """
+    import numpy as np
     import pandas as pd
 
-    if state.hasTimedOut:
+    mark = state.getCurrentWatermarkMs()
+    before = np.frombuffer(state.get[0], _VERSION) if state.exists else np.empty(0, _VERSION)
+    now = before
+    if not state.hasTimedOut:
+        came = [np.empty(0, _VERSION)]
+        for f in frames:
+            odd = f["odd"].to_numpy(bool)
+            rows = np.zeros(len(f), _VERSION)
+            for c in ("order_id", "place", "event", "priced", "cents"):
+                rows[c] = f[c].to_numpy()
+            came.append(_newest(rows[~odd]))
+            if odd.any():
+                r = f[odd].astype(object)
+                yield pd.DataFrame({**dict.fromkeys(_CHANGE_COLUMNS), "set_aside": True, "order_id": r["order_id"].where(r["has_id"].astype(bool)),
+                                    **{c: r[c] for c in ("order_date", "status", "total_amount")}})
+        came = np.concatenate(came)
+        now = _newest(np.concatenate([before, came]))
+        at = np.searchsorted(now["order_id"], before["order_id"])
+        now["expires"][at] = before["expires"]
+        touched = np.isin(now["order_id"], came["order_id"])
+        now["expires"][touched] = np.maximum(now["event"][touched] // 1000 + RECOMPUTE_DAYS * 86_400_000, mark + 1)
+        same = np.logical_and.reduce([now[c][at] == before[c] for c in ("place", "event", "priced", "cents")])
+        entered = np.ones(len(now), bool)
+        entered[at[same]] = False
+        out = _deltas(before[~same], now[entered])
+        if len(out):
+            yield out
+    now = now[now["expires"] >= mark]
+    if len(now):
+        state.update((now.tobytes(),))
+        state.setTimeoutTimestamp(int(now["expires"].min()))
+    elif state.exists:
         state.remove()
-        return
-    before = state.get if state.exists else None
-    best, odd = before, []
-    for f in frames:
-        for row in f.itertuples(index=False):
-            if pd.isna(row.event):
-                odd.append(row)
-                continue
-            version = (int(row.place), int(row.event), row.status, None if pd.isna(row.cents) else int(row.cents))
-            if best is None or _rank(version) > _rank(best):
-                best = version
-    if best is not None and best != before:
-        state.update(best)
-    if best is not None:
-        state.setTimeoutTimestamp(max(best[1] // 1000 + RECOMPUTE_DAYS * 86_400_000, state.getCurrentWatermarkMs() + 1))
-    out = []
-    for version, sign in ((before, -1), (best, 1)):
-        if version and best != before and version[2] in ROLLUP_STATUSES:
-            day = _dt.date(1970, 1, 1) + _dt.timedelta(days=version[1] // _DAY_US)
-            out.append((day, sign, sign * (version[3] is not None), sign * (version[3] or 0), False, None, None, None, None))
-    none = lambda x: None if pd.isna(x) else x
-    out += [(None, None, None, None, True, none(r.order_id), none(r.order_date), r.status, r.total_amount) for r in odd]
-    if out:
-        yield pd.DataFrame(out, columns=_CHANGE_COLUMNS, dtype=object)
-
-
-def _rank(version: tuple) -> tuple:
-    """Versions in order: farthest in the workflow, then newest, then by their values (nulls first)."""
-    place, event, status, cents = version
-    return place, event, status or "", cents is not None, cents or 0
-
-
-def order_changes(orders: DataFrame, clock: Column | None = None) -> DataFrame:
-    """A stream of orders as signed day deltas, by state per order with event-time timers.
+
+
+def order_changes(orders: DataFrame, clock: Column | None = None, groups: int = ORDER_GROUPS) -> DataFrame:
+    """A stream of orders as signed day deltas, by state of the newest versions with event-time timers per order.
+
+    The state is held by groups of orders (a hash of the order id), so that
+    the state function works on arrays.  A batch that touches a group writes
+    that group's recent orders: more ``groups`` write less, for more calls.
 
     Rows older than the newest order seen in earlier batches by more than
     ``RECOMPUTE_DAYS`` are too late and dropped, as the rollup never looks
@@ -157,10 +195,15 @@ def order_changes(orders: DataFrame, clock: Column | None = None) -> DataFrame:
     event = F.when(usable(clock), F.col("order_date").cast("timestamp"))
     rows = orders.select("order_id", "order_date", "status", "total_amount", event.alias("_event")).withWatermark(
         "_event", f"{RECOMPUTE_DAYS} days")
-    rows = rows.select("order_id", "order_date", "status", "total_amount", "_event", F.unix_micros("_event").alias("event"),
+    odd, cents = F.col("_event").isNull(), (F.col("total_amount") * 100).cast("long")
+    # numbers without nulls, so that pandas keeps them as integers; the row itself only where it is set aside
+    rows = rows.select(F.pmod(F.hash("order_id"), F.lit(groups)).alias("order_group"), "_event", odd.alias("odd"),
+                       F.col("order_id").isNotNull().alias("has_id"), F.coalesce("order_id", F.lit(0)).alias("order_id"),
                        F.coalesce(_place().cast("int"), F.lit(0)).alias("place"),
-                       (F.col("total_amount") * 100).cast("long").alias("cents"))
-    return rows.groupBy("order_id").applyInPandasWithState(_newest_version, CHANGES, VERSION, "append", "EventTimeTimeout")
+                       F.coalesce(F.unix_micros("_event"), F.lit(0)).alias("event"),
+                       cents.isNotNull().alias("priced"), F.coalesce(cents, F.lit(0)).alias("cents"),
+                       *[F.when(odd, F.col(c)).alias(c) for c in ("order_date", "status", "total_amount")])
+    return rows.groupBy("order_group").applyInPandasWithState(_newest_versions, CHANGES, GROUP_STATE, "append", "EventTimeTimeout")
 
 
 def apply_day_deltas(changes: DataFrame, batch_id: int, target: str, as_of=None) -> None:
@@ -194,11 +237,11 @@ def apply_day_deltas(changes: DataFrame, batch_id: int, target: str, as_of=None)
 
 
 def start_sales_summary_stream(orders: DataFrame, target: str, checkpoint: str, trigger_once: bool = True,
-                               clock: Column | None = None, as_of=None):
+                               clock: Column | None = None, as_of=None, groups: int = ORDER_GROUPS):
     """Start T1.  Returns the StreamingQuery."""
     # the state function runs in Python workers
     ship_package(orders.sparkSession)
-    w = (order_changes(orders, clock).writeStream.outputMode("append")
+    w = (order_changes(orders, clock, groups).writeStream.outputMode("append")
          .foreachBatch(lambda batch, batch_id: apply_day_deltas(batch, batch_id, target, as_of))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if trigger_once else w

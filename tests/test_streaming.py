@@ -186,6 +186,68 @@ def test_t1_future_and_null_dates_are_set_aside(spark):
     assert aside == [(1, None), (3, 2100), (None, None)]
 
 
+def _fold_orders(batches):
+    """T1 order by order in plain Python, a run per batch: day -> (orders, revenue in cents or None)."""
+    import datetime as dt
+
+    from ledgerline.streaming import RECOMPUTE_DAYS, STATUS_ORDER
+    mark, days, state, known = 0, {}, {}, set()
+    stay = RECOMPUTE_DAYS * 86_400_000
+    for rows in batches:
+        seen = [(i, (dt.datetime.fromisoformat(d) - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1), s, v)
+                for i, d, s, v in rows if d is not None and i is not None]
+        for i, event, s, v in seen:
+            if mark and event <= mark * 1000:
+                continue
+            version = (STATUS_ORDER.index(s) + 1 if s in STATUS_ORDER else 0, event, v is not None, int(float(v or 0) * 100 + 0.5))
+            before = state.get(i, ((-1,), None))[0]
+            best = max(before, version)
+            state[i] = best, max(best[1] // 1000 + stay, mark + 1)
+            for x, sign in ((before, -1), (best, 1)):
+                if best != before and x[0] >= 0 and x[0] and STATUS_ORDER[x[0] - 1] in ROLLUP_STATUSES:
+                    t = days.setdefault(str(dt.date(1970, 1, 1) + dt.timedelta(days=x[1] // 86_400_000_000)), [0, 0, 0])
+                    t[0], t[1], t[2] = t[0] + sign, t[1] + sign * x[2], t[2] + sign * x[3]
+        known |= {d for d, t in days.items() if t[0] > 0}
+        mark = max([mark, *(e // 1000 - stay for _, e, _, _ in seen)])
+        state = {i: x for i, x in state.items() if x[1] >= mark}
+    return {d: (t[0], t[2] if t[1] else None) for d, t in days.items() if d in known}, len(state)
+
+
+def test_t1_state_function_takes_many_orders_at_once(spark):
+    """The state is held by groups of orders, far fewer than orders, and gives what order by order gives."""
+    import datetime as dt
+    import random
+
+    from ledgerline.streaming import STATUS_ORDER, read_set_aside
+    rng, root, groups = random.Random(5), tempfile.mkdtemp(prefix="ll-t1g-"), 16
+    batches = []
+    for k in range(4):  # batches six days apart, each of ten days: some rows are late, some orders come again after their timers
+        rows = []
+        for _ in range(400):
+            at = dt.datetime(2001, 7, 1) + dt.timedelta(days=6 * k, seconds=rng.randrange(10 * 86400), microseconds=rng.randrange(1000))
+            i = rng.choice([rng.randrange(300), 2 ** 60 + rng.randrange(100)])
+            rows.append((rng.choice([i] * 40 + [None]), rng.choice([at.isoformat()] * 30 + [None]),
+                         rng.choice([*STATUS_ORDER[:6], *STATUS_ORDER, "ODD", None]), rng.choice([f"{rng.randrange(1, 9999) / 100:.2f}"] * 5 + [None])))
+        batches.append(rows + rng.sample(batches[-1], 60) if batches else rows)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a group comes in several frames
+    try:
+        for rows in batches:
+            _orders(spark, rows).coalesce(1).write.mode("append").parquet(f"{root}/in")
+            q = start_sales_summary_stream(read_order_stream(spark, f"{root}/in"), f"{root}/target", f"{root}/ckpt", groups=groups)
+            q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    exp, held = _fold_orders(batches)
+    got = {str(r["summary_date"]): (r["total_orders"], None if r["total_revenue"] is None else int(r["total_revenue"] * 100))
+           for r in read_sales_summary(spark, f"{root}/target").collect()}
+    assert got == exp
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= groups < held
+    aside = [(r["order_id"], r["order_date"] and r["order_date"].isoformat(), r["status"], r["total_amount"] and f"{r['total_amount']:.2f}")
+             for r in read_set_aside(spark, f"{root}/target").collect()]
+    assert sorted(aside, key=repr) == sorted((r for rows in batches for r in rows if r[0] is None or r[1] is None), key=repr)
+
+
 def test_t1_batch_form_with_future_and_null_dates(spark):
     root = tempfile.mkdtemp(prefix="ll-t1b-")
     apply_order_batch(_orders(spark, [(1, None, "SHIPPED", "1.00")]), root)
