@@ -217,6 +217,8 @@ def apply_day_deltas(changes: DataFrame, batch_id: int, target: str, as_of=None)
     if done is not None and int(done) >= batch_id:
         return
     rows = materialize(changes, "t1-changes")
+    if done is not None and rows.isEmpty():  # only timers ran
+        return
     rows.where("set_aside").select("order_id", "order_date", "status", "total_amount").write.mode("overwrite").parquet(
         f"{target}/set_aside/batch_id={batch_id}")
     path, summary = f"{target}/day_totals", f"{target}/sales_summary"
